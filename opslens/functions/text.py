@@ -18,9 +18,14 @@ INLINE_SPACE = r"[ \t]+"
 MANY_LINES = r"\n{3,}"
 
 
+def map_texts(texts: pd.Series, fn) -> pd.Series:
+    """`fn` over the texts of a batch; missing ones stay missing. Plain objects keep Arrow's batches whole."""
+    return pd.Series([fn(t) if isinstance(t, str) else None for t in texts], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def _decode_entities(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+    return map_texts(texts, html.unescape)
 
 
 def unescape(text: Column) -> Column:

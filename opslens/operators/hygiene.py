@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opslens.functions.columns import one_of
+from opslens.functions.text import map_texts
 
 # Networks that must not be reached.
 BLOCKED_V4 = (
@@ -46,7 +47,7 @@ def _blocked_v6(addresses: pd.Series) -> pd.Series:
             return None
         return any(address in n for n in nets)
 
-    return addresses.map(test, na_action="ignore")
+    return map_texts(addresses, test)
 
 
 def screen_urls(urls: DataFrame, hosts: DataFrame) -> DataFrame:

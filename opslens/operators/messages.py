@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opslens.functions.columns import mapping, one_of, regex_group, truthy_text
-from opslens.functions.text import base64url_text, html_to_text, strip, unescape
+from opslens.functions.text import base64url_text, html_to_text, map_texts, strip, unescape
 
 # Event types whose data lies behind a link, that move a milestone, or that ask for nothing.
 CREATE_TYPES = ("Estimate Complete", "Estimate")
@@ -75,8 +75,8 @@ _PART = T.StructType().add("ord", "integer").add("mime", "string").add("filename
 def _part_list(payloads: pd.Series) -> pd.Series:
     """Parts of one MIME tree in depth-first order; the first entry is the tree's root."""
 
-    def walk(text: str | None) -> list[dict]:
-        stack, found = [json.loads(text)] if text else [], []
+    def walk(text: str) -> list[dict]:
+        stack, found = [json.loads(text)], []
         while stack:
             part = stack.pop()
             found.append({
@@ -88,7 +88,7 @@ def _part_list(payloads: pd.Series) -> pd.Series:
             stack.extend(reversed(part.get("parts") or []))
         return found
 
-    return payloads.map(walk)
+    return map_texts(payloads, walk)
 
 
 def mime_parts(mails: DataFrame, payload: str = "payload") -> DataFrame:
