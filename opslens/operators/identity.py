@@ -6,7 +6,7 @@ of candidates, so every join adds at most one row per event however often a name
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -207,21 +207,34 @@ def lookup_unique_name(asked: DataFrame, table: DataFrame, name: str) -> DataFra
     )
 
 
-def _first_of(rows: DataFrame, key: Column, wanted: Column, row_id: str, flag: str) -> DataFrame:
-    """Flags the first wanted row of every key; unwanted rows take no part."""
-    marked = rows.withColumn("_want", F.coalesce(wanted, F.lit(False))).withColumn("_wk", key)
-    firsts = marked.where("_want").groupBy("_wk").agg(F.min(row_id).alias("_first"))
-    spread = F.when(F.col("_want"), F.col("_wk")).otherwise(F.concat(F.lit("none "), F.col(row_id).cast("string")))
-    joined = marked.withColumn("_wk", spread).join(firsts, "_wk", "left")
-    return joined.withColumn(flag, F.coalesce(F.col(row_id) == F.col("_first"), F.lit(False))).drop("_want", "_wk", "_first")
+def _firsts(rows: DataFrame, row_id: str, wants: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Flags, for every name in `wants`, the first row of each key among the rows that want it.
 
-
-def plan_entities_projects(proposals: DataFrame, entities: DataFrame, projects: DataFrame, links: DataFrame) -> DataFrame:
+    All keys go through one partial aggregate; its winners are joined back by the unique row id, so a key
+    shared by very many rows never meets in one task.
+    """
+    entries = [
+        F.when(wanted, F.struct(F.lit(flag).alias("flag"), key.alias("key"))) for flag, (key, wanted) in wants.items()
+    ]
+    asked = rows.select(F.col(row_id).alias("_id"), F.explode(F.array_compact(F.array(*entries))).alias("e"))
+    winners = asked.groupBy("e.flag", "e.key").agg(F.min("_id").alias("_id"))
+    flags = winners.groupBy("_id").agg(*[F.bool_or(F.col("flag") == flag).alias(flag) for flag in wants])
+    joined = rows.join(flags, rows[row_id] == flags["_id"], "left").drop("_id")
+    return joined.withColumns({flag: F.coalesce(flag, F.lit(False)) for flag in wants})
+
+
+def plan_entities_projects(
+    proposals: DataFrame,
+    entities: DataFrame,
+    projects: DataFrame,
+    links: DataFrame,
+    cut: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
     """Find-or-create plan of people, projects and their links, in set form.
 
     `proposals` has `proposal_id` (order), `ext_id, name, email, street, display_text`. Several matches go
-    to review. Creates are deduplicated by lookup key: the first proposal creates, later ones reuse.
-    `links` has `entity_id, project_id, archived`.
+    to review. Creates are deduplicated by lookup key: the first proposal creates, later ones reuse it.
+    `links` has `entity_id, project_id, archived`. The matched rows are read twice; `cut` may write them first.
     """
     rows = match_entity(proposals, entities, "proposal_id")
     hits = attach_lookup(rows, _ext_key(), "proposal_id", project_lookup(projects), "_project", "_count")
@@ -239,10 +252,6 @@ def plan_entities_projects(proposals: DataFrame, entities: DataFrame, projects:
         "ok",
     )
     rows = rows.withColumn("status", status)
-    new_entity = F.col("status").isin("ok", "review project") & (F.col("entity_matches") == 0)
-    rows = _first_of(rows, F.col("_entity_key"), new_entity, "proposal_id", "created_entity")
-    new_project = (F.col("status") == "ok") & (F.col("project_matches") == 0)
-    rows = _first_of(rows, F.col("ext_id"), new_project, "proposal_id", "created_project")
     live_links = links.where(~F.col("archived")).select("entity_id", "project_id").distinct().withColumn("_linked", F.lit(True))
     both_known = F.col("entity_id").isNotNull() & F.col("project_id").isNotNull()
     probe = F.when(both_known, F.col("entity_id")).otherwise(-F.col("proposal_id") - 1)
@@ -251,9 +260,17 @@ def plan_entities_projects(proposals: DataFrame, entities: DataFrame, projects:
         .join(live_links.withColumnRenamed("entity_id", "_probe"), ["_probe", "project_id"], "left")
         .drop("_probe")
     )
+    ok = F.col("status") == "ok"
     pair = F.concat_ws("|", F.coalesce(F.col("entity_id").cast("string"), F.col("_entity_key")), F.coalesce(F.col("project_id").cast("string"), F.col("ext_id")))
-    new_link = (F.col("status") == "ok") & F.col("_linked").isNull()
-    rows = _first_of(rows, pair, new_link, "proposal_id", "created_link")
+    rows = _firsts(
+        cut(rows),
+        "proposal_id",
+        {
+            "created_entity": (F.col("_entity_key"), F.col("status").isin("ok", "review project") & (F.col("entity_matches") == 0)),
+            "created_project": (F.col("ext_id"), ok & (F.col("project_matches") == 0)),
+            "created_link": (pair, ok & F.col("_linked").isNull()),
+        },
+    )
     project_name = F.coalesce(truthy_text(F.col("display_text"), F.col("name")), F.concat(F.lit("Project "), F.col("ext_id")))
     return rows.withColumn("project_name", F.when(F.col("created_project"), project_name)).drop("_entity_key", "_linked")
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from opslens.operators.proposals import ORDER
 from opslens.plans.registry import query
 from opslens.plans.usage import nested_logs
 from opslens.plans.views import table, view
-from opslens.session import state_root
+from opslens.session import scratch_path as scratch
 from opslens.sources import audit_sink, inventory, logs
 from opslens.sources.docs import read_docs
 
@@ -27,12 +25,6 @@ dedup AS (SELECT * FROM gens WHERE body IS NOT NULL QUALIFY seq IS NULL OR row_n
 bucketed AS (SELECT *, CASE WHEN url LIKE '%/fr/%' THEN '/fr/' WHEN url LIKE '%/en/%' THEN '/en/' WHEN url LIKE '%.org/%' THEN '\\.org/' END AS pattern FROM dedup)"""
 
 
-def scratch(spark, name):
-    """A new folder below the shared state folder of the cluster, or below a temporary one in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="opslens-")
-    return os.path.join(state_root(spark, root), f"{name}-{uuid.uuid4().hex}")
-
-
 def captures(spark, sf_dir):
     return view(spark, sf_dir, "captures")
 

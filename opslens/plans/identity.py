@@ -13,6 +13,7 @@ from opslens.operators import proposals as x
 from opslens.plans.messages import PARSED
 from opslens.plans.registry import query
 from opslens.plans.views import table, view
+from opslens.session import materialize
 
 V = ("messages", "crm_project")
 EV = PARSED + """, ev0 AS (SELECT *, CASE WHEN message_id % 3 = 0 THEN 'x' || CAST(message_id % 3000 AS VARCHAR) END AS ext_id FROM parsed),
@@ -168,7 +169,7 @@ def plan(spark, sf_dir):
     links = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("project_id"), (F.col("o_orderkey") % 10 == 0).alias("archived")
     )
-    return i.plan_entities_projects(proposals, view(spark, sf_dir, "crm_entity"), projects(spark, sf_dir), links)
+    return i.plan_entities_projects(proposals, view(spark, sf_dir, "crm_entity"), projects(spark, sf_dir), links, cut=materialize)
 
 
 @query("i11_plan_entities_projects", P, PLAN + """ SELECT proposal_id, status, entity_id, project_id, created_entity, created_project, created_link,

@@ -78,7 +78,7 @@ def s03(spark, sf_dir):
     return read_messages(inbox, "no-reply@example.test").select("message_id", "sent_s", "sender")
 
 
-@query("m01_html_to_text", (), f"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace({PLAIN}, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
+@query("m01_html_to_text", (), f"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({PLAIN}, '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'),
  '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages""")
 def m01(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))

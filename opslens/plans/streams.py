@@ -11,13 +11,14 @@ from opslens.operators import captures as c
 from opslens.operators.assess import MeasureRegistry, recover_json
 from opslens.operators.jobs import job_snapshot
 from opslens.operators.ledger import ledger_latest
-from opslens.plans.captures import GEN, nested_bodies, scratch
+from opslens.plans.captures import GEN, nested_bodies
 from opslens.plans.identity import EV
 from opslens.plans.identity import events as message_events
 from opslens.plans.registry import query
 from opslens.plans.state import SNAP
 from opslens.plans.usage import DONE
 from opslens.plans.views import view
+from opslens.session import scratch_path as scratch
 from opslens.streaming import captures as sc
 from opslens.streaming import jobs as sj
 from opslens.streaming import messages as sm

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,6 +32,21 @@ def build_session(app: str = "opslens", master: str | None = None, shuffle_parti
     return builder.getOrCreate()
 
 
-def state_root(spark: SparkSession, fallback: str) -> str:
-    """Shared folder for checkpoints and state tables; `fallback` is used only where the cluster names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or fallback
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for tables and checkpoints, in the shared folder the cluster names.
+
+    Only where it names none, as in tests, a temporary folder of this machine is taken.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="opslens-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a step that several branches need and go on from the written table.
+
+    It survives lost executors, ends the lineage and saves computing the step once per branch.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
