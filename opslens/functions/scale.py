@@ -12,31 +12,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _same_keys(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for name in names:
-        cond = cond & left[name].eqNullSafe(right["_" + name])
-    return cond
-
-
 def running_total(
     df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column], value: Column, out: str
 ) -> DataFrame:
     """Inclusive running sum of `value` within `keys` along `order`.
 
-    `chunk` must never decrease along `order` (an hour, or an id divided by a block size). Two shuffles:
-    one partial aggregate to chunk totals, one of the rows by keys and chunk.
+    `chunk` must never decrease along `order` (an hour, or an id divided by a block size); keys and chunk must
+    not be null. The rows are shuffled once, by keys and chunk, for the join and the window alike.
     """
     keys = list(keys)
     rows = df.withColumn("_chunk", chunk).withColumn("_value", value)
     by = keys + ["_chunk"]
     totals = rows.groupBy(*by).agg(F.sum("_value").alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[F.col(c).alias("_" + c) for c in by], F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
-    )
+    offsets = totals.select(*by, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = rows.join(offsets, _same_keys(rows, offsets, by), "left").drop(*["_" + c for c in by])
+    joined = rows.join(offsets, by)
     return joined.withColumn(out, F.col("_offset") + F.sum("_value").over(inside)).drop("_chunk", "_value", "_offset")
 
 

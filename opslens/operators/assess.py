@@ -258,26 +258,26 @@ def ancestors(criteria: Sequence[Criterion]) -> dict[str, list[str]]:
 def skip_dependents(scores: DataFrame, criteria: Sequence[Criterion]) -> DataFrame:
     """SKIPPED and no score wherever any criterion up the chain did not pass; a missing one did not pass.
 
-    Per item only the set of passed criteria that others depend on is needed, which is no longer than the
-    criteria list whatever the item holds.
+    Takes one row per item and criterion. The requested criteria of an item meet in one group, which is never
+    longer than the request; every other key of the item forms a group of its own, so an item with very many
+    keys stays spread out.
     """
     chains = ancestors(criteria)
     if not chains:
         return scores
-    needed = sorted({a for chain in chains.values() for a in chain})
-    passed = (
-        scores.where((F.col("verdict") == "PASS") & F.col("criterion").isin(*needed))
-        .groupBy("item_id")
-        .agg(F.collect_set("criterion").alias("_passed"))
-    )
+    involved = sorted({c.name for c in criteria} | {a for chain in chains.values() for a in chain})
+    others = [c for c in scores.columns if c != "item_id"]
+    alone = F.when(F.col("criterion").isin(*involved), "").otherwise(F.col("criterion"))
+    groups = scores.groupBy("item_id", alone.alias("_alone")).agg(F.collect_list(F.struct(*others)).alias("_rows"))
     required = F.create_map(*[x for k, v in chains.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))])
-    joined = scores.join(passed, "item_id", "left").withColumn("_required", F.try_element_at(required, F.col("criterion")))
-    passed_or_none = F.coalesce("_passed", F.array().cast("array<string>"))
-    skip = F.coalesce(F.size(F.array_except("_required", passed_or_none)) > 0, F.lit(False)) & F.col("_required").isNotNull()
-    return joined.select(
-        *[F.when(skip, F.lit(None)).otherwise(F.col(c)).alias(c) if c in ("score", "confidence") else F.col(c) for c in scores.columns if c != "verdict"],
-        F.when(skip, "SKIPPED").otherwise(F.col("verdict")).alias("verdict"),
-    )
+    passed = F.transform(F.filter("_rows", lambda r: r["verdict"] == "PASS"), lambda r: r["criterion"])
+    rows = groups.withColumn("_passed", passed).select("item_id", "_passed", F.inline("_rows"))
+    open_chain = F.array_except(F.try_element_at(required, F.col("criterion")), F.col("_passed"))
+    skip = F.coalesce(F.size(open_chain) > 0, F.lit(False)) & F.col("criterion").isin(*chains)
+    rows = rows.withColumn("_skip", skip)
+    changed = {c: F.when(~F.col("_skip"), F.col(c)) for c in ("score", "confidence")}
+    changed["verdict"] = F.when(F.col("_skip"), "SKIPPED").otherwise(F.col("verdict"))
+    return rows.select(*[changed.get(c, F.col(c)).alias(c) for c in scores.columns])
 
 
 def weighted_parts(scores: DataFrame, criteria: Sequence[Criterion]) -> DataFrame:

@@ -24,17 +24,19 @@ def doc_generation(captures: DataFrame, per_chunk: int = ARRIVALS_PER_CHUNK) ->
     return running_total(captures, ["session_id"], chunk, [F.col("arrival")], F.col("is_load").cast("int"), "gen")
 
 
-def dedup_captures(captures: DataFrame) -> DataFrame:
+def dedup_captures(captures: DataFrame, per_chunk: int = ARRIVALS_PER_CHUNK) -> DataFrame:
     """First arrival of every (session, generation, seq). Rows without a body go, rows without a seq all stay.
 
-    A row without a seq is a key of its own, so one aggregate handles both kinds.
+    The winners are found on narrow rows by hash aggregation (a row without a seq is a key of its own); bodies
+    are shuffled once, for the join by session and arrival, which is unique and therefore even.
     """
-    rows = captures if "gen" in captures.columns else doc_generation(captures)
-    rows = rows.where(F.col("body").isNotNull()).withColumns(
-        {"_numbered": F.col("seq").isNotNull(), "_key": F.coalesce("seq", "arrival")}
+    narrow = captures.select("session_id", "arrival", "seq", "is_load", F.col("body").isNotNull().alias("_filled"))
+    keyed = doc_generation(narrow, per_chunk).where("_filled")
+    numbered = F.col("seq").isNotNull()
+    winners = keyed.groupBy("session_id", "gen", numbered.alias("_numbered"), F.coalesce("seq", "arrival").alias("_key")).agg(
+        F.min("arrival").alias("arrival")
     )
-    kept = first_per_key(rows, ["session_id", "gen", "_numbered", "_key"], ["arrival"], ["arrival", "path", "seq", "is_load", "url", "body"])
-    return kept.drop("_numbered", "_key")
+    return captures.join(winners.select("session_id", "gen", "arrival"), ["session_id", "arrival"])
 
 
 def url_filter(captures: DataFrame, patterns: Sequence[str]) -> DataFrame:

@@ -184,22 +184,12 @@ def weekly_limit(daily: DataFrame, as_of: dt.date, excluded: Sequence[int] = ())
 def usage_summary(turns: DataFrame, as_of: dt.date, excluded: Sequence[int] = ()) -> DataFrame:
     """One row: today, week to date, both limits and the latest turn.
 
-    One scan and one partial aggregate by day; everything after that works on a handful of rows
-    (day, then week, then one row), so no second pass over the turns is needed.
+    The turns are hash-aggregated by day once; all totals then come from a handful of rows (day, week, one row).
+    The latest turn is a second narrow scan without keys: inside the first one its row struct would turn the
+    hash aggregate into a sort of all turns.
     """
-    since = F.lit(as_of - dt.timedelta(days=LOOKBACK_DAYS)).cast("timestamp_ntz")
-    recent = F.col("ts") >= since
-    days = (
-        with_totals(turns)
-        .groupBy("day")
-        .agg(
-            F.coalesce(F.sum(F.when(recent, F.col("input"))), F.lit(0)).alias("input"),
-            F.coalesce(F.sum(F.when(recent, F.col("output"))), F.lit(0)).alias("output"),
-            _last_turn().alias("last"),
-        )
-        .withColumn("total", F.col("input") + F.col("output"))
-        .withColumn("week", F.to_date(F.date_trunc("week", "day")))
-    )
+    daily = usage_daily(turns, as_of - dt.timedelta(days=LOOKBACK_DAYS))
+    days = daily.withColumn("week", F.to_date(F.date_trunc("week", "day")))
     today = F.col("day") == F.lit(as_of)
     this_week = F.col("day").between(F.lit(monday(as_of)), F.lit(as_of))
 
@@ -214,16 +204,15 @@ def usage_summary(turns: DataFrame, as_of: dt.date, excluded: Sequence[int] = ()
         part(_prior_days(as_of, excluded), "total").alias("prior_total"),
         F.count_if(_prior_days(as_of, excluded)).alias("prior_days"),
         part(_counted_day(excluded), "total").alias("total"),
-        F.max_by("last", F.struct(F.col("last.ts"), -F.col("last.turn_id"))).alias("last"),
     )
     prior_weeks = _prior_weeks(as_of)
     sums = weeks.agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("today_input", "today_output", "week_input", "week_output")],
         _mean_or_zero(F.sum("prior_total"), F.sum("prior_days")).alias("daily_limit"),
         _mean_or_zero(F.sum(F.when(prior_weeks, F.col("total"))), F.count_if(prior_weeks)).alias("weekly_limit"),
-        F.max_by("last", F.struct(F.col("last.ts"), -F.col("last.turn_id"))).alias("last"),
     )
-    return sums.select(
+    last = completed_turns(turns).agg(_last_turn().alias("t")).scalar()
+    return sums.withColumn("last", last).select(
         F.lit(as_of).alias("as_of"),
         F.lit(monday(as_of)).alias("week_start"),
         "today_input",
