@@ -24,7 +24,8 @@ def round_even(col: Column, digits: int) -> Column:
 
 
 def clamp(col: Column, low, high) -> Column:
-    return F.least(F.greatest(col, F.lit(low)), F.lit(high))
+    """`col` kept within the bounds; null stays null, which `least` and `greatest` alone would not give."""
+    return F.when(col.isNotNull(), F.least(F.greatest(col, F.lit(low)), F.lit(high)))
 
 
 def one_of(cond_values: Sequence[tuple[Column, object]], default=None) -> Column:

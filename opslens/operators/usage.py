@@ -246,7 +246,8 @@ def limit_status(df: DataFrame, total: str, limit: str) -> DataFrame:
 
 def reset_countdown(resets_at: Column, as_of: Column) -> Column:
     """Time left until `resets_at` as `Nd Nh`, `Nh Nm` or `Nm`; past times give `0m`, no time gives ''."""
-    seconds = F.greatest(F.unix_timestamp(F.try_to_timestamp(resets_at)) - F.unix_timestamp(as_of), F.lit(0))
+    left = F.unix_timestamp(F.try_to_timestamp(resets_at)) - F.unix_timestamp(as_of)
+    seconds = F.when(left > 0, left).when(left.isNotNull(), F.lit(0))
     hours, minutes = F.floor(seconds / 3600), F.floor((seconds % 3600) / 60)
     text = one_of(
         [

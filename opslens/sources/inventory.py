@@ -6,20 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _parts(paths: DataFrame, root: str, name_pattern: str) -> DataFrame:
+    """Path segments below the root and the name of the top-level folder; other paths are dropped."""
+    inside = F.regexp_replace(F.substring_index("path", root.rstrip("/") + "/", -1), "^/+", "")
+    rows = paths.withColumn("parts", F.split(inside, "/")).where(F.size("parts") > 1)
+    return rows.withColumn("name", F.get("parts", F.lit(0))).where(F.col("name").rlike(name_pattern))
+
+
 def file_inventory(spark: SparkSession, root: str, name_pattern: str = r"^[A-Za-z0-9._-]+$", marker: str = "session_ok") -> DataFrame:
-    """Bytes, files, a non-empty flag and a marker-file flag per top-level folder; odd folder names are skipped.
+    """Bytes, a non-empty flag and a marker-file flag per top-level folder, by name; odd names are skipped.
 
-    File contents are never read: only path and length are selected. Folders without files do not appear.
+    File contents are never read, only path and length. Spark lists no hidden files and plans no empty ones,
+    so marker files, which may be empty, come from the listing itself: at most one per folder counts.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    base = root.rstrip("/") + "/"
-    inside = F.regexp_replace(F.substring_index("path", base, -1), "^/+", "")
-    rows = files.select(F.split(inside, "/").alias("parts"), "length").where(F.size("parts") > 1)
-    named = rows.withColumn("name", F.get("parts", F.lit(0))).where(F.col("name").rlike(name_pattern))
-    at_top = (F.size("parts") == 2) & (F.get("parts", F.lit(1)) == marker)
-    return (
-        named.groupBy("name")
-        .agg(F.sum("length").alias("size_bytes"), F.count("*").alias("files"), F.max(at_top).alias("marker_present"))
-        .withColumn("present", F.col("files") > 0)
-        .orderBy("name")
-    )
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    sizes = _parts(reader.load(root).select("path", "length"), root, name_pattern)
+    totals = sizes.groupBy("name").agg(F.sum("length").alias("size_bytes"), F.count("*").alias("filled_files"))
+    listed = reader.option("pathGlobFilter", marker).load(root).inputFiles()
+    at_top = [(p,) for p in listed if p.rsplit("/", 2)[0].rstrip("/").endswith(root.rstrip("/"))]
+    markers = _parts(spark.createDataFrame(at_top, "path STRING"), root, name_pattern).select("name").distinct()
+    joined = totals.join(markers.withColumn("_marked", F.lit(True)), "name", "full_outer")
+    return joined.select(
+        "name",
+        F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"),
+        F.coalesce("filled_files", F.lit(0)).alias("filled_files"),
+        F.coalesce("_marked", F.lit(False)).alias("marker_present"),
+        F.lit(True).alias("present"),
+    ).orderBy("name")
