@@ -18,9 +18,36 @@ def truthy_text(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])
 
 
-def round_even(col: Column, digits: int) -> Column:
-    """Half-even rounding on the value taken to six decimals."""
-    return F.bround(col.cast("decimal(28,6)"), digits).cast("double")
+def _split(value):
+    """High and low half of a double, exact in sum (Veltkamp); works on columns and on plain floats."""
+    scaled = value * 134217729.0
+    high = scaled - (scaled - value)
+    return high, value - high
+
+
+def round_binary(col: Column, digits: int) -> Column:
+    """Rounding of the double's exact binary value, ties to even, as C and Python round.
+
+    Spark's own rounding works on the shortest decimal text, so 2.675 would count as a tie although the double
+    lies below it. Here the distance to the midpoint is computed with its rounding error (a two-product).
+    """
+    x = col.cast("double")
+    if digits == 0:
+        return F.rint(x)
+    scale = 2.0 * 10**digits
+    high, low = _split(x)
+    scale_high, scale_low = _split(scale)
+    product = x * scale
+    error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
+    below = F.floor(product / 2).cast("double")
+    side = (product - (below * 2 + 1)) + error
+    odd = (below % 2) != 0
+    return F.when((side > 0) | ((side == 0) & odd), below + 1).otherwise(below) / float(10**digits)
+
+
+def exact_mean(col: Column, digits: int) -> Column:
+    """Mean of values with that many digits; summed as decimals, so the order of the rows cannot change it."""
+    return F.sum(col.cast(f"decimal(18,{digits})")).cast("double") / F.count(col)
 
 
 def clamp(col: Column, low, high) -> Column:

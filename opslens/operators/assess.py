@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opslens.functions.columns import clamp, mapping, one_of, round_even, verdict
+from opslens.functions.columns import clamp, exact_mean, mapping, one_of, round_binary, verdict
 from opslens.functions.scale import first_per_key, last_per_key
 from opslens.functions.text import map_texts, strip
 
@@ -284,7 +284,7 @@ def weighted_parts(scores: DataFrame, criteria: Sequence[Criterion]) -> DataFram
     """Requested, not skipped criteria of every item with weight and contribution."""
     weight = F.try_element_at(mapping({c.name: float(c.weight) for c in criteria}), F.col("criterion"))
     used = scores.withColumn("weight", weight).where(F.col("weight").isNotNull() & (F.col("verdict") != "SKIPPED"))
-    return used.withColumn("contribution", round_even(F.col("score") * F.col("weight"), 4))
+    return used.withColumn("contribution", round_binary(F.col("score") * F.col("weight"), 4))
 
 
 def weighted_score(scores: DataFrame, criteria: Sequence[Criterion]) -> DataFrame:
@@ -294,14 +294,14 @@ def weighted_score(scores: DataFrame, criteria: Sequence[Criterion]) -> DataFram
         F.sum(F.col("score") * F.col("weight")).alias("_sum"), F.sum("weight").alias("_weight")
     )
     mean = F.col("_sum") / F.col("_weight")
-    final = clamp(round_even(mean, 0), 1.0, 10.0).cast("int")
+    final = clamp(round_binary(mean, 0), 1.0, 10.0).cast("int")
     return sums.where(F.col("_weight") != 0).select(
         "item_id",
         final.alias("overall_score"),
         verdict(final).alias("overall_verdict"),
-        round_even(F.col("_weight"), 4).alias("total_weight"),
-        round_even(F.col("_sum"), 4).alias("weighted_sum"),
-        round_even(mean, 4).alias("unrounded_average"),
+        round_binary(F.col("_weight"), 4).alias("total_weight"),
+        round_binary(F.col("_sum"), 4).alias("weighted_sum"),
+        round_binary(mean, 4).alias("unrounded_average"),
     )
 
 
@@ -309,7 +309,7 @@ def detector_overall(scored: DataFrame) -> DataFrame:
     """Overall verdict of the detector rows by number of failures, and their mean score."""
     fails = F.count_if(F.col("verdict") == "FAIL")
     overall = one_of([(fails >= 2, "FAIL"), (fails == 1, "MARGINAL")], "PASS")
-    mean = F.coalesce(round_even(F.avg("score"), 0).cast("int"), F.lit(5))
+    mean = F.coalesce(round_binary(F.avg("score"), 0).cast("int"), F.lit(5))
     return scored.groupBy("item_id").agg(overall.alias("overall_verdict"), mean.alias("overall_score"))
 
 
@@ -329,31 +329,31 @@ def similarity(pairs: DataFrame, scores: DataFrame, example_scores: DataFrame) -
     """
     mine = scores.where(F.col("score").isNotNull()).select("item_id", "criterion", F.col("score").alias("_mine"))
     theirs = example_scores.where(F.col("score").isNotNull()).select("example_id", "criterion", F.col("score").alias("_theirs"))
-    one = round_even(1.0 - F.abs(F.col("_theirs") - F.col("_mine")) / 9.0, 3)
+    one = round_binary(1.0 - F.abs(F.col("_theirs") - F.col("_mine")) / 9.0, 3)
     common = (
         pairs.select("item_id", "example_id").join(mine, "item_id").join(theirs, ["example_id", "criterion"])
-        .groupBy("item_id", "example_id").agg(F.avg(one).alias("_mean"), F.count("*").alias("common"))
+        .groupBy("item_id", "example_id").agg(exact_mean(one, 3).alias("_mean"), F.count("*").alias("common"))
     )
     joined = pairs.join(common, ["item_id", "example_id"], "left")
     return joined.select(
         *pairs.columns,
         F.coalesce("common", F.lit(0)).alias("common"),
-        F.coalesce(round_even(F.col("_mean"), 3), F.lit(0.5)).alias("overall_similarity"),
-        F.coalesce(round_even(F.col("_mean") * 10, 1), F.lit(5.0)).alias("similarity_score"),
+        F.coalesce(round_binary(F.col("_mean"), 3), F.lit(0.5)).alias("overall_similarity"),
+        F.coalesce(round_binary(F.col("_mean") * 10, 1), F.lit(5.0)).alias("similarity_score"),
     )
 
 
 def blend(compared: DataFrame) -> DataFrame:
     """Own quality and similarity mixed by the example's weight, kept within 1 to 10."""
     mixed = (1.0 - F.col("weight")) * F.col("overall_score") + F.col("weight") * F.col("similarity_score")
-    score = round_even(clamp(mixed, 1.0, 10.0), 1)
+    score = round_binary(clamp(mixed, 1.0, 10.0), 1)
     return compared.withColumn("blended", score).withColumn("blended_verdict", verdict(F.col("blended").cast("int")))
 
 
 def aggregate(blended: DataFrame, method: str = "mean") -> DataFrame:
     """One score per item over its examples by mean, min or max."""
-    fold = {"mean": F.avg, "min": F.min, "max": F.max}[method]
-    rows = blended.groupBy("item_id").agg(round_even(fold("blended"), 1).alias("score"), F.count("*").alias("examples"))
+    folds = {"mean": exact_mean(F.col("blended"), 1), "min": F.min("blended"), "max": F.max("blended")}
+    rows = blended.groupBy("item_id").agg(round_binary(folds[method], 1).alias("score"), F.count("*").alias("examples"))
     return rows.withColumn("verdict", verdict(F.col("score").cast("int")))
 
 

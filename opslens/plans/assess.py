@@ -27,7 +27,7 @@ skips AS (SELECT DISTINCT j.item_id, j.criterion FROM judged j JOIN up ON up.nam
 final AS (SELECT j.item_id, j.criterion, CASE WHEN s.item_id IS NULL THEN j.score END AS score, CASE WHEN s.item_id IS NULL THEN j.confidence END AS confidence, CASE WHEN s.item_id IS NULL THEN j.verdict ELSE 'SKIPPED' END AS verdict
  FROM judged j LEFT JOIN skips s ON s.item_id = j.item_id AND s.criterion = j.criterion)"""
 WEIGHTED = SKIP + """, w AS (SELECT item_id, sum(score * weight) AS ws, sum(weight) AS tw FROM final JOIN crit ON name = criterion WHERE verdict <> 'SKIPPED' GROUP BY item_id),
-overall AS (SELECT item_id, CAST(least(greatest(round_even(CAST(ws / tw AS DECIMAL(28, 6)), 0), 1), 10) AS INTEGER) AS overall_score, ws, tw FROM w)"""
+overall AS (SELECT item_id, CAST(least(greatest(round_even(CAST(ws / tw AS DOUBLE), 0), 1), 10) AS INTEGER) AS overall_score, ws, tw FROM w)"""
 
 
 def raw_scores(spark, sf_dir):
@@ -135,13 +135,13 @@ def a08(spark, sf_dir):
 
 
 @query("a09_weighted_score", S, WEIGHTED + """ SELECT item_id, overall_score, CASE WHEN overall_score >= 7 THEN 'PASS' WHEN overall_score >= 4 THEN 'MARGINAL' ELSE 'FAIL' END AS overall_verdict,
- tw AS total_weight, ws AS weighted_sum, CAST(round_even(CAST(ws / tw AS DECIMAL(28, 6)), 4) AS DOUBLE) AS unrounded_average FROM overall""", recursive=True)
+ tw AS total_weight, ws AS weighted_sum, CAST(printf('%.4f', CAST(ws / tw AS DOUBLE)) AS DOUBLE) AS unrounded_average FROM overall""", recursive=True)
 def a09(spark, sf_dir):
     return a.weighted_score(skipped(spark, sf_dir), CRITERIA)
 
 
 @query("a10_detector_overall", ("measures",), MEASURED + """ SELECT item_id, CASE WHEN count(*) FILTER (WHERE verdict = 'FAIL') >= 2 THEN 'FAIL' WHEN count(*) FILTER (WHERE verdict = 'FAIL') = 1 THEN 'MARGINAL' ELSE 'PASS' END AS overall_verdict,
- CAST(round_even(CAST(avg(score) AS DECIMAL(28, 6)), 0) AS INTEGER) AS overall_score FROM scored GROUP BY item_id""")
+ CAST(round_even(avg(score), 0) AS INTEGER) AS overall_score FROM scored GROUP BY item_id""")
 def a10(spark, sf_dir):
     return a.detector_overall(a.score_measure(view(spark, sf_dir, "measures")))
 
@@ -168,11 +168,11 @@ def example_scores(spark, sf_dir):
 
 
 SIMILAR = WEIGHTED + """, pairs AS (SELECT DISTINCT o_orderkey AS item_id, unnest([o_orderkey - o_orderkey % 8, o_orderkey - o_orderkey % 64 + 3]) AS example_id FROM orders),
- common AS (SELECT p.item_id, p.example_id, avg(CAST(round_even(CAST(1.0 - abs(e.score - i.score) / 9.0::DOUBLE AS DECIMAL(28, 6)), 3) AS DOUBLE)) AS mean, count(*) AS common FROM pairs p JOIN final i ON i.item_id = p.item_id AND i.score IS NOT NULL
+ common AS (SELECT p.item_id, p.example_id, CAST(sum(CAST(printf('%.3f', 1.0::DOUBLE - abs(e.score - i.score) / 9.0::DOUBLE) AS DECIMAL(18, 3))) AS DOUBLE) / count(*) AS mean, count(*) AS common FROM pairs p JOIN final i ON i.item_id = p.item_id AND i.score IS NOT NULL
  JOIN final e ON e.item_id = p.example_id AND e.criterion = i.criterion AND e.score IS NOT NULL GROUP BY 1, 2),
- sim AS (SELECT p.item_id, p.example_id, (p.example_id % 5) / 4.0::DOUBLE AS weight, coalesce(common, 0) AS common, coalesce(CAST(round_even(CAST(mean AS DECIMAL(28, 6)), 3) AS DOUBLE), 0.5) AS overall_similarity,
- coalesce(CAST(round_even(CAST(mean * 10 AS DECIMAL(28, 6)), 1) AS DOUBLE), 5.0) AS similarity_score FROM pairs p LEFT JOIN common c USING (item_id, example_id)),
- blended AS (SELECT s.*, o.overall_score, CAST(round_even(CAST(least(greatest((1.0::DOUBLE - weight) * o.overall_score + weight * similarity_score, 1.0), 10.0) AS DECIMAL(28, 6)), 1) AS DOUBLE) AS blended FROM sim s JOIN overall o ON o.item_id = s.item_id)"""
+ sim AS (SELECT p.item_id, p.example_id, (p.example_id % 5) / 4.0::DOUBLE AS weight, coalesce(common, 0) AS common, coalesce(CAST(printf('%.3f', mean) AS DOUBLE), 0.5) AS overall_similarity,
+ coalesce(CAST(printf('%.1f', mean * 10) AS DOUBLE), 5.0) AS similarity_score FROM pairs p LEFT JOIN common c USING (item_id, example_id)),
+ blended AS (SELECT s.*, o.overall_score, CAST(printf('%.1f', CAST(least(greatest((1.0::DOUBLE - weight) * o.overall_score + weight * similarity_score, 1.0), 10.0) AS DOUBLE)) AS DOUBLE) AS blended FROM sim s JOIN overall o ON o.item_id = s.item_id)"""
 VERDICT = "CASE WHEN trunc({c}) >= 7 THEN 'PASS' WHEN trunc({c}) >= 4 THEN 'MARGINAL' ELSE 'FAIL' END"
 
 
@@ -193,7 +193,7 @@ def a13(spark, sf_dir):
     return blended(spark, sf_dir).select("item_id", "example_id", "blended", "blended_verdict")
 
 
-@query("a14_aggregate", S, SIMILAR + f""", agg AS (SELECT item_id, CAST(round_even(CAST(avg(blended) AS DECIMAL(28, 6)), 1) AS DOUBLE) AS score, count(*) AS examples FROM blended GROUP BY item_id)
+@query("a14_aggregate", S, SIMILAR + f""", agg AS (SELECT item_id, CAST(printf('%.1f', CAST(sum(CAST(printf('%.1f', blended) AS DECIMAL(18, 1))) AS DOUBLE) / count(*)) AS DOUBLE) AS score, count(*) AS examples FROM blended GROUP BY item_id)
  SELECT item_id, score, examples, {VERDICT.format(c='score')} AS verdict FROM agg""", recursive=True)
 def a14(spark, sf_dir):
     return a.aggregate(blended(spark, sf_dir), "mean")
