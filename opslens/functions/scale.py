@@ -1,7 +1,7 @@
 """Ordered and ranked operations that never put one whole key group into one task.
 
-A plain window over a key sends all rows of that key to one task. Here every group is first cut into
-chunks along its order; chunk totals are small, so only they are windowed over the whole key.
+A plain window over a key sends all rows of that key to one task. Here hot groups are cut into chunks along
+their order; chunk totals are small, so only they are windowed over the whole key.
 """
 
 from __future__ import annotations
@@ -12,39 +12,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# A key is hot from this share of all rows on, so there are at most HOT_SHARE hot keys and their list is small.
+HOT_SHARE = 100_000
+# Below this size a key is never hot.
+HOT_ROWS = 200_000
+
+
+def mark_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds `_hot` to the rows of keys with more than `hot_rows` rows and more than 1/HOT_SHARE of all rows.
+
+    The counts are a narrow partial aggregate. No more than HOT_SHARE keys can pass the test, which bounds the
+    broadcast whatever the data.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    floor = F.greatest(F.lit(hot_rows), counts.agg(F.sum("_n") / HOT_SHARE).scalar())
+    hot = counts.where(F.col("_n") > floor).select(*keys, F.lit(True).alias("_hot"))
+    return df.join(F.broadcast(hot), list(keys), "left")
+
+
 def running_total(
-    df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column], value: Column, out: str
+    df: DataFrame,
+    keys: Sequence[str],
+    chunk: Column,
+    order: Sequence[Column],
+    value: Column,
+    out: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Inclusive running sum of `value` within `keys` along `order`.
 
-    `chunk` must never decrease along `order` (an hour, or an id divided by a block size); keys and chunk must
-    not be null. The rows are shuffled once, by keys and chunk, for the join and the window alike.
+    Hot keys are cut by `chunk`, which must never decrease along `order` (an hour, or an id divided by a block
+    size); keys and chunk must not be null. Chunk totals exist for hot keys only, and the rows themselves are
+    shuffled once, by keys and chunk, for the join and the window alike. Without keys everything is cut.
     """
-    keys = list(keys)
-    rows = df.withColumn("_chunk", chunk).withColumn("_value", value)
-    by = keys + ["_chunk"]
-    totals = rows.groupBy(*by).agg(F.sum("_value").alias("_total"))
+    keys, by = list(keys), [*keys, "_chunk"]
+    rows = mark_hot(df, keys, hot_rows) if keys else df.withColumn("_hot", F.lit(True))
+    rows = rows.withColumn("_chunk", F.when(F.col("_hot"), chunk)).withColumn("_value", value)
+    totals = rows.where("_hot").groupBy(*by).agg(F.sum("_value").alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    offsets = totals.select(*by, F.sum("_total").over(before).alias("_offset"))
     inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = rows.join(offsets, by)
-    return joined.withColumn(out, F.col("_offset") + F.sum("_value").over(inside)).drop("_chunk", "_value", "_offset")
+    joined = rows.join(offsets, by, "left")
+    summed = F.coalesce("_offset", F.lit(0)) + F.sum("_value").over(inside)
+    return joined.withColumn(out, summed).drop("_hot", "_chunk", "_value", "_offset")
 
 
-def row_rank(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column], out: str) -> DataFrame:
+def row_rank(
+    df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column], out: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Exact row number within `keys` along a total `order`, built on chunk counts."""
-    return running_total(df, keys, chunk, order, F.lit(1), out)
+    return running_total(df, keys, chunk, order, F.lit(1), out, hot_rows)
 
 
 def top_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, spread: Sequence[str], salts: int = 32, out: str | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, salts: int = 64, out: str | None = None
 ) -> DataFrame:
-    """First `k` rows of every key along `order`, exact.
+    """First `k` rows of every key along a total `order`, exact.
 
-    Each key is spread over `salts` parts by a hash of the `spread` columns; every part keeps its own first
-    `k`, then at most `salts * k` rows per key meet in the last step.
+    Each map task already keeps only its own first `k` rows of a key; these meet in `salts` parts per key, and at
+    most `salts * k` rows per key meet in the last step. Which part a row is in cannot change the result.
     """
-    parts = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)))
+    parts = df.withColumn("_salt", F.spark_partition_id() % salts)
     local = Window.partitionBy(*keys, "_salt").orderBy(*order)
     kept = parts.withColumn("_rank", F.row_number().over(local)).where(F.col("_rank") <= k).drop("_salt", "_rank")
     final = Window.partitionBy(*keys).orderBy(*order)

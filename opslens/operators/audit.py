@@ -40,4 +40,4 @@ def render_logfmt(fields: Sequence[str], types: dict[str, str]) -> Column:
 
 def tail(audit: DataFrame, n: int = 200, source: str = "stage") -> DataFrame:
     """Last `n` rows per source."""
-    return top_per_key(audit, [source], [F.desc("ts"), F.desc("event_id")], n, spread=["event_id"], out="back")
+    return top_per_key(audit, [source], [F.desc("ts"), F.desc("event_id")], n, out="back")

@@ -13,25 +13,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opslens.functions.columns import matches_any, one_of
-from opslens.functions.scale import first_per_key, running_total, top_per_key
+from opslens.functions.scale import HOT_ROWS, first_per_key, running_total, top_per_key
 
 ARRIVALS_PER_CHUNK = 65_536
 
 
-def doc_generation(captures: DataFrame, per_chunk: int = ARRIVALS_PER_CHUNK) -> DataFrame:
+def doc_generation(captures: DataFrame, per_chunk: int = ARRIVALS_PER_CHUNK, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds `gen`, the number of page loads of the session so far; sequence numbers restart with each load."""
     chunk = F.floor(F.col("arrival") / per_chunk)
-    return running_total(captures, ["session_id"], chunk, [F.col("arrival")], F.col("is_load").cast("int"), "gen")
+    return running_total(captures, ["session_id"], chunk, [F.col("arrival")], F.col("is_load").cast("int"), "gen", hot_rows)
 
 
-def dedup_captures(captures: DataFrame, per_chunk: int = ARRIVALS_PER_CHUNK) -> DataFrame:
+def dedup_captures(captures: DataFrame, per_chunk: int = ARRIVALS_PER_CHUNK, hot_rows: int = HOT_ROWS) -> DataFrame:
     """First arrival of every (session, generation, seq). Rows without a body go, rows without a seq all stay.
 
     The winners are found on narrow rows by hash aggregation (a row without a seq is a key of its own); bodies
     are shuffled once, for the join by session and arrival, which is unique and therefore even.
     """
     narrow = captures.select("session_id", "arrival", "seq", "is_load", F.col("body").isNotNull().alias("_filled"))
-    keyed = doc_generation(narrow, per_chunk).where("_filled")
+    keyed = doc_generation(narrow, per_chunk, hot_rows).where("_filled")
     numbered = F.col("seq").isNotNull()
     winners = keyed.groupBy("session_id", "gen", numbered.alias("_numbered"), F.coalesce("seq", "arrival").alias("_key")).agg(
         F.min("arrival").alias("arrival")
@@ -52,7 +52,7 @@ def bucket_first_match(captures: DataFrame, patterns: Sequence[str]) -> DataFram
 
 def cap_per_bucket(bucketed: DataFrame, n: int, keys: Sequence[str] = ("session_id",)) -> DataFrame:
     """First `n` rows of every bucket by arrival; what overflows is not offered to later patterns."""
-    return top_per_key(bucketed, [*keys, "pattern"], [F.col("arrival")], n, spread=["arrival"], out="rn")
+    return top_per_key(bucketed, [*keys, "pattern"], [F.col("arrival")], n, out="rn")
 
 
 def captures_in_window(captures: DataFrame, jobs: DataFrame, seconds: int) -> DataFrame:

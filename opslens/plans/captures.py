@@ -229,10 +229,11 @@ def h02(spark, sf_dir):
     return au.audit_counts(audit(spark, sf_dir))
 
 
-@query("h03_audit_coverage", AU, """f AS (SELECT project_ref, bool_or(stage = 'parser') AS has_parser, bool_or(stage = 'brain') AS has_brain, bool_or(stage = 'orchestrator') AS has_orchestrator
- FROM audit WHERE event_id % 6 < 2 GROUP BY project_ref) SELECT *, has_parser AND has_brain AND has_orchestrator AS complete FROM f""")
+@query("h03_audit_coverage", AU, """f AS (SELECT project_ref || '-' || CAST(event_id % 7 AS VARCHAR) AS decision, bool_or(stage = 'parser') AS has_parser, bool_or(stage = 'brain') AS has_brain, bool_or(stage = 'orchestrator') AS has_orchestrator
+ FROM audit GROUP BY 1) SELECT *, has_parser AND has_brain AND has_orchestrator AS complete FROM f""")
 def h03(spark, sf_dir):
-    return au.audit_coverage(audit(spark, sf_dir).where(F.col("event_id") % 6 < 2))
+    decision = F.concat("project_ref", F.lit("-"), (F.col("event_id") % 7).cast("string"))
+    return au.audit_coverage(audit(spark, sf_dir).withColumn("decision", decision), key="decision")
 
 
 @query("h04_render_logfmt", AU, """SELECT event_id, concat_ws(' ', 'stage=' || stage, 'action=' || action, 'ok=' || CAST(ok AS VARCHAR), CASE WHEN event_id % 3 = 0 THEN 'detail="' || detail || ' tokens"' WHEN event_id % 3 = 1 THEN 'detail=' || detail END,

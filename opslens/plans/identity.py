@@ -188,7 +188,7 @@ MILES = """blocks AS (SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS name F
  CASE event_type WHEN 'HIC Executed' THEN 11 WHEN 'Install Date' THEN 12 WHEN 'Job Scheduled' THEN 13 WHEN 'Deposit Invoice Paid' THEN 14 END AS st FROM upd),
  hit AS (SELECT m.*, u.id AS block_id FROM mapped m LEFT JOIN uniq u ON lower(trim(m.block)) = u.k),
  want AS (SELECT project_id, block_id, last(st ORDER BY ts, seq) AS new_status FROM hit WHERE block_id IS NOT NULL GROUP BY 1, 2),
- target AS (SELECT o_orderkey AS project_id, o_orderkey % 5 AS block_id, 1 AS status_id FROM orders WHERE o_orderkey % 3 = 0)"""
+ target AS (SELECT o_orderkey AS project_id, o_orderkey % 5 AS block_id, 1 AS status_id FROM orders)"""
 
 
 def milestones(spark, sf_dir):
@@ -203,7 +203,7 @@ def milestones(spark, sf_dir):
         .when(kind == "signup", "Job Completed").otherwise("Deposit Invoice Paid")
     )
     updates = table(spark, sf_dir, "events").select((F.col("event_id") % 4000).alias("project_id"), "ts", F.col("event_id").alias("seq"), label.alias("event_type"))
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 3 == 0)
+    orders = table(spark, sf_dir, "orders")
     target = orders.select(F.col("o_orderkey").alias("project_id"), (F.col("o_orderkey") % 5).alias("block_id"), F.lit(1).alias("status_id"))
     stages = {"HIC Executed": ("asia", 11), "Install Date": ("EUROPE ", 12), "Job Scheduled": ("AFRICA", 13), "Deposit Invoice Paid": ("DUP", 14)}
     return i.upsert_milestone(target, updates, stages, blocks)

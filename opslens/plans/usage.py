@@ -202,9 +202,9 @@ def u17(spark, sf_dir):
     )
 
 
-@query("u18_account_usage_other", ("api_bodies",), """f AS (SELECT body_id, body,
+@query("u18_account_usage_other", ("api_bodies",), BUCKETS + """, f AS (SELECT body_id, body,
  coalesce(nullif(CAST(body->>'$.input_tokens' AS BIGINT), 0), nullif(CAST(body->>'$.uncached_input_tokens' AS BIGINT), 0), 0) AS inp,
- coalesce(CAST(body->>'$.output_tokens' AS BIGINT), 0) AS outp, CAST(body->>'$.five_hour.utilization' AS DOUBLE) AS five FROM api_bodies WHERE body_id % 5 > 1)
+ coalesce(CAST(body->>'$.output_tokens' AS BIGINT), 0) AS outp, CAST(body->>'$.five_hour.utilization' AS DOUBLE) AS five FROM api_bodies WHERE body_id NOT IN (SELECT body_id FROM a))
  SELECT body_id, CASE WHEN inp + outp > 0 THEN 'flat' WHEN five IS NOT NULL THEN 'utilization' END AS format,
  CASE WHEN inp + outp > 0 THEN inp END AS input, CASE WHEN inp + outp > 0 THEN outp END AS output,
  CASE WHEN inp + outp > 0 THEN inp + outp WHEN five IS NOT NULL THEN 0 END AS total, CASE WHEN inp + outp = 0 THEN five END AS five_hour_utilization,

@@ -27,8 +27,8 @@ def captured():
     ]
 
 
-@pytest.mark.parametrize("chunk", [1, 10, 100_000])
-def test_dedup_against_a_loop(spark, captured, chunk):
+@pytest.mark.parametrize("chunk, hot_rows", [(1, 0), (10, 100), (100_000, 1000)])
+def test_dedup_against_a_loop(spark, captured, chunk, hot_rows):
     gens, seen, want = {}, set(), []
     for session, arrival, _, seq, is_load, _, body in captured:
         gens[session] = gens.get(session, 0) + is_load
@@ -38,7 +38,7 @@ def test_dedup_against_a_loop(spark, captured, chunk):
         seen.add(key)
         want.append((*key, arrival))
     df = spark.createDataFrame(captured, CAPTURE).repartition(4)
-    got = [(r.session_id, r.gen, r.seq, r.arrival) for r in c.dedup_captures(df, chunk).collect()]
+    got = [(r.session_id, r.gen, r.seq, r.arrival) for r in c.dedup_captures(df, chunk, hot_rows).collect()]
     assert sorted(got, key=lambda r: r[3]) == sorted(want, key=lambda r: r[3])
 
 

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from opslens.functions.scale import first_per_key, last_per_key, row_rank, running_total, top_per_key
+from opslens.functions.scale import first_per_key, last_per_key, mark_hot, row_rank, running_total, top_per_key
 
 
 @pytest.fixture(scope="module")
@@ -22,9 +22,10 @@ def df(spark, rows):
     return spark.createDataFrame(rows, "k STRING, i INT, v INT").repartition(5)
 
 
-@pytest.mark.parametrize("size", [1, 7, 100, 5000])
-def test_running_total(df, rows, size):
-    got = {(r.k, r.i): r.t for r in running_total(df, ["k"], F.floor(F.col("i") / size), [F.col("i")], F.col("v"), "t").collect()}
+@pytest.mark.parametrize("hot_rows", [0, 200, 10_000])
+@pytest.mark.parametrize("size", [1, 7, 5000])
+def test_running_total(df, rows, size, hot_rows):
+    got = {(r.k, r.i): r.t for r in running_total(df, ["k"], F.floor(F.col("i") / size), [F.col("i")], F.col("v"), "t", hot_rows).collect()}
     sums, want = {}, {}
     for k, i, v in rows:
         sums[k] = sums.get(k, 0) + v
@@ -42,7 +43,7 @@ def test_running_total_without_keys(df, rows):
 
 
 def test_row_rank(df, rows):
-    got = {(r.k, r.i): r.n for r in row_rank(df, ["k"], F.floor(F.col("i") / 50), [F.col("i")], "n").collect()}
+    got = {(r.k, r.i): r.n for r in row_rank(df, ["k"], F.floor(F.col("i") / 50), [F.col("i")], "n", hot_rows=200).collect()}
     seen, want = {}, {}
     for k, i, _ in rows:
         seen[k] = seen.get(k, 0) + 1
@@ -52,7 +53,7 @@ def test_row_rank(df, rows):
 
 @pytest.mark.parametrize("k", [1, 3, 450])
 def test_top_per_key(df, rows, k):
-    got = sorted((r.k, r.i, r.n) for r in top_per_key(df, ["k"], [F.desc("v"), F.col("i")], k, spread=["i"], salts=4, out="n").collect())
+    got = sorted((r.k, r.i, r.n) for r in top_per_key(df, ["k"], [F.desc("v"), F.col("i")], k, salts=4, out="n").collect())
     want = []
     for key in {r[0] for r in rows}:
         group = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[2], r[1]))
@@ -60,6 +61,11 @@ def test_top_per_key(df, rows, k):
     assert got == sorted(want)
 
 
+def test_only_hot_keys_are_marked(df):
+    hot = mark_hot(df, ["k"], hot_rows=200).where("_hot").select("k").distinct().collect()
+    assert [r.k for r in hot] == ["hot"]
+
+
 def test_first_and_last(df, rows):
     first = {r.k: r.i for r in first_per_key(df, ["k"], ["v", "i"], ["i"]).collect()}
     last = {r.k: r.i for r in last_per_key(df, ["k"], ["v", "i"], ["i"]).collect()}
