@@ -134,8 +134,8 @@ def written_logs(spark, sf_dir, broken=False):
     line = F.to_json(F.struct("timestamp", "cwd", "message"))
     if broken:
         line = F.when(F.col("turn_id") % 97 == 0, '{"timestamp": broken').when(F.col("turn_id") % 89 == 0, "  ").otherwise(line)
-    rows = nested_logs(spark, sf_dir).select("project", line.alias("value"))
-    rows.repartition("project").write.partitionBy("project").text(path)
+    rows = nested_logs(spark, sf_dir).select("project", "turn_id", line.alias("value"))
+    rows.repartition("project").sortWithinPartitions("project", "turn_id").drop("turn_id").write.partitionBy("project").text(path)
     return logs.read_session_logs(spark, path, "*.txt")
 
 
@@ -152,7 +152,8 @@ def s02(spark, sf_dir):
     return kinds.groupBy("kind", "project").agg(F.count("*").alias("lines"))
 
 
-@query("s02_stop_at_first_bad")
+@query("s02_stop_at_first_bad", ("usage_turns",), """f AS (SELECT project, min(turn_id) AS b FROM usage_turns WHERE turn_id % 97 = 0 GROUP BY project)
+ SELECT project, count(*) AS lines FROM usage_turns LEFT JOIN f USING (project) WHERE (b IS NULL OR turn_id < b) AND turn_id % 89 <> 0 GROUP BY project""")
 def s02_strict(spark, sf_dir):
     kept, _ = logs.quarantine_bad_lines(written_logs(spark, sf_dir, broken=True), "stop_at_first_bad")
     return kept.groupBy("project").agg(F.count("*").alias("lines"))

@@ -142,9 +142,13 @@ def m11(spark, sf_dir):
     return events(spark, sf_dir).select("message_id", "parse_complete", F.array_join("notes", "; ").alias("notes"))
 
 
-@query("m12_forward_digest", M)
+@query("m12_forward_digest", M, PARSED + """ SELECT message_id, 'This message was escalated for review.' || chr(10) || chr(10) || 'Event type: ' || event_type || chr(10) || 'Reason: needs a person' AS head,
+ 'From: ' || sender || chr(10) || 'Date: ' || CAST(sent_s AS VARCHAR) || chr(10) || 'Subject: ' || subject || chr(10) || chr(10) || body_text AS tail FROM parsed""")
 def m12(spark, sf_dir):
     source = mails(spark, sf_dir)
     event_type = m.classify_event(F.col("sender"), F.col("subject"))
     record = F.struct(F.struct("message_id", event_type.alias("event_type")).alias("event"))
-    return m.forward_digest(source, record, F.lit("needs a person"), event_type, "This message was escalated for review.")
+    digests = m.forward_digest(source, record, F.lit("needs a person"), event_type, "This message was escalated for review.")
+    head = F.regexp_extract("digest", r"(?s)^(.*?)\n\n\{\n", 1)
+    tail = F.regexp_extract("digest", r"(?s)\n\}\n\n(From: .*)$", 1)
+    return digests.select("message_id", head.alias("head"), tail.alias("tail"))

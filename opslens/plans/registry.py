@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,10 +14,18 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, uses: tuple[str, ...] = (), sql: str | None = None, recursive: bool = False):
-    """Register a query. `uses` names derived views put in front of `sql` as common table expressions."""
+    """Register a query. `uses` names derived views put in front of `sql` as common table expressions.
+
+    The tables hold UTC wall-clock times, so every query runs with the session in UTC.
+    """
 
     def add(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_views(uses, sql, recursive)
         return fn
