@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from opslens.operators import assess as a
 from opslens.plans.registry import query
 from opslens.plans.views import table, view
+from opslens.session import materialize
 
 CRITERIA = (
     a.Criterion("has meter", "llm", 4.0),
@@ -163,8 +164,10 @@ def pairs(spark, sf_dir):
     return weighted.withColumn("weight", (F.col("example_id") % 5) / F.lit(4.0))
 
 
-def example_scores(spark, sf_dir):
-    return skipped(spark, sf_dir).select(F.col("item_id").alias("example_id"), "criterion", "score")
+def scores_twice(spark, sf_dir):
+    """Final scores of the items and the same rows as examples, computed once and written."""
+    scores = materialize(skipped(spark, sf_dir), "scores")
+    return scores, scores.select(F.col("item_id").alias("example_id"), "criterion", "score")
 
 
 SIMILAR = WEIGHTED + """, pairs AS (SELECT DISTINCT o_orderkey AS item_id, unnest([o_orderkey - o_orderkey % 8, o_orderkey - o_orderkey % 64 + 3]) AS example_id FROM orders),
@@ -178,12 +181,12 @@ VERDICT = "CASE WHEN trunc({c}) >= 7 THEN 'PASS' WHEN trunc({c}) >= 4 THEN 'MARG
 
 @query("a12_similarity", S, SIMILAR + " SELECT item_id, example_id, common, overall_similarity, similarity_score FROM sim", recursive=True)
 def a12(spark, sf_dir):
-    return a.similarity(pairs(spark, sf_dir), skipped(spark, sf_dir), example_scores(spark, sf_dir)).drop("weight")
+    return a.similarity(pairs(spark, sf_dir), *scores_twice(spark, sf_dir)).drop("weight")
 
 
 def blended(spark, sf_dir):
-    scores = skipped(spark, sf_dir)
-    compared = a.similarity(pairs(spark, sf_dir), scores, example_scores(spark, sf_dir))
+    scores, examples = scores_twice(spark, sf_dir)
+    compared = a.similarity(pairs(spark, sf_dir), scores, examples)
     overall = a.weighted_score(scores, CRITERIA).select("item_id", "overall_score")
     return a.blend(compared.join(overall, "item_id"))
 
