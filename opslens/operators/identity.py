@@ -36,7 +36,11 @@ def with_identity(events: DataFrame) -> DataFrame:
 
 
 def group_in_order(events: DataFrame, seconds_per_chunk: int = 3600) -> DataFrame:
-    """Position of every event within its identity by time; events without a time come first."""
+    """Position of every event within its identity by time; events without a time come first.
+
+    The events are read once for the counts of hot identities and once for the ranks: hand over a written table
+    where they are costly to compute.
+    """
     time = F.coalesce("sent_s", F.lit(-1))
     order = [time, F.col("message_id")]
     return row_rank(events, ["identity"], F.floor(time / seconds_per_chunk), order, "position")

@@ -61,7 +61,8 @@ def i01(spark, sf_dir):
 
 @query("i02_group_in_order", ("messages",), EV + """ SELECT message_id, identity, row_number() OVER (PARTITION BY identity ORDER BY sent_s, message_id) AS position FROM ev""")
 def i02(spark, sf_dir):
-    return i.group_in_order(events(spark, sf_dir)).select("message_id", "identity", "position")
+    written = materialize(events(spark, sf_dir).select("message_id", "identity", "sent_s"), "events")
+    return i.group_in_order(written).select("message_id", "identity", "position")
 
 
 @query("i03_group_sizes", ("messages",), EV + """, sizes AS (SELECT identity, count(*) AS events FROM ev GROUP BY identity)

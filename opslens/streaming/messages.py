@@ -65,14 +65,15 @@ def stream_ordered_groups(events: DataFrame, positions: BatchTable, checkpoint:
     """Position of every event within its identity: time order inside a batch, behind all earlier batches."""
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        ranked = row_rank(
-            batch.select("identity", "message_id", "sent_s"), ["identity"], F.floor(F.col("sent_s") / seconds_per_chunk),
-            [F.col("sent_s"), F.col("message_id")], "rank",
-        )
-        done = positions.read(before=batch_id).groupBy("identity").agg(F.max("position").alias("done"))
-        placed = ranked.join(done, "identity", "left")
-        positions.write(
-            placed.select("identity", "message_id", "sent_s", (F.col("rank") + F.coalesce("done", F.lit(0))).alias("position")), batch_id
-        )
+        rows = batch.select("identity", "message_id", "sent_s").persist()
+        try:
+            chunk = F.floor(F.col("sent_s") / seconds_per_chunk)
+            ranked = row_rank(rows, ["identity"], chunk, [F.col("sent_s"), F.col("message_id")], "rank")
+            done = positions.read(before=batch_id).groupBy("identity").agg(F.max("position").alias("done"))
+            position = F.col("rank") + F.coalesce("done", F.lit(0))
+            placed = ranked.join(done, "identity", "left").withColumn("position", position)
+            positions.write(placed.select("identity", "message_id", "sent_s", "position"), batch_id)
+        finally:
+            rows.unpersist()
 
     run_to_end(events.writeStream.foreachBatch(one_batch), checkpoint)
