@@ -123,16 +123,14 @@ def grams(symbols: np.ndarray, k: int) -> np.ndarray:
     n = len(symbols) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    step = np.uint64(BASE)
-    total, width, weight = None, 0, np.uint64(1)
-    power, size, base = symbols, 1, step  # power: hash of `size` symbols at each place
+    total, width = None, 0
+    power, size = symbols, 1  # power: hash of `size` symbols at each place
     rest = k
     while rest:
         if rest & 1:
-            part = power[width : width + n]
-            total = part * weight if total is None else total + part * weight
+            part = power[width : width + n] * _pow(width)
+            total = part if total is None else total + part
             width += size
-            weight = weight * base if size == 1 else weight * _pow(size)
         rest >>= 1
         if rest:
             power = power[:-size] + power[size:] * _pow(size)
