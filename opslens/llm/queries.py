@@ -12,6 +12,7 @@ from opslens.llm.exact_dedup import exact_groups
 from opslens.llm.packing import pack
 from opslens.llm.quality import classify
 from opslens.llm.rules import judge_quality
+from opslens.llm.suffix_dedup import remove_repeats
 from opslens.llm.url_filters import judge_urls
 from opslens.llm.warc import archive_pages
 
@@ -96,3 +97,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_word_table_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_suffix_array_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
