@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opslens.llm.bpe import encode_decode
 from opslens.llm.exact_dedup import exact_groups
+from opslens.llm.fm_dedup import remove_word_repeats
 from opslens.llm.packing import pack
 from opslens.llm.quality import classify
 from opslens.llm.rules import judge_quality
@@ -102,3 +103,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_suffix_array_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op9_fm_index_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_word_repeats(table(spark, sf_dir, "documents"))
