@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from opslens.llm.exact_dedup import drop_exact_copies
+from opslens.llm.fm_dedup import strip_word_repeats
+from opslens.llm.odd_minhash import drop_near_copies
+from opslens.llm.packing import pack
 from opslens.llm.quality import drop_rejected
 from opslens.session import materialize
 
@@ -19,9 +23,27 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_copies(docs)
 
 
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that hang together by a similarity of 0.8 in five-word shingles the smallest id stays."""
+    return drop_near_copies(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that a smaller id also has are taken out; a document without any other words goes."""
+    return strip_word_repeats(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, cut and packed into training sequences."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("quality_classifier", quality_classifier),
     ("exact_dedup", exact_dedup),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("packing", packing),
 ]
 
 # the fitted classifier cannot be said in SQL; tests hold the stages against brute force

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from opslens.llm.bpe import encode_decode
 from opslens.llm.exact_dedup import exact_groups
 from opslens.llm.fm_dedup import remove_word_repeats
+from opslens.llm.odd_minhash import near_classes
 from opslens.llm.packing import pack
 from opslens.llm.quality import classify
 from opslens.llm.rules import judge_quality
@@ -108,3 +109,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_fm_index_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_word_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op10_odd_minhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
