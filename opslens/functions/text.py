@@ -34,7 +34,8 @@ def unescape(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without outer white space of any script, no-break spaces included."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def html_to_text(source: Column, entities: bool = True) -> Column:

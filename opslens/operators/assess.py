@@ -173,6 +173,7 @@ def default_measures() -> dict[str, Column]:
     sharpness = F.least(F.lit(10), _whole(10 * F.least(m / (BLUR_LIMIT * 3), F.lit(1.0))))
     kinds = {"sharpness": _plain(sharpness, m >= BLUR_LIMIT), "exposure": _plain(exposure, in_range)}
     kinds.update({kind: _coverage(kind, m) for kind in BANDS})
+    kinds["faces"] = face_score(m, F.col("measure_low"))
     return kinds
 
 
@@ -196,10 +197,10 @@ class MeasureRegistry:
         self.aliases.update({a.strip().lower(): kind for a in aliases})
 
     def score(self, measures: DataFrame) -> DataFrame:
-        """Scores every measure whose kind is registered."""
+        """Every measure with `score, verdict, confidence`; null for kinds that nobody registered."""
+        low = measures if "measure_low" in measures.columns else measures.withColumn("measure_low", F.lit(None).cast("double"))
         rules = [(F.col("kind") == kind, expression) for kind, expression in self.kinds.items()]
-        scored = measures.withColumn("_s", one_of(rules))
-        return scored.where(F.col("_s").isNotNull()).select(*measures.columns, "_s.*")
+        return low.withColumn("_s", one_of(rules)).select(*measures.columns, "_s.*")
 
 
 def score_measure(measures: DataFrame) -> DataFrame:
@@ -287,26 +288,39 @@ def weighted_parts(scores: DataFrame, criteria: Sequence[Criterion]) -> DataFram
     return used.withColumn("contribution", round_binary(F.col("score") * F.col("weight"), 4))
 
 
-def weighted_score(scores: DataFrame, criteria: Sequence[Criterion]) -> DataFrame:
-    """Weighted mean per item, rounded half to even and kept within 1 to 10; items without a match have no row."""
+def weighted_score(scores: DataFrame, criteria: Sequence[Criterion], prior: DataFrame | None = None) -> DataFrame:
+    """Weighted mean per item, rounded half to even and kept within 1 to 10, with the part of every criterion.
+
+    `prior` has `item_id, overall_score, overall_verdict` of all items: those without a matched criterion keep these
+    and have no breakdown. Without it they have no row. The breakdown is never longer than the list of criteria.
+    """
     parts = weighted_parts(scores, criteria)
+    breakdown = F.sort_array(F.collect_list(F.struct("criterion", "score", "weight", "contribution")))
     sums = parts.groupBy("item_id").agg(
-        F.sum(F.col("score") * F.col("weight")).alias("_sum"), F.sum("weight").alias("_weight")
+        F.sum(F.col("score") * F.col("weight")).alias("_sum"), F.sum("weight").alias("_weight"), breakdown.alias("per_criterion")
     )
     mean = F.col("_sum") / F.col("_weight")
     final = clamp(round_binary(mean, 0), 1.0, 10.0).cast("int")
-    return sums.where(F.col("_weight") != 0).select(
+    weighted = sums.where(F.col("_weight") != 0).select(
         "item_id",
         final.alias("overall_score"),
         verdict(final).alias("overall_verdict"),
         round_binary(F.col("_weight"), 4).alias("total_weight"),
         round_binary(F.col("_sum"), 4).alias("weighted_sum"),
         round_binary(mean, 4).alias("unrounded_average"),
+        "per_criterion",
     )
+    if prior is None:
+        return weighted
+    kept = prior.select("item_id", F.col("overall_score").alias("_score"), F.col("overall_verdict").alias("_verdict"))
+    joined = kept.join(weighted, "item_id", "left")
+    unchanged = {"overall_score": F.coalesce("overall_score", "_score"), "overall_verdict": F.coalesce("overall_verdict", "_verdict")}
+    return joined.withColumns(unchanged).drop("_score", "_verdict")
 
 
 def detector_overall(scored: DataFrame) -> DataFrame:
     """Overall verdict of the detector rows by number of failures, and their mean score."""
+    scored = scored.where(F.col("score").isNotNull())
     fails = F.count_if(F.col("verdict") == "FAIL")
     overall = one_of([(fails >= 2, "FAIL"), (fails == 1, "MARGINAL")], "PASS")
     mean = F.coalesce(round_binary(F.avg("score"), 0).cast("int"), F.lit(5))
@@ -316,30 +330,43 @@ def detector_overall(scored: DataFrame) -> DataFrame:
 def merge_methods(detected: DataFrame, modelled: DataFrame) -> DataFrame:
     """Rows of both methods; where both scored a criterion the model's row stays."""
     columns = ("item_id", "criterion", "score", "confidence", "verdict")
-    both = detected.select(*columns, F.lit("detector").alias("method"), F.lit(1).alias("_rank")).unionByName(
+    both = detected.where(F.col("score").isNotNull()).select(*columns, F.lit("detector").alias("method"), F.lit(1).alias("_rank")).unionByName(
         modelled.select(*columns, F.lit("model").alias("method"), F.lit(0).alias("_rank"))
     )
     return first_per_key(both, ["item_id", "criterion"], ["_rank"], ["score", "confidence", "verdict", "method"])
 
 
 def similarity(pairs: DataFrame, scores: DataFrame, example_scores: DataFrame) -> DataFrame:
-    """Similarity of items to examples over their common criteria; neutral where they share none.
+    """Similarity of items to examples over their common criteria, with the part of each; neutral where they share none.
 
     `pairs` has `item_id, example_id`; scores are `item_id, criterion, score` and `example_id, criterion, score`.
     """
-    mine = scores.where(F.col("score").isNotNull()).select("item_id", "criterion", F.col("score").alias("_mine"))
-    theirs = example_scores.where(F.col("score").isNotNull()).select("example_id", "criterion", F.col("score").alias("_theirs"))
-    one = round_binary(1.0 - F.abs(F.col("_theirs") - F.col("_mine")) / 9.0, 3)
-    common = (
-        pairs.select("item_id", "example_id").join(mine, "item_id").join(theirs, ["example_id", "criterion"])
-        .groupBy("item_id", "example_id").agg(exact_mean(one, 3).alias("_mean"), F.count("*").alias("common"))
-    )
-    joined = pairs.join(common, ["item_id", "example_id"], "left")
-    return joined.select(
+
+    def by_criterion(rows: DataFrame, key: str, out: str) -> DataFrame:
+        entries = F.collect_list(F.struct("criterion", "score"))
+        return rows.where(F.col("score").isNotNull()).groupBy(key).agg(F.map_from_entries(entries).alias(out))
+
+    mine, theirs = by_criterion(scores, "item_id", "_mine"), by_criterion(example_scores, "example_id", "_theirs")
+    # one row per item and per example: a pair is compared inside its row, without a shuffle of criteria
+    joined = pairs.join(mine, "item_id", "left").join(theirs, "example_id", "left")
+    shared = F.array_sort(F.array_intersect(F.map_keys("_mine"), F.map_keys("_theirs")))
+
+    def compare(name: Column) -> Column:
+        ours, example = F.col("_mine")[name], F.col("_theirs")[name]
+        alike = round_binary(1.0 - F.abs(example - ours) / 9.0, 3)
+        return F.struct(name.alias("criterion"), example.alias("example_score"), ours.alias("input_score"), alike.alias("similarity"))
+
+    rows = joined.withColumn("per_criterion", F.coalesce(F.transform(shared, compare), F.array()))
+    rows = rows.withColumn("common", F.size("per_criterion").cast("bigint"))
+    # thousandths are whole, so their order cannot change the mean
+    thousandths = F.aggregate("per_criterion", F.lit(0).cast("bigint"), lambda s, c: s + F.round(c["similarity"] * 1000).cast("bigint"))
+    mean = F.when(F.col("common") > 0, thousandths / F.lit(1000.0) / F.col("common"))
+    return rows.withColumn("_mean", mean).select(
         *pairs.columns,
-        F.coalesce("common", F.lit(0)).alias("common"),
+        "common",
         F.coalesce(round_binary(F.col("_mean"), 3), F.lit(0.5)).alias("overall_similarity"),
         F.coalesce(round_binary(F.col("_mean") * 10, 1), F.lit(5.0)).alias("similarity_score"),
+        "per_criterion",
     )
 
 

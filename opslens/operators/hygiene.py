@@ -28,6 +28,10 @@ def ipv4_number(address: Column) -> Column:
     return number
 
 
+def is_ipv4(address: Column) -> Column:
+    return F.forall(F.split(address, r"\."), lambda octet: octet.try_cast("int") <= 255)
+
+
 def is_blocked_v4(address: Column) -> Column:
     number, hit = ipv4_number(address), F.lit(False)
     for block in BLOCKED_V4:
@@ -63,6 +67,8 @@ def screen_urls(urls: DataFrame, hosts: DataFrame) -> DataFrame:
     rows = urls.withColumns({"scheme": scheme, "host": host}).join(hosts, "host", "left")
     literal = F.col("host").rlike(IPV4) | F.col("host").contains(":")
     rows = rows.withColumn("address", F.when(literal, F.col("host")).otherwise(F.col("address")))
+    # what only looks like an address is none: screening fails closed
+    rows = rows.withColumn("address", F.when(~F.col("address").rlike(IPV4) | is_ipv4(F.col("address")), F.col("address")))
     blocked_v6 = _blocked_v6(F.when(F.col("address").contains(":"), F.col("address")))
     blocked = F.coalesce(F.when(F.col("address").contains(":"), blocked_v6).otherwise(is_blocked_v4(F.col("address"))), F.lit(False))
     outcome = one_of(

@@ -42,7 +42,7 @@ TYPE_HEADS = (
     "new project", "new ", "estimate", "install", "hic", "deposit", "job", "send", "select", "submit", "sign",
 )
 # Patterns of names with addresses, comments and mentions.
-NAME_ADDRESS = r"([A-Za-z.'\- ]+?)\s+-\s+(\d[^\n\"\[\]]+)"
+NAME_ADDRESS = r"(?U)([A-Za-z.'\- ]+?)\s+-\s+(\d[^\n\"\[\]]+)"
 SUFFIX = r"\(([^)]+)\)\s*$"
 QUOTED = r"(?s)\"(.+?)\""
 MENTION = r"@([A-Za-z][A-Za-z0-9_]+)"
@@ -73,10 +73,16 @@ _PART = T.StructType().add("ord", "integer").add("mime", "string").add("filename
 
 @F.pandas_udf(T.ArrayType(_PART))
 def _part_list(payloads: pd.Series) -> pd.Series:
-    """Parts of one MIME tree in depth-first order; the first entry is the tree's root."""
+    """Parts of one MIME tree in depth-first order; the first entry is the tree's root. Null for what is no such tree."""
 
-    def walk(text: str) -> list[dict]:
-        stack, found = [json.loads(text)], []
+    def walk(text: str) -> list[dict] | None:
+        try:
+            return parts(json.loads(text))
+        except (ValueError, AttributeError, TypeError, RecursionError):
+            return None
+
+    def parts(tree: dict) -> list[dict]:
+        stack, found = [tree], []
         while stack:
             part = stack.pop()
             found.append({
@@ -92,8 +98,10 @@ def _part_list(payloads: pd.Series) -> pd.Series:
 
 
 def mime_parts(mails: DataFrame, payload: str = "payload") -> DataFrame:
-    """Mails with a `parts` array; depth is not limited."""
-    return mails.withColumn("parts", _part_list(payload)).drop(payload)
+    """Mails with a `parts` array of any depth, and `parts_error` where the body is no MIME tree."""
+    rows = mails.withColumn("parts", _part_list(payload))
+    broken = F.when(F.col("parts").isNull() & F.col(payload).isNotNull(), "malformed body")
+    return rows.withColumn("parts_error", broken).drop(payload)
 
 
 def mime_bodies(mails: DataFrame) -> DataFrame:
@@ -136,7 +144,7 @@ def _without_type_head(subject: Column, event_type: Column) -> Column:
     cut = F.locate(" - ", subject)
     head = F.lower(F.substring(subject, F.lit(1), cut - 1))
     kind = F.lower(event_type)
-    belongs = head.contains(kind) | kind.contains(head)
+    belongs = (kind != "") & (head.contains(kind) | kind.contains(head))
     for word in TYPE_HEADS:
         belongs = belongs | head.startswith(word)
     return F.when((cut > 0) & belongs, F.substring(subject, cut + 3, F.length(subject))).otherwise(subject)

@@ -10,25 +10,26 @@ from opslens.plans.views import table, view
 from opslens.session import materialize
 
 CRITERIA = (
-    a.Criterion("has meter", "llm", 4.0),
-    a.Criterion("meter readable", "llm", 3.0, depends_on="has meter"),
-    a.Criterion("clearance", "llm", 2.5, depends_on="meter readable"),
-    a.Criterion("sharpness", "cv", 1.0),
-    a.Criterion("proper exposure", "cv", 1.0),
-    a.Criterion("has sky", "cv", 2.0),
+    a.Criterion("aisle free", "llm", 1.5),
+    a.Criterion("shelf labelled", "llm", 2.25, depends_on="aisle free"),
+    a.Criterion("label legible", "llm", 3.5, depends_on="shelf labelled"),
+    a.Criterion("has sky", "cv", 0.5),
+    a.Criterion("proper exposure", "cv", 1.25),
+    a.Criterion("sharpness", "cv", 0.75),
 )
 NAMES = [c.name for c in CRITERIA]
 S = ("scores",)
-CLEAN = """crit AS (SELECT * FROM (VALUES ('has meter', 4.0::DOUBLE, NULL), ('meter readable', 3.0, 'has meter'), ('clearance', 2.5, 'meter readable'), ('sharpness', 1.0, NULL), ('proper exposure', 1.0, NULL), ('has sky', 2.0, NULL)) c(name, weight, depends_on)),
+CLEAN = """crit AS (SELECT * FROM (VALUES ('aisle free', 1.5::DOUBLE, NULL), ('shelf labelled', 2.25, 'aisle free'), ('label legible', 3.5, 'shelf labelled'), ('has sky', 0.5, NULL), ('proper exposure', 1.25, NULL), ('sharpness', 0.75, NULL)) c(name, weight, depends_on)),
 clean AS (SELECT item_id, coalesce(name, returned_key) AS criterion, crit_no, least(greatest(coalesce(CASE WHEN regexp_matches(raw_score, '^-?[0-9]+$') THEN CAST(raw_score AS INTEGER) END, 5), 1), 10) AS score,
- least(greatest(coalesce(raw_confidence, 50), 0), 100) AS confidence FROM scores LEFT JOIN crit ON lower(trim(returned_key)) = name),
+ least(greatest(coalesce(raw_confidence, 50), 0), 100) AS confidence FROM scores LEFT JOIN crit ON CASE lower(trim(returned_key)) WHEN 'aisle fre' THEN 'aisle free' WHEN 'has skyy' THEN 'has sky' ELSE lower(trim(returned_key)) END = name),
 judged AS (SELECT *, CASE WHEN score >= 7 THEN 'PASS' WHEN score >= 4 THEN 'MARGINAL' ELSE 'FAIL' END AS verdict FROM clean)"""
 SKIP = CLEAN + """, up(name, ancestor, depth) AS (SELECT name, depends_on, 1 FROM crit WHERE depends_on IS NOT NULL UNION ALL SELECT u.name, c.depends_on, depth + 1 FROM up u JOIN crit c ON c.name = u.ancestor WHERE c.depends_on IS NOT NULL AND depth < 6),
 skips AS (SELECT DISTINCT j.item_id, j.criterion FROM judged j JOIN up ON up.name = j.criterion LEFT JOIN judged d ON d.item_id = j.item_id AND d.criterion = up.ancestor WHERE coalesce(d.verdict, 'FAIL') <> 'PASS'),
 final AS (SELECT j.item_id, j.criterion, CASE WHEN s.item_id IS NULL THEN j.score END AS score, CASE WHEN s.item_id IS NULL THEN j.confidence END AS confidence, CASE WHEN s.item_id IS NULL THEN j.verdict ELSE 'SKIPPED' END AS verdict
  FROM judged j LEFT JOIN skips s ON s.item_id = j.item_id AND s.criterion = j.criterion)"""
 WEIGHTED = SKIP + """, w AS (SELECT item_id, sum(score * weight) AS ws, sum(weight) AS tw FROM final JOIN crit ON name = criterion WHERE verdict <> 'SKIPPED' GROUP BY item_id),
-overall AS (SELECT item_id, CAST(least(greatest(round_even(CAST(ws / tw AS DOUBLE), 0), 1), 10) AS INTEGER) AS overall_score, ws, tw FROM w)"""
+prior AS (SELECT DISTINCT item_id, CAST(item_id % 10 + 1 AS INTEGER) AS prior_score FROM scores),
+overall AS (SELECT item_id, CASE WHEN tw IS NULL THEN prior_score ELSE CAST(least(greatest(round_even(CAST(ws / tw AS DOUBLE), 0), 1), 10) AS INTEGER) END AS overall_score, ws, tw FROM prior LEFT JOIN w USING (item_id))"""
 
 
 def raw_scores(spark, sf_dir):
@@ -43,6 +44,14 @@ def skipped(spark, sf_dir):
     return a.skip_dependents(clean(spark, sf_dir), CRITERIA)
 
 
+def weighted(spark, sf_dir, scores, items=None):
+    """Every item, by default every scored one; those that match no criterion keep the score they came with."""
+    came_with = (F.col("item_id") % 10 + 1).cast("int")
+    items = raw_scores(spark, sf_dir) if items is None else items
+    prior = items.select("item_id").distinct().select("item_id", came_with.alias("overall_score"), a.verdict(came_with).alias("overall_verdict"))
+    return a.weighted_score(scores, CRITERIA, prior)
+
+
 @query("a01_validity_gate", ("media",), """m AS (SELECT *, page_id % 6 AS sig, greatest(width, height) AS longest FROM media) SELECT page_id, CASE WHEN lower(image_type) NOT IN ('jpeg', 'jpg', 'png') THEN 'type not allowed' WHEN sig > 3 THEN 'not a JPEG or PNG file'
  WHEN width < 100 OR height < 100 THEN 'too small' END AS problem, CASE WHEN longest > 1000 THEN CAST(trunc(width * (CAST(1000 AS DOUBLE) / longest)) AS BIGINT) ELSE width END AS new_width,
  CASE WHEN longest > 1000 THEN CAST(trunc(height * (CAST(1000 AS DOUBLE) / longest)) AS BIGINT) ELSE height END AS new_height FROM m""")
@@ -88,7 +97,7 @@ def named_criteria(spark, sf_dir):
 
 
 @query("a03_route_criteria", S, """SELECT item_id, returned_key AS name, d AS detector, CASE WHEN d IS NULL THEN 'model' ELSE 'detector' END AS route
- FROM (SELECT *, CASE WHEN crit_no > 3 THEN CASE lower(trim(returned_key)) WHEN 'sharpness' THEN 'sharpness' WHEN 'proper exposure' THEN 'exposure' WHEN 'has sky' THEN 'sky' END END AS d FROM scores) t""")
+ FROM (SELECT *, CASE WHEN crit_no > 3 THEN CASE lower(trim(returned_key)) WHEN 'sharpness' THEN 'sharpness' WHEN 'proper exposure' THEN 'exposure' WHEN 'has sky' THEN 'sky' WHEN 'has skyy' THEN 'sky' END END AS d FROM scores) t""")
 def a03(spark, sf_dir):
     return a.route_criteria(named_criteria(spark, sf_dir)).select("item_id", "name", "detector", "route")
 
@@ -104,13 +113,13 @@ def _bands(template: str) -> str:
     return " ".join(f"WHEN '{k}' THEN {template.format(**dict(zip(names, v)))}" for k, v in a.BANDS.items())
 
 
-MEASURED = f"""scored AS (SELECT item_id, kind, measure, CASE kind WHEN 'sharpness' THEN least(10, CAST(trunc(10 * least(m / 300.0::DOUBLE, 1.0::DOUBLE)) AS INTEGER))
- WHEN 'exposure' THEN CASE WHEN m BETWEEN 30 AND 220 THEN CAST(trunc(1 + 9 * (m - 30) / 190.0::DOUBLE) AS INTEGER) ELSE 2 END {_bands(COVER)} END AS score,
- CASE kind WHEN 'sharpness' THEN CASE WHEN m >= 100 THEN 'PASS' ELSE 'FAIL' END WHEN 'exposure' THEN CASE WHEN m BETWEEN 30 AND 220 THEN 'PASS' ELSE 'FAIL' END {_bands(WORD)} END AS verdict,
- CASE WHEN kind IN ('sharpness', 'exposure') THEN 100 ELSE CASE kind {_bands(CONF)} END END AS confidence FROM (SELECT *, measure AS m FROM measures) x)"""
+MEASURED = f"""scored AS (SELECT item_id, kind, measure, measure_low, CASE kind WHEN 'sharpness' THEN least(10, CAST(trunc(10 * least(m / 300.0::DOUBLE, 1.0::DOUBLE)) AS INTEGER))
+ WHEN 'exposure' THEN CASE WHEN m BETWEEN 30 AND 220 THEN CAST(trunc(1 + 9 * (m - 30) / 190.0::DOUBLE) AS INTEGER) ELSE 2 END WHEN 'faces' THEN CASE WHEN m >= 1 THEN 10 WHEN measure_low >= 1 THEN 5 ELSE 1 END {_bands(COVER)} END AS score,
+ CASE kind WHEN 'sharpness' THEN CASE WHEN m >= 100 THEN 'PASS' ELSE 'FAIL' END WHEN 'exposure' THEN CASE WHEN m BETWEEN 30 AND 220 THEN 'PASS' ELSE 'FAIL' END WHEN 'faces' THEN CASE WHEN m >= 1 THEN 'PASS' WHEN measure_low >= 1 THEN 'MARGINAL' ELSE 'FAIL' END {_bands(WORD)} END AS verdict,
+ CASE WHEN kind IN ('sharpness', 'exposure') THEN 100 WHEN kind = 'faces' THEN CASE WHEN m >= 1 THEN 85 WHEN measure_low >= 1 THEN 55 ELSE 80 END ELSE CASE kind {_bands(CONF)} END END AS confidence FROM (SELECT *, measure AS m FROM measures) x)"""
 
 
-@query("a04_score_measure", ("measures",), MEASURED + " SELECT item_id, kind, measure, score, verdict, confidence FROM scored")
+@query("a04_score_measure", ("measures",), MEASURED + " SELECT item_id, kind, measure, measure_low, score, verdict, confidence FROM scored")
 def a04(spark, sf_dir):
     return a.score_measure(view(spark, sf_dir, "measures"))
 
@@ -135,19 +144,25 @@ def a08(spark, sf_dir):
     return skipped(spark, sf_dir)
 
 
-@query("a09_weighted_score", S, WEIGHTED + """ SELECT item_id, overall_score, CASE WHEN overall_score >= 7 THEN 'PASS' WHEN overall_score >= 4 THEN 'MARGINAL' ELSE 'FAIL' END AS overall_verdict,
- tw AS total_weight, ws AS weighted_sum, CAST(printf('%.4f', CAST(ws / tw AS DOUBLE)) AS DOUBLE) AS unrounded_average FROM overall""", recursive=True)
+@query("a09_weighted_score", S, WEIGHTED + """, parts AS (SELECT item_id, string_agg(criterion || ':' || score || '*' || weight || '=' || CAST(score * weight AS DOUBLE), ' ' ORDER BY criterion) AS breakdown FROM final JOIN crit ON name = criterion WHERE verdict <> 'SKIPPED' GROUP BY item_id)
+ SELECT item_id, overall_score, CASE WHEN overall_score >= 7 THEN 'PASS' WHEN overall_score >= 4 THEN 'MARGINAL' ELSE 'FAIL' END AS overall_verdict, breakdown,
+ tw AS total_weight, ws AS weighted_sum, CAST(printf('%.4f', CAST(ws / tw AS DOUBLE)) AS DOUBLE) AS unrounded_average FROM overall LEFT JOIN parts USING (item_id)""", recursive=True)
 def a09(spark, sf_dir):
-    return a.weighted_score(skipped(spark, sf_dir), CRITERIA)
+    rows = weighted(spark, sf_dir, skipped(spark, sf_dir))
+
+    def part(c):
+        return F.concat(c["criterion"], F.lit(":"), c["score"].cast("string"), F.lit("*"), c["weight"].cast("string"), F.lit("="), c["contribution"].cast("string"))
+
+    return rows.withColumn("breakdown", F.array_join(F.transform("per_criterion", part), " ")).drop("per_criterion")
 
 
 @query("a10_detector_overall", ("measures",), MEASURED + """ SELECT item_id, CASE WHEN count(*) FILTER (WHERE verdict = 'FAIL') >= 2 THEN 'FAIL' WHEN count(*) FILTER (WHERE verdict = 'FAIL') = 1 THEN 'MARGINAL' ELSE 'PASS' END AS overall_verdict,
- CAST(round_even(avg(score), 0) AS INTEGER) AS overall_score FROM scored GROUP BY item_id""")
+ CAST(round_even(avg(score), 0) AS INTEGER) AS overall_score FROM scored WHERE score IS NOT NULL GROUP BY item_id""")
 def a10(spark, sf_dir):
     return a.detector_overall(a.score_measure(view(spark, sf_dir, "measures")))
 
 
-@query("a11_merge_methods", ("measures", "scores"), MEASURED + ", " + CLEAN + """, det AS (SELECT item_id, CASE kind WHEN 'exposure' THEN 'proper exposure' ELSE kind END AS criterion, score, confidence, verdict FROM scored),
+@query("a11_merge_methods", ("measures", "scores"), MEASURED + ", " + CLEAN + """, det AS (SELECT item_id, CASE kind WHEN 'exposure' THEN 'proper exposure' ELSE kind END AS criterion, score, confidence, verdict FROM scored WHERE score IS NOT NULL),
  both_ AS (SELECT item_id, criterion, score, confidence, verdict, 'detector' AS method, 1 AS r FROM det UNION ALL SELECT item_id, criterion, score, confidence, verdict, 'model', 0 FROM judged)
  SELECT item_id, criterion, score, confidence, verdict, method FROM both_ QUALIFY row_number() OVER (PARTITION BY item_id, criterion ORDER BY r) = 1""")
 def a11(spark, sf_dir):
@@ -175,19 +190,26 @@ SIMILAR = WEIGHTED + """, pairs AS (SELECT DISTINCT o_orderkey AS item_id, unnes
  JOIN final e ON e.item_id = p.example_id AND e.criterion = i.criterion AND e.score IS NOT NULL GROUP BY 1, 2),
  sim AS (SELECT p.item_id, p.example_id, (p.example_id % 5) / 4.0::DOUBLE AS weight, coalesce(common, 0) AS common, coalesce(CAST(printf('%.3f', mean) AS DOUBLE), 0.5) AS overall_similarity,
  coalesce(CAST(printf('%.1f', mean * 10) AS DOUBLE), 5.0) AS similarity_score FROM pairs p LEFT JOIN common c USING (item_id, example_id)),
- blended AS (SELECT s.*, o.overall_score, CAST(printf('%.1f', CAST(least(greatest((1.0::DOUBLE - weight) * o.overall_score + weight * similarity_score, 1.0), 10.0) AS DOUBLE)) AS DOUBLE) AS blended FROM sim s JOIN overall o ON o.item_id = s.item_id)"""
+ blended AS (SELECT s.*, o.overall_score, CAST(printf('%.1f', CAST(least(greatest((1.0::DOUBLE - weight) * coalesce(o.overall_score, s.item_id % 10 + 1) + weight * similarity_score, 1.0), 10.0) AS DOUBLE)) AS DOUBLE) AS blended FROM sim s LEFT JOIN overall o ON o.item_id = s.item_id)"""
 VERDICT = "CASE WHEN trunc({c}) >= 7 THEN 'PASS' WHEN trunc({c}) >= 4 THEN 'MARGINAL' ELSE 'FAIL' END"
 
 
-@query("a12_similarity", S, SIMILAR + " SELECT item_id, example_id, common, overall_similarity, similarity_score FROM sim", recursive=True)
+@query("a12_similarity", S, SIMILAR + """, listed AS (SELECT p.item_id, p.example_id, string_agg(i.criterion || ':' || e.score || ',' || i.score || ',' || CAST(printf('%.3f', 1.0::DOUBLE - abs(e.score - i.score) / 9.0::DOUBLE) AS DOUBLE), ' ' ORDER BY i.criterion) AS parts
+ FROM pairs p JOIN final i ON i.item_id = p.item_id AND i.score IS NOT NULL JOIN final e ON e.item_id = p.example_id AND e.criterion = i.criterion AND e.score IS NOT NULL GROUP BY 1, 2)
+ SELECT item_id, example_id, common, overall_similarity, similarity_score, coalesce(parts, '') AS parts FROM sim LEFT JOIN listed USING (item_id, example_id)""", recursive=True)
 def a12(spark, sf_dir):
-    return a.similarity(pairs(spark, sf_dir), *scores_twice(spark, sf_dir)).drop("weight")
+    def part(c):
+        return F.concat(c["criterion"], F.lit(":"), c["example_score"].cast("string"), F.lit(","), c["input_score"].cast("string"), F.lit(","), c["similarity"].cast("string"))
+
+    rows = a.similarity(pairs(spark, sf_dir), *scores_twice(spark, sf_dir)).drop("weight")
+    return rows.withColumn("parts", F.array_join(F.transform("per_criterion", part), " ")).drop("per_criterion")
 
 
 def blended(spark, sf_dir):
     scores, examples = scores_twice(spark, sf_dir)
     compared = a.similarity(pairs(spark, sf_dir), scores, examples)
-    overall = a.weighted_score(scores, CRITERIA).select("item_id", "overall_score")
+    compared_items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"))
+    overall = weighted(spark, sf_dir, scores, compared_items).select("item_id", "overall_score")
     return a.blend(compared.join(overall, "item_id"))
 
 
@@ -203,7 +225,7 @@ def a14(spark, sf_dir):
 
 
 @query("a15_reuse_prior", S, WEIGHTED + """, ex AS (SELECT DISTINCT o_orderkey - o_orderkey % 8 AS example_id FROM orders)
- SELECT example_id, example_id % 3 = 0 AS has_prior, CASE WHEN example_id % 3 = 0 THEN CAST(example_id % 10 + 1 AS INTEGER) ELSE o.overall_score END AS overall_score FROM ex LEFT JOIN overall o ON o.item_id = example_id""", recursive=True)
+ SELECT example_id, example_id % 3 = 0 AS has_prior, CASE WHEN example_id % 3 = 0 THEN CAST(example_id % 10 + 1 AS INTEGER) ELSE o.overall_score END AS overall_score FROM ex LEFT JOIN overall o ON o.item_id = example_id AND tw IS NOT NULL""", recursive=True)
 def a15(spark, sf_dir):
     key = F.col("o_orderkey")
     examples = table(spark, sf_dir, "orders").select((key - key % 8).alias("example_id")).distinct().withColumn("has_prior", F.col("example_id") % 3 == 0)

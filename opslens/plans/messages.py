@@ -68,14 +68,15 @@ def mime_mails(spark, sf_dir):
     tree = F.concat(
         F.lit('{"mimeType":"multipart/mixed","parts":['), F.to_json(inner), F.lit(","), F.to_json(file_part), F.lit("]}")
     )
-    return mails(spark, sf_dir).select("message_id", tree.alias("payload"))
+    broken = F.when(F.col("message_id") % 37 == 1, '{"mimeType":').when(F.col("message_id") % 37 == 2, "[1]")
+    return mails(spark, sf_dir).select("message_id", F.coalesce(broken, tree).alias("payload"))
 
 
 @query("s03_read_messages", M, """SELECT message_id, sent_s, sender FROM messages WHERE sender LIKE '%no-reply@example.test%'
  AND message_id % 2 = 0 AND NOT message_id % 3 = 0 ORDER BY sent_s, message_id LIMIT 25""")
 def s03(spark, sf_dir):
     inbox = mails(spark, sf_dir).withColumns({"unread": F.col("message_id") % 2 == 0, "labelled": F.col("message_id") % 3 == 0})
-    return read_messages(inbox, "no-reply@example.test").select("message_id", "sent_s", "sender")
+    return read_messages(inbox, "no-reply@example.test", limit=25).select("message_id", "sent_s", "sender")
 
 
 @query("m01_html_to_text", (), f"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({PLAIN}, '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'),
@@ -84,12 +85,13 @@ def m01(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
 
 
-@query("m02_mime_bodies", M, """SELECT message_id, CASE WHEN body_text = '' THEN 'later part' ELSE body_text END AS text, body_html AS html FROM messages""")
+@query("m02_mime_bodies", M, """SELECT message_id, CASE WHEN message_id % 37 IN (1, 2) THEN '' WHEN body_text = '' THEN 'later part' ELSE body_text END AS text, CASE WHEN message_id % 37 NOT IN (1, 2) THEN body_html END AS html,
+ CASE WHEN message_id % 37 IN (1, 2) THEN 'malformed body' END AS parts_error FROM messages""")
 def m02(spark, sf_dir):
     return m.mime_bodies(m.mime_parts(mime_mails(spark, sf_dir)))
 
 
-@query("m03_attachments", M, """SELECT message_id, 5 AS ord, 'f' || CAST(message_id AS VARCHAR) || '.pdf' AS filename, 'application/pdf' AS mime_type FROM messages WHERE message_id % 2 = 0""")
+@query("m03_attachments", M, """SELECT message_id, 5 AS ord, 'f' || CAST(message_id AS VARCHAR) || '.pdf' AS filename, 'application/pdf' AS mime_type FROM messages WHERE message_id % 2 = 0 AND message_id % 37 NOT IN (1, 2)""")
 def m03(spark, sf_dir):
     return m.attachments(m.mime_parts(mime_mails(spark, sf_dir)), "message_id")
 

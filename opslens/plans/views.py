@@ -17,7 +17,7 @@ _SPARK = {
     "__AGG__": "listagg(b, ',') WITHIN GROUP (ORDER BY event_id)",
     "__COPIES__": "LATERAL VIEW explode(array(1, 2)) a AS n",
     "__ATTEMPTS__": "LATERAL VIEW explode(array(1, 2, 3)) a AS attempt",
-    "__KINDS__": "LATERAL VIEW explode(array('sharpness','exposure','vegetation','sky','water','text')) k AS kind",
+    "__KINDS__": "LATERAL VIEW explode(array('sharpness','exposure','vegetation','sky','water','text','faces','unheard')) k AS kind",
     "__RFC__": "date_format(ts, 'd MMM yyyy HH:mm:ss') || ' +0000'",
 }
 _DUCK = {
@@ -25,7 +25,7 @@ _DUCK = {
     "__AGG__": "string_agg(b, ',' ORDER BY event_id)",
     "__COPIES__": "CROSS JOIN (VALUES (1), (2)) a(n)",
     "__ATTEMPTS__": "CROSS JOIN (VALUES (1), (2), (3)) a(attempt)",
-    "__KINDS__": "CROSS JOIN (VALUES ('sharpness'),('exposure'),('vegetation'),('sky'),('water'),('text')) k(kind)",
+    "__KINDS__": "CROSS JOIN (VALUES ('sharpness'),('exposure'),('vegetation'),('sky'),('water'),('text'),('faces'),('unheard')) k(kind)",
     "__RFC__": "strftime(ts, '%-d %b %Y %H:%M:%S') || ' +0000'",
 }
 
@@ -56,23 +56,23 @@ SELECT o_orderkey AS project_id, 1 AS arrival, 'init' AS envelope, 'custom.order
  UNION ALL SELECT o_orderkey, 4, 'mget', 'custom.hic', 'h' || CAST(o_orderkey AS STRING), '{"status":"' || CASE WHEN o_orderkey % 8 = 0 THEN 'executed' ELSE 'sent' END || '"}' FROM orders WHERE o_orderkey % 4 = 0
  UNION ALL SELECT o_orderkey, 5, 'mget', 'custom.job1', 'j' || CAST(o_orderkey AS STRING), CASE WHEN o_orderkey % 6 = 0 THEN '{"status":"completed","contract_price":100}' ELSE '{"contract_price":100}' END FROM orders WHERE o_orderkey % 3 = 0""",
     "messages": """
-SELECT m.message_id, m.sent_s, m.sender, m.prefix || p.p_name || CASE WHEN m.k % 5 = 0 THEN '  JR' ELSE '' END || ' - ' || CAST(m.k AS STRING) || ' ' || p.p_type || ' Road' || CASE WHEN m.conv_id % 6 = 0 THEN ' (Reorder)' ELSE '.' END AS subject, m.body_text, m.body_html
- FROM (SELECT conv_id * 1000 + turn AS message_id, conv_id, conv_id * 60 + turn AS sent_s, (conv_id * 137 + turn * 11) % 3000 AS k,
+SELECT m.message_id, m.sent_s, m.sender, m.prefix || p.p_name || CASE WHEN m.k % 5 = 0 THEN '  JR' ELSE '' END || ' - ' || CAST(m.k % 14000 AS STRING) || ' ' || p.p_type || ' Road' || CASE WHEN m.conv_id % 6 = 0 THEN ' (Reorder)' ELSE '.' END AS subject, m.body_text, m.body_html
+ FROM (SELECT conv_id * 1000 + turn AS message_id, conv_id, conv_id * 60 + turn AS sent_s, conv_id * 137 + turn * 11 AS k, 1 + (conv_id * 137 + turn * 11) % (SELECT max(p_partkey) FROM part) AS part_key,
  CASE turn % 4 WHEN 0 THEN 'RFX | New Comment <no-reply@example.test>' WHEN 1 THEN 'RFX | Estimate Comp. <no-reply@example.test>' WHEN 2 THEN 'no-reply@example.test' ELSE 'RFX | HIC Executed <no-reply@example.test>' END AS sender,
  CASE turn % 4 WHEN 0 THEN 'New Project Comment - ' WHEN 1 THEN '' WHEN 2 THEN 'New Task - ' ELSE 'HIC Executed - ' END AS prefix,
- 'Hello!' || chr(10) || CASE WHEN turn % 8 = 4 THEN '' ELSE '"' || substr(text, 1, 60) || ' @User_' || CAST(conv_id AS STRING) || '"' END AS body_text,
+ 'Hello!' || chr(10) || CASE WHEN turn % 8 = 4 THEN '' ELSE '"' || text || ' @User_' || CAST(conv_id AS STRING) || '"' END AS body_text,
  CASE WHEN conv_id % 4 = 0 THEN '<a href="http://url12.example.test/ls/click?upn=' || CAST(conv_id AS STRING) || '">go</a>' END AS body_html FROM conversations) m
- JOIN part p ON p.p_partkey = m.k % 200""",
+ JOIN part p ON p.p_partkey = m.part_key""",
     "crm_project": """
 SELECT o.o_orderkey AS id, p.p_name || CASE WHEN o.o_orderkey % 5 = 0 THEN ' Jr' ELSE '' END AS project_name,
  CAST(o.o_orderkey % 14000 AS STRING) || ' ' || p.p_type || ' Road' AS street1, CASE WHEN o.o_orderkey % 4 = 0 THEN 'x' || CAST(o.o_orderkey % 3000 AS STRING) END AS ext_id,
  o.o_orderstatus = 'F' AS archived, CASE WHEN o.o_orderkey % 17 = 0 THEN 59 WHEN o.o_orderkey % 19 = 0 THEN NULL ELSE 4 END AS status_id
- FROM orders o JOIN part p ON p.p_partkey = o.o_orderkey % 200""",
+ FROM (SELECT *, 1 + o_orderkey % (SELECT max(p_partkey) FROM part) AS part_key FROM orders) o JOIN part p ON p.p_partkey = o.part_key""",
     "crm_entity": """
 SELECT c.c_custkey AS id, split_part(p.p_name, ' ', 1) AS first_name, split_part(p.p_name, ' ', 2) AS last_name,
  'C' || CAST(c.c_custkey % 1200 AS STRING) || '@example.test' AS email, CAST(c.c_custkey % 300 AS STRING) || ' ' || p.p_type || ' Road' AS street1,
  c.c_custkey % 23 = 0 AS archived, CASE WHEN c.c_custkey % 29 = 0 THEN 9 ELSE 8 END AS object_type_id
- FROM customer c JOIN part p ON p.p_partkey = c.c_custkey % 200""",
+ FROM (SELECT *, 1 + c_custkey % (SELECT max(p_partkey) FROM part) AS part_key FROM customer) c JOIN part p ON p.p_partkey = c.part_key""",
     "crm_state": "SELECT n_nationkey AS id, n_name AS state_name, 'N' || CAST(n_nationkey AS STRING) AS abbreviation FROM nation",
     "ledger": """
 SELECT 'msg-' || CAST(event_id % 3000 AS STRING) AS key, ts AS processed_at, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'pending' ELSE 'ok' END AS status, event_id AS seq, props AS metadata FROM events""",
@@ -80,10 +80,10 @@ SELECT 'msg-' || CAST(event_id % 3000 AS STRING) AS key, ts AS processed_at, CAS
 SELECT 'job-' || CAST(event_id % 2500 AS STRING) AS job_id, ts, event_id AS seq, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS phase,
  CASE WHEN user_id % 2 = 0 THEN 'assess' ELSE 'compare' END AS job_type, value AS amount FROM events""",
     "scores": """
-SELECT l_orderkey AS item_id, l_linenumber AS crit_no, CASE l_linenumber WHEN 1 THEN 'has meter' WHEN 2 THEN 'Meter Readable ' WHEN 3 THEN 'clearance' WHEN 4 THEN 'sharpness' WHEN 5 THEN 'proper exposure' WHEN 6 THEN 'has sky' ELSE 'unlisted' END AS returned_key,
+SELECT l_orderkey AS item_id, l_linenumber AS crit_no, CASE l_linenumber WHEN 1 THEN 'shelf labelled' WHEN 2 THEN 'Label Legible ' WHEN 3 THEN CASE WHEN max(l_partkey) % 5 = 0 THEN 'aisle fre' ELSE 'aisle free' END WHEN 4 THEN 'sharpness' WHEN 5 THEN 'proper exposure' WHEN 6 THEN CASE WHEN max(l_partkey) % 5 = 1 THEN 'has skyy' ELSE 'has sky' END ELSE 'unlisted' END AS returned_key,
  CASE WHEN max(l_partkey) % 29 = 0 THEN 'n/a' WHEN max(l_partkey) % 31 = 0 THEN '3.7' ELSE CAST(CAST(max(l_quantity) AS BIGINT) % 14 - 1 AS STRING) END AS raw_score, CAST(max(l_discount) * 1500 AS BIGINT) AS raw_confidence FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "measures": """
-SELECT p_partkey AS item_id, k.kind AS kind, CASE k.kind WHEN 'sharpness' THEN CAST(p_partkey * 37 % 400 AS DOUBLE) WHEN 'exposure' THEN CAST(p_partkey * 13 % 256 AS DOUBLE) ELSE CAST(p_partkey * 7 % 100 AS DOUBLE) / 100 END AS measure FROM part __KINDS__""",
+SELECT p_partkey AS item_id, k.kind AS kind, CASE k.kind WHEN 'faces' THEN CAST(p_partkey % 3 AS DOUBLE) WHEN 'sharpness' THEN CAST(p_partkey * 37 % 400 AS DOUBLE) WHEN 'exposure' THEN CAST(p_partkey * 13 % 256 AS DOUBLE) ELSE CAST(p_partkey * 7 % 100 AS DOUBLE) / 100 END AS measure, CASE k.kind WHEN 'faces' THEN CAST(p_partkey % 5 AS DOUBLE) END AS measure_low FROM part __KINDS__""",
     "model_replies": """
 SELECT doc_id AS item_id, a.attempt AS attempt, CASE (doc_id + a.attempt) % 6 WHEN 0 THEN 'sorry' WHEN 1 THEN '{"assessment":{"overall_score":' || CAST(doc_id % 12 AS STRING) || '}}' WHEN 2 THEN 'Here: {"assessment":{"overall_score":4}} done' WHEN 3 THEN '{"action":"ignore","needs_human":false}' WHEN 4 THEN '' ELSE '{"x":1}' END AS reply FROM documents __ATTEMPTS__""",
     "audit": """
