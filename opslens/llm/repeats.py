@@ -14,6 +14,7 @@ Hot passages: a task sends an anchor or a passage once for all its documents, so
 number of tasks, not of documents. Anchors that very many documents share with different surroundings are cut into
 single windows, which are dealt by the hash of the whole window and shrink to the distinct ones in every task. Rows are
 packed: one row carries the entries of one task for one bucket as columns of bytes, the planes of each number together.
+There are as many buckets, blocks and shards as shuffle partitions, and each is one partition, so all are alike in size.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ from opslens.session import materialize
 
 # anchors are told apart by 48 bits; a clash only adds a candidate
 ANCHOR_BITS = np.uint64(0xFFFFFFFFFFFF)
-BUCKETS_PER_PART = 8
 HOT_DOCS = 1000
 # and at least one in so many of all anchors, which bounds the list of hot anchors that every task gets
 HOT_SHARE = 1_000_000
@@ -123,8 +123,7 @@ def repeated_anchors(docs: DataFrame, unit: Unit, blocks: int) -> DataFrame:
     """Packed rows (block, docs, anchors): which documents have which repeated anchors. Rows with block -1 name the hot
     anchors and row -2 holds the number of all. `docs` has _id (long, not null) and _text.
     """
-    parts = parts_of(docs)
-    buckets = parts * BUCKETS_PER_PART
+    buckets = parts_of(docs)
     schema = "bucket int, anchors binary, docs binary, counts binary"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +161,7 @@ def repeated_anchors(docs: DataFrame, unit: Unit, blocks: int) -> DataFrame:
             for name, a, o, c in rows:
                 if name == "known":
                     # these only pass through, anywhere
-                    out["bucket"].append(-1 - int(batch.num_rows + len(a)) % buckets)
+                    out["bucket"].append(int(batch.num_rows + len(a)) % buckets)
                     out["counts"].append(None)
                 else:
                     out["bucket"].append(name)
@@ -210,7 +209,7 @@ def repeated_anchors(docs: DataFrame, unit: Unit, blocks: int) -> DataFrame:
             rows.append((-1, planes(total[hot].astype(np.int64)), planes(anchor[starts][hot]), None))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), result.types, strict=True)], schema=result)
 
-    sent = docs.select("_id", "_text").mapInArrow(gather, schema).repartition(parts, "bucket")
+    sent = docs.select("_id", "_text").mapInArrow(gather, schema).repartitionById(buckets, "bucket")
     return sent.mapInArrow(meet, "block int, docs binary, anchors binary, total long")
 
 
@@ -222,10 +221,14 @@ def hot_anchors(found: DataFrame) -> np.ndarray:
     """Sorted anchors of at least HOT_DOCS documents that are also one in HOT_SHARE of all anchors: at most HOT_SHARE."""
     total = found.where("block = -2").agg(F.sum("total")).first()[0] or 0
     least = max(HOT_DOCS, total // HOT_SHARE)
-    hot = [np.zeros(0, np.uint64)]
-    for row in found.where("block = -1").select("docs", "anchors").toLocalIterator():
-        hot.append(unplanes(row["anchors"], "<u8")[unplanes(row["docs"], "<i8") >= least])
-    return np.sort(np.concatenate(hot))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [unplanes(a, "<u8")[unplanes(n, "<i8") >= least] for n, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in some], pa.binary())], ["anchors"])
+
+    rows = found.where("block = -1").select("docs", "anchors").mapInArrow(pick, "anchors binary").collect()
+    return np.sort(np.frombuffer(b"".join(r["anchors"] for r in rows), "<u8").astype(np.uint64))
 
 
 @dataclass
@@ -322,11 +325,10 @@ Finder = Callable[[Entries, Unit], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 def passage_frame(docs: DataFrame, unit: Unit, dealt: DataFrame | None = None) -> DataFrame:
     """Packed passages, dealt by shard. `docs` has _id (long, not null) and _text."""
-    parts = parts_of(docs)
-    blocks = shards = parts * BUCKETS_PER_PART
+    parts = blocks = shards = parts_of(docs)
     found = materialize(repeated_anchors(docs, unit, blocks), "anchors")
     hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(found))
-    dealt = in_blocks(docs, blocks, parts) if dealt is None else dealt
+    dealt = in_blocks(docs, blocks) if dealt is None else dealt
     asked = found.where("block >= 0").select(F.col("block").alias("_block"), "docs", "anchors")
 
     def cut(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -334,16 +336,15 @@ def passage_frame(docs: DataFrame, unit: Unit, dealt: DataFrame | None = None) -
             return PASSAGE.empty_table()
         return passages(key, left, right, unit, hot.value, shards)
 
-    pairs = dealt.groupBy("_block").cogroup(asked.repartition(parts, "_block").groupBy("_block"))
-    return pairs.applyInArrow(cut, PASSAGE_SQL).repartition(parts, "shard")
+    pairs = dealt.groupBy("_block").cogroup(asked.repartitionById(parts, "_block").groupBy("_block"))
+    return pairs.applyInArrow(cut, PASSAGE_SQL).repartitionById(parts, "shard")
 
 
 def find_covers(docs: DataFrame, unit: Unit, finder: Finder) -> tuple[DataFrame, DataFrame]:
     """The documents dealt into blocks (_id, _text, _block), and packed covers (_block, docs, starts, ends) that a finder saw."""
-    parts = parts_of(docs)
-    blocks = parts * BUCKETS_PER_PART
+    blocks = parts_of(docs)
     docs = docs.where("_id is not null")
-    dealt = in_blocks(docs, blocks, parts)
+    dealt = in_blocks(docs, blocks)
     sent = passage_frame(docs, unit, dealt)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,14 +359,14 @@ def find_covers(docs: DataFrame, unit: Unit, finder: Finder) -> tuple[DataFrame,
     return dealt, covers
 
 
-def in_blocks(docs: DataFrame, blocks: int, parts: int) -> DataFrame:
+def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
     @F.pandas_udf("int")
     def block(ids):
         import pandas as pd
 
         return pd.Series(block_of(ids.to_numpy(), blocks).astype(np.int32))
 
-    return docs.select("_id", F.coalesce("_text", F.lit("")).alias("_text"), block("_id").alias("_block")).repartition(parts, "_block")
+    return docs.select("_id", F.coalesce("_text", F.lit("")).alias("_text"), block("_id").alias("_block")).repartitionById(blocks, "_block")
 
 
 def shard_entries(batches: Iterator[pa.RecordBatch], unit: Unit, covers: list[list[np.ndarray]]) -> Iterator[Entries]:
@@ -424,4 +425,4 @@ def apply_covers(dealt: DataFrame, covers: DataFrame, summarise: Callable, schem
         spans = [(start[x:y], end[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
         return summarise(left, spans)
 
-    return dealt.groupBy("_block").cogroup(covers.repartition(parts, "_block").groupBy("_block")).applyInArrow(work, schema)
+    return dealt.groupBy("_block").cogroup(covers.repartitionById(parts, "_block").groupBy("_block")).applyInArrow(work, schema)
