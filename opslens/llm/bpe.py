@@ -102,7 +102,7 @@ def encode_words(blocks: DataFrame, tokenizer: str, parts: int) -> DataFrame:
             answer = "\n".join(map(ids.__getitem__, words)) + "\t" + "\n".join(map(texts.__getitem__, words))
             yield pa.RecordBatch.from_pylist([{"block": row["block"], "codes": row["codes"], "answer": _pack(answer.encode())}])
 
-    dealt = blocks.where("bucket >= 0").select("block", "bucket", "payload", "codes").repartition(parts, "bucket")
+    dealt = blocks.where("bucket >= 0").select("block", "bucket", "payload", "codes").repartitionById(parts, "bucket")
     return dealt.mapInArrow(work, "block string, codes binary, answer binary")
 
 
@@ -115,7 +115,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = materialize(split_blocks(docs, 8 * parts, id_col, text_col), "word-blocks")
+    blocks = materialize(split_blocks(docs, parts, id_col, text_col), "word-blocks")
     answers = encode_words(blocks, tokenizer, parts)
     kind = docs.schema[id_col].dataType
 
