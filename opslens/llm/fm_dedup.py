@@ -307,14 +307,15 @@ def strip_word_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pa.Table.from_arrays([some.column("_id"), pa.array(new, pa.string())], names=["_changed", "_new"])
 
     changed = apply_covers(dealt, covers, rewrite, "_changed long, _new string").dropDuplicates(["_changed"])
-    joined = docs.join(changed, docs[id_col].cast("long") == changed["_changed"], "left").where("_new is null or _new <> ''")
-    text = F.when(F.col("_changed").isNotNull(), F.col("_new")).otherwise(docs[text_col]).alias(text_col)
+    new, hit = changed["_new"], changed["_changed"].isNotNull()
+    joined = docs.join(changed, docs[id_col].cast("long") == changed["_changed"], "left").where(new.isNull() | (new != ""))
+    text = F.when(hit, new).otherwise(docs[text_col]).alias(text_col)
     columns = []
     for name in docs.columns:
         if name == text_col:
             columns.append(text)
         elif name == "n_chars" and text_col == "text":
-            columns.append(F.when(F.col("_changed").isNotNull(), F.char_length("_new").cast(docs.schema[name].dataType)).otherwise(docs[name]).alias(name))
+            columns.append(F.when(hit, F.char_length(new).cast(docs.schema[name].dataType)).otherwise(docs[name]).alias(name))
         else:
             columns.append(docs[name])
     return joined.select(*columns)

@@ -160,7 +160,7 @@ def _descend(rows, columns, grade, features, grades, rounds, l1, l2) -> tuple[np
 
 
 def score_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """`docs` with _expected (mean grade), _tail (probability of the top grade) of every whole text."""
+    """Every row of `docs` as a struct _row, with _expected (mean grade) and _tail (probability of the top grade) of its whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("expected double, tail double")
@@ -170,8 +170,8 @@ def score_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text"
             tails = fitted.tails(np.array([fitted.score(features(x)) for x in texts]))
             yield pd.DataFrame({"expected": tails.sum(1), "tail": tails[:, -1]})
 
-    scored = docs.withColumn("_grades", grade(F.col(text_col)))
-    return scored.withColumns({"_expected": F.col("_grades.expected"), "_tail": F.col("_grades.tail")}).drop("_grades")
+    scored = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), grade(docs[text_col]).alias("_grades"))
+    return scored.select("_row", F.col("_grades.expected").alias("_expected"), F.col("_grades.tail").alias("_tail"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", tail: float = TAIL) -> DataFrame:
@@ -183,12 +183,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit_ordinal(training_sample(docs, graded(labels, "doc_id"), id_col, text_col))
     scored = score_documents(docs.select(F.col(id_col), F.col(text_col).alias("_body")), model, "_body")
     return scored.select(
-        id_col, F.round("_expected", 6).alias("expected_grade"), F.round("_tail", 6).alias("tail_probability"), (F.col("_tail") >= tail).alias("kept")
+        F.col("_row")[id_col].alias(id_col), F.round("_expected", 6).alias("expected_grade"), F.round("_tail", 6).alias("tail_probability"), (F.col("_tail") >= tail).alias("kept")
     )
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", tail: float = TAIL) -> DataFrame:
     """The rows of `docs` that the classifier keeps, with their columns."""
     model = fit_ordinal(training_sample(docs, graded(labels, "doc_id"), id_col, text_col))
-    names = docs.columns
-    return score_documents(docs, model, text_col).where(F.col("_tail") >= tail).select(*names)
+    return score_documents(docs, model, text_col).where(F.col("_tail") >= tail).select("_row.*")
