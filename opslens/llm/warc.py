@@ -66,19 +66,20 @@ def record(id_col: str, url_col: str, time_col: str) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None, file_bytes: int = FILE_BYTES) -> None:
-    """Writes gzipped WARC files of about `file_bytes` of records each, or one record where it is longer.
+    """Writes gzipped WARC files of about `file_bytes` of records each.
 
     Every record ends with two line breaks, which the text writer adds as its line separator, so the files are plain
     WARC and are committed like any Spark output. Without `time_col` page n counts as captured n seconds after EPOCH.
-    Files are cut by id hash into as many parts as the payload bytes ask for.
+    Tasks write the records where the join left them, so payloads are shuffled once, and begin a new file after as many
+    records as make up `file_bytes` on average.
     """
     decided = decide_records(pages, id_col, payload_col)
     seconds = F.coalesce(F.col(id_col).cast("long"), F.lit(0)) + int(EPOCH.timestamp())
     timed = decided.withColumn("_time", F.col(time_col) if time_col else F.timestamp_seconds(seconds))
-    size = pages.agg(F.sum(F.octet_length(F.coalesce(F.col(payload_col).cast("string"), F.lit("")))) + 500 * F.count("*")).first()[0] or 0
-    parts = max(1, -(-size // file_bytes))
-    records = timed.select(F.xxhash64(id_col, url_col, "_digest").alias("_deal"), record(id_col, url_col, "_time").alias("value"))
-    records.repartition(parts, "_deal").select("value").write.option("lineSep", END).option("compression", "gzip").text(path)
+    size = pages.agg(F.avg(F.octet_length(F.coalesce(F.col(payload_col).cast("string"), F.lit("")))) + 500).first()[0] or file_bytes
+    records = timed.select(record(id_col, url_col, "_time").alias("value"))
+    writer = records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(file_bytes / size)))
+    writer.text(path)
 
 
 HEADER = re.compile(rb"([A-Za-z-]+): ([^\r]*)")
