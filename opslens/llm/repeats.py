@@ -15,6 +15,7 @@ number of tasks, not of documents. Anchors that very many documents share with d
 single windows, which are dealt by the hash of the whole window and shrink to the distinct ones in every task. Rows are
 packed: one row carries the entries of one task for one bucket as columns of bytes, the planes of each number together.
 There are as many buckets, blocks and shards as shuffle partitions, and each is one partition, so all are alike in size.
+A shard is cut again by hash, and a finder gets as many of these cuts at a time as make up INDEX_BYTES of passages.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from opslens.session import materialize
 # anchors are told apart by 48 bits; a clash only adds a candidate
 ANCHOR_BITS = np.uint64(0xFFFFFFFFFFFF)
 HOT_DOCS = 1000
+CUTS = 64
+INDEX_BYTES = 2 << 20
 # and at least one in so many of all anchors, which bounds the list of hot anchors that every task gets
 HOT_SHARE = 1_000_000
 
@@ -246,8 +249,8 @@ class Entries:
         return [self.data[b - n : b] for b, n in zip(ends, self.size.tolist(), strict=True)]
 
 
-PASSAGE = pa.schema([("shard", pa.int32()), ("cover", pa.bool_()), ("doc", pa.binary()), ("start", pa.binary()), ("count", pa.binary()), ("size", pa.binary()), ("data", pa.binary())])
-PASSAGE_SQL = "shard int, cover boolean, doc binary, start binary, count binary, size binary, data binary"
+PASSAGE = pa.schema([("shard", pa.int32()), ("cover", pa.bool_()), ("cut", pa.binary()), ("doc", pa.binary()), ("start", pa.binary()), ("count", pa.binary()), ("size", pa.binary()), ("data", pa.binary())])
+PASSAGE_SQL = "shard int, cover boolean, cut binary, doc binary, start binary, count binary, size binary, data binary"
 
 
 def passages(key, texts: pa.Table, found: pa.Table, unit: Unit, hot: np.ndarray, shards: int) -> pa.Table:
@@ -300,18 +303,20 @@ def passages(key, texts: pa.Table, found: pa.Table, unit: Unit, hot: np.ndarray,
     out = []
     covered = order[is_cover]
     if len(covered):
-        out.append((int(key[0].as_py()) % shards, True, planes(doc[covered]), planes(start[covered].astype(np.int32)), planes(count[covered].astype(np.int32)), None, None))
+        out.append((int(key[0].as_py()) % shards, True, None, planes(doc[covered]), planes(start[covered].astype(np.int32)), planes(count[covered].astype(np.int32)), None, None))
     asking = order[~is_cover]
-    shard = (mix(deal[asking]) % np.uint64(shards)).astype(np.int64)
-    by = np.lexsort((one[asking], shard))
-    asking, shard = asking[by], shard[by]
+    dealt = mix(deal[asking])
+    shard = (dealt % np.uint64(shards)).astype(np.int64)
+    cut = (dealt // np.uint64(shards) % np.uint64(CUTS)).astype(np.uint8)
+    by = np.lexsort((one[asking], cut, shard))
+    asking, shard, cut = asking[by], shard[by], cut[by]
     chunk_list, a_list, size_list = chunk.tolist(), a.tolist(), size.tolist()
     for part in np.split(np.arange(len(asking)), np.flatnonzero(np.diff(shard)) + 1):
         if len(part):
             some = asking[part]
             data = b"".join(raws[chunk_list[i]][a_list[i] : a_list[i] + size_list[i]].tobytes() for i in some.tolist())
             numbers = [planes(x[some].astype(np.int32)) for x in (start, count, size)]
-            out.append((int(shard[part[0]]), False, planes(doc[some]), *numbers, data))
+            out.append((int(shard[part[0]]), False, cut[part].tobytes(), planes(doc[some]), *numbers, data))
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), PASSAGE.types, strict=True)], schema=PASSAGE)
 
 
@@ -370,8 +375,8 @@ def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
 
 
 def shard_entries(batches: Iterator[pa.RecordBatch], unit: Unit, covers: list[list[np.ndarray]]) -> Iterator[Entries]:
-    """The entries of each shard of a partition; covers that pass through are added to `covers`."""
-    held: dict[int, list] = {}
+    """The entries of a shard, some cuts at a time; covers that pass through are added to `covers`."""
+    held: list[tuple] = []
     for batch in batches:
         for row in batch.to_pylist():
             doc, start, count = unplanes(row["doc"], "<i8"), unplanes(row["start"], "<i4").astype(np.int64), unplanes(row["count"], "<i4").astype(np.int64)
@@ -379,10 +384,23 @@ def shard_entries(batches: Iterator[pa.RecordBatch], unit: Unit, covers: list[li
                 for to, new in zip(covers, (doc, start, count + unit.window - 1), strict=True):
                     to.append(new)
             else:
-                held.setdefault(row["shard"], []).append((doc, start, count, unplanes(row["size"], "<i4").astype(np.int64), row["data"]))
-    for shard in sorted(held):
-        rows = held.pop(shard)
-        yield Entries(*(np.concatenate([r[i] for r in rows]) for i in range(4)), b"".join(r[4] for r in rows))
+                size = unplanes(row["size"], "<i4").astype(np.int64)
+                # entries stand in order of their cuts
+                bounds = np.searchsorted(np.frombuffer(row["cut"], np.uint8), np.arange(CUTS + 1))
+                held.append((bounds, doc, start, count, size, row["data"], np.append(0, np.cumsum(size))[bounds]))
+    total = np.zeros(CUTS, np.int64)
+    for row in held:
+        total += np.diff(row[-1])
+    first = 0
+    while held and first < CUTS:
+        last = first + 1
+        while last < CUTS and total[first : last + 1].sum() <= INDEX_BYTES:
+            last += 1
+        if total[first:last].sum():
+            some = [slice(b[first], b[last]) for b, *_ in held]
+            numbers = (np.concatenate([row[i][s] for row, s in zip(held, some, strict=True)]) for i in range(1, 5))
+            yield Entries(*numbers, b"".join(row[5][row[6][first] : row[6][last]] for row in held))
+        first = last
 
 
 def merge_stretches(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
