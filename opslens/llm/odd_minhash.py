@@ -239,7 +239,8 @@ def confirm(named: DataFrame, groups: DataFrame, like: Likeness) -> DataFrame:
     """Distinct links (_from, _to), _to the smallest member that _from reaches by exact links inside a group."""
     parts = parts_of(named)
     wanted = groups.groupBy("_rep").agg(F.collect_list("_group").alias("_groups"))
-    joined = named.join(wanted, named["_id"] == wanted["_rep"]).select("_id", "_text", "_groups")
+    # a list of candidates that is small today grows with the documents: join alike at every size
+    joined = named.join(wanted.hint("merge"), named["_id"] == wanted["_rep"]).select("_id", "_text", "_groups")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
