@@ -40,12 +40,12 @@ class ParserRegistry:
         return captures.withColumn("_p", F.pandas_udf(parse, shape)("url", "body")).select("*", "_p.*").drop("_p")
 
 
-def score_batch(
-    prompts: DataFrame, model: Callable[[list[str]], list[str]], batch_size: int = 32, concurrency: int = 8
-) -> DataFrame:
+def score_batch(prompts: DataFrame, model: Callable[[list[str]], list[str]], batch_size: int = 32, tasks: int | None = None) -> DataFrame:
     """`item_id, prompt` to `item_id, reply` by a model function over lists of prompts.
 
-    At most `concurrency` tasks call the model at once: only this stage is narrowed to that many partitions.
+    The prompts keep the partitions they come in, or are dealt into `tasks` even ones, so that a lost task repeats little.
+    How many call the model at once is the cluster's to bound, by executor cores or task resources. Write the replies
+    of a dear model before going on.
     """
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,5 +54,6 @@ def score_batch(
                 part = rows.iloc[start : start + batch_size]
                 yield pd.DataFrame({"item_id": part["item_id"], "reply": model(list(part["prompt"]))})
 
-    narrowed = prompts.select("item_id", "prompt").repartition(concurrency)
-    return narrowed.mapInPandas(score, "item_id BIGINT, reply STRING")
+    asked = prompts.select("item_id", "prompt")
+    asked = asked.repartition(tasks) if tasks else asked
+    return asked.mapInPandas(score, "item_id BIGINT, reply STRING")

@@ -8,12 +8,14 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opslens.functions.columns import matches_any, one_of
 from opslens.functions.scale import HOT_ROWS, first_per_key, running_total, top_per_key
+from opslens.functions.text import map_texts
 
 ARRIVALS_PER_CHUNK = 65_536
 
@@ -110,35 +112,37 @@ def json_only(captures: DataFrame, body: str = "body") -> DataFrame:
     return captures.withColumn("is_json", F.try_parse_json(body).isNotNull())
 
 
-_SHAPE = T.StructType().add("ord", "integer").add("depth", "integer").add("object", "string")
+_SHAPE = T.ArrayType(T.StructType().add("ord", "integer").add("depth", "integer").add("object", "string"))
 
 
 def find_shapes(rows: DataFrame, body: str, required: Sequence[str]) -> DataFrame:
     """Every object at any depth that has all required keys, hits inside hits included, in depth-first order.
 
-    A table function walks one JSON value at a time; the rest of the row travels by a lateral join.
+    Bodies go to Python in Arrow batches and come back as one array of hits each, which is then unfolded.
     """
     keys = tuple(required)
 
-    class FindShapes:
-        def eval(self, text: str):
-            try:
-                stack = [(json.loads(text), 0)] if text else []
-            except ValueError:
-                return
-            found = 0
-            while stack:
-                node, depth = stack.pop()
-                if isinstance(node, dict):
-                    if all(k in node for k in keys):
-                        yield found, depth, json.dumps(node, ensure_ascii=False)
-                        found += 1
-                    children = list(node.values())
-                elif isinstance(node, list):
-                    children = node
-                else:
-                    continue
-                stack.extend((child, depth + 1) for child in reversed(children))
-
-    shapes = F.udtf(FindShapes, returnType=_SHAPE)
-    return rows.lateralJoin(shapes(F.col(body).outer()))
+    def walk(text: str) -> list[dict]:
+        try:
+            stack = [(json.loads(text), 0)] if text else []
+        except ValueError:
+            return []
+        found = []
+        while stack:
+            node, depth = stack.pop()
+            if isinstance(node, dict):
+                if all(k in node for k in keys):
+                    found.append({"ord": len(found), "depth": depth, "object": json.dumps(node, ensure_ascii=False)})
+                children = list(node.values())
+            elif isinstance(node, list):
+                children = node
+            else:
+                continue
+            stack.extend((child, depth + 1) for child in reversed(children))
+        return found
+
+    @F.pandas_udf(_SHAPE)
+    def hits(texts: pd.Series) -> pd.Series:
+        return map_texts(texts, walk)
+
+    return rows.withColumn("_hits", hits(body)).select(*rows.columns, F.inline("_hits"))

@@ -77,10 +77,11 @@ def attach_lookup(rows: DataFrame, key: Column, row_id: str, table: DataFrame, f
     return joined.withColumn(count, F.coalesce(count, F.lit(0)))
 
 
-def project_lookup(projects: DataFrame) -> DataFrame:
+def project_lookup(projects: DataFrame, kinds: Sequence[str] = ("ext", "name", "place")) -> DataFrame:
+    """Lookup rows of live projects for the wanted kinds of key only."""
     name, street = F.lower("project_name"), F.lower("street1")
-    keys = [_key("ext", F.col("ext_id")), _key("name", name), _key("place", name, street)]
-    return lookup_table(live_projects(projects), keys, "_project", "_count")
+    keys = {"ext": _key("ext", F.col("ext_id")), "name": _key("name", name), "place": _key("place", name, street)}
+    return lookup_table(live_projects(projects), [keys[k] for k in kinds], "_project", "_count")
 
 
 def _ext_key() -> Column:
@@ -96,13 +97,13 @@ def _name_key() -> Column:
 
 def resolve_by_ext_id(events: DataFrame, projects: DataFrame, row_id: str = "message_id") -> DataFrame:
     """Number of live projects with the event's external id, and the id of a single one."""
-    hits = attach_lookup(events, _ext_key(), row_id, project_lookup(projects), "_project", "_count")
+    hits = attach_lookup(events, _ext_key(), row_id, project_lookup(projects, ["ext"]), "_project", "_count")
     return _named(hits, "matches", "project_id")
 
 
 def resolve_by_name(events: DataFrame, projects: DataFrame, row_id: str = "message_id") -> DataFrame:
     """The same by name, and by street too where the event has one. Several candidates are never picked from."""
-    hits = attach_lookup(events, _name_key(), row_id, project_lookup(projects), "_project", "_count")
+    hits = attach_lookup(events, _name_key(), row_id, project_lookup(projects, ["name", "place"]), "_project", "_count")
     return _named(hits, "matches", "project_id")
 
 
@@ -241,7 +242,7 @@ def plan_entities_projects(
     `links` has `entity_id, project_id, archived`. The matched rows are read twice; `cut` may write them first.
     """
     rows = match_entity(proposals, entities, "proposal_id")
-    hits = attach_lookup(rows, _ext_key(), "proposal_id", project_lookup(projects), "_project", "_count")
+    hits = attach_lookup(rows, _ext_key(), "proposal_id", project_lookup(projects, ["ext"]), "_project", "_count")
     rows = _named(hits, "project_matches", "project_id")
     has_ext = F.coalesce("ext_id", F.lit("")) != ""
     key = entity_key(F.col("name"), F.col("email"), F.col("street"))

@@ -5,6 +5,8 @@ The current row of a key is its last version; nothing is updated in place.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +16,17 @@ from opslens.functions.scale import last_per_key
 STATUSES = ("pending", "ok", "error")
 
 
-def ledger_latest(log: DataFrame) -> DataFrame:
-    """Current row of every key: the last write replaces status, metadata and time."""
-    return last_per_key(log, ["key"], ["processed_at", "seq"], ["processed_at", "seq", "status", "metadata"])
+COLUMNS = ("processed_at", "seq", "status", "metadata")
+
+
+def ledger_latest(log: DataFrame, columns: Sequence[str] = COLUMNS) -> DataFrame:
+    """Current row of every key: the last write replaces status, metadata and time. Only `columns` are read and shuffled."""
+    return last_per_key(log, ["key"], ["processed_at", "seq"], list(columns))
 
 
 def unprocessed(items: DataFrame, log: DataFrame, key: str = "key") -> DataFrame:
     """Items whose latest status is not ok; pending and failed ones come back."""
-    done = ledger_latest(log).where(F.col("status") == "ok").select(F.col("key").alias("_done"))
+    done = ledger_latest(log, ["status"]).where(F.col("status") == "ok").select(F.col("key").alias("_done"))
     return items.join(done, items[key] == done["_done"], "left_anti")
 
 
@@ -33,7 +38,7 @@ def by_status(log: DataFrame, status: str) -> DataFrame:
 
 def status_counts(log: DataFrame) -> DataFrame:
     """Keys per status and a `total` row."""
-    counts = ledger_latest(log).rollup("status").agg(F.count("*").alias("keys"))
+    counts = ledger_latest(log, ["status"]).rollup("status").agg(F.count("*").alias("keys"))
     return counts.select(F.coalesce("status", F.lit("total")).alias("status"), "keys")
 
 
@@ -62,14 +67,14 @@ def metadata_has(path: str) -> Column:
 def reset_keys(log: DataFrame, keys: DataFrame) -> DataFrame:
     """New pending versions for the known ones of `keys`, remembering the previous status."""
     asked = keys.select("key").distinct()
-    current = ledger_latest(log).join(asked, "key", "left_semi")
+    current = ledger_latest(log, ["status", "seq"]).join(asked, "key", "left_semi")
     note = F.to_json(F.struct(F.lit("reset").alias("action"), F.col("status").alias("prev_status")))
     return current.select("key", F.lit("pending").alias("status"), note.alias("metadata"), F.col("seq").alias("prev_seq"))
 
 
 def backfill_keys(log: DataFrame) -> DataFrame:
     """Finished keys to sweep again; rows without a key are counted as skipped."""
-    done = ledger_latest(log).where(F.col("status").isin("ok", "error"))
+    done = ledger_latest(log, ["status"]).where(F.col("status").isin("ok", "error"))
     empty = F.coalesce("key", F.lit("")) == ""
     return done.select("key", "status", F.when(empty, "skipped").otherwise("labeled").alias("outcome"))
 

@@ -115,7 +115,8 @@ def project_share(turns: DataFrame, as_of: dt.date) -> DataFrame:
     day_total = projects.agg(F.coalesce(F.sum("total"), F.lit(0))).scalar()
     share = F.when(day_total > 0, F.col("total") / day_total).otherwise(F.lit(0.0))
     cut = F.when(F.length("label") <= 24, F.col("label")).otherwise(F.concat(F.substring("label", 1, 21), F.lit("…")))
-    return projects.select("project", cut.alias("label"), "total", share.alias("share"), band(share).alias("band"))
+    rows = projects.select("project", cut.alias("label"), "total", share.alias("share"), band(share).alias("band"))
+    return rows.orderBy(F.desc("total"), "project")
 
 
 def today_totals(daily: DataFrame, as_of: dt.date) -> DataFrame:
@@ -231,6 +232,22 @@ def usage_summary(turns: DataFrame, as_of: dt.date, excluded: Sequence[int] = ()
     )
 
 
+def usage_report(turns: DataFrame, as_of: dt.date, excluded: Sequence[int] = ()) -> DataFrame:
+    """The summary with the day's project breakdown: one row per project, largest first, or one row without a project.
+
+    Projects are as many as the day has, so they are rows, and the summary's single row goes to each of them as a literal.
+    """
+    summary = usage_summary(turns, as_of, excluded)
+    names = summary.columns
+    whole = summary.select(F.struct(*names).alias("s"))
+    columns = {"project": "project", "label": "project_label", "input": "project_input", "output": "project_output", "total": "project_total"}
+    projects = project_day(turns, as_of).select(*[F.col(a).alias(b) for a, b in columns.items()])
+    named = projects.withColumn("s", whole.scalar()).select("s.*", *columns.values())
+    silent = summary.where(projects.agg(F.count("*")).scalar() == 0)
+    silent = silent.select(*names, *[F.lit(None).cast(projects.schema[c].dataType).alias(c) for c in columns.values()])
+    return named.unionByName(silent).orderBy(F.desc("project_total"), "project")
+
+
 def limit_status(df: DataFrame, total: str, limit: str) -> DataFrame:
     """Percent of the limit, what remains, traffic-light band and bar length; null where there is no limit."""
     share = F.when(F.col(limit) > 0, F.col(total) / F.col(limit))

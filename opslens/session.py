@@ -32,13 +32,22 @@ def build_session(app: str = "opslens", master: str | None = None, shuffle_parti
     return builder.getOrCreate()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder for tables and checkpoints, in the shared folder the cluster names.
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder for tables and checkpoints, in the shared folder that spark.checkpoint.dir names.
 
-    Only where it names none, as in tests, a temporary folder of this machine is taken.
+    Executors on other machines do not see a local folder, so only a local master may do without the setting.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="opslens-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = os.path.join(tempfile.gettempdir(), "opslens")
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder under `scratch_root`. A finished application's root can be deleted as a whole."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:

@@ -201,6 +201,6 @@ def test_extension_points(spark):
     df = spark.createDataFrame([("u", "abc"), ("u", None), ("u", "")], "url STRING, body STRING")
     assert [(r.parsed, r.parse_error) for r in parsers.apply("len", df).collect()] == [('{"n": 3}', None), (None, None), (None, None)]
     prompts = spark.createDataFrame([(n, "p" * n) for n in range(100)], "item_id BIGINT, prompt STRING")
-    replies = score_batch(prompts, lambda texts: [str(len(t) + 0 * len(texts)) for t in texts], batch_size=7, concurrency=3)
+    replies = score_batch(prompts, lambda texts: [str(len(t) + 0 * len(texts)) for t in texts], batch_size=7, tasks=3)
     assert replies.rdd.getNumPartitions() == 3
     assert {r.item_id: r.reply for r in replies.collect()} == {n: str(n) for n in range(100)}
