@@ -15,11 +15,13 @@ def _filled(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) != ""
 
 
-def decide(events: DataFrame, phase: int) -> DataFrame:
-    """First rule that applies gives `action, target, rule, needs_human, source`.
+def decide(events: DataFrame, phase: int, note_prefix: str = "[Source] ") -> DataFrame:
+    """First rule that applies gives `action, target, rule, needs_human, source` and the payload `note_text, link`.
 
     Whatever no rule covers is queued for a model with action `ask_model`.
     """
+    mentions = F.when(F.size("mentioned_users") > 0, F.concat(F.lit("\n(Mentions: "), F.array_join("mentioned_users", ", "), F.lit(")")))
+    note = F.concat(F.lit(note_prefix), F.col("comment_text"), F.coalesce(mentions, F.lit("")))
     known = F.col("found")
     project = F.col("project_id").cast("string")
     identified = F.col("parse_complete") | _filled("ext_id") | (_filled("customer_name") & _filled("address"))
@@ -52,8 +54,9 @@ def decide(events: DataFrame, phase: int) -> DataFrame:
         (create, escalate("create without link")),
         (ignored, answer("ignore", "prompt for a person")),
     ]
-    decided = events.withColumn("_d", one_of(rules, answer("ask_model", "no rule", source="model")))
-    return decided.select("*", "_d.*").drop("_d")
+    decided = events.withColumn("_d", one_of(rules, answer("ask_model", "no rule", source="model"))).select("*", "_d.*").drop("_d")
+    payload = {"note_text": F.when(F.col("action") == "append_note", note), "link": F.when(F.col("action") == "create_project", F.col("tracking_url"))}
+    return decided.withColumns(payload)
 
 
 def ignore_shortcut(events: DataFrame, projects: DataFrame) -> DataFrame:
@@ -117,7 +120,10 @@ def merge_fetched(events: DataFrame, fetched: DataFrame, projects: DataFrame) ->
 
 
 def route_actions(decisions: DataFrame, mapped_types: tuple[str, ...]) -> DataFrame:
-    """End state of every decision: `ledger_status` (null leaves no ledger row), `detail`, `write_ok`.
+    """End state of every decision: `ledger_status` (null leaves no ledger row), `metadata` of that row, `detail`, `write_ok`.
+
+    The metadata is JSON: action, source and rule, the project of decisions on one, and the error of failed ones, as
+    far as the decisions have these columns.
 
     `forwarded, fetched_ext_id, is_accepted, crm_online, plan_ok` say how the outside steps went.
     """
@@ -141,8 +147,22 @@ def route_actions(decisions: DataFrame, mapped_types: tuple[str, ...]) -> DataFr
         (creating & F.col("plan_ok"), end("ok", "project ensured")),
         (creating, end("error", "plan failed", False)),
     ]
-    routed = decisions.withColumn("_end", one_of(rules, end("error", "unsupported action", False)))
-    return routed.select("*", "_end.*").drop("_end")
+    routed = decisions.withColumn("_end", one_of(rules, end("error", "unsupported action", False))).select("*", "_end.*").drop("_end")
+    failed = F.col("ledger_status") == "error"
+
+    def known(name: str) -> Column:
+        return F.col(name).cast("string") if name in decisions.columns else F.lit(None).cast("string")
+
+    metadata = F.to_json(
+        F.struct(
+            F.when(~failed, action).alias("action"),
+            known("source").alias("source"),
+            known("rule").alias("reasoning"),
+            F.when(~failed, known("project_id")).alias("project_id"),
+            F.when(failed, F.concat("detail", F.lit(" "), action)).alias("error"),
+        )
+    )
+    return routed.withColumn("metadata", F.when(F.col("ledger_status").isNotNull(), metadata))
 
 
 def visibility(decisions: DataFrame) -> DataFrame:

@@ -96,13 +96,20 @@ def _numeric(text: Column) -> Column:
     return text.try_cast("double")
 
 
-def extract_proposal(docs: DataFrame, fields: ProposalFields = ProposalFields()) -> DataFrame:
+def extract_proposal(docs: DataFrame, fields: ProposalFields = ProposalFields(), asked: DataFrame | None = None) -> DataFrame:
     """One row per project: the first document of every type is pivoted by one partial aggregate,
-    then each payload is read once with the schema of the wanted fields."""
+    then each payload is read once with the schema of the wanted fields.
+
+    Error rows: a project of `asked` (`project_id`, the responses that were awaited) without any response, one whose
+    responses hold neither initial data nor documents, and one without an order id and a person.
+    """
     picked = docs.groupBy("project_id").agg(
+        F.count_if(F.col("envelope").isin("init", "mget")).alias("_docs"),
         _first_doc("init", ORDER).alias("order"),
         *[_first_doc("mget", t).alias(a) for t, a in ((PERSON, "person"), (CONTRACT, "contract"), (JOB, "job"), (WARRANTY, "warranty"))],
     )
+    if asked is not None:
+        picked = asked.select("project_id").distinct().join(picked, "project_id", "left")
     parts = {"order": fields.order, "person": fields.person, "contract": fields.contract, "job": fields.job}
     values: dict[str, Column] = {}
     for part, names in parts.items():
@@ -123,7 +130,14 @@ def extract_proposal(docs: DataFrame, fields: ProposalFields = ProposalFields())
     values["person_ref"] = F.coalesce(values["person_ref"], person_id)
     signature = values.pop("contract_signature")
     empty_person = F.col("person").isNull() | (F.regexp_replace(F.col("person")["payload"], r"\s", "") == "{}")
-    error = F.when(F.col("order").isNull() & empty_person, F.lit("neither order nor person document"))
+    no_order_id = F.coalesce(F.col("order")["doc_id"], F.lit("")) == ""
+    error = one_of(
+        [
+            (F.col("_docs").isNull(), "no response"),
+            (F.col("_docs") == 0, "neither init data nor documents"),
+            (no_order_id & empty_person, "neither order nor person document"),
+        ]
+    )
     rows = picked.select(
         "project_id",
         error.alias("error"),

@@ -160,7 +160,8 @@ def fixture_fields():
 
 
 def extracted(spark, sf_dir):
-    return x.extract_proposal(view(spark, sf_dir, "capture_docs"), fixture_fields())
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("project_id"))
+    return x.extract_proposal(view(spark, sf_dir, "capture_docs"), fixture_fields(), asked)
 
 
 def plan(spark, sf_dir):
@@ -230,7 +231,8 @@ DECIDED = CTX + """, dec AS (SELECT *, CASE WHEN NOT (parse_complete OR ext_id I
  WHEN 'create by link' THEN 'create_project' WHEN 'prompt for a person' THEN 'ignore' WHEN 'no rule' THEN 'ask_model' ELSE 'escalate' END AS action,
  CASE WHEN rule IN ('comment', 'milestone', 'project exists') THEN CAST(project_id AS VARCHAR) WHEN rule = 'create by link' THEN tracking_url END AS target,
  rule IN ('unidentified', 'ambiguous', 'comment on unknown project', 'comment without text', 'milestone of unknown project', 'create without link') AS needs_human,
- CASE WHEN rule = 'no rule' THEN 'model' ELSE 'rule' END AS source FROM dec)"""
+ CASE WHEN rule = 'no rule' THEN 'model' ELSE 'rule' END AS source, CASE WHEN rule = 'comment' THEN '[Source] ' || comment_text || CASE WHEN len(regexp_extract_all(comment_text, '@([A-Za-z][A-Za-z0-9_]+)', 1)) > 0
+ THEN chr(10) || '(Mentions: ' || array_to_string(regexp_extract_all(comment_text, '@([A-Za-z][A-Za-z0-9_]+)', 1), ', ') || ')' ELSE '' END END AS note_text, CASE WHEN rule = 'create by link' THEN tracking_url END AS link FROM dec)"""
 DECIDED1 = DECIDED.replace("{phase}", "1")
 NOTED = """ SELECT message_id, project_id, '[Source] ' || comment_text || CASE WHEN len(names) > 0 THEN chr(10) || '(Mentions: ' || array_to_string(names, ', ') || ')' ELSE '' END AS content_text
  FROM (SELECT *, regexp_extract_all(comment_text, '@([A-Za-z][A-Za-z0-9_]+)', 1) AS names FROM decided WHERE action = 'append_note') n"""
@@ -257,7 +259,7 @@ def i15(spark, sf_dir):
     return i.outcome_by_key(plan(spark, sf_dir))
 
 
-R_COLS = ("message_id", "action", "target", "rule", "needs_human", "source")
+R_COLS = ("message_id", "action", "target", "rule", "needs_human", "source", "note_text", "link")
 
 
 @query("r01_decide_phase0", V, DECIDED.replace("{phase}", "0") + f" SELECT {', '.join(R_COLS)} FROM decided")
@@ -320,10 +322,13 @@ def routed(spark, sf_dir):
     return d.route_actions(rows, ("HIC Executed", "Install Date"))
 
 
-@query("r05_route_actions", V, ROUTED + """ SELECT message_id, detail, CASE WHEN detail IN ('offline', 'note appended', 'milestone set', 'nothing fetched') THEN NULL
- WHEN detail IN ('plan failed', 'unsupported action') THEN 'error' ELSE 'ok' END AS ledger_status, detail NOT IN ('nothing fetched', 'plan failed', 'unsupported action') AS write_ok FROM routed""")
+@query("r05_route_actions", V, ROUTED + """, ends AS (SELECT *, CASE WHEN detail IN ('offline', 'note appended', 'milestone set', 'nothing fetched') THEN NULL
+ WHEN detail IN ('plan failed', 'unsupported action') THEN 'error' ELSE 'ok' END AS ledger_status FROM routed)
+ SELECT message_id, detail, ledger_status, detail NOT IN ('nothing fetched', 'plan failed', 'unsupported action') AS write_ok, CASE ledger_status
+ WHEN 'ok' THEN '{"action":"' || action || '","source":"' || source || '","reasoning":"' || rule || '"' || CASE WHEN project_id IS NULL THEN '' ELSE ',"project_id":"' || project_id || '"' END || '}'
+ WHEN 'error' THEN '{"source":"' || source || '","reasoning":"' || rule || '","error":"' || detail || ' ' || action || '"}' END AS metadata FROM ends""")
 def r05(spark, sf_dir):
-    return routed(spark, sf_dir).select("message_id", "detail", "ledger_status", "write_ok")
+    return routed(spark, sf_dir).select("message_id", "detail", "ledger_status", "write_ok", "metadata")
 
 
 @query("r06_visibility", V, ROUTED + " SELECT message_id, NOT ((action = 'escalate' AND NOT forwarded) OR (action = 'ignore' AND source <> 'rule')) AS cleared FROM routed")
@@ -349,8 +354,9 @@ def r08(spark, sf_dir):
 X = ("capture_docs",)
 PIVOT = """piv AS (SELECT project_id, first(doc_id ORDER BY arrival) FILTER (WHERE envelope = 'init' AND type = 'custom.order1') AS ext_id, first(payload ORDER BY arrival) FILTER (WHERE envelope = 'init' AND type = 'custom.order1') AS o,
  first(doc_id ORDER BY arrival) FILTER (WHERE type = 'custom.homeowner') AS person_ref, first(payload ORDER BY arrival) FILTER (WHERE type = 'custom.homeowner') AS h,
- first(payload ORDER BY arrival) FILTER (WHERE type = 'custom.hic') AS c, first(payload ORDER BY arrival) FILTER (WHERE type = 'custom.job1') AS j FROM capture_docs GROUP BY project_id),
- ext AS (SELECT *, CASE WHEN o IS NULL AND h IS NULL THEN 'neither order nor person document' END AS error, TRY_CAST(o->>'$.price' AS DOUBLE) AS estimated_price,
+ first(payload ORDER BY arrival) FILTER (WHERE type = 'custom.hic') AS c, first(payload ORDER BY arrival) FILTER (WHERE type = 'custom.job1') AS j, count(*) AS docs FROM capture_docs GROUP BY project_id
+ UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, NULL, NULL, 0 FROM orders WHERE o_orderkey NOT IN (SELECT project_id FROM capture_docs)),
+ ext AS (SELECT *, CASE WHEN docs = 0 THEN 'no response' WHEN ext_id IS NULL AND h IS NULL THEN 'neither order nor person document' END AS error, TRY_CAST(o->>'$.price' AS DOUBLE) AS estimated_price,
  CASE WHEN TRY_CAST(o->>'$.markup' AS DOUBLE) = 0 OR o->>'$.markup' IS NULL THEN TRY_CAST(o->>'$.markup_alt' AS DOUBLE) ELSE TRY_CAST(o->>'$.markup' AS DOUBLE) END AS markup,
  regexp_replace(o->>'$.rep', '^.*__LOOKUP__', '') AS sales_rep_ref, h->>'$.stage' AS person_stage, h->>'$.copy' AS portal_code, h->>'$.email' AS email, c->>'$.status' AS contract_status,
  TRY_CAST(j->>'$.contract_price' AS DOUBLE) AS actual_contract_price, j->>'$.status' AS job_status FROM piv),

@@ -148,6 +148,10 @@ def test_weighted_rounding(spark):
     df = spark.createDataFrame([(*r, 1, "PASS") for r in rows], "item_id BIGINT, criterion STRING, score INT, confidence INT, verdict STRING")
     got = {r.item_id: (r.overall_score, r.unrounded_average) for r in a.weighted_score(df, [a.Criterion("a"), a.Criterion("b")]).collect()}
     assert got == {1: (6, 6.5), 2: (6, 5.5)}
+    prior = spark.createDataFrame([(1, 2, "FAIL"), (3, 9, "PASS")], "item_id BIGINT, overall_score INT, overall_verdict STRING")
+    kept = {r.item_id: r for r in a.weighted_score(df, [a.Criterion("a"), a.Criterion("b", weight=3.0)], prior).collect()}
+    assert set(kept) == {1, 3} and (kept[3].overall_score, kept[3].overall_verdict, kept[3].per_criterion) == (9, "PASS", None)
+    assert [tuple(p) for p in kept[1].per_criterion] == [("a", 6, 1.0, 6.0), ("b", 7, 3.0, 21.0)]
 
 
 def test_rounding_is_the_languages_own(spark):
@@ -165,7 +169,9 @@ def test_faces_and_bands(spark):
     assert got == [(10, "PASS", 85), (5, "MARGINAL", 55), (1, "FAIL", 80)]
     rows = [("sky", 0.6), ("sky", 0.61), ("text", 0.03), ("exposure", 29.9), ("exposure", 220.0), ("sharpness", 99.9), ("nope", 1.0)]
     got = [(r.kind, r.score, r.verdict) for r in a.score_measure(spark.createDataFrame(rows, "kind STRING, measure DOUBLE")).collect()]
-    assert got == [("sky", 7, "MARGINAL"), ("sky", 7, "PASS"), ("text", 4, "MARGINAL"), ("exposure", 2, "FAIL"), ("exposure", 10, "PASS"), ("sharpness", 3, "FAIL")]
+    assert got == [("sky", 7, "MARGINAL"), ("sky", 7, "PASS"), ("text", 4, "MARGINAL"), ("exposure", 2, "FAIL"), ("exposure", 10, "PASS"), ("sharpness", 3, "FAIL"), ("nope", None, None)]
+    faces = spark.createDataFrame([("faces", 2.0, 5.0), ("faces", 0.0, 3.0), ("faces", 0.0, None)], "kind STRING, measure DOUBLE, measure_low DOUBLE")
+    assert [(r.score, r.verdict, r.confidence) for r in a.score_measure(faces).collect()] == [(10, "PASS", 85), (5, "MARGINAL", 55), (1, "FAIL", 80)]
 
 
 def test_similarity_neutral_and_blend(spark):
