@@ -318,6 +318,92 @@ def weighted_score(scores: DataFrame, criteria: Sequence[Criterion], prior: Data
     return joined.withColumns(unchanged).drop("_score", "_verdict")
 
 
+def closest_names(cutoff: float):
+    """Pandas UDF over (key, names of its own request): the most similar name, null below the cutoff."""
+
+    def closest(keys: pd.Series, lists: pd.Series) -> pd.Series:
+        found: dict = {}
+        out = []
+        for key, names in zip(keys, lists, strict=True):
+            if not isinstance(key, str) or names is None:
+                out.append(None)
+                continue
+            asked = (key, tuple(names))
+            if asked not in found:
+                found[asked] = next(iter(difflib.get_close_matches(key, list(names), n=1, cutoff=cutoff)), None)
+            out.append(found[asked])
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(closest, T.StringType())
+
+
+def _of_criterion(criteria: Column, name: Column, field: str) -> Column:
+    """Field of the last criterion of that name in a request's array."""
+    return F.try_element_at(F.filter(criteria, lambda c: c["name"] == name), F.lit(-1))[field]
+
+
+def clean_request_scores(raw: DataFrame, criteria: DataFrame, key: str = "request_id") -> DataFrame:
+    """As `clean_scores`, with every item's own list: `criteria` has one row `key, criteria` per request (`parse_criteria`).
+
+    `raw` has `key` besides the columns of raw scores. The list travels with the rows of its items; rows of a request
+    without a list are kept under the keys they came with.
+    """
+    rows = raw.join(criteria.select(key, F.col("criteria").alias("_criteria")), key, "left")
+    names = F.transform("_criteria", lambda c: c["name"])
+    returned = F.col("returned_key")
+    exact = F.when(F.array_contains(names, returned), returned)
+    low = F.lower(strip(returned))
+    ignoring_case = F.get(F.filter(names, lambda n: F.lower(strip(n)) == low), F.lit(0))
+    rows = rows.withColumn("_sure", F.coalesce(exact, ignoring_case))
+    open_ = F.col("_sure").isNull() & F.col("_criteria").isNotNull()
+    similar = closest_names(FUZZY_CUTOFF)(F.when(open_, returned), F.when(open_, names))
+    cleaned = rows.select(
+        key, "item_id", F.coalesce("_sure", similar, returned).alias("criterion"), "crit_no",
+        clamp_score(F.col("raw_score")).alias("score"), clamp_confidence(F.col("raw_confidence")).alias("confidence"),
+    )
+    kept = last_per_key(cleaned, [key, "item_id", "criterion"], ["crit_no"], ["score", "confidence"])
+    return kept.withColumn("verdict", verdict(F.col("score")))
+
+
+def skip_request_dependents(scores: DataFrame, criteria: DataFrame, key: str = "request_id") -> DataFrame:
+    """As `skip_dependents`, with every item's own list of criteria; chains are climbed inside the row, cycles end where they began."""
+    lists = criteria.select(key, F.col("criteria").alias("_criteria"))
+    rows = scores.join(lists, key, "left")
+    listed = F.coalesce(F.exists("_criteria", lambda c: (c["name"] == F.col("criterion")) | (c["depends_on"] == F.col("criterion"))), F.lit(False))
+    others = [c for c in scores.columns if c not in (key, "item_id")]
+    alone = F.when(listed, "").otherwise(F.col("criterion"))
+    groups = rows.groupBy(key, "item_id", alone.alias("_alone")).agg(F.collect_list(F.struct(*others)).alias("_rows"))
+    passed = F.transform(F.filter("_rows", lambda r: r["verdict"] == "PASS"), lambda r: r["criterion"])
+    unfolded = groups.withColumn("_passed", passed).select(key, "item_id", "_passed", F.inline("_rows")).join(lists, key, "left")
+    none = F.lit(None).cast("string")
+
+    def parent(name: Column) -> Column:
+        return F.nullif(_of_criterion(F.col("_criteria"), name, "depends_on"), F.lit(""))
+
+    def climb(state: Column, _: Column) -> Column:
+        done = state["step"].isNull() | F.array_contains(state["chain"], state["step"])
+        further = F.struct(F.array_append(state["chain"], state["step"]).alias("chain"), parent(state["step"]).alias("step"))
+        return F.when(done, F.struct(state["chain"].alias("chain"), none.alias("step"))).otherwise(further)
+
+    start = F.struct(F.array().cast("array<string>").alias("chain"), parent(F.col("criterion")).alias("step"))
+    chain = F.aggregate("_criteria", start, climb, lambda state: F.when(state["step"].isNull() | F.array_contains(state["chain"], state["step"]), state["chain"]).otherwise(F.array_append(state["chain"], state["step"])))
+    skip = F.coalesce(F.size(F.array_except(chain, F.col("_passed"))) > 0, F.lit(False))
+    flagged = unfolded.withColumn("_skip", skip)
+    changed = {c: F.when(~F.col("_skip"), F.col(c)) for c in ("score", "confidence")}
+    changed["verdict"] = F.when(F.col("_skip"), "SKIPPED").otherwise(F.col("verdict"))
+    return flagged.select(*[changed.get(c, F.col(c)).alias(c) for c in scores.columns])
+
+
+def weighted_request_score(scores: DataFrame, criteria: DataFrame, key: str = "request_id") -> DataFrame:
+    """Weighted mean per request and item over the item's own list; items without a match have no row."""
+    rows = scores.join(criteria.select(key, F.col("criteria").alias("_criteria")), key)
+    weight = _of_criterion(F.col("_criteria"), F.col("criterion"), "weight")
+    used = rows.withColumn("weight", weight).where(F.col("weight").isNotNull() & (F.col("verdict") != "SKIPPED"))
+    sums = used.groupBy(key, "item_id").agg(F.sum(F.col("score") * F.col("weight")).alias("_sum"), F.sum("weight").alias("_weight"))
+    final = clamp(round_binary(F.col("_sum") / F.col("_weight"), 0), 1.0, 10.0).cast("int")
+    return sums.where(F.col("_weight") != 0).select(key, "item_id", final.alias("overall_score"), verdict(final).alias("overall_verdict"))
+
+
 def detector_overall(scored: DataFrame) -> DataFrame:
     """Overall verdict of the detector rows by number of failures, and their mean score."""
     scored = scored.where(F.col("score").isNotNull())

@@ -156,6 +156,44 @@ def a09(spark, sf_dir):
     return rows.withColumn("breakdown", F.array_join(F.transform("per_criterion", part), " ")).drop("per_criterion")
 
 
+def request_lists(spark, sf_dir):
+    """A criteria list per part: a chain, a cycle, a self-dependency or no dependency, all with names and weights of its own."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    first_parent = F.when(key % 4 == 1, ',"depends_on":"door shut"').when(key % 4 == 2, F.concat(F.lit(',"depends_on":"'), name, F.lit('"'))).otherwise("")
+    second_parent = F.when(key % 4 < 2, F.concat(F.lit(',"depends_on":"'), name, F.lit('"'))).otherwise("")
+    third_parent = F.when(key % 4 == 0, ',"depends_on":"door shut"').otherwise("")
+    raw = F.concat(
+        F.lit('[{"name":"'), name, F.lit('","weight":'), (key % 5 + 1).cast("string"), first_parent, F.lit('},{"name":"door shut","weight":0.5'), second_parent,
+        F.lit('},{"name":"floor dry","weight":2.25'), third_parent, F.lit("}]"),
+    )
+    return a.parse_criteria(table(spark, sf_dir, "part").select(key.alias("request_id"), raw.alias("raw"))).select("request_id", "criteria")
+
+
+def request_scores(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("request_id"), "p_name")
+    wide = view(spark, sf_dir, "scores").withColumn("request_id", 1 + F.col("item_id") % F.lit(parts.count())).join(parts, "request_id")
+    number = F.col("crit_no")
+    key = F.when(number == 1, F.concat(F.upper("p_name"), F.lit(" "))).when(number == 2, "door shut").when(number == 3, "flor dry").otherwise(F.concat(F.lit("zz"), number.cast("string")))
+    return wide.withColumn("returned_key", key).drop("p_name")
+
+
+@query("a21_criteria_per_request", S, """n AS (SELECT count(*) AS parts FROM part),
+ lists AS (SELECT p_partkey AS request_id, p_name AS name, CAST(p_partkey % 5 + 1 AS DOUBLE) AS weight, CASE p_partkey % 4 WHEN 1 THEN 'door shut' WHEN 2 THEN p_name END AS parent FROM part
+ UNION ALL SELECT p_partkey, 'door shut', 0.5, CASE WHEN p_partkey % 4 < 2 THEN p_name END FROM part UNION ALL SELECT p_partkey, 'floor dry', 2.25, CASE WHEN p_partkey % 4 = 0 THEN 'door shut' END FROM part),
+ judged AS (SELECT request_id, item_id, criterion, score, CASE WHEN score >= 7 THEN 'PASS' WHEN score >= 4 THEN 'MARGINAL' ELSE 'FAIL' END AS verdict FROM (SELECT p_partkey AS request_id, item_id, CASE crit_no WHEN 1 THEN p_name WHEN 2 THEN 'door shut' WHEN 3 THEN 'floor dry' ELSE 'zz' || CAST(crit_no AS VARCHAR) END AS criterion,
+ least(greatest(coalesce(CASE WHEN regexp_matches(raw_score, '^-?[0-9]+$') THEN CAST(raw_score AS INTEGER) END, 5), 1), 10) AS score FROM scores, n JOIN part ON p_partkey = 1 + item_id % parts) t),
+ up(request_id, name, ancestor, depth) AS (SELECT request_id, name, parent, 1 FROM lists WHERE parent IS NOT NULL UNION ALL SELECT u.request_id, u.name, l.parent, depth + 1 FROM up u JOIN lists l ON l.request_id = u.request_id AND l.name = u.ancestor WHERE l.parent IS NOT NULL AND depth < 4),
+ skips AS (SELECT DISTINCT j.item_id, j.criterion FROM judged j JOIN up ON up.request_id = j.request_id AND up.name = j.criterion LEFT JOIN judged d ON d.item_id = j.item_id AND d.criterion = up.ancestor WHERE coalesce(d.verdict, 'FAIL') <> 'PASS'),
+ final AS (SELECT j.request_id, j.item_id, j.criterion, CASE WHEN s.item_id IS NULL THEN j.score END AS score, CASE WHEN s.item_id IS NULL THEN j.verdict ELSE 'SKIPPED' END AS verdict FROM judged j LEFT JOIN skips s ON s.item_id = j.item_id AND s.criterion = j.criterion),
+ w AS (SELECT f.item_id, CAST(least(greatest(round_even(CAST(sum(score * weight) / sum(weight) AS DOUBLE), 0), 1), 10) AS INTEGER) AS overall_score FROM final f JOIN lists l ON l.request_id = f.request_id AND l.name = f.criterion WHERE verdict <> 'SKIPPED' GROUP BY f.item_id)
+ SELECT request_id, f.item_id, criterion, score, verdict, overall_score FROM final f LEFT JOIN w ON w.item_id = f.item_id""", recursive=True)
+def a21(spark, sf_dir):
+    lists = request_lists(spark, sf_dir)
+    scores = materialize(a.skip_request_dependents(a.clean_request_scores(request_scores(spark, sf_dir), lists), lists), "scores")
+    overall = a.weighted_request_score(scores, lists).select("item_id", "overall_score")
+    return scores.join(overall, "item_id", "left").select("request_id", "item_id", "criterion", "score", "verdict", "overall_score")
+
+
 @query("a10_detector_overall", ("measures",), MEASURED + """ SELECT item_id, CASE WHEN count(*) FILTER (WHERE verdict = 'FAIL') >= 2 THEN 'FAIL' WHEN count(*) FILTER (WHERE verdict = 'FAIL') = 1 THEN 'MARGINAL' ELSE 'PASS' END AS overall_verdict,
  CAST(round_even(avg(score), 0) AS INTEGER) AS overall_score FROM scored WHERE score IS NOT NULL GROUP BY item_id""")
 def a10(spark, sf_dir):
