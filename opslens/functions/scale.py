@@ -18,14 +18,14 @@ HOT_SHARE = 100_000
 HOT_ROWS = 200_000
 
 
-def mark_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Adds `_hot` to the rows of keys with more than `hot_rows` rows and more than 1/HOT_SHARE of all rows.
+def mark_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, hot_share: int = HOT_SHARE) -> DataFrame:
+    """Adds `_hot` to the rows of keys with more than `hot_rows` rows and more than 1/`hot_share` of all rows.
 
-    The counts are a narrow partial aggregate. No more than HOT_SHARE keys can pass the test, which bounds the
+    The counts are a narrow partial aggregate. No more than `hot_share` keys can pass the test, which bounds the
     broadcast whatever the data.
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    floor = F.greatest(F.lit(hot_rows), counts.agg(F.sum("_n") / HOT_SHARE).scalar())
+    floor = F.greatest(F.lit(hot_rows), counts.agg(F.sum("_n") / hot_share).scalar())
     hot = counts.where(F.col("_n") > floor).select(*keys, F.lit(True).alias("_hot"))
     return df.join(F.broadcast(hot), list(keys), "left")
 
@@ -69,8 +69,9 @@ def top_per_key(
 ) -> DataFrame:
     """First `k` rows of every key along a total `order`, exact.
 
-    Each map task already keeps only its own first `k` rows of a key; these meet in `salts` parts per key, and at
-    most `salts * k` rows per key meet in the last step. Which part a row is in cannot change the result.
+    The rows of a key are first ranked in `salts` parts, so at most `salts * k` of them meet in the last step. Up to
+    spark.sql.optimizer.windowGroupLimitThreshold (1000) each map task sends only its own first `k`; for a larger `k`
+    a part is shuffled whole. Which part a row is in cannot change the result.
     """
     parts = df.withColumn("_salt", F.spark_partition_id() % salts)
     local = Window.partitionBy(*keys, "_salt").orderBy(*order)

@@ -6,7 +6,7 @@ A capture has `session_id, arrival, path, seq, is_load, url, body`; `arrival` or
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,13 +26,19 @@ def doc_generation(captures: DataFrame, per_chunk: int = ARRIVALS_PER_CHUNK, hot
     return running_total(captures, ["session_id"], chunk, [F.col("arrival")], F.col("is_load").cast("int"), "gen", hot_rows)
 
 
-def dedup_captures(captures: DataFrame, per_chunk: int = ARRIVALS_PER_CHUNK, hot_rows: int = HOT_ROWS) -> DataFrame:
+def dedup_captures(
+    captures: DataFrame,
+    per_chunk: int = ARRIVALS_PER_CHUNK,
+    hot_rows: int = HOT_ROWS,
+    cut: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
     """First arrival of every (session, generation, seq). Rows without a body go, rows without a seq all stay.
 
     The winners are found on narrow rows by hash aggregation (a row without a seq is a key of its own); bodies
-    are shuffled once, for the join by session and arrival, which is unique and therefore even.
+    are shuffled once, for the join by session and arrival, which is unique and therefore even. The narrow rows are
+    read several times, for counts, ranks and winners; `cut` may write them first, so that the captures are read twice.
     """
-    narrow = captures.select("session_id", "arrival", "seq", "is_load", F.col("body").isNotNull().alias("_filled"))
+    narrow = cut(captures.select("session_id", "arrival", "seq", "is_load", F.col("body").isNotNull().alias("_filled")))
     keyed = doc_generation(narrow, per_chunk, hot_rows).where("_filled")
     numbered = F.col("seq").isNotNull()
     winners = keyed.groupBy("session_id", "gen", numbered.alias("_numbered"), F.coalesce("seq", "arrival").alias("_key")).agg(

@@ -13,6 +13,7 @@ from opslens.operators.proposals import ORDER
 from opslens.plans.registry import query
 from opslens.plans.usage import nested_logs
 from opslens.plans.views import table, view
+from opslens.session import materialize
 from opslens.session import scratch_path as scratch
 from opslens.sources import audit_sink, inventory, logs
 from opslens.sources.docs import read_docs
@@ -28,14 +29,19 @@ def captures(spark, sf_dir):
     return view(spark, sf_dir, "captures")
 
 
+def unique_captures(spark, sf_dir):
+    return c.dedup_captures(captures(spark, sf_dir), cut=lambda narrow: materialize(narrow, "narrow-captures"))
+
+
 @query("c01_doc_generation", C, GEN + " SELECT session_id, arrival, gen FROM gens")
 def c01(spark, sf_dir):
-    return c.doc_generation(captures(spark, sf_dir)).select("session_id", "arrival", "gen")
+    narrow = materialize(captures(spark, sf_dir).select("session_id", "arrival", "is_load"), "narrow-captures")
+    return c.doc_generation(narrow).select("session_id", "arrival", "gen")
 
 
 @query("c02_dedup_captures", C, GEN + " SELECT session_id, gen, arrival, path, seq, url, md5(body) AS body_md5 FROM dedup")
 def c02(spark, sf_dir):
-    rows = c.dedup_captures(captures(spark, sf_dir))
+    rows = unique_captures(spark, sf_dir)
     return rows.select("session_id", "gen", "arrival", "path", "seq", "url", F.md5("body").alias("body_md5"))
 
 
@@ -46,13 +52,13 @@ def c03(spark, sf_dir):
 
 @query("c04_bucket_first_match", C, GEN + " SELECT session_id, arrival, pattern FROM bucketed WHERE pattern IS NOT NULL")
 def c04(spark, sf_dir):
-    return c.bucket_first_match(c.dedup_captures(captures(spark, sf_dir)), PATTERNS).select("session_id", "arrival", "pattern")
+    return c.bucket_first_match(unique_captures(spark, sf_dir), PATTERNS).select("session_id", "arrival", "pattern")
 
 
 @query("c05_cap_per_bucket", C, GEN + """ SELECT session_id, arrival, pattern, rn FROM (SELECT *, row_number() OVER (PARTITION BY session_id, pattern ORDER BY arrival) AS rn
  FROM bucketed WHERE pattern IS NOT NULL) b WHERE rn <= 5""")
 def c05(spark, sf_dir):
-    bucketed = c.bucket_first_match(c.dedup_captures(captures(spark, sf_dir)), PATTERNS)
+    bucketed = c.bucket_first_match(unique_captures(spark, sf_dir), PATTERNS)
     return c.cap_per_bucket(bucketed, 5).select("session_id", "arrival", "pattern", "rn")
 
 
@@ -66,7 +72,7 @@ def c06(spark, sf_dir):
 
 @query("c07_seen_urls", C, GEN + " SELECT session_id, url, count(*) AS hits, min(arrival) AS first_arrival FROM dedup GROUP BY session_id, url")
 def c07(spark, sf_dir):
-    return c.seen_urls(c.dedup_captures(captures(spark, sf_dir)))
+    return c.seen_urls(unique_captures(spark, sf_dir))
 
 
 @query("c08_login_wall", C, """SELECT arrival, (seq % 9 = 0 AND seq IS NOT NULL) OR (arrival % 10 = 0) OR (arrival % 7 = 1) AS wall, url LIKE '%.org/%' AS on_login_page FROM captures""")
