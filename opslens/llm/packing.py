@@ -8,89 +8,77 @@ of slots over the patterns, and the pieces of that length take the slots by thei
 
 from __future__ import annotations
 
+import json
 import re
-import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslens.llm.tokens import chunks, column_bytes
 from opslens.session import materialize
 
 SEQUENCE = 2048
 END_ID = 1
-CACHED_WORDS = 800_000
 
 
-@lru_cache(maxsize=1)
-def _byte_level_pattern() -> tuple[re.Pattern, re.Pattern]:
-    """The public byte-level split pattern for Python's `re`, its classes spelled out from the Unicode categories, and the
-    characters it does not speak for: unassigned ones, and those beyond the basic plane, whose classes `re` tests slowly.
-    """
-    ranges: dict[str, list[list[int]]] = {"L": [], "N": [], "other": []}
-    for code in range(0x10000):
-        kind = unicodedata.category(chr(code))
-        key = "other" if kind in ("Cn", "Co", "Cs") else kind[0]
-        if key in ranges:
-            run = ranges[key]
-            if run and run[-1][1] == code - 1:
-                run[-1][1] = code
-            else:
-                run.append([code, code])
-    letter, number, unknown = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges[k]) for k in ("L", "N", "other"))
-    space = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-    split = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
-    return re.compile(split), re.compile(f"[{unknown}\U00010000-\U0010ffff]")
+# Fixed value: how the public byte-level vocabulary splits a text before merging.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+# white space is split by looking back from its end, which runs out of stack on very long stretches
+LONG_SPACE = re.compile(r"\s{1000}")
+
+
+def byte_of_symbol() -> dict[str, int]:
+    """The byte behind each symbol of a byte-level vocabulary: printable Latin-1 stands for itself, the rest is numbered from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [x for x in range(256) if x not in plain]
+    return {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(others)}
 
 
 class ByteEncoder:
     """Ids of whole texts as little-endian bytes.
 
-    A text is split into pretokens, and each distinct pretoken is encoded once by the tokenizer and remembered. Texts with
-    added tokens or with characters whose category depends on the Unicode version go to the tokenizer whole.
+    The merges of the tokenizer file run as ranks: a token of a trained byte-level vocabulary is always made by its own merge,
+    so merging the pair with the smallest id gives the tokenizer's ids. Texts that hold an added token or a very long
+    stretch of white space go to the tokenizer itself, as do all texts if the file is of another kind.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split, self.unknown = _byte_level_pattern()
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        parts: list[list[str] | None] = []
-        for text in texts:
-            whole = any(x in text for x in self.added) or not text.isascii() and self.unknown.search(text)
-            parts.append(None if whole else self.split.findall(text))
-        met = set().union(*(x for x in parts if x is not None))
-        new = list(met - self.known.keys())
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = list(met)
-        if new:
-            self.known.update(zip(new, self._ids(new), strict=True))
-        for text, words in zip(texts, parts, strict=True):
-            yield self._ids([text])[0] if words is None else b"".join(map(self.known.__getitem__, words))
+        with open(path, encoding="utf-8") as file:
+            kind = json.load(file)
+        split, model = kind["pre_tokenizer"] or {}, kind["model"]
+        plain = kind["normalizer"] is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        pairs = [x.split(" ") if isinstance(x, str) else x for x in model.get("merges", [])]
+        known = model.get("vocab", {})
+        ordered = all(known.get(a + b) == i for i, (a, b) in enumerate(pairs, len(known) - len(pairs) - sum(x in known for x in self.added)))
+        self.ranks = None
+        if plain and ordered and not model.get("end_of_word_suffix") and not model.get("ignore_merges"):
+            symbol = byte_of_symbol()
+            ranks = {bytes(symbol[c] for c in token): i for token, i in known.items() if token not in self.added}
+            self.ranks = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if self.ranks is None or any(x in text for x in self.added) or LONG_SPACE.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.ranks.encode_ordinary(text), dtype="<u4").tobytes()
 
 
 _encoders: dict[str, ByteEncoder] = {}
 
 
 def encoder(path: str) -> ByteEncoder:
-    """One encoder per worker process, with the words that it has met."""
+    """One encoder per worker process."""
     if path not in _encoders:
         _encoders[path] = ByteEncoder(path)
     return _encoders[path]
@@ -99,18 +87,13 @@ def encoder(path: str) -> ByteEncoder:
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, and _row, which numbers repeated rows apart."""
 
-    def encoded(codes: ByteEncoder, column: pa.Array) -> Iterator[tuple[int, bytes]]:
-        column = pc.fill_null(column, "")
-        for a, b in chunks(column_bytes(column)[1]):
-            yield from enumerate(codes.encode(column.slice(a, b - a).to_pylist()), a)
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = encoder(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             at, start, length, crc, total = [], [], [], [], []
-            for row, ids in encoded(codes, batch.column(1)):
-                ids += end
+            for row, text in enumerate(batch.column(1)):
+                ids = codes.encode(text.as_py() or "") + end
                 n = len(ids) // 4
                 for a in range(0, n, sequence):
                     piece = ids[4 * a : 4 * (a + sequence)]

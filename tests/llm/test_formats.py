@@ -75,7 +75,15 @@ HARD = [
 def test_byte_encoder_equals_the_tokenizer():
     model = Tokenizer.from_file(BYTE)
     want = [np.array(model.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in HARD]
-    assert list(ByteEncoder(BYTE).encode(HARD)) == want
+    codes = ByteEncoder(BYTE)
+    assert codes.ranks is not None
+    assert [codes.encode(x) for x in HARD] == want
+    for long in ("a" + " " * 300_000 + "b", "\n \t" * 100_000, "ab" * 200_000, "7" * 100_000, "é" * 100_000, "?!" * 100_000):
+        assert np.frombuffer(codes.encode(long), "<u4").tolist() == model.encode(long, add_special_tokens=False).ids
+    # another kind of file goes to the tokenizer whole
+    other, model = ByteEncoder(WORDS), Tokenizer.from_file(WORDS)
+    assert other.ranks is None
+    assert np.frombuffer(other.encode("Aé b"), "<u4").tolist() == model.encode("Aé b", add_special_tokens=False).ids
 
 
 def test_pack(spark):
