@@ -1,29 +1,28 @@
 """BPE encoding and decoding through a distinct-word table.
 
 Texts are split into words in blocks; a block keeps its texts as places in its own word list. The words of all blocks
-meet in buckets by hash, where every distinct word is encoded once, its ids joined to their pieces, and the answers go
-back to the blocks, which put them in the places of the words. No text is shuffled, and no table of all words is
-gathered anywhere.
+meet in buckets by hash, where every distinct word is encoded once. The ids go back to the blocks, are joined to their
+pieces there, and take the places of the words. No text is shuffled, only places and words, and no table of all words
+is gathered anywhere. Blocks depend on the input alone, so the two sides that read them see the same ones.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from opslens.llm.tokens import chunks, column_bytes
-from opslens.session import materialize
+from opslens.llm.repeats import parts_of, planes, unplanes
+from opslens.llm.tokens import BYTE_VALUES, Words, chunks, column_bytes, mix
 
-SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def _pack(data: bytes) -> bytes:
@@ -34,76 +33,125 @@ def _unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def split_blocks(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds. bucket -1: a block's ids, word counts and the codes of its words in order. Others: those words
-    of the block that belong to the bucket, joined by spaces, with their codes.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def block(name: str, ids: pa.Array, texts: pa.Array) -> Iterator[dict]:
-        counts, found = [], []
-        for text in texts.to_pylist():
-            words = SPLIT.findall(text or "")
-            counts.append(len(words))
-            found.extend(words)
-        codes, distinct = pd.factorize(np.array(found, dtype=object)) if found else (np.zeros(0, int), np.zeros(0, object))
-        # the commonest words get the smallest codes, which compress best
-        order = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")
-        place = np.empty(len(distinct), dtype=np.uint32)
-        place[order] = np.arange(len(distinct), dtype=np.uint32)
-        planes = place[codes].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-        yield {"block": name, "bucket": -1, "ids": ids, "counts": counts, "payload": _pack(planes), "codes": None}
-        distinct = distinct[order]
-        owner = (pd.util.hash_array(distinct, categorize=False) % np.uint64(buckets)).astype(np.int64) if len(distinct) else np.zeros(0, np.int64)
-        by_owner = np.argsort(owner, kind="stable")
-        for part in np.split(by_owner, np.flatnonzero(np.diff(owner[by_owner])) + 1):
-            if len(part):
-                steps = np.diff(part, prepend=0).astype("<u4")
-                yield {"block": name, "bucket": int(owner[part[0]]), "ids": None, "counts": None, "payload": _pack(" ".join(distinct[part]).encode()), "codes": _pack(steps.tobytes())}
+@dataclass
+class Block:
+    """Some texts as codes of their words. Code 0 is the commonest word; `words` has them in the order of the codes."""
+
+    name: str
+    first: int
+    counts: np.ndarray
+    codes: np.ndarray
+    words: list[bytes]
+    hashes: np.ndarray
+
+
+def read_blocks(batch: pa.RecordBatch, name: str) -> Iterator[Block]:
+    """The blocks of an Arrow batch (id, text): BLOCK_BYTES of text each, or one longer text."""
+    raw, offsets = column_bytes(batch.column(1))
+    for number, (a, b) in enumerate(chunks(offsets, BLOCK_BYTES)):
+        counts, one, two, starts, ends = [], [], [], [], []
+        for c, d in chunks(offsets[a : b + 1] - offsets[a]):
+            base = offsets[a + c]
+            words = Words(raw[base : offsets[a + d]], offsets[a + c : a + d + 1] - base)
+            counts.append(np.diff(words.text_offsets))
+            one.append(words.hashes())
+            two.append(words.hashes(BYTE_VALUES[1]))
+            starts.append(words.starts + base)
+            ends.append(words.ends + base)
+        one, two, starts, ends = map(np.concatenate, (one, two, starts, ends))
+        _, first, place, times = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
+        if (two != two[first][place]).any():  # two words of the block share 64 bits: tell them apart by 128
+            _, first, place, times = np.unique(np.column_stack([one, two]), axis=0, return_index=True, return_inverse=True, return_counts=True)
+            place = place.ravel()
+        order = np.argsort(-times, kind="stable")
+        code = np.empty(len(order), dtype=np.uint32)
+        code[order] = np.arange(len(order), dtype=np.uint32)
+        first = first[order]
+        words = [raw[s:e].tobytes() for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        yield Block(f"{name}-{number}", a, np.concatenate(counts), code[place], words, one[first])
+
+
+def named_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Each batch with a name of its own: its partition and its place there, the same whenever it is read."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get().partitionId()
+    for number, batch in enumerate(batches):
+        yield f"{task}-{number}", batch
+
+
+def block_words(texts: DataFrame, buckets: int) -> DataFrame:
+    """For every block and bucket the block's words of the bucket and their codes, as steps from one to the next."""
+    shape = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("codes", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        for name, batch in named_batches(batches):
+            for block in read_blocks(batch, name):
+                bucket = (mix(block.hashes) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                out = []
+                for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                    if len(part):
+                        words = b" ".join(block.words[i] for i in part.tolist())
+                        out.append({"block": block.name, "bucket": int(bucket[part[0]]), "words": _pack(words), "codes": _pack(planes(np.diff(part, prepend=0).astype(np.uint32)))})
+                yield pa.RecordBatch.from_pylist(out, schema=shape)
+
+    return texts.mapInArrow(work, "block string, bucket int, words binary, codes binary")
 
-        task, number = TaskContext.get().partitionId(), 0
-        types = [("block", pa.string()), ("bucket", pa.int32()), ("ids", pa.list_(batch_type[0])), ("counts", pa.list_(pa.int32())), ("payload", pa.binary()), ("codes", pa.binary())]
-        for batch in batches:
-            for a, b in chunks(column_bytes(batch.column(1))[1], BLOCK_BYTES):
-                rows = list(block(f"{task}-{number}", batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)))
-                number += 1
-                for row in rows:
-                    row["ids"] = None if row["ids"] is None else row["ids"].to_pylist()
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(types))
 
-    from pyspark.sql.pandas.types import to_arrow_type
+def block_codes(texts: DataFrame, kind: str) -> DataFrame:
+    """For every block the ids of its texts, their numbers of words, and the codes of these."""
+    shape = [pa.string(), pa.list_(to_arrow_type(texts.schema["_id"].dataType)), pa.list_(pa.int32()), pa.binary()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, batch in named_batches(batches):
+            for block in read_blocks(batch, name):
+                ids = batch.column(0).slice(block.first, len(block.counts)).to_pylist()
+                row = [[block.name], [ids], [block.counts.tolist()], [_pack(planes(block.codes))]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, shape, strict=True)], ["block", "ids", "counts", "payload"])
 
-    batch_type = [to_arrow_type(docs.schema[id_col].dataType)]
-    schema = f"block string, bucket int, ids array<{kind}>, counts array<int>, payload binary, codes binary"
-    return docs.select(id_col, text_col).mapInArrow(work, schema)
+    return texts.mapInArrow(work, f"block string, ids array<{kind}>, counts array<int>, payload binary")
 
 
-def encode_words(blocks: DataFrame, tokenizer: str, parts: int) -> DataFrame:
-    """For every block and bucket the codes with the ids and decoded pieces of their words; each distinct word of a bucket is encoded once."""
+def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
+    """For every block and bucket the codes with the numbers of ids and the ids of their words. Each distinct word is encoded once."""
+    shape = pa.schema([("block", pa.string()), ("codes", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(tokenizer)
-        pieces = {i: w for w, i in model.get_vocab(with_added_tokens=True).items()}
         rows = [row for batch in batches for row in batch.to_pylist()]
-        lists = [_unpack(row["payload"]).decode().split(" ") for row in rows]
+        lists = [_unpack(row.pop("words")).decode().split(" ") for row in rows]
         distinct = sorted(set().union(*lists))
-        ids, texts = {}, {}
+        ids: dict[str, bytes] = {}
         for a in range(0, len(distinct), 20_000):
             some = distinct[a : a + 20_000]
             for word, found in zip(some, model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids[word] = " ".join(map(str, found.ids))
-                texts[word] = " ".join(map(pieces.__getitem__, found.ids))
+                ids[word] = np.array(found.ids, dtype="<u4").tobytes()
         for row, words in zip(rows, lists, strict=True):
-            answer = "\n".join(map(ids.__getitem__, words)) + "\t" + "\n".join(map(texts.__getitem__, words))
-            yield pa.RecordBatch.from_pylist([{"block": row["block"], "codes": row["codes"], "answer": _pack(answer.encode())}])
+            parts = [ids[word] for word in words]
+            counts = np.array([len(x) // 4 for x in parts], dtype=np.uint32)
+            answer = {"counts": _pack(planes(counts)), "ids": _pack(planes(np.frombuffer(b"".join(parts), "<u4")))}
+            yield pa.RecordBatch.from_pylist([{"block": row["block"], "codes": row["codes"], **answer}], schema=shape)
 
-    dealt = blocks.where("bucket >= 0").select("block", "bucket", "payload", "codes").repartitionById(parts, "bucket")
-    return dealt.mapInArrow(work, "block string, codes binary, answer binary")
+    return words.mapInArrow(work, "block string, codes binary, counts binary, ids binary")
+
+
+_pieces: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def piece_table(tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
+    """For every id its decimal text and its piece; as long as the vocabulary."""
+    if tokenizer not in _pieces:
+        from tokenizers import Tokenizer
+
+        vocabulary = Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True)
+        pieces = np.full(max(vocabulary.values()) + 1, "", dtype=object)
+        for piece, i in vocabulary.items():
+            pieces[i] = piece
+        _pieces[tokenizer] = np.array([str(i) for i in range(len(pieces))], dtype=object), pieces
+    return _pieces[tokenizer]
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,38 +161,40 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     its decoding joins pieces by spaces. Null and empty texts have no ids. Repeated rows and null ids are encoded row
     by row; other columns are not read. Blocks hold BLOCK_BYTES of text, or one longer text.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = materialize(split_blocks(docs, parts, id_col, text_col), "word-blocks")
-    answers = encode_words(blocks, tokenizer, parts)
+    parts = parts_of(docs)
     kind = docs.schema[id_col].dataType
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    answers = encode_words(block_words(texts, parts).repartitionById(parts, "bucket"), tokenizer)
+    arrow_kind = to_arrow_type(kind)
 
     def work(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        held = left.to_pylist()
-        size = max((int(np.frombuffer(_unpack(c), "<u4").astype(np.int64).sum()) + 1 for c in right.column("codes").to_pylist()), default=0)
-        ids, texts = np.empty(size, dtype=object), np.empty(size, dtype=object)
+        numbers, pieces = piece_table(tokenizer)
+        found = []
         for row in right.to_pylist():
-            codes = np.cumsum(np.frombuffer(_unpack(row["codes"]), "<u4").astype(np.int64))
-            a, b = _unpack(row["answer"]).decode().split("\t")
-            ids[codes], texts[codes] = a.split("\n"), b.split("\n")
-        lengths = np.array([x.count(" ") + 1 if x else 0 for x in ids], dtype=np.int64)
+            codes = np.cumsum(unplanes(_unpack(row["codes"]), "<u4").astype(np.int64))
+            found.append((codes, unplanes(_unpack(row["counts"]), "<u4").astype(np.int64), unplanes(_unpack(row["ids"]), "<u4")))
+        size = max((int(c[-1]) + 1 for c, _, _ in found), default=0)
+        lengths = np.zeros(size, np.int64)
+        id_texts, piece_texts = np.full(size, "", dtype=object), np.full(size, "", dtype=object)
+        for codes, counts, ids in found:
+            lengths[codes] = counts
+            ends = np.cumsum(counts)
+            for table, out in ((numbers, id_texts), (pieces, piece_texts)):
+                joined = table[ids].tolist()
+                out[codes] = [" ".join(joined[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
         out = []
-        for row in held:
-            planes = np.frombuffer(_unpack(row["payload"]), np.uint8).reshape(4, -1)
-            codes = np.ascontiguousarray(planes.T).view("<u4").ravel()
+        for row in left.to_pylist():
+            codes = unplanes(_unpack(row["payload"]), "<u4")
             at = 0
             for doc, n in zip(row["ids"], row["counts"], strict=True):
                 some = codes[at : at + n]
                 at += n
-                id_text, piece_text = (" ".join(filter(None, table[some])) for table in (ids, texts))
-                out.append((doc, int(lengths[some].sum()) if n else 0, hashlib.sha256(id_text.encode()).hexdigest(), hashlib.sha256(piece_text.encode()).hexdigest()))
+                digests = [hashlib.sha256(" ".join(filter(None, table[some])).encode()).hexdigest() for table in (id_texts, piece_texts)]
+                out.append((doc, int(lengths[some].sum()) if n else 0, *digests))
         columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
         types = (arrow_kind, pa.int64(), pa.string(), pa.string())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow_kind = to_arrow_type(kind)
-    coded = blocks.where("bucket < 0").select("block", "ids", "counts", "payload").repartition(parts, "block")
+    coded = block_codes(texts, kind.simpleString()).repartition(parts, "block")
     joined = coded.groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block"))
     return joined.applyInArrow(work, f"`{id_col}` {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
