@@ -233,19 +233,15 @@ def usage_summary(turns: DataFrame, as_of: dt.date, excluded: Sequence[int] = ()
 
 
 def usage_report(turns: DataFrame, as_of: dt.date, excluded: Sequence[int] = ()) -> DataFrame:
-    """The summary with the day's project breakdown: one row per project, largest first, or one row without a project.
+    """The summary in a first row without a project, then the day's projects, largest first, in rows of their own.
 
-    Projects are as many as the day has, so they are rows, and the summary's single row goes to each of them as a literal.
+    Projects are as many as the day has, so they are rows and never one list.
     """
     summary = usage_summary(turns, as_of, excluded)
-    names = summary.columns
-    whole = summary.select(F.struct(*names).alias("s"))
     columns = {"project": "project", "label": "project_label", "input": "project_input", "output": "project_output", "total": "project_total"}
     projects = project_day(turns, as_of).select(*[F.col(a).alias(b) for a, b in columns.items()])
-    named = projects.withColumn("s", whole.scalar()).select("s.*", *columns.values())
-    silent = summary.where(projects.agg(F.count("*")).scalar() == 0)
-    silent = silent.select(*names, *[F.lit(None).cast(projects.schema[c].dataType).alias(c) for c in columns.values()])
-    return named.unionByName(silent).orderBy(F.desc("project_total"), "project")
+    rows = summary.unionByName(projects, allowMissingColumns=True)
+    return rows.orderBy(F.desc_nulls_first("project_total"), "project")
 
 
 def limit_status(df: DataFrame, total: str, limit: str) -> DataFrame:

@@ -157,7 +157,7 @@ summary AS (SELECT '2024-01-30' AS as_of, '2024-01-29' AS week_start, * FROM td,
 
 
 @query("u15_usage_summary", U, SUMMARY + PROJECTS.removeprefix(DONE) + """ SELECT summary.*, project, label AS project_label, input AS project_input, output AS project_output, total AS project_total
- FROM summary LEFT JOIN labelled ON true""")
+ FROM summary FULL JOIN labelled ON false""")
 def u15(spark, sf_dir):
     return as_text(usage.usage_report(turns(spark, sf_dir), AS_OF, WEEKEND), "as_of", "week_start")
 
