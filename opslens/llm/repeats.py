@@ -114,7 +114,7 @@ def window_runs(symbols: np.ndarray, offsets: np.ndarray, unit: Unit) -> Runs:
 
 def text_chunks(batch_column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     raw, offsets = column_bytes(batch_column)
-    for a, b in chunks(offsets, CHUNK_BYTES // 2):
+    for a, b in chunks(offsets, CHUNK_BYTES):
         yield a, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 

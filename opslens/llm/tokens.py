@@ -21,7 +21,7 @@ LOWER[65:91] += 32
 # odd, so it has an inverse modulo 2**64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _powers: list[np.ndarray] = []
 
