@@ -8,12 +8,15 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from opslens.llm import bpe
 from opslens.llm.bpe import encode_decode
 from opslens.llm.packing import ByteEncoder, pack, shortest_pack_first, slots
+from opslens.llm.tokens import BYTE_VALUES
 from opslens.llm.warc import LoserTree, archive_pages, parse_archive, url_key
 from tests.llm.helpers import SCHEMA, awkward, awkward_texts, sha
 
@@ -127,6 +130,20 @@ def test_patterns_place_everything_once():
             assert runs[0, 0] == 0 and (np.diff(runs[:, 0]) > 0).all() and runs[-1, 0] < histogram[length]
 
 
+def test_blocks_tell_colliding_words_apart(monkeypatch):
+    whole = bpe.Words.hashes
+    monkeypatch.setattr(bpe.Words, "hashes", lambda self, values=BYTE_VALUES[0]: whole(self, values) if values is BYTE_VALUES[1] else whole(self) % np.uint64(2))
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 20)
+    texts = ["b a a", None, "", "c  d\nb", "a", "é é a", "a b c d e f g h i j k l m n o p"]
+    batch = pa.RecordBatch.from_pydict({"_id": list(range(len(texts))), "_text": texts})
+    got = []
+    for block in bpe.read_blocks(batch, "x"):
+        ends = np.cumsum(block.counts)
+        got += [[block.words[c].decode() for c in block.codes[e - n : e]] for e, n in zip(ends, block.counts)]
+        assert len(set(block.words)) == len(block.words)
+    assert got == [(t or "").split() for t in texts]
+
+
 def test_encode_decode(spark):
     texts = awkward_texts() + [(500 + i, t) for i, t in enumerate(HARD)] + [(4, "one")]
     docs = spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 10_000).alias("doc_id"), "text")
