@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from opslens.llm.repeats import parts_of, planes, unplanes
 from opslens.llm.tokens import BYTE_VALUES, Words, chunks, column_bytes, mix
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def _pack(data: bytes) -> bytes:
