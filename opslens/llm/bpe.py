@@ -125,8 +125,8 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
         lists = [_unpack(row.pop("words")).decode().split(" ") for row in rows]
         distinct = sorted(set().union(*lists))
         ids: dict[str, bytes] = {}
-        for a in range(0, len(distinct), 20_000):
-            some = distinct[a : a + 20_000]
+        for a in range(0, len(distinct), 4_000):
+            some = distinct[a : a + 4_000]
             for word, found in zip(some, model.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 ids[word] = np.array(found.ids, dtype="<u4").tobytes()
         for row, words in zip(rows, lists, strict=True):
