@@ -59,6 +59,11 @@ class Unit:
     window: int
     gram: int
 
+    @property
+    def most(self) -> int:
+        """Windows of a run at most, unless the text is periodic."""
+        return self.window - self.gram + 1
+
     def symbols(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, Words | None]:
         """Symbol hashes, where each text's symbols begin, and the words if symbols are words."""
         if not self.words:
@@ -73,16 +78,29 @@ WORDS_50 = Unit(words=True, window=50, gram=12)
 
 @dataclass
 class Runs:
-    """Runs of windows with one anchor: text, first window (symbol place in the chunk), number of windows, anchor."""
+    """Runs of windows with one anchor: text, first window (symbol place in the chunk), number of windows, anchor, and how many
+    windows of the run follow those of a piece that was cut off.
+    """
 
     text: np.ndarray
     first: np.ndarray
     count: np.ndarray
     anchor: np.ndarray
+    after: np.ndarray
+
+    def times(self, symbols: np.ndarray, unit: Unit) -> np.ndarray:
+        """How often a run's anchor stands below its windows. Equal windows of a run have their anchors at different places."""
+        found = grams(symbols, unit.gram) & ANCHOR_BITS
+        out = np.zeros(len(self.first), dtype=np.int64)
+        reach = self.count + unit.window - unit.gram
+        for step in range(int(reach.max(initial=0))):
+            inside = np.flatnonzero(reach > step)
+            out[inside] += found[self.first[inside] + step] == self.anchor[inside]
+        return out
 
 
 def window_runs(symbols: np.ndarray, offsets: np.ndarray, unit: Unit) -> Runs:
-    width = unit.window - unit.gram + 1
+    width = unit.most
     anchors = window_min(grams(symbols, unit.gram), width) & ANCHOR_BITS
     n = len(anchors)
     valid = np.zeros(n + 1, dtype=np.int8)
@@ -103,13 +121,16 @@ def window_runs(symbols: np.ndarray, offsets: np.ndarray, unit: Unit) -> Runs:
     first, count = first[good], count[good]
     # runs over periodic text are long: cut them
     most = width
+    after = np.zeros(len(count), dtype=np.int64)
     if len(count) and count.max() > most:
         pieces = -(-count // most)
         inner = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first = np.repeat(first, pieces) + inner * most
-        count = np.minimum(np.repeat(count, pieces) - inner * most, most)
+        rest = np.repeat(count, pieces) - inner * most
+        count = np.minimum(rest, most)
+        after = rest - count
     text = np.searchsorted(offsets, first, side="right") - 1
-    return Runs(text, first, count, anchors[first])
+    return Runs(text, first, count, anchors[first], after)
 
 
 def text_chunks(batch_column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -122,9 +143,10 @@ def parts_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def repeated_anchors(docs: DataFrame, unit: Unit, blocks: int) -> DataFrame:
+def repeated_anchors(docs: DataFrame, unit: Unit, blocks: int, within: bool = False) -> DataFrame:
     """Packed rows (block, docs, anchors): which documents have which repeated anchors. Rows with block -1 name the hot
-    anchors and row -2 holds the number of all. `docs` has _id (long, not null) and _text.
+    anchors and row -2 holds the number of all. `docs` has _id (long, not null) and _text. With `within`, anchors that stand
+    twice in one document are repeated too, and places count instead of documents.
     """
     buckets = parts_of(docs)
     schema = "bucket int, anchors binary, docs binary, counts binary"
@@ -132,24 +154,28 @@ def repeated_anchors(docs: DataFrame, unit: Unit, blocks: int) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            found, owners = [], []
+            found, owners, times = [], [], []
             for row, raw, offsets in text_chunks(batch.column(1)):
                 symbols, places, _ = unit.symbols(raw, offsets)
                 runs = window_runs(symbols, places, unit)
                 found.append(runs.anchor)
                 owners.append(ids[row + runs.text])
+                times.append(runs.times(symbols, unit) if within else np.zeros(0, np.int64))
             if not found:
                 continue
             anchor, owner = np.concatenate(found), np.concatenate(owners)
             order = np.lexsort((owner, anchor))
             anchor, owner = anchor[order], owner[order]
+            places = np.concatenate(times)[order] if within else None
+            if within and len(anchor):
+                places = np.add.reduceat(places, np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])))
             new = np.ones(len(anchor), dtype=bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
             anchor, owner = anchor[new], owner[new]
             first = np.ones(len(anchor), dtype=bool)
             first[1:] = anchor[1:] != anchor[:-1]
             starts = np.flatnonzero(first)
-            count = np.diff(np.append(starts, len(anchor)))
+            count = places if within else np.diff(np.append(starts, len(anchor)))
             # one entry per anchor asks for the others; the documents behind it already know that it is repeated
             later = ~first
             rows = [("known", anchor[later], owner[later], None)] if later.any() else []
@@ -243,6 +269,7 @@ class Entries:
     count: np.ndarray
     size: np.ndarray
     data: bytes
+    times: np.ndarray | None = None
 
     def contents(self) -> list[bytes]:
         ends = np.cumsum(self.size).tolist()
@@ -251,12 +278,19 @@ class Entries:
 
 PASSAGE = pa.schema([("shard", pa.int32()), ("cover", pa.bool_()), ("cut", pa.binary()), ("doc", pa.binary()), ("start", pa.binary()), ("count", pa.binary()), ("size", pa.binary()), ("data", pa.binary())])
 PASSAGE_SQL = "shard int, cover boolean, cut binary, doc binary, start binary, count binary, size binary, data binary"
+#: and how often a passage stands in its block, or the passage (document, first symbol) that stands for a cover
+PLACED = pa.schema([*PASSAGE, ("times", pa.binary()), ("lead", pa.binary()), ("lead_start", pa.binary())])
+PLACED_SQL = f"{PASSAGE_SQL}, times binary, lead binary, lead_start binary"
 
 
-def passages(key, texts: pa.Table, found: pa.Table, unit: Unit, hot: np.ndarray, shards: int) -> pa.Table:
+def passages(key, texts: pa.Table, found: pa.Table, unit: Unit, hot: np.ndarray, shards: int, placed: bool = False) -> pa.Table:
     """Passages of one block of documents under windows with a repeated anchor, packed by shard; and covers, as rows with
     `cover`, of later documents whose passage also stands in an earlier document of the same block.
+
+    With `placed`, an equal passage of the same document is a cover too, every cover names the passage that stands for it,
+    and a piece of a periodic run shows what follows it, so that it has every stretch of `unit.most` windows that starts in it.
     """
+    schema = PLACED if placed else PASSAGE
     ids = texts.column("_id").to_numpy().astype(np.int64)
     want_doc, want_anchor = (np.concatenate([unplanes(x, k) for x in found.column(c).to_pylist()] or [np.zeros(0, k)]) for c, k in (("docs", "<i8"), ("anchors", "<u8")))
     wanted = np.unique(_pair(want_doc, want_anchor))
@@ -269,6 +303,7 @@ def passages(key, texts: pa.Table, found: pa.Table, unit: Unit, hot: np.ndarray,
         doc = ids[at + runs.text]
         asked = np.isin(_pair(doc, runs.anchor), wanted)
         doc, text, first, count, anchor = doc[asked], runs.text[asked], runs.first[asked], runs.count[asked], runs.anchor[asked]
+        after = np.minimum(runs.after[asked], unit.most - 1) if placed else np.zeros(len(doc), np.int64)
         if not len(doc):
             continue
         deal = anchor.copy()
@@ -284,32 +319,41 @@ def passages(key, texts: pa.Table, found: pa.Table, unit: Unit, hot: np.ndarray,
                 deal = np.concatenate([deal[~is_hot], Slices(symbols).hash(single, single + unit.window)])
                 first = np.concatenate([first[~is_hot], single])
                 count = np.concatenate([count[~is_hot], np.ones(len(single), count.dtype)])
-        end = first + count + unit.window - 1
+                after = np.concatenate([after[~is_hot], np.zeros(len(single), after.dtype)])
+        end = first + count + after + unit.window - 1
         a, b = (words.starts[first], words.ends[end - 1]) if words else (first, end)
         one = Slices(symbols).hash(first, end)
         two = Slices(BYTE_VALUES[1][raw]).hash(a, b) if not words else Slices(words.hashes(BYTE_VALUES[1])).hash(first, end)
         rows.append((doc, first - places[text], count, b - a, deal, one, two, np.full(len(doc), len(rows)), a))
         rows[-1] += (raw,)
     if not rows:
-        return PASSAGE.empty_table()
+        return schema.empty_table()
     raws = [r[-1] for r in rows]
     doc, start, count, size, deal, one, two, chunk, a = (np.concatenate([r[i] for r in rows]) for i in range(9))
     # equal passages of the block: the smallest document asks for all, the others are covered by it
     order = np.lexsort((start, doc, two, one))
     same = np.zeros(len(doc), dtype=bool)
     same[1:] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-    lead = np.maximum.accumulate(np.where(same, -1, np.arange(len(doc))))
-    is_cover = doc[order] > doc[order][lead]
+    if placed:
+        # rows that repeat an id and its text show a passage more than once
+        again = np.append(False, same[1:] & (doc[order][1:] == doc[order][:-1]) & (start[order][1:] == start[order][:-1]))
+        order, same = order[~again], same[~again]
+    lead = np.maximum.accumulate(np.where(same, -1, np.arange(len(order))))
+    is_cover = same if placed else doc[order] > doc[order][lead]
+    times = np.bincount(lead, minlength=len(order))[~is_cover]
     out = []
     covered = order[is_cover]
     if len(covered):
         out.append((int(key[0].as_py()) % shards, True, None, planes(doc[covered]), planes(start[covered].astype(np.int32)), planes(count[covered].astype(np.int32)), None, None))
+        if placed:
+            by_lead = order[lead[is_cover]]
+            out[-1] += (None, planes(doc[by_lead]), planes(start[by_lead].astype(np.int32)))
     asking = order[~is_cover]
     dealt = mix(deal[asking])
     shard = (dealt % np.uint64(shards)).astype(np.int64)
     cut = (dealt // np.uint64(shards) % np.uint64(CUTS)).astype(np.uint8)
     by = np.lexsort((one[asking], cut, shard))
-    asking, shard, cut = asking[by], shard[by], cut[by]
+    asking, shard, cut, times = asking[by], shard[by], cut[by], times[by]
     chunk_list, a_list, size_list = chunk.tolist(), a.tolist(), size.tolist()
     for part in np.split(np.arange(len(asking)), np.flatnonzero(np.diff(shard)) + 1):
         if len(part):
@@ -317,7 +361,9 @@ def passages(key, texts: pa.Table, found: pa.Table, unit: Unit, hot: np.ndarray,
             data = b"".join(raws[chunk_list[i]][a_list[i] : a_list[i] + size_list[i]].tobytes() for i in some.tolist())
             numbers = [planes(x[some].astype(np.int32)) for x in (start, count, size)]
             out.append((int(shard[part[0]]), False, cut[part].tobytes(), planes(doc[some]), *numbers, data))
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), PASSAGE.types, strict=True)], schema=PASSAGE)
+            if placed:
+                out[-1] += (planes(times[part].astype(np.int32)), None, None)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def _pair(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -328,21 +374,21 @@ def _pair(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
 Finder = Callable[[Entries, Unit], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def passage_frame(docs: DataFrame, unit: Unit, dealt: DataFrame | None = None) -> DataFrame:
-    """Packed passages, dealt by shard. `docs` has _id (long, not null) and _text."""
+def passage_frame(docs: DataFrame, unit: Unit, dealt: DataFrame | None = None, placed: bool = False) -> DataFrame:
+    """Packed passages, dealt by shard. `docs` has _id (long, not null) and _text. With `placed`, repeats within a document count too."""
     parts = blocks = shards = parts_of(docs)
-    found = materialize(repeated_anchors(docs, unit, blocks), "anchors")
+    found = materialize(repeated_anchors(docs, unit, blocks, placed), "anchors")
     hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(found))
     dealt = in_blocks(docs, blocks) if dealt is None else dealt
     asked = found.where("block >= 0").select(F.col("block").alias("_block"), "docs", "anchors")
 
     def cut(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return PASSAGE.empty_table()
-        return passages(key, left, right, unit, hot.value, shards)
+            return (PLACED if placed else PASSAGE).empty_table()
+        return passages(key, left, right, unit, hot.value, shards, placed)
 
     pairs = dealt.groupBy("_block").cogroup(asked.repartitionById(parts, "_block").groupBy("_block"))
-    return pairs.applyInArrow(cut, PASSAGE_SQL).repartitionById(parts, "shard")
+    return pairs.applyInArrow(cut, PLACED_SQL if placed else PASSAGE_SQL).repartitionById(parts, "shard")
 
 
 def find_covers(docs: DataFrame, unit: Unit, finder: Finder) -> tuple[DataFrame, DataFrame]:
@@ -387,7 +433,8 @@ def shard_entries(batches: Iterator[pa.RecordBatch], unit: Unit, covers: list[li
                 size = unplanes(row["size"], "<i4").astype(np.int64)
                 # entries stand in order of their cuts
                 bounds = np.searchsorted(np.frombuffer(row["cut"], np.uint8), np.arange(CUTS + 1))
-                held.append((bounds, doc, start, count, size, row["data"], np.append(0, np.cumsum(size))[bounds]))
+                times = unplanes(row["times"], "<i4").astype(np.int64) if row.get("times") else np.ones(len(doc), np.int64)
+                held.append((bounds, doc, start, count, size, times, row["data"], np.append(0, np.cumsum(size))[bounds]))
     total = np.zeros(CUTS, np.int64)
     for row in held:
         total += np.diff(row[-1])
@@ -398,8 +445,8 @@ def shard_entries(batches: Iterator[pa.RecordBatch], unit: Unit, covers: list[li
             last += 1
         if total[first:last].sum():
             some = [slice(b[first], b[last]) for b, *_ in held]
-            numbers = (np.concatenate([row[i][s] for row, s in zip(held, some, strict=True)]) for i in range(1, 5))
-            yield Entries(*numbers, b"".join(row[5][row[6][first] : row[6][last]] for row in held))
+            *numbers, times = (np.concatenate([row[i][s] for row, s in zip(held, some, strict=True)]) for i in range(1, 6))
+            yield Entries(*numbers, b"".join(row[6][row[7][first] : row[7][last]] for row in held), times)
         first = last
 
 

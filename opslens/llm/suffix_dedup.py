@@ -15,22 +15,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.repeats import BYTES_50, Entries, Unit, apply_covers, find_covers, passage_frame, shard_entries
+from opslens.llm.repeats import BYTES_50, Entries, Unit, apply_covers, block_of, find_covers, parts_of, passage_frame, planes, shard_entries, unplanes
 from opslens.llm.tokens import column_bytes
 
 NO_BYTE = 256
 
 
 class SuffixArray:
-    """Suffixes of some passages that start a window, in order. `depth[i]` is the common prefix of suffixes i and i + 1."""
+    """Suffixes of some passages that start a window, in order. `depth[i]` is the common prefix of suffixes i and i + 1, `most` bytes
+    at most.
+    """
 
-    def __init__(self, contents: list[bytes], windows: np.ndarray):
+    def __init__(self, contents: list[bytes], windows: np.ndarray, most: int | None = None):
         size = np.array([len(c) for c in contents], dtype=np.int64)
         base = np.cumsum(size) - size
         pool = np.frombuffer(b"".join(contents), dtype=np.uint8)
         owner = np.repeat(np.arange(len(contents)), windows)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
         at, rest = base[owner] + place, size[owner] - place
+        if most is not None:
+            rest = np.minimum(rest, most)
         width = int(rest.max(initial=8) + 7) // 8 * 8
         padded = np.concatenate([pool, np.zeros(width, np.uint8)])
         rows = np.lib.stride_tricks.sliding_window_view(padded, width)[at]
@@ -177,31 +181,109 @@ def untouched(named: DataFrame, summarise, schema: str) -> DataFrame:
     return named.where("_id is null").select("_id", F.coalesce("_text", F.lit("")).alias("_text")).mapInArrow(work, schema)
 
 
+GROUPS = pa.schema([("_block", pa.int32()), ("doc", pa.binary()), ("start", pa.binary()), ("place", pa.binary()), ("length", pa.binary()), ("repeat", pa.binary()), ("lead", pa.binary()), ("lead_start", pa.binary())])
+ROWS = 100_000
+
+
+def passage_groups(entries: Entries, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entry, place in it, length and digest (16 bytes) of every occurrence of the maximal repeats of some passages."""
+    contents, which, _, windows = distinct_passages(entries)
+    times = np.bincount(which, entries.times)
+    # a passage that stands in two places is there twice, so that its own suffixes are intervals
+    twice = np.flatnonzero(times > 1)
+    array = SuffixArray(contents + [contents[i] for i in twice.tolist()], np.append(windows, windows[twice]), unit.window + unit.most - 1)
+    first, last, value = maximal_groups(array, unit.window)
+    group, member = spread(first, last - first + 1)
+    once = array.owner[member] < len(contents)
+    group, member = group[once], member[once]
+    owner = np.where(array.owner < len(contents), array.owner, np.append(twice, 0)[np.maximum(array.owner - len(contents), 0)])
+    names = b"".join(hashlib.md5(contents[owner[a]][array.place[a] : array.place[a] + n]).digest() for a, n in zip(first.tolist(), value.tolist(), strict=True))
+    digest = np.frombuffer(names, "V16")
+    order = np.argsort(which, kind="stable")
+    from_, to = np.searchsorted(which[order], owner[member], side="left"), np.searchsorted(which[order], owner[member], side="right")
+    again, at = spread(from_, to - from_)
+    group = group[again]
+    return order[at], array.place[member][again], value[group], digest[group]
+
+
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: Unit = BYTES_50) -> DataFrame:
-    """The general output: every maximal repeat group with all its occurrences (repeat, length, id, start).
+    """The general output: repeat groups with all their occurrences (repeat, length, id, start), within a document and between documents.
+
+    Every window that stands in two places or more lies in a group that has exactly its occurrences, and every group has
+    all places of its bytes. A group is maximal within a run of windows with one anchor: longer repeats come as several
+    groups, one for each run, of `unit.window` to `unit.window + unit.most - 1` bytes; and where an anchor is hot, one for
+    each window. `repeat` is a hash of the repeated bytes. Rows without an id take no part; an id names one text.
 
-    Long repeats come as several groups, one for each run of windows. `repeat` is a hash of the repeated bytes; copies of a
-    passage inside one block are named by their first document.
+    The suffix array of a shard sees a passage once for each block. Groups then go to the blocks of their documents, where the
+    other places of the passages are, so no task gathers all occurrences of a group.
     """
     named = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
-    sent = passage_frame(named, unit)
+    blocks = parts_of(docs)
+    sent = passage_frame(named, unit, placed=True)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for entries in shard_entries(batches, unit, [[], [], []]):
-            contents, which, _, windows = distinct_passages(entries)
-            array = SuffixArray(contents, windows)
-            first, last, value = maximal_groups(array, unit.window)
-            group, member = spread(first, last - first + 1)
-            order = np.argsort(which, kind="stable")
-            owner, place = array.owner[member], array.place[member]
-            from_, to = np.searchsorted(which[order], owner, side="left"), np.searchsorted(which[order], owner, side="right")
-            again, at = spread(from_, to - from_)
-            entry = order[at]
-            names = [hashlib.md5(contents[array.owner[a]][array.place[a] : array.place[a] + n]).hexdigest() for a, n in zip(first.tolist(), value.tolist(), strict=True)]
-            group = group[again]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(names, dtype=object)[group] if len(group) else [], pa.string()), pa.array(value[group]), pa.array(entries.doc[entry]), pa.array(entries.start[entry] + place[again])],
-                ["repeat", "length", "_id", "start"],
-            )
-
-    return sent.mapInArrow(work, "repeat string, length long, _id long, start long").withColumnRenamed("_id", id_col)
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking = []
+        for batch in batches:
+            cover = batch.column("cover").to_numpy(zero_copy_only=False).astype(bool)
+            asking.append(batch.filter(pa.array(~cover)))
+            some = batch.filter(pa.array(cover))
+            if some.num_rows:
+                doc = some.column("doc")
+                # all covers of a row are of one block
+                block = [int(block_of(unplanes(x.as_py(), "<i8")[:1], blocks)[0]) for x in doc]
+                none = pa.nulls(some.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), doc, some.column("start"), none, none, none, some.column("lead"), some.column("lead_start")], schema=GROUPS)
+        for entries in shard_entries(iter(asking), unit, [[], [], []]):
+            entry, place, length, digest = passage_groups(entries, unit)
+            doc, start = entries.doc[entry], entries.start[entry]
+            block = block_of(doc, blocks)
+            order = np.argsort(block, kind="stable")
+            out = []
+            for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                if len(part):
+                    numbers = [planes(x[part].astype(np.int32)) for x in (start, place, length)]
+                    out.append((int(block[part[0]]), planes(doc[part]), *numbers, digest[part].tobytes(), None, None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), GROUPS.types, strict=True)], schema=GROUPS)
+
+    def place_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        covers: list[tuple] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                doc, start = unplanes(row["doc"], "<i8"), unplanes(row["start"], "<i4").astype(np.int64)
+                if row["lead"] is not None:
+                    covers.append((doc, start, unplanes(row["lead"], "<i8"), unplanes(row["lead_start"], "<i4").astype(np.int64)))
+                else:
+                    found.append((doc, start, *(unplanes(row[c], "<i4").astype(np.int64) for c in ("place", "length")), np.frombuffer(row["repeat"], "V16")))
+        if not found:
+            return
+        doc, start, place, length, digest = map(np.concatenate, zip(*found, strict=True))
+        none = (np.zeros(0, np.int64),) * 4
+        # every passage is its own lead
+        other, other_start, lead, lead_start = map(np.concatenate, zip(none, *covers, strict=True))
+        order = np.lexsort((start, doc))
+        doc, start, place, length, digest = doc[order], start[order], place[order], length[order], digest[order]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(doc)))
+        other, other_start = np.append(doc[begin], other), np.append(start[begin], other_start)
+        lead, lead_start = np.append(doc[begin], lead), np.append(start[begin], lead_start)
+        # rank of (document, start) among the passages that have groups
+        at = np.lexsort((np.append(np.zeros(len(begin), np.int8), np.ones(len(lead), np.int8)), np.append(start[begin], lead_start), np.append(doc[begin], lead)))
+        is_passage = at < len(begin)
+        rank = np.empty(len(at), np.int64)
+        rank[at] = np.cumsum(is_passage) - 1
+        rank = rank[len(begin) :]
+        good = (rank >= 0) & (doc[begin][rank] == lead) & (start[begin][rank] == lead_start)
+        other, other_start, rank = other[good], other_start[good], rank[good]
+        steps = np.searchsorted(np.cumsum(size[rank]), np.arange(0, int(size[rank].sum()) + ROWS, ROWS), side="right")
+        for a, b in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
+            which, row = spread(begin[rank[a:b]], size[rank[a:b]])
+            names = [x.hex() for x in digest[row].tolist()]
+            arrays = [pa.array(names, pa.string()), pa.array(length[row]), pa.array(other[a:b][which]), pa.array(other_start[a:b][which] + place[row])]
+            yield pa.RecordBatch.from_arrays(arrays, ["repeat", "length", "_id", "start"])
+
+    sql = "_block int, doc binary, start binary, place binary, length binary, repeat binary, lead binary, lead_start binary"
+    placed = sent.mapInArrow(find, sql).repartitionById(blocks, "_block")
+    return placed.mapInArrow(place_all, "repeat string, length long, _id long, start long").withColumn("_id", F.col("_id").cast(docs.schema[id_col].dataType)).withColumnRenamed("_id", id_col)

@@ -115,6 +115,38 @@ def test_repeat_groups_list_all_occurrences(spark):
         assert len({x[0] for x in found}) == 1 and len(set(found)) > 1 and len(found[0][0]) >= 50
 
 
+@pytest.mark.parametrize(("hot", "parts"), [(1000, 8), (1000, 1), (20, 3)])
+def test_repeat_groups_are_complete(spark, monkeypatch, hot, parts):
+    """Every repeated window lies in a group with just its places; every group has all places of its bytes."""
+    monkeypatch.setattr(repeats, "HOT_DOCS", hot)
+    base = " ".join(f"inner{k}" for k in range(30))
+    rows = [(i, t) for i, t in awkward_texts() if i not in (None, 7, 8)]
+    # exact copies, a passage twice in one document, and periodic texts of which a part stands elsewhere
+    rows += [(500 + i, " ".join(f"copy{k}" for k in range(50))) for i in range(9)] + [(520, f"{base} once more {base}")]
+    rows += [(530, "a" * 200), (531, "b" + "a" * 70 + "c"), (532, "ab" * 60), (533, "x" + "ab" * 33 + "y"), (534, "pqr" * 40)]
+    texts = {i: (t or "").encode() for i, t in rows}
+    places = collections.defaultdict(set)
+    for i, data in texts.items():
+        for p in range(len(data) - 49):
+            places[data[p : p + 50]].add((i, p))
+    monkeypatch.setattr(repeats, "parts_of", lambda df: parts)
+    monkeypatch.setattr("opslens.llm.suffix_dedup.parts_of", lambda df: parts)
+    df = spark.createDataFrame(rows + [(500, texts[500].decode())], helpers.SCHEMA).repartition(4)
+    groups = collections.defaultdict(list)
+    for r in maximal_repeats(df).collect():
+        groups[r.repeat, r.length].append((r.doc_id, r.start))
+    covered = collections.defaultdict(set)
+    for (_, n), found in groups.items():
+        i, p = found[0]
+        data = texts[i][p : p + n]
+        assert len(data) == n >= 50 and len(found) == len(set(found)) > 1
+        assert set(found) == {(j, q) for j, q in places[data[:50]] if texts[j][q : q + n] == data}
+        for d in range(n - 49):
+            covered[data[d : d + 50]].add(frozenset((j, q + d) for j, q in found))
+    repeated = {w: at for w, at in places.items() if len(at) > 1}
+    assert len(repeated) > 1000 and all(frozenset(at) in covered[w] for w, at in repeated.items())
+
+
 @pytest.mark.parametrize(("like", "hot", "block"), [(Likeness(), 20_000, 1024), (Likeness(5, 80, rows=4), 3, 4)])
 def test_near_classes(spark, monkeypatch, like, hot, block):
     monkeypatch.setattr(odd_minhash, "GROUP_BLOCK", block)
