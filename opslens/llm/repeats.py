@@ -36,7 +36,7 @@ ANCHOR_BITS = np.uint64(0xFFFFFFFFFFFF)
 HOT_DOCS = 1000
 CUTS = 64
 INDEX_BYTES = 2 << 20
-# and at least one in so many of all anchors, which bounds the list of hot anchors that every task gets
+# and at least one in so many of all pairs of anchor and document, which bounds the list of hot anchors that every task gets
 HOT_SHARE = 1_000_000
 
 
@@ -145,7 +145,7 @@ def parts_of(df: DataFrame) -> int:
 
 def repeated_anchors(docs: DataFrame, unit: Unit, blocks: int, within: bool = False) -> DataFrame:
     """Packed rows (block, docs, anchors): which documents have which repeated anchors. Rows with block -1 name the hot
-    anchors and row -2 holds the number of all. `docs` has _id (long, not null) and _text. With `within`, anchors that stand
+    anchors and row -2 holds the number of all pairs of anchor and document. `docs` has _id (long, not null) and _text. With `within`, anchors that stand
     twice in one document are repeated too, and places count instead of documents.
     """
     buckets = parts_of(docs)
@@ -233,7 +233,7 @@ def repeated_anchors(docs: DataFrame, unit: Unit, blocks: int, within: bool = Fa
         shared = np.repeat(total > 1, size)
         yield from packed(np.concatenate([owner[shared], known_o]), np.concatenate([anchor[shared], known_a.astype(np.uint64)]))
         hot = total >= HOT_DOCS
-        rows = [(-2, None, None, len(total))]
+        rows = [(-2, None, None, int(total.sum()))]
         if hot.any():
             rows.append((-1, planes(total[hot].astype(np.int64)), planes(anchor[starts][hot]), None))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), result.types, strict=True)], schema=result)
@@ -247,9 +247,9 @@ def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def hot_anchors(found: DataFrame) -> np.ndarray:
-    """Sorted anchors of at least HOT_DOCS documents that are also one in HOT_SHARE of all anchors: at most HOT_SHARE."""
+    """Sorted anchors of at least HOT_DOCS documents that also have one in HOT_SHARE of all pairs: at most HOT_SHARE."""
     total = found.where("block = -2").agg(F.sum("total")).first()[0] or 0
-    least = max(HOT_DOCS, total // HOT_SHARE)
+    least = max(HOT_DOCS, -(-total // HOT_SHARE))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -147,6 +147,19 @@ def test_repeat_groups_are_complete(spark, monkeypatch, hot, parts):
     assert len(repeated) > 1000 and all(frozenset(at) in covered[w] for w, at in repeated.items())
 
 
+def test_hot_anchors_are_bounded(spark, monkeypatch):
+    """Few texts, each copied often: every anchor stands in many documents, but no more than HOT_SHARE are hot."""
+    monkeypatch.setattr(repeats, "HOT_DOCS", 2)
+    rows = [(i, " ".join(f"text{i % 20}word{k}" for k in range(20))) for i in range(800)]
+    found = repeats.repeated_anchors(spark.createDataFrame(rows, "_id long, _text string").repartition(4), repeats.BYTES_50, 4).cache()
+    for share in (5, 50):
+        monkeypatch.setattr(repeats, "HOT_SHARE", share)
+        assert len(repeats.hot_anchors(found)) <= share
+    monkeypatch.setattr(repeats, "HOT_SHARE", 1_000_000)
+    assert len(repeats.hot_anchors(found)) > 50
+    found.unpersist()
+
+
 @pytest.mark.parametrize(("like", "hot", "block"), [(Likeness(), 20_000, 1024), (Likeness(5, 80, rows=4), 3, 4)])
 def test_near_classes(spark, monkeypatch, like, hot, block):
     monkeypatch.setattr(odd_minhash, "GROUP_BLOCK", block)
