@@ -324,8 +324,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words are compared without A-Z case. Null and empty texts have the empty set and link with nothing. A row with a null id
     has no component and is kept. An id names one text. Other columns are not read.
 
-    Band keys that more than `hot_bucket` classes share are replaced, for these classes, by the key together with each other
-    band key of theirs: a pair at the threshold shares at least two bands but for two cases in 100,000.
+    The classes of a band key that more than `hot_bucket` share are cut into blocks, and each two blocks meet in a bucket of their
+    own: no pair is lost, but the work for such a key grows with its square.
     """
     parts = parts_of(docs)
     named = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
@@ -336,14 +336,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = classes.select("_rep", "n_shingles", "_sketch", "_bands", F.explode("_bands").alias("_key"))
     counts = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
     counts = materialize(counts.where("_n > 1"), "buckets")
-    hot = counts.where(F.col("_n") > hot_bucket).select(F.col("_key").alias("_hot"))
+    hot = counts.where(F.col("_n") > hot_bucket).select(F.col("_key").alias("_hot"), F.ceil(2 * F.col("_n") / F.lit(hot_bucket)).cast("int").alias("_blocks"))
     plain = keyed.select("_key", "_rep", "n_shingles", "_sketch")
     if not hot.isEmpty():
         # at most bands / hot_bucket of the classes can be hot keys
         split = keyed.join(F.broadcast(hot), keyed["_key"] == hot["_hot"], "left")
-        finer = split.where("_hot is not null").select("_rep", "n_shingles", "_sketch", "_key", F.explode("_bands").alias("_other")).where("_other <> _key")
-        finer = finer.select(F.xxhash64(F.least("_key", "_other"), F.greatest("_key", "_other")).alias("_key"), "_rep", "n_shingles", "_sketch").distinct()
-        plain = split.where("_hot is null").select(*plain.columns).unionByName(finer)
+        mine = F.pmod(F.xxhash64("_rep"), F.col("_blocks").cast("long")).cast("int")
+        met = split.where("_hot is not null").withColumn("_mine", mine).withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)"))).where("_other <> _mine")
+        met = met.select(F.xxhash64("_key", F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias("_key"), "_rep", "n_shingles", "_sketch")
+        plain = split.where("_hot is null").select(*plain.columns).unionByName(met)
     groups = materialize(candidate_groups(plain.repartition(parts, "_key"), like), "groups")
     roots = components(confirm(named.where("_id is not null"), groups, like))
     of_class = classes.select("_h1", "_h2", "n_shingles", "_rep").join(roots, F.col("_rep") == F.col("_node"), "left")

@@ -177,6 +177,14 @@ def test_near_classes(spark, monkeypatch, like, hot, block):
     assert near_classes(df.limit(0), like=like).count() == 0
 
 
+def test_hot_band_keys_lose_no_pair(spark):
+    """With one band no second key is left for the classes of a hot one."""
+    df = some_documents(spark)
+    like = Likeness(bands=1, rows=1)
+    want, got = ({r.doc_id: r.component_id for r in near_classes(df, like=like, hot_bucket=hot).collect()} for hot in (20_000, 3))
+    assert got == want and len(set(want.values())) < len(want) - 20
+
+
 def test_exact_links_count_pairs():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 40, 30)).astype(np.uint64) for _ in range(25)]
