@@ -294,15 +294,18 @@ def weighted_score(scores: DataFrame, criteria: Sequence[Criterion], prior: Data
     `prior` has `item_id, overall_score, overall_verdict` of all items: those without a matched criterion keep these
     and have no breakdown. Without it they have no row. The breakdown is never longer than the list of criteria.
     """
-    parts = weighted_parts(scores, criteria)
+    return _weighted_means(weighted_parts(scores, criteria), ["item_id"], prior)
+
+
+def _weighted_means(parts: DataFrame, keys: list[str], prior: DataFrame | None) -> DataFrame:
     breakdown = F.sort_array(F.collect_list(F.struct("criterion", "score", "weight", "contribution")))
-    sums = parts.groupBy("item_id").agg(
+    sums = parts.groupBy(*keys).agg(
         F.sum(F.col("score") * F.col("weight")).alias("_sum"), F.sum("weight").alias("_weight"), breakdown.alias("per_criterion")
     )
     mean = F.col("_sum") / F.col("_weight")
     final = clamp(round_binary(mean, 0), 1.0, 10.0).cast("int")
     weighted = sums.where(F.col("_weight") != 0).select(
-        "item_id",
+        *keys,
         final.alias("overall_score"),
         verdict(final).alias("overall_verdict"),
         round_binary(F.col("_weight"), 4).alias("total_weight"),
@@ -312,8 +315,8 @@ def weighted_score(scores: DataFrame, criteria: Sequence[Criterion], prior: Data
     )
     if prior is None:
         return weighted
-    kept = prior.select("item_id", F.col("overall_score").alias("_score"), F.col("overall_verdict").alias("_verdict"))
-    joined = kept.join(weighted, "item_id", "left")
+    kept = prior.select(*keys, F.col("overall_score").alias("_score"), F.col("overall_verdict").alias("_verdict"))
+    joined = kept.join(weighted, keys, "left")
     unchanged = {"overall_score": F.coalesce("overall_score", "_score"), "overall_verdict": F.coalesce("overall_verdict", "_verdict")}
     return joined.withColumns(unchanged).drop("_score", "_verdict")
 
@@ -394,14 +397,13 @@ def skip_request_dependents(scores: DataFrame, criteria: DataFrame, key: str = "
     return flagged.select(*[changed.get(c, F.col(c)).alias(c) for c in scores.columns])
 
 
-def weighted_request_score(scores: DataFrame, criteria: DataFrame, key: str = "request_id") -> DataFrame:
-    """Weighted mean per request and item over the item's own list; items without a match have no row."""
+def weighted_request_score(scores: DataFrame, criteria: DataFrame, key: str = "request_id", prior: DataFrame | None = None) -> DataFrame:
+    """As `weighted_score` per request and item, over the item's own list. `prior` has `key` besides its other columns."""
     rows = scores.join(criteria.select(key, F.col("criteria").alias("_criteria")), key)
     weight = _of_criterion(F.col("_criteria"), F.col("criterion"), "weight")
     used = rows.withColumn("weight", weight).where(F.col("weight").isNotNull() & (F.col("verdict") != "SKIPPED"))
-    sums = used.groupBy(key, "item_id").agg(F.sum(F.col("score") * F.col("weight")).alias("_sum"), F.sum("weight").alias("_weight"))
-    final = clamp(round_binary(F.col("_sum") / F.col("_weight"), 0), 1.0, 10.0).cast("int")
-    return sums.where(F.col("_weight") != 0).select(key, "item_id", final.alias("overall_score"), verdict(final).alias("overall_verdict"))
+    parts = used.withColumn("contribution", round_binary(F.col("score") * F.col("weight"), 4))
+    return _weighted_means(parts, [key, "item_id"], prior)
 
 
 def detector_overall(scored: DataFrame) -> DataFrame:

@@ -154,6 +154,17 @@ def test_weighted_rounding(spark):
     assert [tuple(p) for p in kept[1].per_criterion] == [("a", 6, 1.0, 6.0), ("b", 7, 3.0, 21.0)]
 
 
+def test_request_scores_keep_prior_and_breakdown(spark):
+    lists = a.parse_criteria(spark.createDataFrame([(7, '[{"name":"a","weight":1},{"name":"b","weight":3}]'), (8, '[{"name":"c","weight":1}]')], "request_id BIGINT, raw STRING"))
+    rows = [(7, 1, "a", 6, "MARGINAL"), (7, 1, "b", 7, "PASS"), (8, 2, "a", 5, "MARGINAL"), (8, 3, "c", None, "SKIPPED"), (9, 4, "a", 3, "FAIL")]
+    df = spark.createDataFrame(rows, "request_id BIGINT, item_id BIGINT, criterion STRING, score INT, verdict STRING")
+    prior = spark.createDataFrame([(7, 1, 2, "FAIL"), (8, 2, 9, "PASS"), (8, 3, 4, "MARGINAL"), (9, 4, 1, "FAIL")], "request_id BIGINT, item_id BIGINT, overall_score INT, overall_verdict STRING")
+    got = {(r.request_id, r.item_id): r for r in a.weighted_request_score(df, lists, prior=prior).collect()}
+    assert {k: (r.overall_score, r.overall_verdict) for k, r in got.items()} == {(7, 1): (7, "PASS"), (8, 2): (9, "PASS"), (8, 3): (4, "MARGINAL"), (9, 4): (1, "FAIL")}
+    assert [tuple(p) for p in got[7, 1].per_criterion] == [("a", 6, 1.0, 6.0), ("b", 7, 3.0, 21.0)] and got[8, 2].per_criterion is None
+    assert {r.item_id for r in a.weighted_request_score(df, lists).collect()} == {1}
+
+
 def test_rounding_is_the_languages_own(spark):
     rnd = random.Random(5)
     values = [n / 2000 for n in range(0, 21001, 7)] + [rnd.uniform(0, 100) for _ in range(500)] + [2.675, 0.4445, 0.5, 1.5, 6.35, 6.25, 0.0]
