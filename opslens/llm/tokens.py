@@ -94,10 +94,10 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 class Words:
     """The words of some texts: byte range and hash of each, and where each text's words begin."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False, separator: np.ndarray = SEPARATOR):
         self.raw = LOWER[raw] if lower else raw
         self.offsets = offsets
-        inside = ~SEPARATOR[raw]
+        inside = ~separator[raw]
         first = np.zeros(len(raw) + 1, dtype=bool)
         first[offsets] = True
         before = np.empty_like(inside)
@@ -117,6 +117,14 @@ class Words:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.text_offsets))
 
+    def coded(self) -> tuple[np.ndarray, pa.Array]:
+        """For every word its place in the list of distinct words, and that list. Words are told apart by their bytes."""
+        ends = np.zeros(len(self.starts) + 1, dtype=np.int64)
+        np.cumsum(self.ends - self.starts, out=ends[1:])
+        column = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(self.raw[self.inside]))])
+        found = column.dictionary_encode()
+        return found.indices.to_numpy(), found.dictionary
+
 
 def grams(symbols: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k symbols that start at each place (len - k + 1 of them)."""
