@@ -1,141 +1,140 @@
 """BPE encoding and decoding through a distinct-word table.
 
-Texts are split into words in blocks; a block keeps its texts as places in its own word list. The words of all blocks
-meet in buckets by hash, where every distinct word is encoded once. The ids go back to the blocks, are joined to their
-pieces there, and take the places of the words. No text is shuffled, only places and words, and no table of all words
-is gathered anywhere. Blocks depend on the input alone, so the two sides that read them see the same ones.
+Texts are split into words once, an Arrow batch at a time, and written: a batch keeps its texts as places in its own list of
+words, and that list. The words of all batches meet in buckets by hash, where every distinct word is encoded once. The ids
+go back to the batches, are looked up among the pieces there, and take the places of the words. No text is shuffled, only
+places and words, and no table of all words is gathered anywhere. Words are told apart by their bytes at every step.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from xxhash import xxh3_64_intdigest
 
 from opslens.llm.repeats import parts_of, planes, unplanes
-from opslens.llm.tokens import BYTE_VALUES, Words, chunks, column_bytes, mix
+from opslens.llm.tokens import Words, chunks, column_bytes, give_back
+from opslens.session import materialize
 
-BLOCK_BYTES = 6 << 20
+#: words of a written row, or one text with more
+ROW_WORDS = 1 << 20
+#: words that are encoded at a time
+ENCODED = 4_000
 
 
 def _pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=6).compress(data)
 
 
 def _unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-@dataclass
-class Block:
-    """Some texts as codes of their words. Code 0 is the commonest word; `words` has them in the order of the codes."""
+def read_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of an Arrow batch (id, text) the number of words of each text, their codes, and the distinct words in the order of the codes.
 
-    name: str
-    first: int
-    counts: np.ndarray
-    codes: np.ndarray
-    words: list[bytes]
-    hashes: np.ndarray
+    Code 0 is the commonest word; words as frequent as each other are in order. Texts are read in pieces of 1 MB, or one longer text.
+    """
+    raw, offsets = column_bytes(batch.column(1))
+    counts, codes, lists, known = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [pa.array([], pa.large_binary())], 0
+    for a, b in chunks(offsets):
+        words = Words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        found, distinct = words.coded()
+        counts.append(np.diff(words.text_offsets).astype(np.int32))
+        codes.append(found.astype(np.int32) + np.int32(known))
+        lists.append(distinct)
+        known += len(distinct)
+    # the lists of the pieces become one
+    joined = pa.concat_arrays(lists).dictionary_encode()
+    place = joined.indices.to_numpy()[np.concatenate(codes)]
+    # by frequency, so that codes are short, and by their bytes, so that most lists compress well
+    order = pc.sort_indices(joined.dictionary).to_numpy().astype(np.int64)
+    order = order[np.argsort(-np.bincount(place, minlength=len(joined.dictionary))[order], kind="stable")]
+    code = np.empty(len(order), dtype=np.uint32)
+    code[order] = np.arange(len(order), dtype=np.uint32)
+    return np.concatenate(counts), code[place], joined.dictionary.take(pa.array(order)).to_pylist()
+
+
+def write_words(texts: DataFrame, kind: str) -> DataFrame:
+    """For every batch rows of some of its texts: the batch's name, their ids, their numbers of words and the codes of these; the first has the batch's words."""
+    schema = f"batch string, ids array<{kind}>, counts array<int>, payload binary, words binary"
+    shape = [pa.string(), pa.list_(to_arrow_type(texts.schema["_id"].dataType)), pa.list_(pa.int32()), pa.binary(), pa.binary()]
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def read_blocks(batch: pa.RecordBatch, name: str) -> Iterator[Block]:
-    """The blocks of an Arrow batch (id, text): BLOCK_BYTES of text each, or one longer text."""
-    raw, offsets = column_bytes(batch.column(1))
-    for number, (a, b) in enumerate(chunks(offsets, BLOCK_BYTES)):
-        counts, one, two, starts, ends = [], [], [], [], []
-        for c, d in chunks(offsets[a : b + 1] - offsets[a]):
-            base = offsets[a + c]
-            words = Words(raw[base : offsets[a + d]], offsets[a + c : a + d + 1] - base)
-            counts.append(np.diff(words.text_offsets))
-            one.append(words.hashes())
-            two.append(words.hashes(BYTE_VALUES[1]))
-            starts.append(words.starts + base)
-            ends.append(words.ends + base)
-        one, two, starts, ends = map(np.concatenate, (one, two, starts, ends))
-        _, first, place, times = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
-        if (two != two[first][place]).any():  # two words of the block share 64 bits: tell them apart by 128
-            _, first, place, times = np.unique(np.column_stack([one, two]), axis=0, return_index=True, return_inverse=True, return_counts=True)
-            place = place.ravel()
-        order = np.argsort(-times, kind="stable")
-        code = np.empty(len(order), dtype=np.uint32)
-        code[order] = np.arange(len(order), dtype=np.uint32)
-        first = first[order]
-        words = [raw[s:e].tobytes() for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        yield Block(f"{name}-{number}", a, np.concatenate(counts), code[place], words, one[first])
-
-
-def named_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
-    """Each batch with a name of its own: its partition and its place there, the same whenever it is read."""
-    from pyspark import TaskContext
-
-    task = TaskContext.get().partitionId()
-    for number, batch in enumerate(batches):
-        yield f"{task}-{number}", batch
-
-
-def block_words(texts: DataFrame, buckets: int) -> DataFrame:
-    """For every block and bucket the block's words of the bucket and their codes, as steps from one to the next."""
-    shape = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("codes", pa.binary())])
+        task = TaskContext.get().partitionId()
+        for number, batch in enumerate(batches):
+            counts, codes, words = read_words(batch)
+            listed = _pack(b" ".join(words))
+            ends = np.append(0, np.cumsum(counts, dtype=np.int64))
+            for a, b in chunks(ends, ROW_WORDS):
+                ids = batch.column(0).slice(a, b - a).to_pylist()
+                row = [[f"{task}-{number}"], [ids], [counts[a:b]], [_pack(planes(codes[ends[a] : ends[b]]))], [listed if a == 0 else None]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, shape, strict=True)], ["batch", "ids", "counts", "payload", "words"])
+            del counts, codes, words, listed, ends
+            give_back()
+
+    return materialize(texts.mapInArrow(work, schema), "words")
+
+
+def bucket_words(coded: DataFrame, buckets: int) -> DataFrame:
+    """For every batch and bucket the batch's words of the bucket and their codes, as steps from one to the next."""
+    shape = pa.schema([("batch", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("codes", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, batch in named_batches(batches):
-            for block in read_blocks(batch, name):
-                bucket = (mix(block.hashes) % np.uint64(buckets)).astype(np.int64)
+        for batch in batches:
+            for name, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = _unpack(packed)
+                words = data.split(b" ") if data else []
+                bucket = np.array([xxh3_64_intdigest(word) % buckets for word in words], dtype=np.int64)
                 order = np.argsort(bucket, kind="stable")
                 out = []
                 for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                     if len(part):
-                        words = b" ".join(block.words[i] for i in part.tolist())
-                        out.append({"block": block.name, "bucket": int(bucket[part[0]]), "words": _pack(words), "codes": _pack(planes(np.diff(part, prepend=0).astype(np.uint32)))})
+                        some = b" ".join(words[i] for i in part.tolist())
+                        out.append({"batch": name, "bucket": int(bucket[part[0]]), "words": _pack(some), "codes": _pack(planes(np.diff(part, prepend=0).astype(np.uint32)))})
                 yield pa.RecordBatch.from_pylist(out, schema=shape)
 
-    return texts.mapInArrow(work, "block string, bucket int, words binary, codes binary")
-
-
-def block_codes(texts: DataFrame, kind: str) -> DataFrame:
-    """For every block the ids of its texts, their numbers of words, and the codes of these."""
-    shape = [pa.string(), pa.list_(to_arrow_type(texts.schema["_id"].dataType)), pa.list_(pa.int32()), pa.binary()]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, batch in named_batches(batches):
-            for block in read_blocks(batch, name):
-                ids = batch.column(0).slice(block.first, len(block.counts)).to_pylist()
-                row = [[block.name], [ids], [block.counts.tolist()], [_pack(planes(block.codes))]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, shape, strict=True)], ["block", "ids", "counts", "payload"])
-
-    return texts.mapInArrow(work, f"block string, ids array<{kind}>, counts array<int>, payload binary")
+    return coded.where("words is not null").select("batch", "words").mapInArrow(work, "batch string, bucket int, words binary, codes binary")
 
 
 def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """For every block and bucket the codes with the numbers of ids and the ids of their words. Each distinct word is encoded once."""
-    shape = pa.schema([("block", pa.string()), ("codes", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
+    """For every batch and bucket the codes with the numbers of ids and the ids of their words. Each distinct word of a bucket is encoded once."""
+    shape = pa.schema([("batch", pa.string()), ("codes", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(tokenizer)
-        rows = [row for batch in batches for row in batch.to_pylist()]
-        lists = [_unpack(row.pop("words")).decode().split(" ") for row in rows]
-        distinct = sorted(set().union(*lists))
         ids: dict[str, bytes] = {}
-        for a in range(0, len(distinct), 4_000):
-            some = distinct[a : a + 4_000]
-            for word, found in zip(some, model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids[word] = np.array(found.ids, dtype="<u4").tobytes()
-        for row, words in zip(rows, lists, strict=True):
-            parts = [ids[word] for word in words]
-            counts = np.array([len(x) // 4 for x in parts], dtype=np.uint32)
-            answer = {"counts": _pack(planes(counts)), "ids": _pack(planes(np.frombuffer(b"".join(parts), "<u4")))}
-            yield pa.RecordBatch.from_pylist([{"block": row["block"], "codes": row["codes"], **answer}], schema=shape)
+        for batch in batches:
+            for row in batch.to_pylist():
+                listed = _unpack(row["words"]).decode().split(" ")
+                new = [word for word in listed if word not in ids]
+                for a in range(0, len(new), ENCODED):
+                    some = new[a : a + ENCODED]
+                    for word, found in zip(some, model.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                        ids[word] = np.array(found.ids, dtype="<u4").tobytes()
+                parts = [ids[word] for word in listed]
+                counts = np.array([len(x) // 4 for x in parts], dtype=np.uint32)
+                answer = {"counts": _pack(planes(counts)), "ids": _pack(planes(np.frombuffer(b"".join(parts), "<u4")))}
+                yield pa.RecordBatch.from_pylist([{"batch": row["batch"], "codes": row["codes"], **answer}], schema=shape)
+
+        del model, ids
+        give_back()
 
-    return words.mapInArrow(work, "block string, codes binary, counts binary, ids binary")
+    return words.mapInArrow(work, "batch string, codes binary, counts binary, ids binary")
 
 
 _pieces: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -164,7 +163,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     parts = parts_of(docs)
     kind = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    answers = encode_words(block_words(texts, parts).repartitionById(parts, "bucket"), tokenizer)
+    coded = write_words(texts, kind.simpleString())
+    answers = encode_words(bucket_words(coded, parts).repartitionById(parts, "bucket"), tokenizer)
     arrow_kind = to_arrow_type(kind)
 
     def work(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -173,7 +173,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         for row in right.to_pylist():
             codes = np.cumsum(unplanes(_unpack(row["codes"]), "<u4").astype(np.int64))
             found.append((codes, unplanes(_unpack(row["counts"]), "<u4").astype(np.int64), unplanes(_unpack(row["ids"]), "<u4")))
-        size = max((int(c[-1]) + 1 for c, _, _ in found), default=0)
+        size = sum(len(c) for c, _, _ in found)
         lengths = np.zeros(size, np.int64)
         id_texts, piece_texts = np.full(size, "", dtype=object), np.full(size, "", dtype=object)
         for codes, counts, ids in found:
@@ -191,10 +191,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                 at += n
                 digests = [hashlib.sha256(" ".join(filter(None, table[some])).encode()).hexdigest() for table in (id_texts, piece_texts)]
                 out.append((doc, int(lengths[some].sum()) if n else 0, *digests))
+        del found, id_texts, piece_texts
+        give_back()
         columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
         types = (arrow_kind, pa.int64(), pa.string(), pa.string())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    coded = block_codes(texts, kind.simpleString()).repartition(parts, "block")
-    joined = coded.groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block"))
+    places = coded.select("batch", "ids", "counts", "payload").repartition(parts, "batch")
+    joined = places.groupBy("batch").cogroup(answers.repartition(parts, "batch").groupBy("batch"))
     return joined.applyInArrow(work, f"`{id_col}` {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -55,10 +55,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of `docs` whose text appears nowhere with a better id; all columns stay.
+    """One row of `docs` for every text, with all its columns: that with the best id, null counting as empty.
 
-    Ids name documents: rows that repeat an id share its fate. Rows with a null id are judged together: they stay if any
-    of them has a text that no row with an id has.
+    A text that only rows without an id have is kept once, too. Of rows that repeat both id and text any one stays. An id
+    that names several texts keeps those for which it is the best. An empty table stays empty.
     """
-    kept = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    kept = exact_groups(docs, id_col, text_col, keep).where("kept").groupBy(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_text")).agg(F.count("*").alias("_kept_rows"))
+    kept = materialize(kept, "exact-kept")
+    digest = F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)
+    same = docs[id_col].eqNullSafe(kept["_kept_id"]) & (digest == kept["_kept_text"])
+    once = docs.join(kept.where("_kept_rows = 1"), same, "left_semi")
+    often = kept.where("_kept_rows > 1")
+    if often.isEmpty():
+        return once
+    one_each = docs.join(often, same).dropDuplicates(["_kept_id", "_kept_text"]).select(*[docs[c] for c in docs.columns])
+    return once.unionByName(one_each)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from opslens.llm.repeats import WORDS_50, Entries, Unit, apply_covers, find_covers
 from opslens.llm.suffix_dedup import spread, untouched
-from opslens.llm.tokens import BYTE_VALUES, Slices, Words, column_bytes
+from opslens.llm.tokens import Words, column_bytes
+from opslens.session import materialize
 
 
 class WaveletMatrix:
@@ -196,13 +197,13 @@ def fm_covers(entries: Entries, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.
     raw = np.frombuffer(entries.data, dtype=np.uint8)
     offsets = np.append(0, np.cumsum(entries.size))
     words = Words(raw, offsets)
-    one, two = words.hashes(), words.hashes(BYTE_VALUES[1])
+    codes = words.coded()[0].astype(np.int32)
     bounds = words.text_offsets
-    # passages are equal when their words are, whatever stands between these
+    # passages are equal when their words are, whatever stands between these; words and passages are told apart by all their bytes
     ends = bounds[1:]
-    full = np.column_stack([Slices(x).hash(bounds[:-1], ends) for x in (one, two)])
-    _, lead, which = np.unique(full, axis=0, return_index=True, return_inverse=True)
-    which = which.ravel()
+    whole, known = codes.tobytes(), {}
+    which = np.array([known.setdefault(whole[4 * a : 4 * b], len(known)) for a, b in zip(bounds[:-1].tolist(), ends.tolist(), strict=True)], dtype=np.int64)
+    lead = np.unique(which, return_index=True)[1]
     least = np.full(len(lead), np.iinfo(np.int64).max)
     np.minimum.at(least, which, entries.doc)
     later = entries.doc > least[which]
@@ -211,7 +212,7 @@ def fm_covers(entries: Entries, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.
 
     length = (ends - bounds[:-1])[lead]
     _, at = spread(bounds[:-1][lead], length)
-    _, symbols = np.unique(one[at], return_inverse=True)
+    _, symbols = np.unique(codes[at], return_inverse=True)
     inner = np.append(0, np.cumsum(length))
     index = FMIndex(symbols.astype(np.int64), inner, unit.window)
     matched, low = index.matching_statistics(symbols.astype(np.int64), inner)
@@ -291,9 +292,14 @@ def strip_word_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """`docs` with repeated passages taken out of the text; all columns stay.
 
     A text that loses words becomes its other words joined by single spaces; it goes altogether if none are left. Every
-    other text stays as it is, null and empty ones too. If there is a column n_chars, it is set to the new length.
+    other text stays as it is, null and empty ones too. If there is a column n_chars, it is set to the new length. Rows without an id, and
+    rows whose id also names another text, are matched with nothing and keep their text; rows that repeat id and text share their result.
     """
     named = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    digest = F.sha2(F.coalesce("_text", F.lit("")).cast("binary"), 256)
+    two_texts = materialize(named.where("_id is not null").groupBy("_id").agg(F.min(digest).alias("_a"), F.max(digest).alias("_b")).where("_a <> _b").select("_id"), "two-texts")
+    if not two_texts.isEmpty():
+        named = named.join(two_texts, "_id", "left_anti")
     dealt, covers = find_covers(named, unit, fm_covers)
 
     def rewrite(texts: pa.Table, spans: list) -> pa.Table:

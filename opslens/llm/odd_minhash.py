@@ -29,7 +29,6 @@ from opslens.session import materialize
 SKETCH_BITS = 256
 HOT_BUCKET = 20_000
 GROUP_BLOCK = 1024
-SET_BITS = np.uint64(0xFFFFFFFFFFFF)
 
 
 @dataclass(frozen=True)
@@ -250,8 +249,7 @@ def confirm(named: DataFrame, groups: DataFrame, like: Likeness) -> DataFrame:
                 groups, members, counts, data = [], [], [], []
                 for i in range(len(offsets) - 1):
                     mine = values[bounds[i] : bounds[i + 1]]
-                    # 48 bits are enough to tell the shingles of one group apart
-                    packed = (mine & SET_BITS).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                    packed = mine.astype("<u8").tobytes()
                     for group in lists[row + i]:
                         groups.append(group)
                         members.append(ids[row + i])
@@ -270,12 +268,7 @@ def confirm(named: DataFrame, groups: DataFrame, like: Likeness) -> DataFrame:
         order = np.lexsort((rep, group))
         a, b = [], []
         for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            values = []
-            for i in part.tolist():
-                raw = np.frombuffer(data[i].as_py(), np.uint8).reshape(-1, 6)
-                wide = np.zeros((len(raw), 8), np.uint8)
-                wide[:, :6] = raw
-                values.append(wide.view("<u8").ravel())
+            values = [np.frombuffer(data[i].as_py(), "<u8") for i in part.tolist()]
             x, y = exact_links(values, size[part], like.percent)
             label = label_links(np.asarray(x), np.asarray(y), len(part))
             tied = label != np.arange(len(part))
@@ -340,7 +333,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     plain = keyed.select("_key", "_rep", "n_shingles", "_sketch")
     if not hot.isEmpty():
         # at most bands / hot_bucket of the classes can be hot keys
-        split = keyed.join(F.broadcast(hot), keyed["_key"] == hot["_hot"], "left")
+        split = keyed.join(hot, keyed["_key"] == hot["_hot"], "left")
         mine = F.pmod(F.xxhash64("_rep"), F.col("_blocks").cast("long")).cast("int")
         met = split.where("_hot is not null").withColumn("_mine", mine).withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)"))).where("_other <> _mine")
         met = met.select(F.xxhash64("_key", F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias("_key"), "_rep", "n_shingles", "_sketch")
@@ -361,6 +354,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Likeness = Likeness(shingle=5, percent=80, rows=4)) -> DataFrame:
-    """The rows of `docs` that are the smallest id of their class, with all columns."""
+    """The rows of `docs` that are the smallest id of their class, with all columns.
+
+    Null and empty texts link with nothing and stay, as do rows without an id. Rows that repeat an id share its fate: they stay if
+    a text of the id is the smallest of its class. An empty table stays empty.
+    """
     kept = near_classes(docs, id_col, text_col, like).where("kept").select(F.col(id_col).alias("_kept_id"))
     return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")

@@ -110,12 +110,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     return docs.select(id_col, text_col).mapInArrow(work, schema)
 
 
-def shortest_pack_first(histogram: dict[int, int], sequence: int = SEQUENCE, depth: int = 64) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+def shortest_pack_first(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Patterns ((length, times), ...) with their counts.
 
     Lengths go longest first. Those of one length are spread over the open patterns with the least filled room that
     still fits, splitting a pattern's count where only a part of it takes the length; what fits nowhere opens packs.
-    A pattern may take several pieces of the length at once. At most `depth` different lengths stand in one pattern.
+    A pattern may take several pieces of the length at once.
     """
     open_packs: dict[int, dict[tuple, int]] = defaultdict(dict)  # room left -> pattern -> count
     for length in sorted(histogram, reverse=True):
@@ -139,7 +139,7 @@ def shortest_pack_first(histogram: dict[int, int], sequence: int = SEQUENCE, dep
             else:
                 open_packs[room][pattern] = count - take
             grown = (*pattern, (length, times))
-            _put(open_packs, -1 - (room - times * length) if len(grown) >= depth else room - times * length, grown, take)
+            _put(open_packs, room - times * length, grown, take)
             left -= take * times
     return sorted((p, c) for packs in open_packs.values() for p, c in packs.items())
 

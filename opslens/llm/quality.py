@@ -100,6 +100,8 @@ def training_sample(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id",
     if picked is None:
         picked = grades
     joined = docs.select(F.col(id_col).alias("_rated"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_rated")
+    # an id may have many rows: one text for each, or the sample would have no bound
+    joined = joined.groupBy("_rated", "_grade").agg(F.min("_text").alias("_text"))
 
     @F.pandas_udf("array<int>")
     def found(texts: pd.Series) -> pd.Series:
@@ -188,6 +190,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", tail: float = TAIL) -> DataFrame:
-    """The rows of `docs` that the classifier keeps, with their columns."""
+    """The rows of `docs` that the classifier keeps, with their columns.
+
+    Every row is judged by its own text, rows without an id and repeated rows too; null and empty texts have their own feature.
+    Without ratings of two grades all rows stay; an empty table stays empty.
+    """
     model = fit_ordinal(training_sample(docs, graded(labels, "doc_id"), id_col, text_col))
     return score_documents(docs, model, text_col).where(F.col("_tail") >= tail).select("_row.*")

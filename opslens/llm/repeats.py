@@ -321,19 +321,27 @@ def passages(key, texts: pa.Table, found: pa.Table, unit: Unit, hot: np.ndarray,
                 count = np.concatenate([count[~is_hot], np.ones(len(single), count.dtype)])
                 after = np.concatenate([after[~is_hot], np.zeros(len(single), after.dtype)])
         end = first + count + after + unit.window - 1
-        a, b = (words.starts[first], words.ends[end - 1]) if words else (first, end)
+        a, b = first, end
+        if words:
+            # what stands between words is no part of a passage
+            raw, begins = words.spaced()
+            a, b = begins[first], begins[end] - 1
         one = Slices(symbols).hash(first, end)
-        two = Slices(BYTE_VALUES[1][raw]).hash(a, b) if not words else Slices(words.hashes(BYTE_VALUES[1])).hash(first, end)
-        rows.append((doc, first - places[text], count, b - a, deal, one, two, np.full(len(doc), len(rows)), a))
-        rows[-1] += (raw,)
+        rows.append((doc, first - places[text], count, b - a, deal, one, np.full(len(doc), len(rows)), a))
+        rows[-1] += (raw.tobytes(),)
     if not rows:
         return schema.empty_table()
     raws = [r[-1] for r in rows]
-    doc, start, count, size, deal, one, two, chunk, a = (np.concatenate([r[i] for r in rows]) for i in range(9))
-    # equal passages of the block: the smallest document asks for all, the others are covered by it
-    order = np.lexsort((start, doc, two, one))
+    doc, start, count, size, deal, one, chunk, a = (np.concatenate([r[i] for r in rows]) for i in range(8))
+    # equal passages of the block: the smallest document asks for all, the others are covered by it. Neighbours in the order of hashes are
+    # compared byte by byte; what a clash keeps apart here meets again in its shard
+    order = np.lexsort((start, doc, size, one))
     same = np.zeros(len(doc), dtype=bool)
-    same[1:] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+    same[1:] = (one[order][1:] == one[order][:-1]) & (size[order][1:] == size[order][:-1])
+    places_of = list(zip(chunk.tolist(), a.tolist(), (a + size).tolist(), strict=True))
+    for i in np.flatnonzero(same).tolist():
+        (c, f, t), (d, g, u) = places_of[order[i - 1]], places_of[order[i]]
+        same[i] = raws[c][f:t] == raws[d][g:u]
     if placed:
         # rows that repeat an id and its text show a passage more than once
         again = np.append(False, same[1:] & (doc[order][1:] == doc[order][:-1]) & (start[order][1:] == start[order][:-1]))
@@ -354,11 +362,10 @@ def passages(key, texts: pa.Table, found: pa.Table, unit: Unit, hot: np.ndarray,
     cut = (dealt // np.uint64(shards) % np.uint64(CUTS)).astype(np.uint8)
     by = np.lexsort((one[asking], cut, shard))
     asking, shard, cut, times = asking[by], shard[by], cut[by], times[by]
-    chunk_list, a_list, size_list = chunk.tolist(), a.tolist(), size.tolist()
     for part in np.split(np.arange(len(asking)), np.flatnonzero(np.diff(shard)) + 1):
         if len(part):
             some = asking[part]
-            data = b"".join(raws[chunk_list[i]][a_list[i] : a_list[i] + size_list[i]].tobytes() for i in some.tolist())
+            data = b"".join(raws[c][f:t] for c, f, t in map(places_of.__getitem__, some.tolist()))
             numbers = [planes(x[some].astype(np.int32)) for x in (start, count, size)]
             out.append((int(shard[part[0]]), False, cut[part].tobytes(), planes(doc[some]), *numbers, data))
             if placed:

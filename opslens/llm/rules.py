@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.tokens import BYTE_VALUES, SEPARATOR, Slices, Words, chunks, column_bytes, grams
+from opslens.llm.tokens import SEPARATOR, Words, chunks, coded_spans, column_bytes, exact_grams
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", dtype=np.uint8))
 UPPER = np.isin(np.arange(256), np.arange(65, 91))
@@ -58,15 +58,16 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarr
     words = Words(raw, offsets)
     n_words = np.diff(words.text_offsets)
     owner = words.text_of_word()
-    first, second = words.hashes(), words.hashes(BYTE_VALUES[1])
+    first, distinct = words.coded()
     chars = _sums(words.inside & ((raw & 0xC0) != 0x80), offsets)
     symbols = _sums(SYMBOLS[raw], offsets)
 
     window = 5
     covered = np.zeros(len(first) + 1, dtype=np.int64)
-    a, b = grams(first, window), grams(second, window)
-    starts = np.flatnonzero(owner[: len(a)] == owner[window - 1 :][: len(a)]) if len(a) else np.zeros(0, dtype=np.int64)
-    _, shared = _again(owner[starts], a[starts], b[starts])
+    keys = exact_grams(first, len(distinct), window)
+    n = len(keys[0])
+    starts = np.flatnonzero(owner[:n] == owner[window - 1 :][:n]) if n else np.zeros(0, dtype=np.int64)
+    _, shared = _again(owner[starts], *[key[starts] for key in keys])
     np.add.at(covered, starts[shared], 1)
     np.add.at(covered, starts[shared] + window, -1)
     repeat = _sums(np.cumsum(covered[:-1]) > 0, words.text_offsets)
@@ -82,8 +83,7 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarr
     np.cumsum(~SEPARATOR[raw], out=spoken[1:])
     filled = spoken[line_end] > spoken[line_start]
     line_start, line_end, line_owner = line_start[filled], line_end[filled], line_owner[filled]
-    lines = [Slices(values[raw]).hash(line_start, line_end) for values in BYTE_VALUES]
-    earlier, _ = _again(line_owner, *lines)
+    earlier, _ = _again(line_owner, coded_spans(raw, line_start, line_end)[0])
     dup_lines = np.bincount(line_owner, weights=earlier, minlength=rows).astype(np.int64)
     n_lines = np.bincount(line_owner, minlength=rows)
 
@@ -196,7 +196,9 @@ def rated_statistics(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
     order = F.xxhash64(F.lit(23), F.col("_rated"))
     halves = [rated.where(c).orderBy(order, "_rated").limit(rows // 2) for c in (F.col("_quality") == 0, F.col("_quality") != 0)]
     picked = halves[0].unionByName(halves[1])
-    joined = docs.select(F.col(id_col).alias("_rated"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_rated").select("_text", "_quality")
+    joined = docs.select(F.col(id_col).alias("_rated"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_rated")
+    # an id may have many rows: one text for each, or the sample would have no bound
+    joined = joined.groupBy("_rated", "_quality").agg(F.min("_text").alias("_text")).select("_text", "_quality")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,4 +1,4 @@
-"""Vectorised reading of text columns inside tasks: UTF-8 bytes, words, and 64-bit hashes of any slice of them.
+"""Vectorised reading of text columns inside tasks: UTF-8 bytes, exact codes of words, and 64-bit hashes of any slice of them.
 
 A text column arrives as one Arrow buffer, so all texts of a batch are looked at with a few numpy passes and no
 loop over characters. Words are maximal runs of bytes other than space, tab, line feed, vertical tab, form feed and
@@ -7,11 +7,14 @@ carriage return, the class `[^\\x20\\x09-\\x0D]`; all six are single bytes in UT
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -52,7 +55,10 @@ BYTE_VALUES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (
 
 
 class Slices:
-    """Hashes of any slice of a sequence of 64-bit symbols, each from two prefix sums."""
+    """Hashes of any slice of a sequence of 64-bit symbols, each from two prefix sums.
+
+    They are polynomials modulo 2**64, so texts can be made whose hashes agree: they deal and sort, and whoever needs equality compares bytes.
+    """
 
     def __init__(self, symbols: np.ndarray):
         up, self.down = powers(len(symbols) + 1)
@@ -91,6 +97,13 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         row = end
 
 
+def give_back() -> None:
+    """Hands memory that this worker no longer uses back to the machine; workers live on and serve later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Words:
     """The words of some texts: byte range and hash of each, and where each text's words begin."""
 
@@ -110,20 +123,63 @@ class Words:
         self.ends = np.flatnonzero(inside & (first[1:] | ~after)) + 1
         self.text_offsets = np.searchsorted(self.starts, offsets)
         self.inside = inside
+        self._coded = None
 
-    def hashes(self, values: np.ndarray = BYTE_VALUES[0]) -> np.ndarray:
-        return Slices(values[self.raw]).hash(self.starts, self.ends)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """64-bit hash of every word, the same in every text. Words of these texts are told apart by their bytes, so only words of different tasks can clash."""
+        codes, distinct = self.coded()
+        return np.array([xxh3_64_intdigest(word, seed) for word in distinct.to_pylist()], dtype=np.uint64)[codes]
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.text_offsets))
 
     def coded(self) -> tuple[np.ndarray, pa.Array]:
-        """For every word its place in the list of distinct words, and that list. Words are told apart by their bytes."""
+        """For every word its place in the list of distinct words, and that list."""
+        if self._coded is None:
+            self._coded = _coded(self.raw[self.inside], self.ends - self.starts)
+        return self._coded
+
+    def spaced(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words with one space behind each, whatever stood between them, and where each begins there (and where the last ends)."""
         ends = np.zeros(len(self.starts) + 1, dtype=np.int64)
-        np.cumsum(self.ends - self.starts, out=ends[1:])
-        column = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(self.raw[self.inside]))])
-        found = column.dictionary_encode()
-        return found.indices.to_numpy(), found.dictionary
+        np.cumsum(self.ends - self.starts + 1, out=ends[1:])
+        out = np.full(ends[-1], 0x20, dtype=np.uint8)
+        letters = np.ones(ends[-1], dtype=bool)
+        letters[ends[1:] - 1] = False
+        out[letters] = self.raw[self.inside]
+        return out, ends
+
+
+def _coded(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    ends = np.zeros(len(sizes) + 1, dtype=np.int64)
+    np.cumsum(sizes, out=ends[1:])
+    column = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+    found = column.dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
+
+
+def coded_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """For each of some rising, disjoint spans its place in the list of distinct ones, told apart by their bytes, and that list."""
+    edge = np.zeros(len(raw) + 1, dtype=np.int8)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, ends, -1)
+    return _coded(raw[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)], ends - starts)
+
+
+def exact_grams(codes: np.ndarray, kinds: int, k: int) -> list[np.ndarray]:
+    """Columns of numbers that agree exactly where the k codes (below `kinds`) that start there agree."""
+    n = len(codes) - k + 1
+    if n <= 0:
+        return [np.zeros(0, dtype=np.int64)]
+    bits = max(1, int(kinds).bit_length())
+    each = max(1, 63 // bits)
+    out = []
+    for first in range(0, k, each):
+        key = np.zeros(n, dtype=np.int64)
+        for i in range(first, min(first + each, k)):
+            key = (key << bits) | codes[i : i + n]
+        out.append(key)
+    return out
 
 
 def grams(symbols: np.ndarray, k: int) -> np.ndarray:

@@ -86,8 +86,14 @@ def statistics(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), again, len(covered)
 
 
+def thue_morse(n, one="ab", join=""):
+    """Two texts of n places whose polynomials agree modulo 2**64 for every odd base, from 1024 places on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return join.join(one[b] for b in bits), join.join(one[1 - b] for b in bits)
+
+
 def awkward_texts():
-    """Nulls, empty and blank texts, one-word texts, a very long text, copies, and a passage in many documents."""
+    """Nulls, empty and blank texts, one-word texts, a very long text, copies, a passage in many documents, and texts made to clash in polynomial hashes."""
     passage = " ".join(f"shared{i}" for i in range(60))
     long = " ".join(f"w{i % 997}x{i // 997}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "One"), (6, "one"), (7, long), (8, long), (9, "é ü\u00a0ß 漢字"), (None, passage), (None, None)]
@@ -96,6 +102,9 @@ def awkward_texts():
     base = [f"base{k}" for k in range(120)]
     rows += [(300 + i, " ".join(base[:i] + [f"changed{i}"] + base[i + 1 :])) for i in range(0, 40, 2)]
     rows += [(400 + i, "xyz " * (100 + i)) for i in range(4)]
+    a, b = thue_morse(1024)
+    rows += [(440, a), (441, b), (442, f"{a}\n{b}\n{a} {b}\n{b}"), (443, f"{b} {a} {a} {b} {a}")]
+    rows += [(444 + i, t) for i, t in enumerate(thue_morse(1024, ("uu", "vv"), " "))]
     return rows
 
 

@@ -16,9 +16,8 @@ from tokenizers import Tokenizer
 from opslens.llm import bpe
 from opslens.llm.bpe import encode_decode
 from opslens.llm.packing import ByteEncoder, pack, shortest_pack_first, slots
-from opslens.llm.tokens import BYTE_VALUES
 from opslens.llm.warc import LoserTree, archive_pages, parse_archive, url_key
-from tests.llm.helpers import SCHEMA, awkward, awkward_texts, sha
+from tests.llm.helpers import SCHEMA, awkward, awkward_texts, sha, thue_morse
 
 BYTE, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.01"
@@ -119,7 +118,7 @@ def test_patterns_place_everything_once():
     rnd = random.Random(7)
     for _ in range(40):
         histogram = {rnd.randint(1, 64): rnd.randint(1, 50) for _ in range(rnd.randint(0, 30))}
-        patterns = shortest_pack_first(histogram, 64, depth=4)
+        patterns = shortest_pack_first(histogram, 64)
         placed = collections.Counter()
         for pattern, count in patterns:
             assert sum(n * t for n, t in pattern) <= 64
@@ -130,24 +129,21 @@ def test_patterns_place_everything_once():
             assert runs[0, 0] == 0 and (np.diff(runs[:, 0]) > 0).all() and runs[-1, 0] < histogram[length]
 
 
-def test_blocks_tell_colliding_words_apart(monkeypatch):
-    whole = bpe.Words.hashes
-    monkeypatch.setattr(bpe.Words, "hashes", lambda self, values=BYTE_VALUES[0]: whole(self, values) if values is BYTE_VALUES[1] else whole(self) % np.uint64(2))
-    monkeypatch.setattr(bpe, "BLOCK_BYTES", 20)
-    texts = ["b a a", None, "", "c  d\nb", "a", "é é a", "a b c d e f g h i j k l m n o p"]
-    batch = pa.RecordBatch.from_pydict({"_id": list(range(len(texts))), "_text": texts})
-    got = []
-    for block in bpe.read_blocks(batch, "x"):
-        ends = np.cumsum(block.counts)
-        got += [[block.words[c].decode() for c in block.codes[e - n : e]] for e, n in zip(ends, block.counts)]
-        assert len(set(block.words)) == len(block.words)
-    assert got == [(t or "").split() for t in texts]
+def test_codes_of_every_text():
+    texts = ["b a a", None, "", "c  d\nb", "a", "é é a", "a b c d e f g h i j k l m n o p", *thue_morse(1024)]
+    for some in (texts, texts[1:3], []):
+        batch = pa.RecordBatch.from_pydict({"_id": pa.array(range(len(some)), pa.int64()), "_text": pa.array(some, pa.string())})
+        counts, codes, words = bpe.read_words(batch)
+        ends = np.cumsum(counts)
+        assert [[words[c].decode() for c in codes[e - n : e]] for e, n in zip(ends, counts)] == [(t or "").split() for t in some]
+        assert len(set(words)) == len(words)
 
 
 def test_encode_decode(spark):
     texts = awkward_texts() + [(500 + i, t) for i, t in enumerate(HARD)] + [(4, "one")]
     docs = spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 10_000).alias("doc_id"), "text")
-    df = docs.unionByName(spark.createDataFrame(texts, SCHEMA)).withColumns({"block": F.lit("x"), "codes": F.lit(1), "payload": F.lit(None)})
+    # behind a shuffle the rows come in another order each time they are read
+    df = docs.unionByName(spark.createDataFrame(texts, SCHEMA)).repartition(5).withColumns({"block": F.lit("x"), "codes": F.lit(1), "payload": F.lit(None)})
     model = Tokenizer.from_file(WORDS)
     want = collections.Counter()
     for r in df.collect():
