@@ -18,6 +18,7 @@ from opslens.plans.registry import query
 from opslens.plans.state import SNAP
 from opslens.plans.usage import DONE
 from opslens.plans.views import view
+from opslens.session import materialize
 from opslens.session import scratch_path as scratch
 from opslens.streaming import captures as sc
 from opslens.streaming import jobs as sj
@@ -28,24 +29,30 @@ from opslens.streaming.tables import BatchTable, append_to, update_to
 LONG = "400 days"
 
 
-def stream_of(spark, df, name, steps=None, files=4):
-    """A file stream over the rows of `df`: one write per step, or `files` files out of event-time order."""
+FILES = 4
+
+
+def stream_of(spark, df, name, steps=("true",)):
+    """A file stream over the rows of `df`: every step is written as FILES files of its own, and a trigger takes one step."""
     path = scratch(spark, name)
-    if steps is None:
-        df.repartition(files).write.parquet(path)
-    for step in steps or ():
-        df.where(step).coalesce(1).write.mode("append").parquet(path)
-    reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
-    return reader.parquet(path)
+    for step in steps:
+        some = df.where(step).withColumn("_file", (F.monotonically_increasing_id() % FILES).cast("int"))
+        some.repartitionById(FILES, "_file").drop("_file").write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
-@query("t01_stream_capture_dedup", ("captures",), GEN + """ SELECT session_id, gen, seq, count(*) AS rows FROM dedup GROUP BY session_id, gen, seq""")
+@query("t01_stream_capture_dedup", ("captures",), GEN + " SELECT session_id, gen, arrival, path, seq, url, md5(body) AS body_md5 FROM dedup")
 def t01(spark, sf_dir):
-    stamped = c.doc_generation(view(spark, sf_dir, "captures")).withColumn("captured_at", F.timestamp_seconds("arrival"))
-    unique = sc.stream_capture_dedup(stream_of(spark, stamped, "captures"), LONG)
+    """Captures come out of order; a last row long after all others moves the watermark past them."""
+    rows = view(spark, sf_dir, "captures").withColumn("captured_at", F.timestamp_seconds("arrival"))
+    end = rows.agg(F.max("arrival").alias("m")).select(F.lit(-1).cast("long").alias("session_id"), (F.col("m") + 3 * 400 * 86_400).alias("arrival"))
+    last = end.withColumn("captured_at", F.timestamp_seconds("arrival")).withColumns({"is_load": F.lit(False), "_step": F.lit(2)})
+    steps = rows.withColumn("_step", F.when(F.col("arrival") % 3 == 0, 1).otherwise(0)).unionByName(last, allowMissingColumns=True)
+    steps = steps.select(*[F.col(n).cast(k) for n, k in (("session_id", "long"), ("arrival", "long"), ("path", "string"), ("seq", "long"), ("is_load", "boolean"), ("url", "string"), ("body", "string"), ("captured_at", "timestamp"), ("_step", "int"))])
+    stream = stream_of(spark, steps, "captures", [f"_step = {i}" for i in range(3)])
     out = scratch(spark, "deduped")
-    append_to(unique, out, scratch(spark, "cp"))
-    return spark.read.parquet(out).groupBy("session_id", "gen", "seq").agg(F.count("*").alias("rows"))
+    append_to(sc.stream_capture_dedup(stream, LONG), out, scratch(spark, "cp"))
+    return spark.read.parquet(out).select("session_id", "gen", "arrival", "path", "seq", "url", F.md5("body").alias("body_md5"))
 
 
 @query("t02_stream_usage_daily", ("usage_turns",), DONE + " SELECT CAST(day AS VARCHAR) AS day, input, output, total FROM daily")
@@ -61,15 +68,14 @@ def t02(spark, sf_dir):
  CASE WHEN message_id % 3 = 0 THEN 2 ELSE 1 END AS attempts FROM messages""")
 def t03(spark, sf_dir):
     """Every message is delivered twice; the ok ones are handled once."""
-    items = view(spark, sf_dir, "messages").select(F.concat(F.lit("msg-"), F.col("message_id").cast("string")).alias("key"), "message_id")
-    ledger = BatchTable(spark, scratch(spark, "ledger"), sm.LEDGER_SCHEMA).start()
+    items = view(spark, sf_dir, "messages").select(F.concat(F.lit("msg-"), F.col("message_id").cast("string")).alias("key"))
 
-    def handle(todo):
-        status = F.when(F.col("message_id") % 3 == 0, "error").otherwise("ok")
-        return todo.select("key", status.alias("status"), F.lit("{}").alias("metadata"))
+    def handle(key, attempt):
+        return "error" if int(key[4:]) % 3 == 0 else "ok", "{}"
 
-    sm.stream_unprocessed(stream_of(spark, items, "messages", steps=["true", "true"]), ledger, handle, scratch(spark, "cp"))
-    rows = ledger.read()
+    out = scratch(spark, "ledger")
+    append_to(sm.stream_unprocessed(stream_of(spark, items, "messages", ["true", "true"]), handle), out, scratch(spark, "cp"))
+    rows = spark.read.parquet(out)
     attempts = rows.groupBy("key").agg(F.count("*").alias("attempts"))
     return ledger_latest(rows).select("key", "status").join(attempts, "key")
 
@@ -78,32 +84,43 @@ STATE = SNAP + """, ends AS (SELECT job_id, first(phase ORDER BY ts, seq) FILTER
  SELECT job_id, coalesce(e, l) AS phase, events FROM ends"""
 
 
-def _job_states(spark, sf_dir, make):
-    events = view(spark, sf_dir, "job_events").select("job_id", "ts", "seq", "phase")
-    table = BatchTable(spark, scratch(spark, "jobs"), "job_id STRING, phase STRING, events BIGINT").start()
-    update_to(make(stream_of(spark, events, "job_events")), table, scratch(spark, "cp"))
-    current = F.max_by(F.struct("phase", "events"), "batch_id").alias("c")
+def _job_states(spark, stream, schema):
+    table = BatchTable(spark, scratch(spark, "jobs"), f"job_id STRING, {schema}").start()
+    update_to(stream, table, scratch(spark, "cp"))
+    names = [f.split()[0] for f in schema.split(", ")]
+    current = F.max_by(F.struct(*names), "batch_id").alias("c")
     return table.read().groupBy("job_id").agg(current).select("job_id", "c.*")
 
 
 @query("t04_stream_job_state", ("job_events",), STATE)
 def t04(spark, sf_dir):
-    return _job_states(spark, sf_dir, sj.stream_job_state)
+    events = view(spark, sf_dir, "job_events").select("job_id", "ts", "seq", "phase")
+    stream = stream_of(spark, events, "job_events", ["seq % 2 = 1", "seq % 2 = 0"])
+    return _job_states(spark, sj.stream_job_state(stream), "phase STRING, events BIGINT")
 
 
-@query("t04_stream_job_state_ttl", ("job_events",), STATE)
+@query("t04_stream_job_state_ttl", ("job_events",), STATE.replace(" SELECT job_id, coalesce(e, l) AS phase, events FROM ends", """, idle AS (SELECT job_id, max(ts) AS last FROM job_events GROUP BY job_id)
+ SELECT job_id, coalesce(e, l) AS phase, events, last + INTERVAL 7 DAY < (SELECT max(ts) FROM job_events) - INTERVAL 3 DAY AS expired FROM ends JOIN idle USING (job_id)"""))
 def t04_ttl(spark, sf_dir):
-    return _job_states(spark, sf_dir, lambda events: sj.stream_job_state_ttl(events, 24 * 400, LONG))
+    """Transitions come out of order within the delay; a last row moves the watermark to three days before the end, where jobs idle for a week expire."""
+    events = view(spark, sf_dir, "job_events").select("job_id", "ts", "seq", "phase")
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 397 DAY")).alias("ts")).select(F.lit("-").alias("job_id"), F.col("ts").cast(events.schema["ts"].dataType), F.lit(-1).cast("long").alias("seq"), F.lit("pending").alias("phase"))
+    rows = events.unionByName(end)
+    stream = stream_of(spark, rows, "job_events", ["seq % 2 = 1", "seq >= 0 AND seq % 2 = 0", "seq = -1"])
+    states = _job_states(spark, sj.stream_job_state_ttl(stream, 24 * 7, LONG), "phase STRING, events BIGINT, expired BOOLEAN")
+    return states.where("job_id <> '-'")
 
 
 @query("t05_stream_ordered_groups", ("messages",), EV + """ SELECT message_id, identity, row_number() OVER (PARTITION BY identity ORDER BY sent_s, message_id) AS position FROM ev""")
 def t05(spark, sf_dir):
-    events = message_events(spark, sf_dir).select("identity", "message_id", "sent_s")
+    """The later half of the messages comes first, then a mix of older ones, so most positions move."""
+    events = materialize(message_events(spark, sf_dir).select("identity", "message_id", F.col("sent_s").cast("long").alias("sent_s")), "events")
     middle = events.agg(F.percentile_approx("sent_s", 0.5).alias("m")).select(F.col("m").cast("bigint"))
-    halves = events.withColumn("late", F.col("sent_s") > middle.scalar())
-    positions = BatchTable(spark, scratch(spark, "positions"), sm.ORDER_SCHEMA).start()
-    sm.stream_ordered_groups(stream_of(spark, halves, "events", steps=["NOT late", "late"]), positions, scratch(spark, "cp"))
-    return positions.read().select("message_id", "identity", "position")
+    halves = events.withColumn("_step", F.when(F.col("sent_s") > middle.scalar(), 0).otherwise(1 + F.col("message_id") % 2))
+    stream = stream_of(spark, halves, "events", [f"_step = {i}" for i in range(3)])
+    table = BatchTable(spark, scratch(spark, "positions"), "identity STRING, message_id BIGINT, sent_s BIGINT, position BIGINT").start()
+    update_to(sm.stream_ordered_groups(stream), table, scratch(spark, "cp"))
+    return table.read().groupBy("message_id", "identity").agg(F.max_by("position", "batch_id").alias("position"))
 
 
 @query("t06_stream_defer_retry", ("messages",), """m AS (SELECT DISTINCT message_id, message_id % 4 AS b FROM messages),
@@ -111,24 +128,26 @@ def t05(spark, sf_dir):
  CASE WHEN message_id % 7 = 0 THEN 3 WHEN message_id % 5 = 0 THEN 2 ELSE 1 END AS attempts FROM m)
  SELECT 'msg-' || CAST(message_id AS VARCHAR) AS key, status, attempts FROM o WHERE status IS NOT NULL""")
 def t06(spark, sf_dir):
-    """Four batches; some items are deferred once, some until they run out of attempts."""
-    ids = view(spark, sf_dir, "messages").select("message_id").distinct()
-    items = ids.select(F.concat(F.lit("msg-"), F.col("message_id").cast("string")).alias("key"), (F.col("message_id") % 4).alias("b"))
-    ledger = BatchTable(spark, scratch(spark, "ledger"), sm.LEDGER_SCHEMA).start()
-    retries = BatchTable(spark, scratch(spark, "retries"), sm.RETRY_SCHEMA).start()
-
-    def handle(todo):
-        number = F.substring("key", 5, 30).cast("bigint")
-        status = (
-            F.when(number % 7 == 0, "defer").when((number % 5 == 0) & (F.col("attempts") < 2), "defer").when(number % 5 == 0, "ok")
-            .when(number % 3 == 0, "error").otherwise("ok")
-        )
-        return todo.select("key", "attempts", status.alias("status"), F.to_json(F.struct("attempts")).alias("metadata"))
-
-    stream = stream_of(spark, items, "items", steps=[f"b = {b}" for b in range(4)])
-    sm.stream_defer_retry(stream, ledger, retries, handle, scratch(spark, "cp"), max_attempts=3)
+    """Four steps, ten hours apart; some items are deferred once, some until they run out of attempts, five hours at a time."""
+    ids = materialize(view(spark, sf_dir, "messages").select("message_id").distinct(), "ids")
+    step = F.col("message_id") % 4
+    items = ids.select(F.concat(F.lit("msg-"), F.col("message_id").cast("string")).alias("key"), step.alias("b"), F.timestamp_seconds(1_000_000 + step * 36_000).alias("at"))
+
+    def handle(key, attempt):
+        number = int(key[4:])
+        if number % 7 == 0 or (number % 5 == 0 and attempt < 2):
+            status = "defer"
+        elif number % 5 == 0:
+            status = "ok"
+        else:
+            status = "error" if number % 3 == 0 else "ok"
+        return status, '{"attempts":%d}' % attempt
+
+    stream = stream_of(spark, items, "items", [f"b = {b}" for b in range(4)])
+    out = scratch(spark, "ledger")
+    append_to(sm.stream_defer_retry(stream, handle, max_attempts=3, retry_hours=5, delay="0 seconds"), out, scratch(spark, "cp"))
     tried = F.get_json_object("metadata", "$.attempts").cast("bigint")
-    return ledger_latest(ledger.read()).select("key", "status", tried.alias("attempts"))
+    return ledger_latest(spark.read.parquet(out)).select("key", "status", tried.alias("attempts"))
 
 
 @query("t07_stream_bounded_capture", ("job_events",), SNAP + """, cuts AS (SELECT job_id, created_at, CASE WHEN job_id LIKE '%0' THEN created_at + INTERVAL 172800 SECOND END AS cancelled FROM snap)
@@ -140,7 +159,7 @@ def t07(spark, sf_dir):
     cancelled = starts.where(F.col("job_id").endswith("0"))
     cancels = cancelled.select("job_id", (F.col("started_at") + F.expr("INTERVAL 172800 SECOND")).alias("cancelled_at"))
     joined = sc.stream_bounded_capture(
-        stream_of(spark, captures, "captures"), stream_of(spark, starts, "starts", files=2), 864_000, cancels, LONG
+        stream_of(spark, captures, "captures"), stream_of(spark, starts, "starts"), 864_000, cancels, LONG
     )
     out = scratch(spark, "bounded")
     append_to(joined.select("job_id", "seq"), out, scratch(spark, "cp"))

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opslens.streaming.keyed import OrderedCaptures, keyed
+
 
 def stream_capture_dedup(captures: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """One delivery per (session, generation, seq) over both paths; `captured_at` is the event time.
+    """First arrival of every (session, generation, seq) over both paths, with `gen`, the number of page loads so far.
 
-    The generation comes stamped with the capture. Rows without a seq by-pass the state.
+    Captures wait until the watermark has passed them (`captured_at` is the event time and never falls with `arrival`), so the order of delivery
+    changes nothing. Rows without a body go, rows without a seq all stay; rows later than `delay` are dropped.
     """
-    filled = captures.where(F.col("body").isNotNull()).withWatermark("captured_at", delay)
-    numbered = filled.where(F.col("seq").isNotNull()).dropDuplicatesWithinWatermark(["session_id", "gen", "seq"])
-    return numbered.unionByName(filled.where(F.col("seq").isNull()))
+    timed = captures.withWatermark("captured_at", delay).withColumn("at_ms", F.unix_millis("captured_at"))
+    schema = "session_id LONG, gen LONG, arrival LONG, path STRING, seq LONG, url STRING, body STRING"
+    return keyed(timed, "session_id", OrderedCaptures(), schema, "append", "EventTime")
 
 
 def stream_bounded_capture(

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from opslens.operators.jobs import TERMINAL
+from opslens.streaming.keyed import JobPhase, keyed
 
 
 def stream_job_state(events: DataFrame) -> DataFrame:
@@ -28,37 +25,8 @@ def stream_job_state(events: DataFrame) -> DataFrame:
     return jobs.select("job_id", F.coalesce("_end", "_last").alias("phase"), "events")
 
 
-_STATE = "last_us LONG, last_seq LONG, last_phase STRING, end_us LONG, end_seq LONG, end_phase STRING, events LONG"
-_OUT = "job_id STRING, phase STRING, events LONG"
-
-
 def stream_job_state_ttl(events: DataFrame, ttl_hours: int, delay: str = "1 hour") -> DataFrame:
-    """The same with event-time expiry: a job idle for `ttl_hours` behind the watermark loses its state.
-
-    Batches of a job are folded one after the other, so memory does not grow with the events of a job.
-    """
-    ttl_ms = ttl_hours * 3_600_000
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last_us, last_seq, last_phase, end_us, end_seq, end_phase, count = (
-            state.get if state.exists else (-1, -1, None, None, None, None, 0)
-        )
-        for rows in batches:
-            rows = rows.sort_values(["us", "seq"])
-            count += len(rows)
-            newest = rows.iloc[-1]
-            if (newest.us, newest.seq) >= (last_us, last_seq):
-                last_us, last_seq, last_phase = int(newest.us), int(newest.seq), newest.phase
-            ended = rows[rows.phase.isin(TERMINAL)]
-            if len(ended) and (end_us is None or (ended.iloc[0].us, ended.iloc[0].seq) < (end_us, end_seq)):
-                end_us, end_seq, end_phase = int(ended.iloc[0].us), int(ended.iloc[0].seq), ended.iloc[0].phase
-        state.update((last_us, last_seq, last_phase, end_us, end_seq, end_phase, count))
-        state.setTimeoutTimestamp(max(last_us // 1000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"job_id": [key[0]], "phase": [end_phase or last_phase], "events": [count]})
-
+    """The same with event-time expiry: a job idle for `ttl_hours` behind the watermark is given a last time, with `expired`, and loses its state."""
     timed = events.select("job_id", "seq", "phase", F.col("ts").cast("timestamp").alias("at")).withWatermark("at", delay)
     rows = timed.withColumn("us", F.unix_micros("at"))
-    return rows.groupBy("job_id").applyInPandasWithState(fold, _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return keyed(rows, "job_id", JobPhase(ttl_hours * 3_600_000), "job_id STRING, phase STRING, events LONG, expired BOOLEAN", "update", "EventTime")

@@ -1,4 +1,4 @@
-"""Message batches: handle once, keep order within an identity, retry what was deferred."""
+"""Messages: handle once, retry what was deferred, keep order within an identity. All by keyed state."""
 
 from __future__ import annotations
 
@@ -7,73 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions.scale import row_rank
-from opslens.operators.ledger import unprocessed
-from opslens.streaming.tables import BatchTable, run_to_end
+from opslens.streaming.keyed import HandleOnce, Positions, keyed
 
 LEDGER_SCHEMA = "key STRING, processed_at TIMESTAMP, status STRING, seq BIGINT, metadata STRING"
-RETRY_SCHEMA = "key STRING, attempts BIGINT"
-Handler = Callable[[DataFrame], DataFrame]
+#: (key, attempt) -> (status, metadata); runs in the tasks
+Handler = Callable[[str, int], tuple[str, str]]
 
 
-def ledger_rows(handled: DataFrame, batch_id: int) -> DataFrame:
-    return handled.select(
-        "key", F.current_timestamp().alias("processed_at"), "status", F.lit(batch_id).cast("bigint").alias("seq"), "metadata"
-    )
+def _ledger_rows(items: DataFrame, processor: HandleOnce, time: str) -> DataFrame:
+    answers = keyed(items, "key", processor, "key STRING, status STRING, attempts LONG, metadata STRING", "append", time)
+    return answers.select("key", F.current_timestamp().alias("processed_at"), "status", F.col("attempts").alias("seq"), "metadata")
 
 
-def stream_unprocessed(items: DataFrame, ledger: BatchTable, handle: Handler, checkpoint: str) -> None:
-    """Every item is handled until its ledger status is ok; `handle` returns `key, status, metadata`."""
+def stream_unprocessed(items: DataFrame, handle: Handler) -> DataFrame:
+    """Ledger rows of items (`key`): each is handled until its status is ok, at most once in a batch."""
+    return _ledger_rows(items.select("key", F.lit(0).cast("long").alias("at_ms")), HandleOnce(handle), "None")
 
-    def one_batch(batch: DataFrame, batch_id: int) -> None:
-        todo = unprocessed(batch.dropDuplicates(["key"]), ledger.read(before=batch_id))
-        ledger.write(ledger_rows(handle(todo), batch_id), batch_id)
 
-    run_to_end(items.writeStream.foreachBatch(one_batch), checkpoint)
+def stream_defer_retry(items: DataFrame, handle: Handler, max_attempts: int, retry_hours: float, delay: str = "1 hour") -> DataFrame:
+    """As above for items (`key, at`), but `handle` may also answer defer: no ledger row, and a timer tries again `retry_hours` of event time later.
 
-
-def stream_defer_retry(
-    items: DataFrame, ledger: BatchTable, retries: BatchTable, handle: Handler, checkpoint: str, max_attempts: int
-) -> None:
-    """As above, but `handle` may also answer `defer`: no ledger row, and the next batch tries again.
-
-    `handle` sees `key, attempts`. An item deferred at its last attempt becomes an error, which later deliveries
-    of the same item try again.
+    An item deferred at its last attempt becomes an error, which later deliveries of the same item try again.
     """
+    timed = items.withWatermark("at", delay).select("key", "at", F.unix_millis("at").alias("at_ms"))
+    return _ledger_rows(timed, HandleOnce(handle, max_attempts, int(retry_hours * 3_600_000)), "EventTime")
 
-    def one_batch(batch: DataFrame, batch_id: int) -> None:
-        again = retries.read(only=batch_id - 1).select("key", F.col("attempts") + 1)
-        fresh = unprocessed(batch.select("key").distinct(), ledger.read(before=batch_id))
-        queue = fresh.select("key", F.lit(1).cast("bigint").alias("attempts")).union(again)
-        todo = queue.groupBy("key").agg(F.max("attempts").alias("attempts"))
-        handled = handle(todo).persist()
-        try:
-            deferred = (F.col("status") == "defer") & (F.col("attempts") < max_attempts)
-            ended = handled.where(~deferred).withColumn("status", F.when(F.col("status") == "defer", "error").otherwise(F.col("status")))
-            retries.write(handled.where(deferred).select("key", "attempts"), batch_id)
-            ledger.write(ledger_rows(ended, batch_id), batch_id)
-        finally:
-            handled.unpersist()
-
-    run_to_end(items.writeStream.foreachBatch(one_batch), checkpoint)
-
-
-ORDER_SCHEMA = "identity STRING, message_id BIGINT, sent_s BIGINT, position BIGINT"
 
-
-def stream_ordered_groups(events: DataFrame, positions: BatchTable, checkpoint: str, seconds_per_chunk: int = 3600) -> None:
-    """Position of every event within its identity: time order inside a batch, behind all earlier batches."""
-
-    def one_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("identity", "message_id", "sent_s").persist()
-        try:
-            chunk = F.floor(F.col("sent_s") / seconds_per_chunk)
-            ranked = row_rank(rows, ["identity"], chunk, [F.col("sent_s"), F.col("message_id")], "rank")
-            done = positions.read(before=batch_id).groupBy("identity").agg(F.max("position").alias("done"))
-            position = F.col("rank") + F.coalesce("done", F.lit(0))
-            placed = ranked.join(done, "identity", "left").withColumn("position", position)
-            positions.write(placed.select("identity", "message_id", "sent_s", "position"), batch_id)
-        finally:
-            rows.unpersist()
-
-    run_to_end(events.writeStream.foreachBatch(one_batch), checkpoint)
+def stream_ordered_groups(events: DataFrame, piece: int = 1024) -> DataFrame:
+    """Position of every event (`identity, message_id, sent_s`) within its identity by time, for an update sink: a late event takes its place,
+    and the positions it moves are given again.
+    """
+    rows = events.select("identity", "message_id", "sent_s")
+    return keyed(rows, "identity", Positions(piece), "identity STRING, message_id LONG, sent_s LONG, position LONG", "update")
