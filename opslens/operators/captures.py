@@ -17,18 +17,14 @@ from opslens.functions.columns import matches_any, one_of
 from opslens.functions.scale import HOT_ROWS, first_per_key, running_total, top_per_key
 from opslens.functions.text import map_texts
 
-ARRIVALS_PER_CHUNK = 65_536
 
-
-def doc_generation(captures: DataFrame, per_chunk: int = ARRIVALS_PER_CHUNK, hot_rows: int = HOT_ROWS) -> DataFrame:
+def doc_generation(captures: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds `gen`, the number of page loads of the session so far; sequence numbers restart with each load."""
-    chunk = F.floor(F.col("arrival") / per_chunk)
-    return running_total(captures, ["session_id"], chunk, [F.col("arrival")], F.col("is_load").cast("int"), "gen", hot_rows)
+    return running_total(captures, ["session_id"], [F.col("arrival")], F.col("is_load").cast("int"), "gen", hot_rows)
 
 
 def dedup_captures(
     captures: DataFrame,
-    per_chunk: int = ARRIVALS_PER_CHUNK,
     hot_rows: int = HOT_ROWS,
     cut: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
@@ -39,7 +35,7 @@ def dedup_captures(
     read several times, for counts, ranks and winners; `cut` may write them first, so that the captures are read twice.
     """
     narrow = cut(captures.select("session_id", "arrival", "seq", "is_load", F.col("body").isNotNull().alias("_filled")))
-    keyed = doc_generation(narrow, per_chunk, hot_rows).where("_filled")
+    keyed = doc_generation(narrow, hot_rows).where("_filled")
     numbered = F.col("seq").isNotNull()
     winners = keyed.groupBy("session_id", "gen", numbered.alias("_numbered"), F.coalesce("seq", "arrival").alias("_key")).agg(
         F.min("arrival").alias("arrival")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions.columns import mapping, one_of, truthy_text
-from opslens.functions.scale import last_per_key, row_rank
+from opslens.functions.scale import HOT_ROWS, last_per_key, row_rank
 
 # Status of cancelled projects and the object type of people.
 CANCELLED_STATUS = (59,)
@@ -35,15 +35,15 @@ def with_identity(events: DataFrame) -> DataFrame:
     return events.withColumn("identity", identity_key(F.col("ext_id"), F.col("customer_name"), F.col("address")))
 
 
-def group_in_order(events: DataFrame, seconds_per_chunk: int = 3600) -> DataFrame:
+def group_in_order(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Position of every event within its identity by time; events without a time come first.
 
-    The events are read once for the counts of hot identities and once for the ranks: hand over a written table
-    where they are costly to compute.
+    The events are read once for the counts of identities, once more for the bounds of hot ones, and once for the ranks: hand over a
+    written table where they are costly to compute.
     """
     time = F.coalesce("sent_s", F.lit(-1))
     order = [time, F.col("message_id")]
-    return row_rank(events, ["identity"], F.floor(time / seconds_per_chunk), order, "position")
+    return row_rank(events, ["identity"], order, "position", hot_rows)
 
 
 def group_sizes(events: DataFrame, top: int = 10) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions.columns import one_of
-from opslens.functions.scale import last_per_key, running_total
+from opslens.functions.scale import HOT_ROWS, last_per_key, running_total
 
 # Phases after which a job can no longer be cancelled.
 TERMINAL = ("completed", "failed", "cancelled")
@@ -71,10 +71,10 @@ def capacity(events: DataFrame, as_of: Column, max_active: int) -> DataFrame:
     return counts.withColumn("free", F.lit(max_active) - F.col("active"))
 
 
-def overlap_profile(intervals: DataFrame, cap: int, chunk: str = "hour") -> DataFrame:
+def overlap_profile(intervals: DataFrame, cap: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """In-flight count after every instant at which it changes; an interval covers [start, end).
 
-    Changes are summed per instant first, then added up inside hour chunks on top of the chunk offsets.
+    Changes are summed per instant first, then added up inside even chunks of the instants on top of the chunk offsets.
     """
     marks = intervals.select(
         F.explode(
@@ -85,7 +85,7 @@ def overlap_profile(intervals: DataFrame, cap: int, chunk: str = "hour") -> Data
         ).alias("m")
     ).select("m.*")
     steps = marks.groupBy("ts").agg(F.sum("delta").alias("delta"))
-    profile = running_total(steps, [], F.date_trunc(chunk, "ts"), [F.col("ts")], F.col("delta"), "in_flight")
+    profile = running_total(steps, [], [F.col("ts")], F.col("delta"), "in_flight", hot_rows)
     return profile.select("ts", "in_flight", (F.col("in_flight") > cap).alias("over_cap"))
 
 

@@ -232,16 +232,11 @@ def usage_summary(turns: DataFrame, as_of: dt.date, excluded: Sequence[int] = ()
     )
 
 
-def usage_report(turns: DataFrame, as_of: dt.date, excluded: Sequence[int] = ()) -> DataFrame:
-    """The summary in a first row without a project, then the day's projects, largest first, in rows of their own.
-
-    Projects are as many as the day has, so they are rows and never one list.
-    """
-    summary = usage_summary(turns, as_of, excluded)
+def project_breakdown(turns: DataFrame, as_of: dt.date) -> DataFrame:
+    """The day's projects that go with the summary of `as_of`, largest first, a row each: they are as many as the day has."""
     columns = {"project": "project", "label": "project_label", "input": "project_input", "output": "project_output", "total": "project_total"}
-    projects = project_day(turns, as_of).select(*[F.col(a).alias(b) for a, b in columns.items()])
-    rows = summary.unionByName(projects, allowMissingColumns=True)
-    return rows.orderBy(F.desc_nulls_first("project_total"), "project")
+    projects = project_day(turns, as_of).select(F.lit(as_of).alias("as_of"), *[F.col(a).alias(b) for a, b in columns.items()])
+    return projects.orderBy(F.desc("project_total"), "project")
 
 
 def limit_status(df: DataFrame, total: str, limit: str) -> DataFrame:

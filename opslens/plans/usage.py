@@ -156,10 +156,15 @@ lt AS (SELECT ts AS last_ts, input_tokens AS last_input, cache_creation_input_to
 summary AS (SELECT '2024-01-30' AS as_of, '2024-01-29' AS week_start, * FROM td, wk, dl, wl, lt)"""
 
 
-@query("u15_usage_summary", U, SUMMARY + PROJECTS.removeprefix(DONE) + """ SELECT summary.*, project, label AS project_label, input AS project_input, output AS project_output, total AS project_total
- FROM summary FULL JOIN labelled ON false""")
+@query("u15_usage_summary", U, SUMMARY + " SELECT * FROM summary")
 def u15(spark, sf_dir):
-    return as_text(usage.usage_report(turns(spark, sf_dir), AS_OF, WEEKEND), "as_of", "week_start")
+    return as_text(usage.usage_summary(turns(spark, sf_dir), AS_OF, WEEKEND), "as_of", "week_start")
+
+
+@query("u15_project_breakdown", U, SUMMARY + PROJECTS.removeprefix(DONE) + """ SELECT as_of, project, label AS project_label, input AS project_input, output AS project_output, total AS project_total
+ FROM summary CROSS JOIN labelled""")
+def u15_projects(spark, sf_dir):
+    return as_text(usage.project_breakdown(turns(spark, sf_dir), AS_OF), "as_of")
 
 
 @query("u16_limit_status", U, SUMMARY + """ SELECT period, total, lim, round(total / lim * 100, 6) AS pct, greatest(lim - total, 0) AS remaining,

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from opslens.functions.scale import first_per_key, last_per_key, mark_hot, row_rank, running_total, top_per_key
+from opslens.functions.scale import first_per_key, last_per_key, hot_keys, cut_hot, row_rank, running_total, top_per_key
 
 
 @pytest.fixture(scope="module")
@@ -23,9 +23,8 @@ def df(spark, rows):
 
 
 @pytest.mark.parametrize("hot_rows", [0, 200, 10_000])
-@pytest.mark.parametrize("size", [1, 7, 5000])
-def test_running_total(df, rows, size, hot_rows):
-    got = {(r.k, r.i): r.t for r in running_total(df, ["k"], F.floor(F.col("i") / size), [F.col("i")], F.col("v"), "t", hot_rows).collect()}
+def test_running_total(df, rows, hot_rows):
+    got = {(r.k, r.i): r.t for r in running_total(df, ["k"], [F.col("i")], F.col("v"), "t", hot_rows).collect()}
     sums, want = {}, {}
     for k, i, v in rows:
         sums[k] = sums.get(k, 0) + v
@@ -33,8 +32,11 @@ def test_running_total(df, rows, size, hot_rows):
     assert got == want
 
 
-def test_running_total_without_keys(df, rows):
-    got = [r.t for r in running_total(df, [], F.floor(F.col("i") / 13), [F.col("i")], F.col("v"), "t").orderBy("i").collect()]
+@pytest.mark.parametrize("hot_rows", [13, 10_000])
+def test_running_total_without_keys(df, rows, hot_rows):
+    found = running_total(df, [], [F.col("i")], F.col("v"), "t", hot_rows)
+    assert found.columns == [*df.columns, "t"]
+    got = [r.t for r in found.orderBy("i").collect()]
     total, want = 0, []
     for _, _, v in rows:
         total += v
@@ -43,7 +45,7 @@ def test_running_total_without_keys(df, rows):
 
 
 def test_row_rank(df, rows):
-    got = {(r.k, r.i): r.n for r in row_rank(df, ["k"], F.floor(F.col("i") / 50), [F.col("i")], "n", hot_rows=200).collect()}
+    got = {(r.k, r.i): r.n for r in row_rank(df, ["k"], [F.col("i")], "n", hot_rows=200).collect()}
     seen, want = {}, {}
     for k, i, _ in rows:
         seen[k] = seen.get(k, 0) + 1
@@ -61,9 +63,26 @@ def test_top_per_key(df, rows, k):
     assert got == sorted(want)
 
 
-def test_only_hot_keys_are_marked(df):
-    hot = mark_hot(df, ["k"], hot_rows=200).where("_hot").select("k").distinct().collect()
-    assert [r.k for r in hot] == ["hot"]
+def test_only_hot_keys_are_cut(df):
+    assert [(r.k, r._n >= 400, r._parts > 1) for r in hot_keys(df, ["k"], hot_rows=200).collect()] == [("hot", True, True)]
+    assert cut_hot(df, ["k"], [F.col("i")], hot_rows=2000) is None
+
+
+def test_chunks_are_even_where_the_rows_lie_thick(spark):
+    """One hour, and one second of it, hold half of all rows of one key."""
+    rows = spark.range(40_000).select(
+        F.lit("k").alias("key"), "id", F.when(F.col("id") % 2 == 0, 500_000).when(F.col("id") % 8 == 1, 500_000 + F.col("id") % 3600).otherwise(F.col("id") * 100).alias("s")
+    )
+    rows = rows.unionByName(spark.range(100).select(F.lit("small").alias("key"), "id", F.lit(None).cast("long").alias("s")))
+    order = [F.col("s"), F.col("id")]
+    sizes = [r["count"] for r in cut_hot(rows, ["key"], order, hot_rows=2000).where("key = 'k'").groupBy("_chunk").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 2 * 40_000 / len(sizes)
+    got = {(r.key, r.id): r.n for r in row_rank(rows, ["key"], order, "n", hot_rows=2000).collect()}
+    want, seen = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (r.key, -1 if r.s is None else r.s, r.id)):
+        seen[r.key] = seen.get(r.key, 0) + 1
+        want[(r.key, r.id)] = seen[r.key]
+    assert got == want
 
 
 def test_first_and_last(df, rows):
