@@ -57,3 +57,23 @@ def score_batch(prompts: DataFrame, model: Callable[[list[str]], list[str]], bat
     asked = prompts.select("item_id", "prompt")
     asked = asked.repartition(tasks) if tasks else asked
     return asked.mapInPandas(score, "item_id BIGINT, reply STRING")
+
+
+def score_resumed(prompts: DataFrame, model: Callable[[list[str]], list[str]], path: str, parts: int = 16, callers: int = 8, batch_size: int = 32) -> DataFrame:
+    """The replies to all prompts (`item_id, prompt`, ids unique and not null), kept as a table at `path`, which every run completes.
+
+    The prompts are dealt into `parts` by their id; a part's replies are written before the next part is asked, so a run that ends
+    early loses one part at most and the next one asks the model only for what has no reply yet. At most `callers` tasks call the
+    model at once, each with lists of `batch_size`.
+    """
+    spark = prompts.sparkSession
+    schema = "item_id BIGINT, reply STRING, part INT"
+    numbered = prompts.select("item_id", "prompt", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int").alias("part"))
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)  # a table without rows, if there is none yet
+    done = spark.read.schema(schema).parquet(path)
+    for part in range(parts):
+        mine = numbered.where(F.col("part") == part)
+        todo = mine.join(done.where(F.col("part") == part).select("item_id"), "item_id", "left_anti")
+        replies = score_batch(todo, model, batch_size, callers)
+        replies.withColumn("part", F.lit(part)).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).select("item_id", "reply")

@@ -6,10 +6,11 @@ A capture has `session_id, arrival, path, seq, is_load, url, body`; `arrival` or
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,6 +118,44 @@ def json_only(captures: DataFrame, body: str = "body") -> DataFrame:
 _SHAPE = T.ArrayType(T.StructType().add("ord", "integer").add("depth", "integer").add("object", "string"))
 
 
+def shapes_of(text: str | None, keys: Sequence[str]) -> list[dict]:
+    """The objects in a JSON text that have all keys, in depth-first order; none where it is no JSON."""
+    try:
+        stack = [(json.loads(text), 0)] if text else []
+    except ValueError:
+        return []
+    found = []
+    while stack:
+        node, depth = stack.pop()
+        if isinstance(node, dict):
+            if all(k in node for k in keys):
+                found.append({"ord": len(found), "depth": depth, "object": json.dumps(node, ensure_ascii=False)})
+            children = list(node.values())
+        elif isinstance(node, list):
+            children = node
+        else:
+            continue
+        stack.extend((child, depth + 1) for child in reversed(children))
+    return found
+
+
+class FindShapes:
+    """Table function over Arrow batches of (id, body): the hits of each body, for keys in a comma-separated list."""
+
+    def eval(self, rows: pa.RecordBatch, required: pa.Array) -> Iterator[pa.Table]:
+        keys = required[0].as_py().split(",") if len(required) else []
+        hits = [{"id": i, **hit} for i, text in zip(rows.column("id").to_pylist(), rows.column("body").to_pylist(), strict=True) for hit in shapes_of(text, keys)]
+        yield pa.Table.from_pylist(hits, schema=pa.schema([("id", pa.int64()), ("ord", pa.int32()), ("depth", pa.int32()), ("object", pa.string())]))
+
+
+def register_find_shapes(spark: SparkSession, name: str = "find_shapes") -> None:
+    """Makes `find_shapes(TABLE(rows), 'key,key')` a table function of SQL: id, ord, depth, object for the rows' id and body.
+
+    The table goes in as an argument and stays in its partitions; Spark takes no Arrow function behind LATERAL.
+    """
+    spark.udtf.register(name, F.arrow_udtf(FindShapes, returnType="id BIGINT, ord INT, depth INT, object STRING"))
+
+
 def find_shapes(rows: DataFrame, body: str, required: Sequence[str]) -> DataFrame:
     """Every object at any depth that has all required keys, hits inside hits included, in depth-first order.
 
@@ -124,27 +163,8 @@ def find_shapes(rows: DataFrame, body: str, required: Sequence[str]) -> DataFram
     """
     keys = tuple(required)
 
-    def walk(text: str) -> list[dict]:
-        try:
-            stack = [(json.loads(text), 0)] if text else []
-        except ValueError:
-            return []
-        found = []
-        while stack:
-            node, depth = stack.pop()
-            if isinstance(node, dict):
-                if all(k in node for k in keys):
-                    found.append({"ord": len(found), "depth": depth, "object": json.dumps(node, ensure_ascii=False)})
-                children = list(node.values())
-            elif isinstance(node, list):
-                children = node
-            else:
-                continue
-            stack.extend((child, depth + 1) for child in reversed(children))
-        return found
-
     @F.pandas_udf(_SHAPE)
     def hits(texts: pd.Series) -> pd.Series:
-        return map_texts(texts, walk)
+        return map_texts(texts, lambda text: shapes_of(text, keys))
 
     return rows.withColumn("_hits", hits(body)).select(*rows.columns, F.inline("_hits"))

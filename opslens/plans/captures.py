@@ -164,16 +164,16 @@ def s02_strict(spark, sf_dir):
     return kept.groupBy("project").agg(F.count("*").alias("lines"))
 
 
-@query("s04_file_inventory", (), """SELECT 'folder=' || CAST(page_id % 7 AS VARCHAR) AS name, CAST(sum(strlen(html) + 1) + CASE WHEN page_id % 7 < 3 THEN 9 ELSE 0 END AS BIGINT) AS size_bytes, CASE WHEN page_id % 7 < 3 THEN 2 ELSE 1 END AS filled_files,
- page_id % 7 < 3 AS marker_present, true AS present FROM pages GROUP BY page_id % 7""")
+@query("s04_file_inventory", (), """SELECT 'folder=' || CAST(page_id // 16 AS VARCHAR) AS name, CAST(sum(strlen(html) + 1) + CASE WHEN page_id // 16 % 7 < 3 THEN 9 ELSE 0 END AS BIGINT) AS size_bytes, CASE WHEN page_id // 16 % 7 < 3 THEN 2 ELSE 1 END AS filled_files,
+ page_id // 16 % 7 < 3 AS marker_present, true AS present FROM pages GROUP BY page_id // 16""")
 def s04(spark, sf_dir):
-    """The pages as files in seven folders, three of which get a marker file."""
+    """The pages as files in folders of sixteen, three of seven of which get a marker file."""
     path = scratch(spark, "files")
-    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 7).alias("folder"), F.col("html").alias("value"))
+    rows = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 16).alias("folder"), F.col("html").alias("value"))
     rows.repartition("folder").write.partitionBy("folder").text(path)
-    marks = rows.where("folder < 3").select("folder", F.lit(1).alias("ok")).distinct().repartition("folder")
+    marks = rows.where("folder % 7 < 3").select("folder", F.lit(1).alias("ok")).distinct().repartition("folder")
     marks.write.mode("append").partitionBy("folder").json(path)
-    return inventory.file_inventory(spark, path, r"^folder=\d$", marker="*.json")
+    return inventory.file_inventory(spark, path, r"^folder=\d+$", marker=r"^[^/]*\.json$")
 
 
 AU = ("audit",)

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from opslens.functions.extend import ParserRegistry, score_batch
+from opslens.functions.extend import ParserRegistry, score_resumed
 from opslens.operators import captures as c
 from opslens.operators.assess import MeasureRegistry, recover_json
 from opslens.operators.jobs import job_snapshot
@@ -200,12 +200,14 @@ def _length_model(prompts):
 @query("f03_score_batch", (), "SELECT doc_id AS item_id, length(text) % 10 + 1 AS score FROM documents")
 def f03(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("item_id"), F.col("text").alias("prompt"))
-    replies = score_batch(docs, _length_model)
+    replies = score_resumed(docs, _length_model, scratch(spark, "replies"), parts=4)
     score = F.try_variant_get(F.try_parse_json(recover_json(F.col("reply"))), "$.assessment.overall_score", "bigint")
     return replies.select("item_id", score.alias("score"))
 
 
 @query("f04_find_shapes_udtf", (), """SELECT o_orderkey AS project_id, count(*) AS hits FROM orders CROSS JOIN (VALUES (1), (2), (3)) n(i) WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 GROUP BY 1""")
 def f04(spark, sf_dir):
-    shapes = c.find_shapes(nested_bodies(spark, sf_dir), "body", ("Project ID", "Project Name"))
-    return shapes.groupBy("project_id").agg(F.count("*").alias("hits"))
+    """The table function, from SQL."""
+    c.register_find_shapes(spark)
+    rows = nested_bodies(spark, sf_dir).select(F.col("project_id").alias("id"), "body")
+    return spark.sql("SELECT id AS project_id, count(*) AS hits FROM find_shapes(TABLE(SELECT * FROM {rows}), 'Project ID,Project Name') GROUP BY id", rows=rows)

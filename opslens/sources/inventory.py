@@ -2,34 +2,87 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+
+@dataclass
+class Folder(InputPartition):
+    """One top-level folder, listed by one task."""
+
+    path: str
+    name: str
+
+
+def _opened(root: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:/") else (fs.LocalFileSystem(), root)
+
+
+class FolderReader(DataSourceReader):
+    def __init__(self, root: str, name_pattern: str) -> None:
+        self.root, self.name_pattern = root, name_pattern
+
+    def partitions(self) -> Sequence[InputPartition]:
+        """The folders right below the root; only this level is listed here."""
+        from pyarrow import fs
+
+        store, path = _opened(self.root)
+        found = store.get_file_info(fs.FileSelector(path))
+        return [Folder(f.path, f.base_name) for f in found if f.type == fs.FileType.Directory and re.search(self.name_pattern, f.base_name)]
+
+    def read(self, partition: Folder) -> Iterator[tuple]:
+        from pyarrow import fs
+
+        store, _ = _opened(self.root)
+        yield partition.name, None, None
+        inside = store.get_file_info(fs.FileSelector(partition.path, recursive=True))
+        for f in inside:
+            if f.type == fs.FileType.File:
+                yield partition.name, f.path[len(partition.path) :].lstrip("/"), f.size
+
+
+class FolderListing(DataSource):
+    """`name, path, length` of every file below the top-level folders of `root`, empty and hidden ones too, and a row without a path for every folder.
+
+    A folder is a partition, listed by its task. The root is a path or URI that pyarrow opens (local, hdfs, s3, gs).
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "folder_listing"
+
+    def schema(self) -> str:
+        return "name STRING, path STRING, length LONG"
+
+    def reader(self, schema) -> DataSourceReader:
+        return FolderReader(self.options["root"], self.options["names"])
 
 
-def _parts(paths: DataFrame, root: str, name_pattern: str) -> DataFrame:
-    """Path segments below the root and the name of the top-level folder; other paths are dropped."""
-    inside = F.regexp_replace(F.substring_index("path", root.rstrip("/") + "/", -1), "^/+", "")
-    rows = paths.withColumn("parts", F.split(inside, "/")).where(F.size("parts") > 1)
-    return rows.withColumn("name", F.get("parts", F.lit(0))).where(F.col("name").rlike(name_pattern))
+def list_folders(spark: SparkSession, root: str, name_pattern: str) -> DataFrame:
+    spark.dataSource.register(FolderListing)
+    return spark.read.format("folder_listing").options(root=unquote(root), names=name_pattern).load()
 
 
-def file_inventory(spark: SparkSession, root: str, name_pattern: str = r"^[A-Za-z0-9._-]+$", marker: str = "session_ok") -> DataFrame:
-    """Bytes, a non-empty flag and a marker-file flag per top-level folder, by name; odd names are skipped.
+def file_inventory(spark: SparkSession, root: str, name_pattern: str = r"^[A-Za-z0-9._-]+$", marker: str = r"^session_ok$") -> DataFrame:
+    """Bytes, number of non-empty files and a marker-file flag per top-level folder, by name; odd names are skipped.
 
-    File contents are never read, only path and length. Spark lists no hidden files and plans no empty ones,
-    so marker files, which may be empty, come from the listing itself: at most one per folder counts.
+    Contents are never read, only path and length. The marker, which may be empty, is a file right in the folder whose name matches. Names that
+    begin with a dot or an underscore, which Spark takes for hidden, count only as markers.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    sizes = _parts(reader.load(root).select("path", "length"), root, name_pattern)
-    totals = sizes.groupBy("name").agg(F.sum("length").alias("size_bytes"), F.count("*").alias("filled_files"))
-    listed = reader.option("pathGlobFilter", marker).load(root).inputFiles()
-    at_top = [(p,) for p in listed if p.rsplit("/", 2)[0].rstrip("/").endswith(root.rstrip("/"))]
-    markers = _parts(spark.createDataFrame(at_top, "path STRING"), root, name_pattern).select("name").distinct()
-    joined = totals.join(markers.withColumn("_marked", F.lit(True)), "name", "full_outer")
-    return joined.select(
-        "name",
-        F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"),
-        F.coalesce("filled_files", F.lit(0)).alias("filled_files"),
-        F.coalesce("_marked", F.lit(False)).alias("marker_present"),
+    files = list_folders(spark, root, name_pattern)
+    shown = ~F.substring_index("path", "/", -1).rlike("^[._]")
+    return files.groupBy("name").agg(
+        F.coalesce(F.sum(F.when(shown, F.col("length"))), F.lit(0)).alias("size_bytes"),
+        F.count_if(shown & (F.col("length") > 0)).alias("filled_files"),
+        F.coalesce(F.bool_or(F.col("path").rlike(marker)), F.lit(False)).alias("marker_present"),
         F.lit(True).alias("present"),
     ).orderBy("name")

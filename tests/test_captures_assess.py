@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import difflib
 import json
+import os
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from opslens.functions.columns import round_binary
-from opslens.functions.extend import ParserRegistry, score_batch
+from opslens.functions.extend import ParserRegistry, score_batch, score_resumed
 from opslens.operators import assess as a
 from opslens.operators import captures as c
 from opslens.sources.docs import read_docs
@@ -27,8 +29,8 @@ def captured():
     ]
 
 
-@pytest.mark.parametrize("chunk, hot_rows", [(1, 0), (10, 100), (100_000, 1000)])
-def test_dedup_against_a_loop(spark, captured, chunk, hot_rows):
+@pytest.mark.parametrize("hot_rows", [0, 100, 1000])
+def test_dedup_against_a_loop(spark, captured, hot_rows):
     gens, seen, want = {}, set(), []
     for session, arrival, _, seq, is_load, _, body in captured:
         gens[session] = gens.get(session, 0) + is_load
@@ -38,7 +40,7 @@ def test_dedup_against_a_loop(spark, captured, chunk, hot_rows):
         seen.add(key)
         want.append((*key, arrival))
     df = spark.createDataFrame(captured, CAPTURE).repartition(4)
-    got = [(r.session_id, r.gen, r.seq, r.arrival) for r in c.dedup_captures(df, chunk, hot_rows).collect()]
+    got = [(r.session_id, r.gen, r.seq, r.arrival) for r in c.dedup_captures(df, hot_rows).collect()]
     assert sorted(got, key=lambda r: r[3]) == sorted(want, key=lambda r: r[3])
 
 
@@ -221,3 +223,25 @@ def test_extension_points(spark):
     replies = score_batch(prompts, lambda texts: [str(len(t) + 0 * len(texts)) for t in texts], batch_size=7, tasks=3)
     assert replies.rdd.getNumPartitions() == 3
     assert {r.item_id: r.reply for r in replies.collect()} == {n: str(n) for n in range(100)}
+
+
+def test_a_second_run_asks_the_model_only_for_what_is_open(spark, tmp_path):
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(40)], "item_id LONG, prompt STRING")
+    asked = f"{tmp_path}/asked"
+    os.mkdir(asked)
+
+    def model(texts, broken):
+        for t in texts:
+            open(f"{asked}/{t}-{uuid.uuid4().hex}", "w").close()
+        if broken and "p7" in texts:
+            raise RuntimeError("model down")
+        return [t.upper() for t in texts]
+
+    with pytest.raises(Exception, match="model down"):
+        score_resumed(prompts, lambda t: model(t, True), f"{tmp_path}/replies", parts=5)
+    written = {r.item_id for r in spark.read.parquet(f"{tmp_path}/replies").collect()}
+    before = len(os.listdir(asked))
+    replies = score_resumed(prompts, lambda t: model(t, False), f"{tmp_path}/replies", parts=5)
+    assert sorted((r.item_id, r.reply) for r in replies.collect()) == [(i, f"P{i}") for i in range(40)]
+    assert written and len(os.listdir(asked)) - before == 40 - len(written)
+    assert score_resumed(prompts, lambda t: 1 / 0, f"{tmp_path}/replies", parts=5).count() == 40
