@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.tokens import BYTE_VALUES, CHUNK_BYTES, Slices, Words, chunks, column_bytes, grams, mix, window_min
+from opslens.llm.tokens import BYTE_VALUES, CHUNK_BYTES, Slices, Words, chunks, column_bytes, give_back, grams, mix, window_min
 from opslens.session import materialize
 
 # anchors are told apart by 48 bits; a clash only adds a candidate
@@ -392,7 +392,9 @@ def passage_frame(docs: DataFrame, unit: Unit, dealt: DataFrame | None = None, p
     def cut(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return (PLACED if placed else PASSAGE).empty_table()
-        return passages(key, left, right, unit, hot.value, shards, placed)
+        out = passages(key, left, right, unit, hot.value, shards, placed)
+        give_back()
+        return out
 
     pairs = dealt.groupBy("_block").cogroup(asked.repartitionById(parts, "_block").groupBy("_block"))
     return pairs.applyInArrow(cut, PLACED_SQL if placed else PASSAGE_SQL).repartitionById(parts, "shard")
@@ -411,6 +413,7 @@ def find_covers(docs: DataFrame, unit: Unit, finder: Finder) -> tuple[DataFrame,
             for held, new in zip(covers, finder(entries, unit), strict=True):
                 held.append(new)
         doc, start, size = map(np.concatenate, covers)
+        give_back()
         yield from pack_covers(doc, start, start + size, blocks)
 
     covers = sent.mapInArrow(work, "_block int, docs binary, starts binary, ends binary")
@@ -495,6 +498,8 @@ def apply_covers(dealt: DataFrame, covers: DataFrame, summarise: Callable, schem
         ids = left.column("_id").to_numpy()
         a, b = np.searchsorted(doc, ids, side="left"), np.searchsorted(doc, ids, side="right")
         spans = [(start[x:y], end[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-        return summarise(left, spans)
+        out = summarise(left, spans)
+        give_back()
+        return out
 
     return dealt.groupBy("_block").cogroup(covers.repartitionById(parts, "_block").groupBy("_block")).applyInArrow(work, schema)
