@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.functions.columns import mapping, one_of, truthy_text
 from opslens.functions.scale import HOT_ROWS, last_per_key, row_rank
+from opslens.session import materialize
 
 # Status of cancelled projects and the object type of people.
 CANCELLED_STATUS = (59,)
@@ -280,13 +281,8 @@ def plan_entities_projects(
     return rows.withColumn("project_name", F.when(F.col("created_project"), project_name)).drop("_entity_key", "_linked")
 
 
-def upsert_milestone(target: DataFrame, updates: DataFrame, stage_of: dict[str, tuple[str, int]], blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New content of the milestone table and the updates that failed.
-
-    `updates` has `project_id, event_type, ts, seq`; `stage_of` maps an event type to a block name and a
-    status; `blocks` has `id, name, archived` and must hold the block name exactly once. The last update
-    of a project and block wins; the target row is replaced or added.
-    """
+def milestone_updates(updates: DataFrame, stage_of: dict[str, tuple[str, int]], blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The last status of every project and block, and the updates that failed; see `upsert_milestone`."""
     names = mapping({k: v[0] for k, v in stage_of.items()})
     states = mapping({k: v[1] for k, v in stage_of.items()})
     mapped = updates.withColumns(
@@ -296,14 +292,69 @@ def upsert_milestone(target: DataFrame, updates: DataFrame, stage_of: dict[str,
     reason = one_of([(F.col("block_name").isNull(), "no mapping"), (F.col("error").isNotNull(), "block is not unique")])
     failed = known.where(F.col("id").isNull()).select("project_id", "event_type", "ts", "seq", reason.alias("reason"))
     good = known.where(F.col("id").isNotNull()).withColumnRenamed("id", "block_id")
-    wanted = last_per_key(good, ["project_id", "block_id"], ["ts", "seq"], ["new_status"])
-    merged = target.join(wanted, ["project_id", "block_id"], "full_outer").select(
+    return last_per_key(good, ["project_id", "block_id"], ["ts", "seq"], ["new_status"]), failed
+
+
+def _merge_milestones(target: DataFrame, wanted: DataFrame) -> DataFrame:
+    return target.join(wanted, ["project_id", "block_id"], "full_outer").select(
         "project_id",
         "block_id",
         F.coalesce("new_status", "status_id").alias("status_id"),
         one_of([(F.col("new_status").isNull(), "kept"), (F.col("status_id").isNull(), "inserted")], "updated").alias("change"),
     )
-    return merged, failed
+
+
+def upsert_milestone(target: DataFrame, updates: DataFrame, stage_of: dict[str, tuple[str, int]], blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New content of the milestone table and the updates that failed.
+
+    `updates` has `project_id, event_type, ts, seq`; `stage_of` maps an event type to a block name and a
+    status; `blocks` has `id, name, archived` and must hold the block name exactly once. The last update
+    of a project and block wins; the target row is replaced or added.
+    """
+    wanted, failed = milestone_updates(updates, stage_of, blocks)
+    return _merge_milestones(target, wanted), failed
+
+
+class MilestoneTable:
+    """The milestone table on disk, in folders by bucket of the project; an upsert rewrites only the buckets it touches.
+
+    Neighbouring projects share a bucket (`span` of them in a row), so updates of recent projects touch few. `files` is the
+    number of files of a bucket. Projects need an id: updates without one fail with a reason, stored rows have one.
+    """
+
+    SCHEMA = "project_id BIGINT, block_id BIGINT, status_id INT"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, span: int = 512, files: int = 1) -> None:
+        self.spark, self.path, self.buckets, self.span, self.files = spark, path, buckets, span, files
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.expr(f"project_id div {self.span}"), F.lit(self.buckets)).cast("int"))
+
+    def write(self, rows: DataFrame) -> None:
+        """Replace the buckets that `rows` has, and no others."""
+        part = F.pmod(F.xxhash64("project_id", "block_id"), F.lit(self.files)).cast("int")
+        dealt = self._placed(rows.select("project_id", "block_id", "status_id")).repartition("bucket", part)
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+
+    def read(self, buckets: Sequence[int] | None = None) -> DataFrame:
+        rows = self.spark.read.schema(f"{self.SCHEMA}, bucket INT").parquet(self.path)
+        return (rows if buckets is None else rows.where(F.col("bucket").isin(list(buckets)))).drop("bucket")
+
+    def upsert(self, updates: DataFrame, stage_of: dict[str, tuple[str, int]], blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Apply the updates; the new rows of the touched buckets with `change`, and the updates that failed.
+
+        The new rows are written beside the table before any bucket is replaced: if the job dies while buckets are
+        swapped, `write` of the same rows, or the same upsert again, ends the work.
+        """
+        nameless = updates.where(F.col("project_id").isNull()).select("project_id", "event_type", "ts", "seq", F.lit("no project").alias("reason"))
+        wanted, failed = milestone_updates(updates.where(F.col("project_id").isNotNull()), stage_of, blocks)
+        wanted = materialize(wanted, "wanted")
+        # numbers below `buckets`, so the list is bounded and prunes the scan as literals
+        touched = sorted(r.bucket for r in self._placed(wanted).select("bucket").distinct().collect())
+        merged = materialize(_merge_milestones(self.read(touched), wanted), "merged")
+        if touched:
+            self.write(merged)
+        return merged, failed.unionByName(nameless)
 
 
 def append_note(decisions: DataFrame, writer_id: int, prefix: str) -> DataFrame:

@@ -237,6 +237,25 @@ def h01(spark, sf_dir):
     return screened.select("page_id", "host", "address", "outcome")
 
 
+@query("h01_screen_urls_block_table", ("net_urls", "net_blocks"), r"""b AS (SELECT network, blocked, split_part(network, '/', 1) AS ip, CAST(split_part(network, '/', 2) AS INTEGER) AS len FROM net_blocks),
+ b4 AS (SELECT len, (CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT)) >> (32 - len) AS lead,
+ min(network) AS network, bool_or(blocked) AS blocked FROM b WHERE NOT contains(ip, ':') GROUP BY 1, 2),
+ b6 AS (SELECT len, ip, min(network) AS network, bool_or(blocked) AS blocked FROM b WHERE contains(ip, ':') GROUP BY 1, 2),
+ u AS (SELECT page_id, regexp_extract(url, '^http://\[?([0-9a-f.:]+)', 1) AS address FROM net_urls),
+ n AS (SELECT address, CAST(split_part(address, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(address, '.', 2) AS BIGINT) * 65536 + CAST(split_part(address, '.', 3) AS BIGINT) * 256 + CAST(split_part(address, '.', 4) AS BIGINT) AS num
+ FROM (SELECT DISTINCT address FROM u WHERE NOT contains(address, ':')) d),
+ asked AS (SELECT address, len, num >> (32 - len) AS lead FROM n CROSS JOIN (SELECT DISTINCT len FROM b4) l),
+ hits AS (SELECT address, network, blocked, len FROM asked JOIN b4 USING (len, lead)
+ UNION ALL SELECT address, network, blocked, len FROM u JOIN b6 ON len = 128 AND ip = address UNION ALL SELECT address, network, blocked, len FROM u JOIN b6 ON len = 32 AND contains(address, ':')),
+ best AS (SELECT address, arg_max(network, len) AS block, arg_max(blocked, len) AS stops FROM hits GROUP BY 1)
+ SELECT page_id, address, block, CASE WHEN stops THEN 'blocked network' ELSE 'ok' END AS outcome FROM u LEFT JOIN best USING (address)""")
+def h01_table(spark, sf_dir):
+    """Forty networks a page; the longest that holds an address decides."""
+    nowhere = spark.createDataFrame([], "host STRING, address STRING")
+    screened = hygiene.screen_urls(view(spark, sf_dir, "net_urls"), nowhere, view(spark, sf_dir, "net_blocks"))
+    return screened.select("page_id", "address", "block", "outcome")
+
+
 @query("h02_audit_counts", AU, "SELECT stage, action, ok, count(*) AS rows FROM audit GROUP BY stage, action, ok")
 def h02(spark, sf_dir):
     return au.audit_counts(audit(spark, sf_dir))

@@ -13,7 +13,7 @@ from opslens.operators import proposals as x
 from opslens.plans.messages import PARSED
 from opslens.plans.registry import query
 from opslens.plans.views import table, view
-from opslens.session import materialize
+from opslens.session import materialize, scratch_path
 
 V = ("messages", "crm_project")
 EV = PARSED + """, ev0 AS (SELECT *, CASE WHEN message_id % 3 = 0 THEN 'x' || CAST(message_id % 3000 AS VARCHAR) END AS ext_id FROM parsed),
@@ -193,7 +193,7 @@ MILES = """blocks AS (SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS name F
  target AS (SELECT o_orderkey AS project_id, o_orderkey % 5 AS block_id, 1 AS status_id FROM orders)"""
 
 
-def milestones(spark, sf_dir):
+def milestone_tables(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").select(
         (F.col("n_nationkey") + 100).cast("bigint").alias("id"), F.when(F.col("n_regionkey") == 1, "DUP").otherwise(F.col("n_name")).alias("name")
     )
@@ -208,7 +208,11 @@ def milestones(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     target = orders.select(F.col("o_orderkey").alias("project_id"), (F.col("o_orderkey") % 5).alias("block_id"), F.lit(1).alias("status_id"))
     stages = {"HIC Executed": ("asia", 11), "Install Date": ("EUROPE ", 12), "Job Scheduled": ("AFRICA", 13), "Deposit Invoice Paid": ("DUP", 14)}
-    return i.upsert_milestone(target, updates, stages, blocks)
+    return target, updates, stages, blocks
+
+
+def milestones(spark, sf_dir):
+    return i.upsert_milestone(*milestone_tables(spark, sf_dir))
 
 
 @query("i12_upsert_milestone", (), MILES + """ SELECT project_id, block_id, coalesce(new_status, status_id) AS status_id,
@@ -217,6 +221,16 @@ def i12(spark, sf_dir):
     return milestones(spark, sf_dir)[0]
 
 
+@query("i12_upsert_milestone_table", (), MILES + " SELECT project_id, block_id, coalesce(new_status, status_id) AS status_id FROM target FULL JOIN want USING (project_id, block_id)")
+def i12_table(spark, sf_dir):
+    """The same on disk: the orders are stored, and the updates rewrite the buckets of the first 4000 projects."""
+    target, updates, stages, blocks = milestone_tables(spark, sf_dir)
+    stored = i.MilestoneTable(spark, scratch_path(spark, "milestones"))
+    stored.write(target)
+    stored.upsert(updates, stages, blocks)
+    return stored.read()
+
+
 @query("i12_upsert_milestone_failed", (), MILES + " SELECT project_id, event_type, ts, seq, CASE WHEN block IS NULL THEN 'no mapping' ELSE 'block is not unique' END AS reason FROM hit WHERE block_id IS NULL")
 def i12_failed(spark, sf_dir):
     return milestones(spark, sf_dir)[1]

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from opslens.operators import jobs, ledger
 from opslens.plans.registry import query
 from opslens.plans.views import table, view
+from opslens.session import scratch_path
+from opslens.sources.ledger_log import LedgerLog
 
 L = ("ledger",)
 LATEST = "latest AS (SELECT * FROM ledger QUALIFY row_number() OVER (PARTITION BY key ORDER BY processed_at DESC, seq DESC) = 1)"
@@ -28,6 +30,19 @@ def l01(spark, sf_dir):
     return ledger.ledger_latest(log(spark, sf_dir))
 
 
+@query("l01_ledger_compacted", L, LATEST + " SELECT key, processed_at, seq, status, metadata FROM latest")
+def l01_compacted(spark, sf_dir):
+    """Three deltas; two are compacted and deleted, the third comes after."""
+    rows = log(spark, sf_dir)
+    kept = LedgerLog(spark, scratch_path(spark, "ledger"))
+    for part in range(2):
+        kept.append(rows.where(F.col("seq") % 3 == part))
+    kept.compact()
+    kept.vacuum()
+    kept.append(rows.where(F.col("seq") % 3 == 2))
+    return kept.latest()
+
+
 @query("l02_unprocessed", L, LATEST + """, items AS (SELECT 'msg-' || CAST(o_orderkey AS VARCHAR) AS key, o_totalprice FROM orders)
  SELECT key, o_totalprice FROM items WHERE key NOT IN (SELECT key FROM latest WHERE status = 'ok')""")
 def l02(spark, sf_dir):

@@ -11,6 +11,7 @@ from opslens.operators import captures as c
 from opslens.operators.assess import MeasureRegistry, recover_json
 from opslens.operators.jobs import job_snapshot
 from opslens.operators.ledger import ledger_latest
+from opslens.plans.assess import MEASURED
 from opslens.plans.captures import GEN, nested_bodies
 from opslens.plans.identity import EV
 from opslens.plans.identity import events as message_events
@@ -24,7 +25,9 @@ from opslens.streaming import captures as sc
 from opslens.streaming import jobs as sj
 from opslens.streaming import messages as sm
 from opslens.streaming import usage as su
-from opslens.streaming.tables import BatchTable, append_to, update_to
+from opslens.sources.inbox import deliver, stream_messages
+from opslens.sources.messages import read_messages
+from opslens.streaming.tables import BatchTable, append_to, drain_to, update_to
 
 LONG = "400 days"
 
@@ -80,6 +83,19 @@ def t03(spark, sf_dir):
     return ledger_latest(rows).select("key", "status").join(attempts, "key")
 
 
+@query("s03_stream_messages", ("messages",), """SELECT message_id, sent_s, sender, (row_number() OVER (ORDER BY sent_s, message_id) - 1) // 25 AS fetch FROM messages
+ WHERE sender LIKE '%no-reply@example.test%' AND message_id % 2 = 0 AND message_id % 3 <> 0""")
+def s03_stream(spark, sf_dir):
+    """The unread messages of the sender, in fetches of 25 until the inbox is drained."""
+    inbox = view(spark, sf_dir, "messages").withColumns({"unread": F.col("message_id") % 2 == 0, "labelled": F.col("message_id") % 3 == 0})
+    root, schema = scratch(spark, "inbox"), "message_id BIGINT, sent_s BIGINT, sender STRING"
+    wanted = read_messages(inbox, "no-reply@example.test")
+    deliver(wanted.select(F.col("message_id").cast("bigint"), F.col("sent_s").cast("bigint"), "sender"), root, 0)
+    table = BatchTable(spark, scratch(spark, "fetched"), schema).start()
+    drain_to(stream_messages(spark, root, schema), table, scratch(spark, "cp"))
+    return table.read().select("message_id", "sent_s", "sender", F.col("batch_id").alias("fetch"))
+
+
 STATE = SNAP + """, ends AS (SELECT job_id, first(phase ORDER BY ts, seq) FILTER (WHERE phase IN ('completed', 'failed')) AS e, last(phase ORDER BY ts, seq) AS l, count(*) AS events FROM job_events GROUP BY job_id)
  SELECT job_id, coalesce(e, l) AS phase, events FROM ends"""
 
@@ -182,14 +198,16 @@ def f01(spark, sf_dir):
     return parsed.select("project_id", F.get_json_object("parsed", "$.id").alias("found_id"), F.col("parse_error").isNotNull().alias("failed"))
 
 
-@query("f02_register_measure", ("measures",), """SELECT item_id, CASE WHEN measure > 0.5 THEN 10 ELSE 2 END AS score, CASE WHEN measure > 0.5 THEN 'PASS' ELSE 'FAIL' END AS verdict, 80 AS confidence FROM measures WHERE kind = 'water'""")
+@query("f02_register_measure", ("measures",), MEASURED + """ SELECT item_id, CASE WHEN kind = 'water' THEN 'flood' ELSE kind END AS kind, CASE WHEN kind <> 'water' THEN score WHEN measure > 0.5 THEN 10 ELSE 2 END AS score,
+ CASE WHEN kind <> 'water' THEN verdict WHEN measure > 0.5 THEN 'PASS' ELSE 'FAIL' END AS verdict, CASE WHEN kind = 'water' THEN 80 ELSE confidence END AS confidence FROM scored""")
 def f02(spark, sf_dir):
+    """All measures; those of one kind go by a registered rule, the others by their own."""
     registry = MeasureRegistry()
     good = F.col("measure") > 0.5
     shape = F.struct(F.when(good, 10).otherwise(2).alias("score"), F.when(good, "PASS").otherwise("FAIL").alias("verdict"), F.lit(80).alias("confidence"))
     registry.register("flood", ("has flood",), shape)
-    measures = view(spark, sf_dir, "measures").where(F.col("kind") == "water").withColumn("kind", F.lit("flood"))
-    return registry.score(measures).select("item_id", "score", "verdict", "confidence")
+    measures = view(spark, sf_dir, "measures").withColumn("kind", F.when(F.col("kind") == "water", "flood").otherwise(F.col("kind")))
+    return registry.score(measures).select("item_id", "kind", "score", "verdict", "confidence")
 
 
 def _length_model(prompts):

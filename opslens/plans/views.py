@@ -18,6 +18,7 @@ _SPARK = {
     "__COPIES__": "LATERAL VIEW explode(array(1, 2)) a AS n",
     "__ATTEMPTS__": "LATERAL VIEW explode(array(1, 2, 3)) a AS attempt",
     "__KINDS__": "LATERAL VIEW explode(array('sharpness','exposure','vegetation','sky','water','text','faces','unheard')) k AS kind",
+    "__LANES__": "LATERAL VIEW explode(sequence(0, 39)) a AS lane",
     "__RFC__": "date_format(ts, 'd MMM yyyy HH:mm:ss') || ' +0000'",
 }
 _DUCK = {
@@ -26,10 +27,27 @@ _DUCK = {
     "__COPIES__": "CROSS JOIN (VALUES (1), (2)) a(n)",
     "__ATTEMPTS__": "CROSS JOIN (VALUES (1), (2), (3)) a(attempt)",
     "__KINDS__": "CROSS JOIN (VALUES ('sharpness'),('exposure'),('vegetation'),('sky'),('water'),('text'),('faces'),('unheard')) k(kind)",
+    "__LANES__": "CROSS JOIN (SELECT unnest(range(0, 40)) AS lane) a",
     "__RFC__": "strftime(ts, '%-d %b %Y %H:%M:%S') || ' +0000'",
 }
 
+_OWN = "(page_id % 1048573) * 104729 * 911 % 4294967296"
+
+
+def _dotted(number: str) -> str:
+    return " || '.' || ".join(f"CAST((({number}) >> {shift}) % 256 AS STRING)" for shift in (24, 16, 8, 0))
+
+
 VIEWS: dict[str, str] = {
+    # every page asks for an address of its own
+    "net_urls": f"""
+SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'http://[2001:db8::' || CAST(page_id % 10000 AS STRING) || ']/p' ELSE 'http://' || {_dotted(_OWN)} || '/p' END AS url FROM pages""",
+    # forty networks a page, some around its address, many nested
+    "net_blocks": f"""
+SELECT {_dotted("(b >> s) << s")} || '/' || CAST(32 - s AS STRING) AS network, lane % 3 <> 0 AS blocked
+ FROM (SELECT lane, CAST(24 - (page_id + lane) % 25 AS INT) AS s, CASE WHEN lane < 4 THEN {_OWN} ELSE ((page_id % 1048573) * 40 + lane) * 7919 * 613 % 4294967296 END AS b FROM pages __LANES__) x
+ UNION ALL SELECT '2001:db8::' || CAST(page_id % 10000 AS STRING) || '/128', true FROM pages WHERE page_id % 18 = 0
+ UNION ALL SELECT '2001:db8::/32', false FROM pages WHERE page_id = 0""",
     "usage_turns": """
 SELECT event_id AS turn_id, ts, 'home--proj-' || CAST(user_id AS STRING) AS project,
  CASE WHEN user_id % 5 = 0 THEN '' ELSE '/srv/team' || CAST(user_id % 7 AS STRING) || '/app-' || CAST(user_id AS STRING) || '/' END AS cwd,

@@ -20,7 +20,7 @@ class Folder(InputPartition):
     name: str
 
 
-def _opened(root: str):
+def opened(root: str):
     """The file system of a path or URI, and the path in it."""
     from pyarrow import fs
 
@@ -35,14 +35,14 @@ class FolderReader(DataSourceReader):
         """The folders right below the root; only this level is listed here."""
         from pyarrow import fs
 
-        store, path = _opened(self.root)
+        store, path = opened(self.root)
         found = store.get_file_info(fs.FileSelector(path))
         return [Folder(f.path, f.base_name) for f in found if f.type == fs.FileType.Directory and re.search(self.name_pattern, f.base_name)]
 
     def read(self, partition: Folder) -> Iterator[tuple]:
         from pyarrow import fs
 
-        store, _ = _opened(self.root)
+        store, _ = opened(self.root)
         yield partition.name, None, None
         inside = store.get_file_info(fs.FileSelector(partition.path, recursive=True))
         for f in inside:

@@ -37,6 +37,15 @@ def run_to_end(writer, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def drain_to(stream: DataFrame, table: BatchTable, checkpoint: str) -> None:
+    """Trigger after trigger until the source has nothing more; every batch goes to the table."""
+    query = stream.writeStream.foreachBatch(table.write).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> None:
     run_to_end(stream.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint)
 
