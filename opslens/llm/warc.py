@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from opslens.session import materialize, scratch_path
 
 LEAST_SHARED = 100
 FILE_BYTES = 8 << 20
+RANGE_ROWS = 100_000
 END = "\r\n\r\n"
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 
@@ -182,36 +184,45 @@ class LoserTree:
 KEY = ["url_key", "captured", "page_id"]
 
 
-def capture_history(captures: DataFrame) -> DataFrame:
+def run_starts(run: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Where a stretch of one sorted run begins: the run changes, or its places go back."""
+    return np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (place[1:] < place[:-1])]))
+
+
+def capture_history(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The captures in global order of URL key, time and id: ordered inside every part, and the parts among each other.
 
-    `_run` and `_place` are written with each locally sorted run. Ranges are cut on the whole key, so a URL with any share
-    of the captures spreads over many parts. A null id sorts first; equal keys follow the runs.
+    `_run` and `_place` are written with each locally sorted run. The runs are dealt out in ranges of about `range_rows` captures
+    however large the table is, and a task merges the stretches of runs that reach it, as they are, in memory of that size.
+    Ranges are cut on the key, the run and the place, so a URL with any share of the captures, and rows alike in all key columns,
+    spread over many parts. A null id sorts first; equal keys follow the runs. An empty table gives an empty history.
     """
     runs = captures.sortWithinPartitions(*KEY).withColumns({"_run": F.spark_partition_id(), "_place": F.monotonically_increasing_id()})
     written = materialize(runs, "capture-runs")
-    parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written.repartitionByRange(parts, *KEY)
+    spark = captures.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-written.count() // range_rows))
+    dealt = written.repartitionByRange(parts, *KEY, "_run", "_place")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        if not table.num_rows:
+        table = pa.Table.from_batches(held) if held else None
+        if table is None or not table.num_rows:
             return
-        place = table.column("_place").to_numpy()
-        run = table.column("_run").to_numpy()
-        order = np.lexsort((place, run))
+        run, place = table.column("_run").to_numpy(), table.column("_place").to_numpy()
         keys, captured, ids = (table.column(c).to_pylist() for c in KEY)
-        cuts = np.flatnonzero(np.diff(run[order])) + 1
-
-        def stream(rows: np.ndarray) -> Iterator[tuple]:
-            for i in rows:
-                yield keys[i].encode(), captured[i], -1 << 63 if ids[i] is None else ids[i], int(i)
-
-        merged = [head[-1] for head in LoserTree([stream(rows) for rows in np.split(order, cuts)])]
-        yield from table.take(pa.array(merged)).drop_columns(["_run", "_place"]).to_batches(max_chunksize=10_000)
+        starts = run_starts(run, place)
+        ends = np.append(starts[1:], len(run))
+
+        def stretch(start: int, end: int) -> Iterator[tuple]:
+            for i in range(start, end):
+                yield keys[i].encode(), captured[i], -1 << 63 if ids[i] is None else ids[i], i
+
+        # ties go to the earlier stretch: run by run, and by place within a run
+        order = np.lexsort((place[starts], run[starts]))
+        merged = iter(LoserTree([stretch(int(starts[x]), int(ends[x])) for x in order]))
+        rest = table.drop_columns(["_run", "_place"])
+        while some := [head[-1] for head in islice(merged, 10_000)]:
+            yield from rest.take(pa.array(some)).to_batches()
 
     return dealt.mapInArrow(merge, captures.schema)
 

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from opslens.llm import bpe
 from opslens.llm.bpe import encode_decode
 from opslens.llm.packing import ByteEncoder, pack, shortest_pack_first, slots
-from opslens.llm.warc import LoserTree, archive_pages, parse_archive, url_key
+from opslens.llm.warc import CAPTURE, LoserTree, archive_pages, capture_history, parse_archive, run_starts, url_key
 from tests.llm.helpers import SCHEMA, awkward, awkward_texts, sha, thue_morse
 
 BYTE, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,26 @@ def test_loser_tree_merges_any_runs():
         assert list(LoserTree([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
 
 
+def test_run_starts_where_the_run_changes_or_places_go_back():
+    run, place = np.array([2, 2, 0, 0, 0, 0]), np.array([20, 21, 3, 4, 1, 2])
+    assert run_starts(run, place).tolist() == [0, 2, 4]
+
+
+def test_capture_history_in_many_ranges_with_a_hot_url_and_equal_rows(spark):
+    rnd = random.Random(3)
+    rows = [("com,a)/" if rnd.random() < 0.4 else f"com,{rnd.choice('bcdé')})/", f"2024-01-0{rnd.randrange(1, 6)}", rnd.choice([None, 1, 2, 3]), None, "response", str(i), 0, None, "f", i, True) for i in range(400)]
+    rows += [("com,a)/", "2024-01-03", 7, None, "response", "same", 0, None, "f", 0, True)] * 300
+    captures = spark.createDataFrame(rows, CAPTURE).repartition(5)
+    history = capture_history(captures, range_rows=40).select("*", F.spark_partition_id().alias("part"))
+    got = history.collect()
+    assert sorted(tuple(r)[:-1][5:6] + (r.offset,) for r in got) == sorted((x[5], x[9]) for x in rows)
+    keys = [(r.url_key.encode(), r.captured, -1 if r.page_id is None else r.page_id) for r in got]
+    assert keys == sorted(keys)
+    # 300 equal rows do not meet in one part
+    sizes = collections.Counter(r.part for r in got)
+    assert len(sizes) > 8 and max(sizes.values()) < 150
+
+
 def test_archive_parser():
     block = b"a\r\n\r\nWARC/1.1\r\n\r\n"
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
