@@ -424,17 +424,23 @@ def merge_methods(detected: DataFrame, modelled: DataFrame) -> DataFrame:
     return first_per_key(both, ["item_id", "criterion"], ["_rank"], ["score", "confidence", "verdict", "method"])
 
 
+def _score_map() -> Column:
+    """Aggregate of the scored criteria of a group as a map; of several scores of a criterion the lowest counts."""
+    scored = F.col("criterion").isNotNull() & F.col("score").isNotNull()
+    entries = F.sort_array(F.collect_list(F.when(scored, F.struct("criterion", "score"))))
+    before = F.concat(F.array(F.lit(None)), entries)
+    firsts = F.zip_with(entries, before, lambda e, b: F.when(~e["criterion"].eqNullSafe(b["criterion"]), e))
+    return F.map_from_entries(F.array_compact(firsts))
+
+
 def similarity(pairs: DataFrame, scores: DataFrame, example_scores: DataFrame) -> DataFrame:
     """Similarity of items to examples over their common criteria, with the part of each; neutral where they share none.
 
-    `pairs` has `item_id, example_id`; scores are `item_id, criterion, score` and `example_id, criterion, score`.
+    `pairs` has `item_id, example_id`; scores are `item_id, criterion, score` and `example_id, criterion, score`. Of several
+    scores of a criterion the lowest counts; rows without criterion or score take no part.
     """
-
-    def by_criterion(rows: DataFrame, key: str, out: str) -> DataFrame:
-        entries = F.collect_list(F.struct("criterion", "score"))
-        return rows.where(F.col("score").isNotNull()).groupBy(key).agg(F.map_from_entries(entries).alias(out))
-
-    mine, theirs = by_criterion(scores, "item_id", "_mine"), by_criterion(example_scores, "example_id", "_theirs")
+    mine = scores.groupBy("item_id").agg(_score_map().alias("_mine"))
+    theirs = example_scores.groupBy("example_id").agg(_score_map().alias("_theirs"))
     # one row per item and per example: a pair is compared inside its row, without a shuffle of criteria
     joined = pairs.join(mine, "item_id", "left").join(theirs, "example_id", "left")
     shared = F.array_sort(F.array_intersect(F.map_keys("_mine"), F.map_keys("_theirs")))

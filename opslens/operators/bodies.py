@@ -32,11 +32,13 @@ BODY_SCHEMA = "STRUCT<{}>".format(
 )
 
 
-def _bucket(b: Column, as_of: Column, week_start: Column) -> Column:
+def _counts(b: Column) -> tuple[Column, Column, Column, Column]:
     inp = truthy_number(b["uncached_input_tokens"], b["input_tokens"])
-    create = truthy_number(b["cache_creation_input_tokens"])
-    read = truthy_number(b["cache_read_input_tokens"])
-    out = truthy_number(b["output_tokens"])
+    return inp, *[truthy_number(b[k]) for k in ("cache_creation_input_tokens", "cache_read_input_tokens", "output_tokens")]
+
+
+def _bucket(b: Column, as_of: Column, week_start: Column) -> Column:
+    inp, create, read, out = _counts(b)
     tokens = inp + create + read + out
     stamps = [F.when(F.try_to_timestamp(b[k]).isNotNull(), F.substring(b[k], 1, 10).try_cast("date")) for k in STAMP_KEYS]
     day = F.coalesce(*stamps)
@@ -64,11 +66,12 @@ def account_usage(bodies: DataFrame, as_of: Column) -> DataFrame:
     week_start = F.to_date(F.date_trunc("week", as_of))
     parsed = bodies.withColumn("j", F.from_json("body", BODY_SCHEMA))
     lists = {k: F.filter(F.col("j")[k], lambda b: b.isNotNull()) for k in LIST_KEYS}
-    counted = {k: F.transform(v, lambda b: _bucket(b, as_of, week_start)) for k, v in lists.items()}
-    chosen = F.coalesce(*[F.when(F.exists(v, lambda b: b["tokens"] > 0), v) for v in counted.values()])
+    # the first list with tokens is chosen as it came, and only that one is worked out
+    chosen = F.coalesce(*[F.when(F.exists(v, lambda b: sum(_counts(b), F.lit(0)) > 0), v) for v in lists.values()])
     flat_input = truthy_number(F.col("j.input_tokens"), F.col("j.uncached_input_tokens"))
     flat_output = truthy_number(F.col("j.output_tokens"))
-    rows = parsed.withColumns({"b": chosen, "flat_input": flat_input, "flat_output": flat_output})
+    rows = parsed.withColumn("chosen", chosen)
+    rows = rows.withColumns({"b": F.transform("chosen", lambda b: _bucket(b, as_of, week_start)), "flat_input": flat_input, "flat_output": flat_output})
     has_window = F.col("j.five_hour.utilization").isNotNull() | F.col("j.seven_day.utilization").isNotNull()
     shape = one_of(
         [(F.col("b").isNotNull(), "buckets"), (F.col("flat_input") + F.col("flat_output") > 0, "flat"), (has_window, "utilization")]

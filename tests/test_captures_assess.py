@@ -245,3 +245,12 @@ def test_a_second_run_asks_the_model_only_for_what_is_open(spark, tmp_path):
     assert sorted((r.item_id, r.reply) for r in replies.collect()) == [(i, f"P{i}") for i in range(40)]
     assert written and len(os.listdir(asked)) - before == 40 - len(written)
     assert score_resumed(prompts, lambda t: 1 / 0, f"{tmp_path}/replies", parts=5).count() == 40
+
+
+def test_similarity_of_doubled_criteria_takes_the_lowest_score(spark):
+    pairs = spark.createDataFrame([(1, 9), (2, 9)], "item_id bigint, example_id bigint")
+    scores = spark.createDataFrame([(1, "sky", 8), (1, "sky", 3), (1, "roof", 5), (1, None, 4), (2, "sky", None)], "item_id bigint, criterion string, score int")
+    examples = spark.createDataFrame([(9, "sky", 3), (9, "sky", 3), (9, "door", 1)], "example_id bigint, criterion string, score int")
+    rows = {r["item_id"]: r for r in a.similarity(pairs, scores, examples).collect()}
+    assert [(c["criterion"], c["input_score"], c["similarity"]) for c in rows[1]["per_criterion"]] == [("sky", 3, 1.0)]
+    assert (rows[2]["common"], rows[2]["overall_similarity"]) == (0, 0.5)
