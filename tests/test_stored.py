@@ -117,6 +117,28 @@ def test_inbox_gives_fetches_in_order_and_goes_on_after_a_restart(spark, tmp_pat
         stream_messages(spark, root, schema, fetch=0)
 
 
+def test_a_trigger_takes_many_fetches_and_numbers_them(spark, tmp_path):
+    root, schema = f"{tmp_path}/inbox", "message_id LONG, sent_s LONG, sender STRING, fetch LONG"
+
+    def mails(numbers):
+        return spark.createDataFrame([(i, i // 2, f"s{i}") for i in numbers], "message_id LONG, sent_s LONG, sender STRING").repartition(3)
+
+    def drain():
+        drain_to(stream_messages(spark, root, schema, fetch=25, fetches=4, number="fetch"), table, f"{tmp_path}/cp")
+
+    table = BatchTable(spark, f"{tmp_path}/fetched", schema).start()
+    deliver(mails(range(260)), root, 0)
+    drain()
+    deliver(mails(range(300, 330)), root, 1)
+    drain()
+    got = table.read().collect()
+    # ten full fetches and a short one, then a full one and a short one
+    assert sorted((r.fetch, r.message_id) for r in got) == [(i // 25, i) for i in range(260)] + [(11 + (i - 300) // 25, i) for i in range(300, 330)]
+    assert {r.batch_id: {r2.fetch for r2 in got if r2.batch_id == r.batch_id} for r in got} == {0: {0, 1, 2, 3}, 1: {4, 5, 6, 7}, 2: {8, 9, 10}, 3: {11, 12}}
+    with pytest.raises(ValueError):
+        stream_messages(spark, root, schema, fetches=0)
+
+
 def test_empty_inbox(spark, tmp_path):
     schema = "message_id LONG, sent_s LONG, sender STRING"
     deliver(spark.createDataFrame([], schema), f"{tmp_path}/inbox", 0)
