@@ -232,6 +232,15 @@ def usage_summary(turns: DataFrame, as_of: dt.date, excluded: Sequence[int] = ()
     )
 
 
+def usage_report(turns: DataFrame, as_of: dt.date, excluded: Sequence[int] = ()) -> DataFrame:
+    """The summary in a first row without a project, then the day's projects, largest first, in rows of their own.
+
+    Projects are as many as the day has, so they are rows and never one list.
+    """
+    rows = usage_summary(turns, as_of, excluded).unionByName(project_breakdown(turns, as_of).drop("as_of"), allowMissingColumns=True)
+    return rows.orderBy(F.desc_nulls_first("project_total"), F.asc_nulls_first("project"))
+
+
 def project_breakdown(turns: DataFrame, as_of: dt.date) -> DataFrame:
     """The day's projects that go with the summary of `as_of`, largest first, a row each: they are as many as the day has."""
     columns = {"project": "project", "label": "project_label", "input": "project_input", "output": "project_output", "total": "project_total"}

@@ -165,3 +165,11 @@ def test_account_usage_shapes(spark):
     assert (rows[2].format, rows[2].period_end, rows[2].five_hour_utilization, rows[2].total) == ("utilization", "r7", 30.0, 0)
     assert rows[2].extra_usage is not None
     assert [rows[i].format for i in (3, 4, 9)] == [None, None, None]
+
+
+def test_report_holds_the_summary_and_every_project_of_the_day(spark):
+    rows = [(at(6), "a--x", "", 10, None, None, 1), (at(6), "b", "/w/app/", 20, None, None, 2), (at(5), "c", "", 5, None, None, 1)]
+    report = usage.usage_report(turns(spark, *rows), WED).collect()
+    assert [(r.as_of, r.today_total, r.project, r.project_label, r.project_total) for r in report] == [
+        (WED, 33, None, None, None), (None, None, "b", "app", 22), (None, None, "a--x", "x", 11),
+    ]
