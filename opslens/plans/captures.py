@@ -17,6 +17,7 @@ from opslens.session import materialize
 from opslens.session import scratch_path as scratch
 from opslens.sources import audit_sink, inventory, logs
 from opslens.sources.docs import read_docs
+from opslens.sources.folders import write_folders
 
 C = ("captures",)
 PATTERNS = ("/fr/", "/en/", r"\.org/")
@@ -140,7 +141,7 @@ def written_logs(spark, sf_dir, broken=False):
     if broken:
         line = F.when(F.col("turn_id") % 97 == 0, '{"timestamp": broken').when(F.col("turn_id") % 89 == 0, "  ").otherwise(line)
     rows = nested_logs(spark, sf_dir).select("project", "turn_id", line.alias("value"))
-    rows.repartition("project").sortWithinPartitions("project", "turn_id").drop("turn_id").write.partitionBy("project").text(path)
+    write_folders(rows, path, "turns.txt", "project", "turn_id")
     return logs.read_session_logs(spark, path, "*.txt")
 
 
@@ -170,9 +171,9 @@ def s04(spark, sf_dir):
     """The pages as files in folders of sixteen, three of seven of which get a marker file."""
     path = scratch(spark, "files")
     rows = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 16).alias("folder"), F.col("html").alias("value"))
-    rows.repartition("folder").write.partitionBy("folder").text(path)
-    marks = rows.where("folder % 7 < 3").select("folder", F.lit(1).alias("ok")).distinct().repartition("folder")
-    marks.write.mode("append").partitionBy("folder").json(path)
+    write_folders(rows, path, "pages.txt", "folder")
+    marks = rows.where("folder % 7 < 3").select("folder", F.to_json(F.struct(F.lit(1).alias("ok"))).alias("value")).distinct()
+    write_folders(marks, path, "ok.json", "folder")
     return inventory.file_inventory(spark, path, r"^folder=\d+$", marker=r"^[^/]*\.json$")
 
 

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+#: top-level folders that a task lists
+FOLDERS = 256
+
+
 @dataclass
-class Folder(InputPartition):
-    """One top-level folder, listed by one task."""
+class Folders(InputPartition):
+    """Paths and names of top-level folders, listed by one task."""
 
-    path: str
-    name: str
+    folders: list[tuple[str, str]]
 
 
 def opened(root: str):
@@ -37,23 +40,24 @@ class FolderReader(DataSourceReader):
 
         store, path = opened(self.root)
         found = store.get_file_info(fs.FileSelector(path))
-        return [Folder(f.path, f.base_name) for f in found if f.type == fs.FileType.Directory and re.search(self.name_pattern, f.base_name)]
+        wanted = [(f.path, f.base_name) for f in found if f.type == fs.FileType.Directory and re.search(self.name_pattern, f.base_name)]
+        return [Folders(wanted[i : i + FOLDERS]) for i in range(0, len(wanted), FOLDERS)]
 
-    def read(self, partition: Folder) -> Iterator[tuple]:
+    def read(self, partition: Folders) -> Iterator[tuple]:
         from pyarrow import fs
 
         store, _ = opened(self.root)
-        yield partition.name, None, None
-        inside = store.get_file_info(fs.FileSelector(partition.path, recursive=True))
-        for f in inside:
-            if f.type == fs.FileType.File:
-                yield partition.name, f.path[len(partition.path) :].lstrip("/"), f.size
+        for path, name in partition.folders:
+            yield name, None, None
+            for f in store.get_file_info(fs.FileSelector(path, recursive=True)):
+                if f.type == fs.FileType.File:
+                    yield name, f.path[len(path) :].lstrip("/"), f.size
 
 
 class FolderListing(DataSource):
     """`name, path, length` of every file below the top-level folders of `root`, empty and hidden ones too, and a row without a path for every folder.
 
-    A folder is a partition, listed by its task. The root is a path or URI that pyarrow opens (local, hdfs, s3, gs).
+    A task lists up to FOLDERS of them. The root is a path or URI that pyarrow opens (local, hdfs, s3, gs).
     """
 
     @classmethod

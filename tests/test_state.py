@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from opslens.operators import audit as au
 from opslens.operators import hygiene, jobs, ledger
 from opslens.sources import audit_sink
-from opslens.sources.inventory import file_inventory
+from opslens.sources.folders import write_folders
+from opslens.sources.inventory import FolderReader, file_inventory
 from opslens.streaming.tables import BatchTable
 
 LOG = "key STRING, processed_at TIMESTAMP_NTZ, seq BIGINT, status STRING, metadata STRING"
@@ -155,6 +156,23 @@ def test_file_inventory(spark, tmp_path):
     assert [(r.name, r.size_bytes, r.marker_present) for r in rows] == [("a", 6, True), ("b", 6, False), ("c", 0, True)]
 
 
+def test_a_task_lists_many_folders(tmp_path):
+    for n in range(300):
+        (tmp_path / f"d{n}").mkdir()
+        (tmp_path / f"d{n}" / "f").write_bytes(b"1" * n)
+    reader = FolderReader(str(tmp_path), r"^d\d+$")
+    parts = reader.partitions()
+    assert len(parts) == 2
+    assert {(name, size) for p in parts for name, path, size in reader.read(p) if path} == {(f"d{n}", n) for n in range(300)}
+
+
+def test_written_folders_hold_their_lines_in_order(spark, tmp_path):
+    rows = [("b c/ü", 2, "two"), ("b c/ü", 1, "one"), (None, 1, None), ("", 2, "x")]
+    write_folders(spark.createDataFrame(rows, "k STRING, n INT, value STRING"), f"{tmp_path}/out", "f.txt", "k", "n")
+    got = {f"{p.parent.name}/{p.name}": p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert got == {"k=b%20c%2F%C3%BC/f.txt": "one\ntwo\n", "k=__HIVE_DEFAULT_PARTITION__/f.txt": "\nx\n"}
+
+
 def test_batch_table_survives_a_replay(spark, tmp_path):
     table = BatchTable(spark, str(tmp_path / "t"), "key STRING").start()
     rows = spark.createDataFrame([("a",)], "key STRING")

@@ -134,6 +134,14 @@ def test_session_log_files(spark, tmp_path):
     assert sorted((r.project, r.timestamp[11:13]) for r in strict.collect()) == [("one", "01"), ("two", "03")]
 
 
+def test_session_logs_lie_two_levels_deep(spark, tmp_path):
+    for path in ("loose.jsonl", "-p/a.jsonl", "-p/day=1/b.jsonl", "_q/c.jsonl", "_q/sub/x/d.jsonl"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(line("2024-03-06T01:00:00Z"))
+    logs = read_session_logs(spark, str(tmp_path))
+    assert sorted(r.project for r in logs.collect()) == ["-p", "_q"]
+
+
 def test_strict_mode_over_file_splits(spark, tmp_path):
     (tmp_path / "p").mkdir()
     lines = [line(f"2024-03-06T0{i % 10}:00:00Z") for i in range(400)]
