@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.streaming.keyed import OrderedCaptures, keyed
+from opslens.streaming.keyed import OrderedCaptures, keyed_frames
 
 
-def stream_capture_dedup(captures: DataFrame, delay: str = "1 hour") -> DataFrame:
+def stream_capture_dedup(captures: DataFrame, delay: str = "1 hour", processor: OrderedCaptures | None = None) -> DataFrame:
     """First arrival of every (session, generation, seq) over both paths, with `gen`, the number of page loads so far.
 
     Captures wait until the watermark has passed them (`captured_at` is the event time and never falls with `arrival`), so the order of delivery
     changes nothing. Rows without a body go, rows without a seq all stay; rows later than `delay` are dropped.
     """
     timed = captures.withWatermark("captured_at", delay).withColumn("at_ms", F.unix_millis("captured_at"))
-    schema = "session_id LONG, gen LONG, arrival LONG, path STRING, seq LONG, url STRING, body STRING"
-    return keyed(timed, "session_id", OrderedCaptures(), schema, "append", "EventTime")
+    texts = timed.withColumns({c: F.col(c).cast("string") for c in ("session_id", "arrival", "seq", "at_ms")})
+    schema = "session_id STRING, gen LONG, arrival STRING, path STRING, seq STRING, url STRING, body STRING"
+    found = keyed_frames(texts, "session_id", processor or OrderedCaptures(), schema, "append", "EventTime")
+    return found.withColumns({c: F.col(c).cast("long") for c in ("session_id", "arrival", "seq")})
 
 
 def stream_bounded_capture(

@@ -6,6 +6,7 @@ event time, so a stream that is read again from its checkpoint does the same aga
 
 from __future__ import annotations
 
+import heapq
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
@@ -23,6 +24,12 @@ def keyed(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str,
     return rows.groupBy(key).transformWithState(processor, schema, mode, time)
 
 
+def keyed_frames(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str, time: str = "None") -> DataFrame:
+    """As `keyed`, with pandas frames in and out: rows leave frame by frame, where `keyed` gathers all rows of a call before they leave."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    return rows.groupBy(key).transformWithStateInPandas(processor, schema, mode, time)
+
+
 class HandleOnce(StatefulProcessor):
     """Handles a key until its status is ok; `handle(key, attempt)` gives status and metadata.
 
@@ -65,36 +72,96 @@ class HandleOnce(StatefulProcessor):
 class OrderedCaptures(StatefulProcessor):
     """Holds the captures of a session until the watermark has passed them, then goes through them in order of arrival: counts page
     loads, and lets the first delivery of each sequence number of a load through. Only the numbers of the current load are remembered.
+
+    A session may hold far more than a task can. Captures are kept in runs of about `run` characters, each sorted by arrival and cut into
+    pieces of about `piece` characters; the runs are merged with one piece of each in memory, and rows leave in frames of about that size.
+    For `keyed_frames`, whose numbers come as texts, so that nulls do not make floats of them.
     """
 
-    FIELDS = ("arrival", "at_ms", "path", "seq", "is_load", "url", "body")
+    def __init__(self, run: int = 8 << 20, piece: int = 256 << 10) -> None:
+        self.run, self.piece = run, piece
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.store = handle
-        self.held = handle.getListState("held", "arrival LONG, at_ms LONG, path STRING, seq LONG, is_load BOOLEAN, url STRING, body STRING")
-        self.place = handle.getValueState("place", "gen LONG, due LONG")
+        columns = "arrivals ARRAY<LONG>, times ARRAY<LONG>, paths ARRAY<STRING>, seqs ARRAY<LONG>, loads ARRAY<BOOLEAN>, urls ARRAY<STRING>, bodies ARRAY<STRING>"
+        self.pieces = handle.getMapState("pieces", "run LONG, piece LONG", columns)
+        self.runs = handle.getMapState("runs", "run LONG", "pieces LONG, due LONG")
+        self.place = handle.getValueState("place", "gen LONG, due LONG, runs LONG")
         self.seen = handle.getMapState("seen", "seq LONG", "arrival LONG")
 
-    def _place(self) -> tuple[int, int | None]:
-        return tuple(self.place.get()) if self.place.exists() else (0, None)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        new = [tuple(r[f] for f in self.FIELDS) for r in rows if r["is_load"] or r["body"] is not None]
+    def _place(self) -> tuple[int, int | None, int]:
+        return tuple(self.place.get()) if self.place.exists() else (0, None, 0)
+
+    @staticmethod
+    def _size(row: tuple) -> int:
+        return 200 + sum(len(v) for v in (row[2], row[5], row[6]) if v)
+
+    def _keep(self, rows: list[tuple], run: int) -> int:
+        """Writes rows as run number `run`; gives its earliest time."""
+        pieces, some, size = 0, [], 0
+        for n, row in enumerate(sorted(rows, key=lambda r: r[0]), 1):
+            some.append(row)
+            size += self._size(row)
+            if size >= self.piece or n == len(rows):
+                self.pieces.updateValue((run, pieces), tuple(map(list, zip(*some, strict=True))))
+                pieces, some, size = pieces + 1, [], 0
+        due = min(r[1] for r in rows)
+        self.runs.updateValue((run,), (pieces, due))
+        return due
+
+    def _take(self, run: int, pieces: int) -> Iterator[tuple]:
+        """The rows of a run, which is forgotten piece by piece."""
+        for piece in range(pieces):
+            yield from zip(*self.pieces.getValue((run, piece)), strict=True)
+            self.pieces.removeKey((run, piece))
+
+    def handleInputRows(self, key: tuple, rows: Iterator, timerValues: TimerValues) -> Iterator:
+        gen, due, run = self._place()
+        new, size, first = [], 0, None
+        text = lambda v: v if isinstance(v, str) else None
+        for frame in rows:
+            for r in frame.itertuples(index=False):
+                body, is_load, seq = text(r.body), r.is_load is not None and r.is_load == True, text(r.seq)  # noqa: E712
+                if not is_load and body is None:
+                    continue
+                new.append((int(r.arrival), int(r.at_ms), text(r.path), None if seq is None else int(seq), is_load, text(r.url), body))
+                size += self._size(new[-1])
+                if size >= self.run:
+                    earliest = self._keep(new, run)
+                    first = earliest if first is None else min(first, earliest)
+                    new, size, run = [], 0, run + 1
         if new:
-            self.held.appendList(new)
-            gen, due = self._place()
-            first = min(r[1] for r in new)
+            earliest = self._keep(new, run)
+            first, run = earliest if first is None else min(first, earliest), run + 1
+        if first is not None:
             if due is None or first < due:
                 self.store.registerTimer(first)
-                self.place.update((gen, first))
+                due = first
+            self.place.update((gen, due, run))
         return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator:
+        import pandas as pd
+
+        names = ("session_id", "gen", "arrival", "path", "seq", "url", "body")
         passed = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-        gen, _ = self._place()
+        gen, _, number = self._place()
+        runs = sorted((r[0], *v) for r, v in self.runs.iterator())
+        ready = [(run, pieces) for run, pieces, due in runs if due <= passed]
+        dues = [due for _, _, due in runs if due > passed]
+        for run, _ in ready:
+            self.runs.removeKey((run,))
         seen, fresh, loaded = {k[0] for k in self.seen.keys()}, [], False
-        for arrival, _, path, seq, is_load, url, body in sorted((r for r in held if r[1] <= passed), key=lambda r: r[0]):
+        out, size, later, later_size = [], 0, [], 0
+        for row in heapq.merge(*(self._take(run, pieces) for run, pieces in ready), key=lambda r: r[0]):
+            arrival, at_ms, path, seq, is_load, url, body = row
+            if at_ms > passed:
+                later.append(row)
+                later_size += self._size(row)
+                if later_size >= self.run:
+                    dues.append(self._keep(later, number))
+                    later, later_size, number = [], 0, number + 1
+                continue
             if is_load:
                 gen, seen, fresh, loaded = gen + 1, set(), [], True
             if body is None or seq in seen:
@@ -102,19 +169,24 @@ class OrderedCaptures(StatefulProcessor):
             if seq is not None:
                 seen.add(seq)
                 fresh.append((seq, arrival))
-            yield Row(session_id=key[0], gen=gen, arrival=arrival, path=path, seq=seq, url=url, body=body)
+            out.append((key[0], gen, str(arrival), path, None if seq is None else str(seq), url, body))
+            size += self._size(row)
+            if size >= self.piece:
+                yield pd.DataFrame(out, columns=names, dtype=object)
+                out, size = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=names, dtype=object)
+        if later:
+            dues.append(self._keep(later, number))
+            number += 1
         if loaded:
             self.seen.clear()
         for seq, arrival in fresh:
             self.seen.updateValue((seq,), (arrival,))
-        later = [r for r in held if r[1] > passed]
-        due = min((r[1] for r in later), default=None)
-        if later:
-            self.held.put(later)
+        due = min(dues, default=None)
+        if due is not None:
             self.store.registerTimer(due)
-        else:
-            self.held.clear()
-        self.place.update((gen, due))
+        self.place.update((gen, due, number))
 
     def close(self) -> None:
         pass

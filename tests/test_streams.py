@@ -13,6 +13,7 @@ from opslens.operators.ledger import ledger_latest
 from opslens.streaming import captures as sc
 from opslens.streaming import jobs as sj
 from opslens.streaming import messages as sm
+from opslens.streaming.keyed import OrderedCaptures
 from opslens.streaming.tables import BatchTable, append_to, update_to
 
 HOUR = 3600
@@ -104,6 +105,20 @@ def test_captures_are_counted_and_deduplicated_in_order_of_arrival(spark, tmp_pa
     assert sorted(map(str, (tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select(*names).collect()))) == want
 
 
+def test_captures_of_a_session_are_merged_from_small_pieces(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = [(1, k, "push", rnd.choice([None, 1, 2, 3]), rnd.random() < 0.1, f"u{k}", rnd.choice([None, f"b{k}" * 50])) for k in range(150)]
+    schema = "session_id LONG, arrival LONG, path STRING, seq LONG, is_load BOOLEAN, url STRING, body STRING"
+    names = ["session_id", "gen", "arrival", "path", "seq", "url", "body"]
+    want = sorted(map(str, (tuple(r) for r in dedup_captures(spark.createDataFrame(rows, schema)).select(*names).collect())))
+    mixed = rnd.sample(rows, len(rows))
+    stream = stream_of(spark, [mixed[:100], mixed[100:], [(9, 60, "push", None, False, "", None)], [(9, 900_000, "push", None, False, "", None)]], schema, f"{tmp_path}/in")
+    timed = stream.withColumn("captured_at", F.timestamp_seconds("arrival"))
+    small = OrderedCaptures(run=4000, piece=900)
+    append_to(sc.stream_capture_dedup(timed, "1 hour", small), f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert sorted(map(str, (tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select(*names).collect()))) == want
+
+
 @pytest.mark.parametrize("piece", [3, 1024])
 def test_late_messages_take_their_place(spark, tmp_path, piece):
     rnd = random.Random(piece)
