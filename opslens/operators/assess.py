@@ -10,6 +10,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -321,25 +322,27 @@ def _weighted_means(parts: DataFrame, keys: list[str], prior: DataFrame | None)
     return joined.withColumns(unchanged).drop("_score", "_verdict")
 
 
+@lru_cache(maxsize=100_000)
+def _closest(key: str, names: tuple[str, ...], cutoff: float) -> str | None:
+    return next(iter(difflib.get_close_matches(key, names, n=1, cutoff=cutoff)), None)
+
+
 def closest_names(cutoff: float):
     """Pandas UDF over (key, names of its own request): the most similar name, null below the cutoff."""
 
     def closest(keys: pd.Series, lists: pd.Series) -> pd.Series:
-        found: dict = {}
-        out = []
-        for key, names in zip(keys, lists, strict=True):
-            if not isinstance(key, str) or names is None:
-                out.append(None)
-                continue
-            asked = (key, tuple(names))
-            if asked not in found:
-                found[asked] = next(iter(difflib.get_close_matches(key, list(names), n=1, cutoff=cutoff)), None)
-            out.append(found[asked])
+        out = [None if names is None or not isinstance(key, str) else _closest(key, tuple(names), cutoff) for key, names in zip(keys, lists, strict=True)]
         return pd.Series(out, dtype=object)
 
     return F.pandas_udf(closest, T.StringType())
 
 
+def long_enough(names: Column, key: Column, cutoff: float) -> Column:
+    """Those of `names` whose length alone does not keep them below the cutoff: a ratio is at most twice the shorter length over both."""
+    both = lambda n: F.length(n) + F.length(key)
+    return F.filter(names, lambda n: (both(n) == 0) | (2.0 * F.least(F.length(n), F.length(key)) / both(n) >= cutoff))
+
+
 def _of_criterion(criteria: Column, name: Column, field: str) -> Column:
     """Field of the last criterion of that name in a request's array."""
     return F.try_element_at(F.filter(criteria, lambda c: c["name"] == name), F.lit(-1))[field]
@@ -349,17 +352,22 @@ def clean_request_scores(raw: DataFrame, criteria: DataFrame, key: str = "reques
     """As `clean_scores`, with every item's own list: `criteria` has one row `key, criteria` per request (`parse_criteria`).
 
     `raw` has `key` besides the columns of raw scores. The list travels with the rows of its items; rows of a request
-    without a list are kept under the keys they came with.
+    without a list are kept under the keys they came with. Only keys that some name is long enough for leave the JVM.
     """
-    rows = raw.join(criteria.select(key, F.col("criteria").alias("_criteria")), key, "left")
-    names = F.transform("_criteria", lambda c: c["name"])
+    plain = lambda n: F.lower(strip(n))
+    # names are made plain once per request and keys once per row, not for every pair of them
+    names = F.transform("criteria", lambda c: c["name"])
+    lists = criteria.select(key, names.alias("_names"), F.transform(names, plain).alias("_plain"))
     returned = F.col("returned_key")
-    exact = F.when(F.array_contains(names, returned), returned)
-    low = F.lower(strip(returned))
-    ignoring_case = F.get(F.filter(names, lambda n: F.lower(strip(n)) == low), F.lit(0))
+    rows = raw.join(lists, key, "left")
+    exact = F.when(F.array_contains("_names", returned), returned)
+    place = F.nullif(F.array_position("_plain", plain(returned)), F.lit(0).cast("long"))
+    ignoring_case = F.try_element_at("_names", place.cast("int"))
     rows = rows.withColumn("_sure", F.coalesce(exact, ignoring_case))
-    open_ = F.col("_sure").isNull() & F.col("_criteria").isNotNull()
-    similar = closest_names(FUZZY_CUTOFF)(F.when(open_, returned), F.when(open_, names))
+    open_ = F.col("_sure").isNull() & F.col("_names").isNotNull()
+    rows = rows.withColumn("_near", F.when(open_, long_enough(F.col("_names"), returned, FUZZY_CUTOFF)))
+    asked = F.size("_near") > 0
+    similar = closest_names(FUZZY_CUTOFF)(F.when(asked, returned), F.when(asked, F.col("_near")))
     cleaned = rows.select(
         key, "item_id", F.coalesce("_sure", similar, returned).alias("criterion"), "crit_no",
         clamp_score(F.col("raw_score")).alias("score"), clamp_confidence(F.col("raw_confidence")).alias("confidence"),
@@ -368,29 +376,41 @@ def clean_request_scores(raw: DataFrame, criteria: DataFrame, key: str = "reques
     return kept.withColumn("verdict", verdict(F.col("score")))
 
 
-def skip_request_dependents(scores: DataFrame, criteria: DataFrame, key: str = "request_id") -> DataFrame:
-    """As `skip_dependents`, with every item's own list of criteria; chains are climbed inside the row, cycles end where they began."""
-    lists = criteria.select(key, F.col("criteria").alias("_criteria"))
-    rows = scores.join(lists, key, "left")
-    listed = F.coalesce(F.exists("_criteria", lambda c: (c["name"] == F.col("criterion")) | (c["depends_on"] == F.col("criterion"))), F.lit(False))
-    others = [c for c in scores.columns if c not in (key, "item_id")]
-    alone = F.when(listed, "").otherwise(F.col("criterion"))
-    groups = rows.groupBy(key, "item_id", alone.alias("_alone")).agg(F.collect_list(F.struct(*others)).alias("_rows"))
-    passed = F.transform(F.filter("_rows", lambda r: r["verdict"] == "PASS"), lambda r: r["criterion"])
-    unfolded = groups.withColumn("_passed", passed).select(key, "item_id", "_passed", F.inline("_rows")).join(lists, key, "left")
+def request_chains(criteria: Column) -> Column:
+    """For every criterion of a request's array its `name` and `chain`, all it depends on; a cycle ends where it began."""
     none = F.lit(None).cast("string")
 
     def parent(name: Column) -> Column:
-        return F.nullif(_of_criterion(F.col("_criteria"), name, "depends_on"), F.lit(""))
+        return F.nullif(_of_criterion(criteria, name, "depends_on"), F.lit(""))
+
+    def ended(state: Column) -> Column:
+        return state["step"].isNull() | F.array_contains(state["chain"], state["step"])
 
     def climb(state: Column, _: Column) -> Column:
-        done = state["step"].isNull() | F.array_contains(state["chain"], state["step"])
         further = F.struct(F.array_append(state["chain"], state["step"]).alias("chain"), parent(state["step"]).alias("step"))
-        return F.when(done, F.struct(state["chain"].alias("chain"), none.alias("step"))).otherwise(further)
+        return F.when(ended(state), F.struct(state["chain"].alias("chain"), none.alias("step"))).otherwise(further)
+
+    def whole(state: Column) -> Column:
+        return F.when(ended(state), state["chain"]).otherwise(F.array_append(state["chain"], state["step"]))
 
-    start = F.struct(F.array().cast("array<string>").alias("chain"), parent(F.col("criterion")).alias("step"))
-    chain = F.aggregate("_criteria", start, climb, lambda state: F.when(state["step"].isNull() | F.array_contains(state["chain"], state["step"]), state["chain"]).otherwise(F.array_append(state["chain"], state["step"])))
-    skip = F.coalesce(F.size(F.array_except(chain, F.col("_passed"))) > 0, F.lit(False))
+    def chain(name: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("chain"), parent(name).alias("step"))
+        return F.aggregate(criteria, start, climb, whole)
+
+    return F.transform(criteria, lambda c: F.struct(c["name"].alias("name"), c["depends_on"].alias("depends_on"), chain(c["name"]).alias("chain")))
+
+
+def skip_request_dependents(scores: DataFrame, criteria: DataFrame, key: str = "request_id") -> DataFrame:
+    """As `skip_dependents`, with every item's own list of criteria; chains are climbed once per request, cycles end where they began."""
+    lists = criteria.select(key, request_chains(F.col("criteria")).alias("_chains"))
+    rows = scores.join(lists, key, "left")
+    listed = F.coalesce(F.exists("_chains", lambda c: (c["name"] == F.col("criterion")) | (c["depends_on"] == F.col("criterion"))), F.lit(False))
+    rows = rows.withColumns({"_alone": F.when(listed, "").otherwise(F.col("criterion")), "_chain": _of_criterion(F.col("_chains"), F.col("criterion"), "chain")})
+    others = [c for c in scores.columns if c not in (key, "item_id")]
+    groups = rows.groupBy(key, "item_id", "_alone").agg(F.collect_list(F.struct(*others, "_chain")).alias("_rows"))
+    passed = F.transform(F.filter("_rows", lambda r: r["verdict"] == "PASS"), lambda r: r["criterion"])
+    unfolded = groups.withColumn("_passed", passed).select(key, "item_id", "_passed", F.inline("_rows"))
+    skip = F.coalesce(F.size(F.array_except("_chain", "_passed")) > 0, F.lit(False))
     flagged = unfolded.withColumn("_skip", skip)
     changed = {c: F.when(~F.col("_skip"), F.col(c)) for c in ("score", "confidence")}
     changed["verdict"] = F.when(F.col("_skip"), "SKIPPED").otherwise(F.col("verdict"))
@@ -416,12 +436,16 @@ def detector_overall(scored: DataFrame) -> DataFrame:
 
 
 def merge_methods(detected: DataFrame, modelled: DataFrame) -> DataFrame:
-    """Rows of both methods; where both scored a criterion the model's row stays."""
+    """Rows of both methods; where both scored a criterion the model's row stays.
+
+    Rows are spread by their key before they are sorted for the pick: sorted where they are read, one input file of measures would be one sort.
+    """
     columns = ("item_id", "criterion", "score", "confidence", "verdict")
     both = detected.where(F.col("score").isNotNull()).select(*columns, F.lit("detector").alias("method"), F.lit(1).alias("_rank")).unionByName(
         modelled.select(*columns, F.lit("model").alias("method"), F.lit(0).alias("_rank"))
     )
-    return first_per_key(both, ["item_id", "criterion"], ["_rank"], ["score", "confidence", "verdict", "method"])
+    spread = both.repartition("item_id", "criterion")
+    return first_per_key(spread, ["item_id", "criterion"], ["_rank"], ["score", "confidence", "verdict", "method"])
 
 
 def _score_map() -> Column:

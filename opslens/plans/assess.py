@@ -188,7 +188,7 @@ def request_scores(spark, sf_dir):
  w AS (SELECT f.item_id, CAST(least(greatest(round_even(CAST(sum(score * weight) / sum(weight) AS DOUBLE), 0), 1), 10) AS INTEGER) AS overall_score FROM final f JOIN lists l ON l.request_id = f.request_id AND l.name = f.criterion WHERE verdict <> 'SKIPPED' GROUP BY f.item_id)
  SELECT request_id, f.item_id, criterion, score, verdict, overall_score FROM final f LEFT JOIN w ON w.item_id = f.item_id""", recursive=True)
 def a21(spark, sf_dir):
-    lists = request_lists(spark, sf_dir)
+    lists = materialize(request_lists(spark, sf_dir), "lists")
     scores = materialize(a.skip_request_dependents(a.clean_request_scores(request_scores(spark, sf_dir), lists), lists), "scores")
     overall = a.weighted_request_score(scores, lists).select("item_id", "overall_score")
     return scores.join(overall, "item_id", "left").select("request_id", "item_id", "criterion", "score", "verdict", "overall_score")

@@ -254,3 +254,19 @@ def test_similarity_of_doubled_criteria_takes_the_lowest_score(spark):
     rows = {r["item_id"]: r for r in a.similarity(pairs, scores, examples).collect()}
     assert [(c["criterion"], c["input_score"], c["similarity"]) for c in rows[1]["per_criterion"]] == [("sky", 3, 1.0)]
     assert (rows[2]["common"], rows[2]["overall_similarity"]) == (0, 0.5)
+
+
+def test_names_too_short_or_long_for_the_cutoff_are_left_out(spark):
+    names = ["", "a", "door shut", "floor dry", "large ring", "x" * 40]
+    for key in ("", "zz4", "flor dry", "y" * 25):
+        want = [n for n in names if difflib.SequenceMatcher(None, n, key).real_quick_ratio() >= a.FUZZY_CUTOFF]
+        kept = spark.range(1).select(a.long_enough(F.array(*map(F.lit, names)), F.lit(key), a.FUZZY_CUTOFF).alias("n")).first().n
+        assert kept == want
+
+
+def test_methods_are_merged_after_the_shuffle_only(spark):
+    rows = spark.createDataFrame([(1, "c", 5, 50, "MARGINAL"), (2, "c", 7, 50, "PASS")], "item_id INT, criterion STRING, score INT, confidence INT, verdict STRING")
+    plan = a.merge_methods(rows, rows.where("item_id = 1"))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("partial_min_by") < plan.index("REPARTITION_BY_COL")
+    got = {(r.item_id, r.method) for r in a.merge_methods(rows, rows.where("item_id = 1")).collect()}
+    assert got == {(1, "model"), (2, "detector")}
