@@ -405,12 +405,13 @@ def skip_request_dependents(scores: DataFrame, criteria: DataFrame, key: str = "
     lists = criteria.select(key, request_chains(F.col("criteria")).alias("_chains"))
     rows = scores.join(lists, key, "left")
     listed = F.coalesce(F.exists("_chains", lambda c: (c["name"] == F.col("criterion")) | (c["depends_on"] == F.col("criterion"))), F.lit(False))
-    rows = rows.withColumns({"_alone": F.when(listed, "").otherwise(F.col("criterion")), "_chain": _of_criterion(F.col("_chains"), F.col("criterion"), "chain")})
     others = [c for c in scores.columns if c not in (key, "item_id")]
-    groups = rows.groupBy(key, "item_id", "_alone").agg(F.collect_list(F.struct(*others, "_chain")).alias("_rows"))
+    alone = F.when(listed, "").otherwise(F.col("criterion"))
+    groups = rows.groupBy(key, "item_id", alone.alias("_alone")).agg(F.collect_list(F.struct(*others)).alias("_rows"))
     passed = F.transform(F.filter("_rows", lambda r: r["verdict"] == "PASS"), lambda r: r["criterion"])
-    unfolded = groups.withColumn("_passed", passed).select(key, "item_id", "_passed", F.inline("_rows"))
-    skip = F.coalesce(F.size(F.array_except("_chain", "_passed")) > 0, F.lit(False))
+    unfolded = groups.withColumn("_passed", passed).select(key, "item_id", "_passed", F.inline("_rows")).join(lists, key, "left")
+    chain = _of_criterion(F.col("_chains"), F.col("criterion"), "chain")
+    skip = F.coalesce(F.size(F.array_except(chain, F.col("_passed"))) > 0, F.lit(False))
     flagged = unfolded.withColumn("_skip", skip)
     changed = {c: F.when(~F.col("_skip"), F.col(c)) for c in ("score", "confidence")}
     changed["verdict"] = F.when(F.col("_skip"), "SKIPPED").otherwise(F.col("verdict"))

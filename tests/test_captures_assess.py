@@ -270,3 +270,10 @@ def test_methods_are_merged_after_the_shuffle_only(spark):
     assert plan.index("partial_min_by") < plan.index("REPARTITION_BY_COL")
     got = {(r.item_id, r.method) for r in a.merge_methods(rows, rows.where("item_id = 1")).collect()}
     assert got == {(1, "model"), (2, "detector")}
+
+
+def test_chains_of_a_request(spark):
+    lists = [(1, [("a", "b"), ("b", "c"), ("c", "a"), ("d", ""), ("e", "x")])]
+    df = spark.createDataFrame(lists, "request_id INT, criteria ARRAY<STRUCT<name: STRING, depends_on: STRING>>")
+    got = df.select(a.request_chains(F.col("criteria")).alias("c")).first().c
+    assert {r.name: r.chain for r in got} == {"a": ["b", "c", "a"], "b": ["c", "a", "b"], "c": ["a", "b", "c"], "d": [], "e": ["x"]}
