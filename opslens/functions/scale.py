@@ -117,6 +117,15 @@ def top_per_key(
     return ranked.withColumnRenamed("_rank", out) if out else ranked.drop("_rank")
 
 
+def beside(df: DataFrame) -> DataFrame:
+    """`df` for a join in which neither side goes to the driver: for tables that grow with the input.
+
+    Spark estimates a table by the size of its files. Rows that compress well, as lists with the same few names do, can take
+    a hundred times that once a broadcast has them in memory.
+    """
+    return df.hint("merge")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Values of the first row of every key; a partial aggregate, so a hot key shrinks before the shuffle."""
     picked = F.min_by(F.struct(*values), F.struct(*order))

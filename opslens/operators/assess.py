@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opslens.functions.columns import clamp, exact_mean, mapping, one_of, round_binary, verdict
-from opslens.functions.scale import first_per_key, last_per_key
+from opslens.functions.scale import beside, first_per_key, last_per_key
 from opslens.functions.text import map_texts, strip
 
 
@@ -359,7 +359,7 @@ def clean_request_scores(raw: DataFrame, criteria: DataFrame, key: str = "reques
     names = F.transform("criteria", lambda c: c["name"])
     lists = criteria.select(key, names.alias("_names"), F.transform(names, plain).alias("_plain"))
     returned = F.col("returned_key")
-    rows = raw.join(lists, key, "left")
+    rows = raw.join(beside(lists), key, "left")
     exact = F.when(F.array_contains("_names", returned), returned)
     place = F.nullif(F.array_position("_plain", plain(returned)), F.lit(0).cast("long"))
     ignoring_case = F.try_element_at("_names", place.cast("int"))
@@ -403,13 +403,13 @@ def request_chains(criteria: Column) -> Column:
 def skip_request_dependents(scores: DataFrame, criteria: DataFrame, key: str = "request_id") -> DataFrame:
     """As `skip_dependents`, with every item's own list of criteria; chains are climbed once per request, cycles end where they began."""
     lists = criteria.select(key, request_chains(F.col("criteria")).alias("_chains"))
-    rows = scores.join(lists, key, "left")
+    rows = scores.join(beside(lists), key, "left")
     listed = F.coalesce(F.exists("_chains", lambda c: (c["name"] == F.col("criterion")) | (c["depends_on"] == F.col("criterion"))), F.lit(False))
     others = [c for c in scores.columns if c not in (key, "item_id")]
     alone = F.when(listed, "").otherwise(F.col("criterion"))
     groups = rows.groupBy(key, "item_id", alone.alias("_alone")).agg(F.collect_list(F.struct(*others)).alias("_rows"))
     passed = F.transform(F.filter("_rows", lambda r: r["verdict"] == "PASS"), lambda r: r["criterion"])
-    unfolded = groups.withColumn("_passed", passed).select(key, "item_id", "_passed", F.inline("_rows")).join(lists, key, "left")
+    unfolded = groups.withColumn("_passed", passed).select(key, "item_id", "_passed", F.inline("_rows")).join(beside(lists), key, "left")
     chain = _of_criterion(F.col("_chains"), F.col("criterion"), "chain")
     skip = F.coalesce(F.size(F.array_except(chain, F.col("_passed"))) > 0, F.lit(False))
     flagged = unfolded.withColumn("_skip", skip)
@@ -420,7 +420,7 @@ def skip_request_dependents(scores: DataFrame, criteria: DataFrame, key: str = "
 
 def weighted_request_score(scores: DataFrame, criteria: DataFrame, key: str = "request_id", prior: DataFrame | None = None) -> DataFrame:
     """As `weighted_score` per request and item, over the item's own list. `prior` has `key` besides its other columns."""
-    rows = scores.join(criteria.select(key, F.col("criteria").alias("_criteria")), key)
+    rows = scores.join(beside(criteria.select(key, F.col("criteria").alias("_criteria"))), key)
     weight = _of_criterion(F.col("_criteria"), F.col("criterion"), "weight")
     used = rows.withColumn("weight", weight).where(F.col("weight").isNotNull() & (F.col("verdict") != "SKIPPED"))
     parts = used.withColumn("contribution", round_binary(F.col("score") * F.col("weight"), 4))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opslens.functions.scale import beside
 from opslens.operators import assess as a
 from opslens.plans.registry import query
 from opslens.plans.views import table, view
@@ -171,7 +172,7 @@ def request_lists(spark, sf_dir):
 
 def request_scores(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("request_id"), "p_name")
-    wide = view(spark, sf_dir, "scores").withColumn("request_id", 1 + F.col("item_id") % F.lit(parts.count())).join(parts, "request_id")
+    wide = view(spark, sf_dir, "scores").withColumn("request_id", 1 + F.col("item_id") % F.lit(parts.count())).join(beside(parts), "request_id")
     number = F.col("crit_no")
     key = F.when(number == 1, F.concat(F.upper("p_name"), F.lit(" "))).when(number == 2, "door shut").when(number == 3, "flor dry").otherwise(F.concat(F.lit("zz"), number.cast("string")))
     return wide.withColumn("returned_key", key).drop("p_name")
