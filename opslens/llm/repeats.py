@@ -38,6 +38,9 @@ CUTS = 64
 INDEX_BYTES = 2 << 20
 # and at least one in so many of all pairs of anchor and document, which bounds the list of hot anchors that every task gets
 HOT_SHARE = 1_000_000
+# a task hands on packed rows in batches of so many bytes, and makes Python numbers of so many values at a time
+BATCH_BYTES = 4 << 20
+PIECE = 1 << 16
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -150,6 +153,7 @@ def repeated_anchors(docs: DataFrame, unit: Unit, blocks: int, within: bool = Fa
     """
     buckets = parts_of(docs)
     schema = "bucket int, anchors binary, docs binary, counts binary"
+    sent_schema = pa.schema([("bucket", pa.int32()), *[(x, pa.binary()) for x in ("anchors", "docs", "counts")]])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,6 +168,7 @@ def repeated_anchors(docs: DataFrame, unit: Unit, blocks: int, within: bool = Fa
             if not found:
                 continue
             anchor, owner = np.concatenate(found), np.concatenate(owners)
+            del found, owners, symbols, runs
             order = np.lexsort((owner, anchor))
             anchor, owner = anchor[order], owner[order]
             places = np.concatenate(times)[order] if within else None
@@ -172,32 +177,29 @@ def repeated_anchors(docs: DataFrame, unit: Unit, blocks: int, within: bool = Fa
             new = np.ones(len(anchor), dtype=bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
             anchor, owner = anchor[new], owner[new]
+            del order, new, times
             first = np.ones(len(anchor), dtype=bool)
             first[1:] = anchor[1:] != anchor[:-1]
             starts = np.flatnonzero(first)
             count = places if within else np.diff(np.append(starts, len(anchor)))
             # one entry per anchor asks for the others; the documents behind it already know that it is repeated
             later = ~first
-            rows = [("known", anchor[later], owner[later], None)] if later.any() else []
+            out = Rows(sent_schema)
+            if later.any():
+                # these only pass through, anywhere
+                out.add((int(batch.num_rows + later.sum()) % buckets, planes(anchor[later]), planes(owner[later]), None))
             anchor, owner = anchor[starts], owner[starts]
+            del first, later, starts
             bucket = (mix(anchor) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((anchor, bucket))
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             for part in np.split(order, cuts):
                 if len(part):
-                    rows.append((int(bucket[part[0]]), anchor[part], owner[part], count[part]))
-            out = {"bucket": [], "anchors": [], "docs": [], "counts": []}
-            for name, a, o, c in rows:
-                if name == "known":
-                    # these only pass through, anywhere
-                    out["bucket"].append(int(batch.num_rows + len(a)) % buckets)
-                    out["counts"].append(None)
-                else:
-                    out["bucket"].append(name)
-                    out["counts"].append(planes(c.astype(np.uint32)))
-                out["anchors"].append(planes(a))
-                out["docs"].append(planes(o))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), *[(x, pa.binary()) for x in ("anchors", "docs", "counts")]]))
+                    out.add((int(bucket[part[0]]), planes(anchor[part]), planes(owner[part]), planes(count[part].astype(np.uint32))))
+                    yield from out.full()
+            del anchor, owner, count, places, bucket, order, cuts, part
+            yield from out.taken()
+            give_back()
 
     result = pa.schema([("block", pa.int32()), ("docs", pa.binary()), ("anchors", pa.binary()), ("total", pa.int64())])
 
@@ -205,38 +207,48 @@ def repeated_anchors(docs: DataFrame, unit: Unit, blocks: int, within: bool = Fa
         block = block_of(owner, blocks)
         order = np.lexsort((anchor, owner, block))
         cuts = np.flatnonzero(np.diff(block[order])) + 1
-        out = [(int(block[p[0]]), planes(owner[p]), planes(anchor[p]), None) for p in np.split(order, cuts) if len(p)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), result.types, strict=True)], schema=result)
+        out = Rows(result)
+        for p in np.split(order, cuts):
+            if len(p):
+                out.add((int(block[p[0]]), planes(owner[p]), planes(anchor[p]), None))
+                yield from out.full()
+        yield from out.taken()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, owners, counts, extra = [], [], [], []
         for batch in batches:
-            for a, o, c in zip(*[batch.column(x).to_pylist() for x in ("anchors", "docs", "counts")], strict=True):
-                if c is None:
-                    extra.append((unplanes(o, "<i8"), unplanes(a, "<u8")))
+            for row in packed_rows(batch):
+                a, o = unplanes(row["anchors"], "<u8"), unplanes(row["docs"], "<i8")
+                if row["counts"] is None:
+                    extra.append((o, a))
                     continue
-                anchors.append(unplanes(a, "<u8"))
-                owners.append(unplanes(o, "<i8"))
-                counts.append(unplanes(c, "<u4"))
+                anchors.append(a)
+                owners.append(o)
+                counts.append(unplanes(row["counts"], "<u4"))
+        batch = row = None
         known_o, known_a = (np.concatenate([x[i] for x in extra]) if extra else np.zeros(0, np.int64) for i in (0, 1))
         if not anchors:
             if len(known_o):
                 yield from packed(known_o, known_a.astype(np.uint64))
             return
         anchor, owner, count = map(np.concatenate, (anchors, owners, counts))
+        del anchors, owners, counts, extra
         order = np.argsort(anchor, kind="stable")
         anchor, owner, count = anchor[order], owner[order], count[order]
+        del order
         starts = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         total = np.add.reduceat(count.astype(np.int64), starts)
         size = np.diff(np.append(starts, len(anchor)))
         shared = np.repeat(total > 1, size)
+        del count, size
         yield from packed(np.concatenate([owner[shared], known_o]), np.concatenate([anchor[shared], known_a.astype(np.uint64)]))
         hot = total >= HOT_DOCS
         rows = [(-2, None, None, int(total.sum()))]
         if hot.any():
             rows.append((-1, planes(total[hot].astype(np.int64)), planes(anchor[starts][hot]), None))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), result.types, strict=True)], schema=result)
+        del anchor, owner, known_o, known_a, shared
+        give_back()
 
     sent = docs.select("_id", "_text").mapInArrow(gather, schema).repartitionById(buckets, "bucket")
     return sent.mapInArrow(meet, "block int, docs binary, anchors binary, total long")
@@ -292,20 +304,28 @@ def passages(key, texts: pa.Table, found: pa.Table, unit: Unit, hot: np.ndarray,
     """
     schema = PLACED if placed else PASSAGE
     ids = texts.column("_id").to_numpy().astype(np.int64)
-    want_doc, want_anchor = (np.concatenate([unplanes(x, k) for x in found.column(c).to_pylist()] or [np.zeros(0, k)]) for c, k in (("docs", "<i8"), ("anchors", "<u8")))
+    want_doc, want_anchor = (np.concatenate([unplanes(x.as_buffer(), k) for x in found.column(c)] or [np.zeros(0, k)]) for c, k in (("docs", "<i8"), ("anchors", "<u8")))
     wanted = np.unique(_pair(want_doc, want_anchor))
+    del want_doc, want_anchor
+    # narrow numbers: there may be a run for every few bytes of text
+    kinds = (np.int64, np.int32, np.int32, np.int32, np.int32, np.uint8, np.uint64, np.int64)
     rows: list[tuple] = []
+    spaced: list[np.ndarray] = []
     column = texts.column("_text").combine_chunks()
     column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+    base = 0
     for at, raw, offsets in text_chunks(column):
         symbols, places, words = unit.symbols(raw, offsets)
         runs = window_runs(symbols, places, unit)
         doc = ids[at + runs.text]
-        asked = np.isin(_pair(doc, runs.anchor), wanted)
+        asked = _among(_pair(doc, runs.anchor), wanted)
         doc, text, first, count, anchor = doc[asked], runs.text[asked], runs.first[asked], runs.count[asked], runs.anchor[asked]
         after = np.minimum(runs.after[asked], unit.most - 1) if placed else np.zeros(len(doc), np.int64)
+        del runs
         if not len(doc):
+            base += 0 if words else len(raw)
             continue
+        slices = Slices(symbols)
         deal = anchor.copy()
         if len(hot):
             place = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
@@ -316,7 +336,7 @@ def passages(key, texts: pa.Table, found: pa.Table, unit: Unit, hot: np.ndarray,
                 times = count[is_hot]
                 doc = np.concatenate([doc[~is_hot], np.repeat(doc[is_hot], times)])
                 text = np.concatenate([text[~is_hot], np.repeat(text[is_hot], times)])
-                deal = np.concatenate([deal[~is_hot], Slices(symbols).hash(single, single + unit.window)])
+                deal = np.concatenate([deal[~is_hot], slices.hash(single, single + unit.window)])
                 first = np.concatenate([first[~is_hot], single])
                 count = np.concatenate([count[~is_hot], np.ones(len(single), count.dtype)])
                 after = np.concatenate([after[~is_hot], np.zeros(len(single), after.dtype)])
@@ -326,22 +346,26 @@ def passages(key, texts: pa.Table, found: pa.Table, unit: Unit, hot: np.ndarray,
             # what stands between words is no part of a passage
             raw, begins = words.spaced()
             a, b = begins[first], begins[end] - 1
-        one = Slices(symbols).hash(first, end)
-        rows.append((doc, first - places[text], count, b - a, deal, one, np.full(len(doc), len(rows)), a))
-        rows[-1] += (raw.tobytes(),)
+            spaced.append(raw)
+        dealt = mix(deal)
+        shard, cut = dealt % np.uint64(shards), dealt // np.uint64(shards) % np.uint64(CUTS)
+        rows.append(tuple(x.astype(k) for x, k in zip((doc, first - places[text], count, b - a, shard, cut, slices.hash(first, end), base + a), kinds, strict=True)))
+        base += len(raw)
     if not rows:
         return schema.empty_table()
-    raws = [r[-1] for r in rows]
-    doc, start, count, size, deal, one, chunk, a = (np.concatenate([r[i] for r in rows]) for i in range(8))
+    pool = memoryview(np.concatenate(spaced) if unit.words else column_bytes(column)[0])
+    del spaced, wanted
+    doc, start, count, size, shard, cut, one, a = map(np.concatenate, zip(*rows, strict=True))
+    del rows
     # equal passages of the block: the smallest document asks for all, the others are covered by it. Neighbours in the order of hashes are
     # compared byte by byte; what a clash keeps apart here meets again in its shard
     order = np.lexsort((start, doc, size, one))
     same = np.zeros(len(doc), dtype=bool)
     same[1:] = (one[order][1:] == one[order][:-1]) & (size[order][1:] == size[order][:-1])
-    places_of = list(zip(chunk.tolist(), a.tolist(), (a + size).tolist(), strict=True))
-    for i in np.flatnonzero(same).tolist():
-        (c, f, t), (d, g, u) = places_of[order[i - 1]], places_of[order[i]]
-        same[i] = raws[c][f:t] == raws[d][g:u]
+    for part in in_pieces(np.flatnonzero(same)):
+        mine = order[part]
+        for i, f, g, n in zip(part.tolist(), a[order[part - 1]].tolist(), a[mine].tolist(), size[mine].tolist(), strict=True):
+            same[i] = pool[f : f + n] == pool[g : g + n]
     if placed:
         # rows that repeat an id and its text show a passage more than once
         again = np.append(False, same[1:] & (doc[order][1:] == doc[order][:-1]) & (start[order][1:] == start[order][:-1]))
@@ -349,28 +373,58 @@ def passages(key, texts: pa.Table, found: pa.Table, unit: Unit, hot: np.ndarray,
     lead = np.maximum.accumulate(np.where(same, -1, np.arange(len(order))))
     is_cover = same if placed else doc[order] > doc[order][lead]
     times = np.bincount(lead, minlength=len(order))[~is_cover]
-    out = []
+    out, batches = Rows(schema), []
     covered = order[is_cover]
     if len(covered):
-        out.append((int(key[0].as_py()) % shards, True, None, planes(doc[covered]), planes(start[covered].astype(np.int32)), planes(count[covered].astype(np.int32)), None, None))
-        if placed:
-            by_lead = order[lead[is_cover]]
-            out[-1] += (None, planes(doc[by_lead]), planes(start[by_lead].astype(np.int32)))
+        named = (planes(doc[order[lead[is_cover]]]), planes(start[order[lead[is_cover]]])) if placed else ()
+        out.add((int(key[0].as_py()) % shards, True, None, planes(doc[covered]), planes(start[covered]), planes(count[covered]), None, None, *((None, *named) if placed else ())))
     asking = order[~is_cover]
-    dealt = mix(deal[asking])
-    shard = (dealt % np.uint64(shards)).astype(np.int64)
-    cut = (dealt // np.uint64(shards) % np.uint64(CUTS)).astype(np.uint8)
-    by = np.lexsort((one[asking], cut, shard))
-    asking, shard, cut, times = asking[by], shard[by], cut[by], times[by]
-    for part in np.split(np.arange(len(asking)), np.flatnonzero(np.diff(shard)) + 1):
-        if len(part):
-            some = asking[part]
-            data = b"".join(raws[c][f:t] for c, f, t in map(places_of.__getitem__, some.tolist()))
-            numbers = [planes(x[some].astype(np.int32)) for x in (start, count, size)]
-            out.append((int(shard[part[0]]), False, cut[part].tobytes(), planes(doc[some]), *numbers, data))
-            if placed:
-                out[-1] += (planes(times[part].astype(np.int32)), None, None)
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+    del order, same, lead, is_cover, covered
+    by = np.lexsort((one[asking], cut[asking], shard[asking]))
+    asking, times = asking[by], times[by]
+    del one, by
+    bounds = np.flatnonzero(np.diff(shard[asking])) + 1
+    for f, t in zip([0, *bounds.tolist()], [*bounds.tolist(), len(asking)], strict=True):
+        if f < t:
+            some = asking[f:t]
+            data = b"".join([pool[x : x + n] for x, n in zip(a[some].tolist(), size[some].tolist(), strict=True)])
+            numbers = [planes(x[some]) for x in (start, count, size)]
+            out.add((int(shard[some[0]]), False, cut[some].tobytes(), planes(doc[some]), *numbers, data, *((planes(times[f:t].astype(np.int32)), None, None) if placed else ())))
+            batches += out.full()
+    return pa.Table.from_batches([*batches, *out.taken()], schema=schema)
+
+
+class Rows:
+    """Rows of packed bytes, made Arrow batches of a few MB as they come, so that they are held once."""
+
+    def __init__(self, schema: pa.Schema):
+        self.schema, self.rows, self.held = schema, [], 0
+
+    def add(self, row: tuple) -> None:
+        self.rows.append(row)
+        self.held += sum(len(x) for x in row if isinstance(x, bytes))
+
+    def full(self) -> list[pa.RecordBatch]:
+        """What was added, if it is enough for a batch."""
+        return self.taken() if self.held >= BATCH_BYTES else []
+
+    def taken(self) -> list[pa.RecordBatch]:
+        """What was added since the last batch, as a batch."""
+        rows, self.rows, self.held = self.rows, [], 0
+        return [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), self.schema.types, strict=True)], schema=self.schema)] if rows else []
+
+
+def in_pieces(values: np.ndarray) -> Iterator[np.ndarray]:
+    """Some values at a time, for loops over Python numbers."""
+    for at in range(0, len(values), PIECE):
+        yield values[at : at + PIECE]
+
+
+def _among(values: np.ndarray, rising: np.ndarray) -> np.ndarray:
+    """Which values are in a rising list, without sorting the two together."""
+    if not len(rising):
+        return np.zeros(len(values), dtype=bool)
+    return rising[np.minimum(np.searchsorted(rising, values), len(rising) - 1)] == values
 
 
 def _pair(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -410,8 +464,11 @@ def find_covers(docs: DataFrame, unit: Unit, finder: Finder) -> tuple[DataFrame,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         covers = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
         for entries in shard_entries(batches, unit, covers):
-            for held, new in zip(covers, finder(entries, unit), strict=True):
+            doc, start, size = finder(entries, unit)
+            doc, start, end = merge_stretches(doc, start, start + size)
+            for held, new in zip(covers, (doc, start, end - start), strict=True):
                 held.append(new)
+            give_back()
         doc, start, size = map(np.concatenate, covers)
         give_back()
         yield from pack_covers(doc, start, start + size, blocks)
@@ -430,11 +487,18 @@ def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
     return docs.select("_id", F.coalesce("_text", F.lit("")).alias("_text"), block("_id").alias("_block")).repartitionById(blocks, "_block")
 
 
+def packed_rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, binary values as views of it."""
+    for i in range(batch.num_rows):
+        row = {name: batch.column(name)[i] for name in batch.schema.names}
+        yield {k: None if not v.is_valid else v.as_buffer() if isinstance(v, pa.BinaryScalar) else v.as_py() for k, v in row.items()}
+
+
 def shard_entries(batches: Iterator[pa.RecordBatch], unit: Unit, covers: list[list[np.ndarray]]) -> Iterator[Entries]:
     """The entries of a shard, some cuts at a time; covers that pass through are added to `covers`."""
     held: list[tuple] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in packed_rows(batch):
             doc, start, count = unplanes(row["doc"], "<i8"), unplanes(row["start"], "<i4").astype(np.int64), unplanes(row["count"], "<i4").astype(np.int64)
             if row["cover"]:
                 for to, new in zip(covers, (doc, start, count + unit.window - 1), strict=True):
@@ -456,7 +520,7 @@ def shard_entries(batches: Iterator[pa.RecordBatch], unit: Unit, covers: list[li
         if total[first:last].sum():
             some = [slice(b[first], b[last]) for b, *_ in held]
             *numbers, times = (np.concatenate([row[i][s] for row, s in zip(held, some, strict=True)]) for i in range(1, 6))
-            yield Entries(*numbers, b"".join(row[6][row[7][first] : row[7][last]] for row in held), times)
+            yield Entries(*numbers, b"".join([memoryview(row[6])[row[7][first] : row[7][last]] for row in held]), times)
         first = last
 
 

@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.repeats import BYTES_50, Entries, Unit, apply_covers, block_of, find_covers, parts_of, passage_frame, planes, shard_entries, unplanes
+from opslens.llm.repeats import BYTES_50, PIECE, Entries, Unit, apply_covers, block_of, find_covers, merge_stretches, parts_of, passage_frame, planes, shard_entries, unplanes
 from opslens.llm.tokens import column_bytes
 
 NO_BYTE = 256
+# suffixes of intervals that are looked at together
+MEMBERS = 1 << 18
 
 
 class SuffixArray:
@@ -37,13 +39,20 @@ class SuffixArray:
             rest = np.minimum(rest, most)
         width = int(rest.max(initial=8) + 7) // 8 * 8
         padded = np.concatenate([pool, np.zeros(width, np.uint8)])
-        rows = np.lib.stride_tricks.sliding_window_view(padded, width)[at]
-        rows[np.arange(width) >= rest[:, None]] = 0
-        keys = rows.view(">u8").astype(np.uint64)
-        order = np.lexsort(keys.T[::-1])
-        rows = rows[order]
-        differ = rows[1:] != rows[:-1]
-        lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        # the suffixes side by side take many times their text, so only they and their order are held whole
+        shown = np.lib.stride_tricks.sliding_window_view(padded, width)
+        rows = np.empty((len(at), width), np.uint8)
+        for a in range(0, len(at), PIECE):
+            some = shown[at[a : a + PIECE]]
+            some[np.arange(width) >= rest[a : a + PIECE, None]] = 0
+            rows[a : a + PIECE] = some
+        order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
+        lcp = np.full(max(len(at) - 1, 0), width)
+        for a in range(0, len(lcp), PIECE):
+            some = rows[order[a : a + PIECE + 1]]
+            differ = some[1:] != some[:-1]
+            lcp[a : a + PIECE] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        del rows
         rest = rest[order]
         self.owner, self.place = owner[order], place[order]
         self.depth = np.minimum(lcp, np.minimum(rest[1:], rest[:-1])) if len(order) > 1 else np.zeros(0, np.int64)
@@ -121,20 +130,28 @@ def interval_covers(entries: Entries, unit: Unit) -> tuple[np.ndarray, np.ndarra
     size = [entries.count[later] + unit.window - 1]
     array = SuffixArray(contents, windows)
     first, last, value = maximal_groups(array, unit.window)
-    group, member = spread(first, last - first + 1)
-    if len(group):
+    leads = np.flatnonzero(~later)
+    leads = leads[np.argsort(which[leads], kind="stable")]
+    members = np.cumsum(last - first + 1)
+    # intervals lie within each other, so they may have many more members than there are suffixes
+    steps = np.searchsorted(members, np.arange(0, int(members.max(initial=0)) + MEMBERS, MEMBERS), side="right")
+    for a, b in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
+        if a == b:
+            continue
+        count = last[a:b] - first[a:b] + 1
+        group, member = spread(first[a:b], count)
         holder = least[array.owner[member]]
-        smallest = np.minimum.reduceat(holder, np.cumsum(last - first + 1) - (last - first + 1))
+        smallest = np.minimum.reduceat(holder, np.cumsum(count) - count)
         hit = holder > smallest[group]
-        owner, place, length = array.owner[member[hit]], array.place[member[hit]], value[group[hit]]
-        leads = np.flatnonzero(~later)
-        leads = leads[np.argsort(which[leads], kind="stable")]
+        owner, place, length = array.owner[member[hit]], array.place[member[hit]], value[a:b][group[hit]]
         from_, to = np.searchsorted(which[leads], owner, side="left"), np.searchsorted(which[leads], owner, side="right")
         again, at = spread(from_, to - from_)
         entry = leads[at]
-        doc.append(entries.doc[entry])
-        start.append(entries.start[entry] + place[again])
-        size.append(length[again])
+        begin = entries.start[entry] + place[again]
+        some, begin, end = merge_stretches(entries.doc[entry], begin, begin + length[again])
+        doc.append(some)
+        start.append(begin)
+        size.append(end - begin)
     return np.concatenate(doc), np.concatenate(start), np.concatenate(size)
 
 

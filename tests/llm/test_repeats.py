@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import collections
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +213,46 @@ def test_components_follow_chains(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (200, 201), (201, 200), (300, 300)]
     got = {r._node: r._root for r in components(spark.createDataFrame(chain, "_from long, _to long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 100: 90, 95: 90, 201: 200}
+
+
+def traced(run):
+    """Result of `run` and the MB of Python and numpy that it held at most."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_block_whose_passages_all_repeat():
+    letters = np.random.default_rng(5).integers(97, 123, (2000, 2000)).astype(np.uint8)
+    texts, ids, unit = [x.tobytes().decode() for x in letters], np.arange(2000), repeats.BYTES_50
+    block = pa.table({"_id": ids, "_text": texts})
+    doc, anchor = [], []
+    for at, raw, offsets in repeats.text_chunks(block.column("_text").combine_chunks()):
+        runs = repeats.window_runs(*unit.symbols(raw, offsets)[:2], unit)
+        doc.append(ids[at + runs.text])
+        anchor.append(runs.anchor)
+    asked = pa.table({"docs": [repeats.planes(np.concatenate(doc))], "anchors": [repeats.planes(np.concatenate(anchor))]})
+    out, most = traced(lambda: repeats.passages((pa.scalar(0),), block, asked, unit, np.zeros(0, np.uint64), 20))
+    rows = out.to_pylist()
+    count, size = (np.concatenate([repeats.unplanes(r[c], "<i4") for r in rows]) for c in ("count", "size"))
+    assert count.sum() == 2000 * 1951 and (size == count + 49).all()
+    assert sum(len(r["data"]) for r in rows) == size.sum()
+    for r in rows:
+        a, starts = 0, repeats.unplanes(r["start"], "<i4")
+        for d, f, n in zip(repeats.unplanes(r["doc"], "<i8")[:50], starts, repeats.unplanes(r["size"], "<i4"), strict=False):
+            assert r["data"][a : a + n].decode() == texts[d][f : f + n]
+            a += n
+    # 24 MB of rows; 158 MB while every run was a tuple of Python numbers
+    assert most < 120
+
+
+def test_memory_of_a_suffix_array():
+    letters = np.random.default_rng(6).integers(97, 100, (250, 2000)).astype(np.uint8)
+    contents = [x.tobytes() for x in letters]
+    array, most = traced(lambda: SuffixArray(contents, np.full(250, 1951), 76))
+    suffixes = [contents[o][p : p + 76] for o, p in zip(array.owner.tolist(), array.place.tolist(), strict=True)]
+    assert suffixes == sorted(suffixes) and len(suffixes) == 250 * 1951
+    # the suffixes side by side are 39 MB; they were held four times
+    assert most < 100
